@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk
-from .common import table
+from . import linededup, mixing, quality, topk
+from .common import sha256_hex, table
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
+
+
+OP7 = r"""
+with l as (select doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
+c as (select k, max(doc_id) as last from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+m as (select l.*, c.k is not null and l.doc_id <> c.last as gone from l left join c using (k))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from m group by doc_id
+"""
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +62,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op9_mix": OP9, "op10_exact_top_k": OP10}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
+ORACLES = {"op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
