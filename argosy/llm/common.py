@@ -50,3 +50,22 @@ def text_of(name: str = "text") -> Column:
 def sha256_hex(text: Column) -> Column:
     """Lowercase hex SHA-256 of a string's UTF-8 bytes."""
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def each_text(docs: DataFrame, fn, schema: str, id_col: str = "doc_id") -> DataFrame:
+    """The id and what `fn` makes of each batch of whole texts (null: empty): a list of rows, one for each text, by `schema`."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    docs = docs.select(F.col(id_col), text_of().alias("_text"))
+    out = StructType([docs.schema[id_col], *_parse_datatype_string(schema).fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            rows = fn(batch.column(1).to_pylist())
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow.names[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *(pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(columns))], schema=arrow)
+
+    return docs.mapInArrow(run, out)

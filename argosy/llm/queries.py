@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, topk
+from . import credentials, linededup, mixing, pii, quality, spans, topk
 from .common import sha256_hex, table
 
 
@@ -14,6 +14,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan_secrets(table(spark, sf_dir, "documents"))
+    return _digest(found, credentials.BASE, tuple(credentials.ORDER))
+
+
+def _digest(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the hash of the base spans and all spans."""
+    plain = F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    return found.select("doc_id", *[spans.count(F.col("base"), k).alias(f"n_{k}") for k in base], sha256_hex(spans.joined(F.col("base"), kinds)).alias("base_sha256"), spans.joined(F.concat("base", plain), kinds).alias("spans"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE, pii.KINDS)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
@@ -62,5 +77,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_secret_scan": op4_secret_scan, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
 ORACLES = {"op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
