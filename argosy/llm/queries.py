@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, linededup, mixing, pii, quality, spans, topk
+from . import chat, credentials, linededup, mixing, pii, quality, spans, topk, toxicity
 from .common import sha256_hex, table
 
 
@@ -14,6 +14,50 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (toxicity.split_of(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(added)
+    said = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = chat.read_back(chat.windows(turns)).select(
+        "conv_id", "window", "chars", F.size("turns").alias("n"), F.array_join(F.transform("turns", said), "").alias("said"), F.array_join("targets", "").alias("target")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("window", "said", "target")))
+    whole = read.groupBy("conv_id").agg(ordered.alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    whole = whole.withColumn("said", F.array_join("w.said", "")).withColumn("target", F.array_join("w.target", ""))
+    return whole.select(
+        "conv_id", F.col("n_turns").cast("long"), sha256_hex(F.col("said")).alias("turns_sha256"),
+        F.length("target").cast("long").alias("loss_chars"), sha256_hex(F.col("target")).alias("loss_sha256"), F.col("formatted_chars").cast("long"),
+    )
+
+
+#: Control strings as in chat.py; the sums of chat.windows with its default budgets.
+CONTROL = rf"([<\[])(\\*)({chat.CONTROL})"
+OP3 = rf"""
+with c as (select conv_id, turn, role, text from conversations union all
+  select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+b as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from c),
+e as (select *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 as tokens,
+  length(regexp_replace(text, '{CONTROL}', '\1\\\2\3', 'g')) + length(replace(regexp_replace(role, '{CONTROL}', '\1\\\2\3', 'g'), chr(10), '<|nl|>')) + 17 as width,
+  row_number() over (partition by conv_id order by turn nulls first, role, text) as i from b),
+p as (select *, sum(tokens) over (partition by conv_id order by i) as upto from e),
+g as (select *, case when tokens <= 384 then floor((upto - 1) / 384) end as cell from p),
+n as (select *, case when cell = lag(cell) over (partition by conv_id order by i) then 0 else 1 end as fresh from g),
+s as (select *, sum(fresh) over (partition by conv_id order by i) as span, min(case when role = 'system' and tokens <= 128 then i end) over (partition by conv_id) as system_i from n),
+t as (select *, max(span) over (partition by conv_id) as last, max(upto) over (partition by conv_id, span) - upto + tokens as rest from s),
+w as (select conv_id, i, role, text, width * (1 + case when i = system_i then last - span when rest <= 128 and span < last then 1 else 0 end) as chars from t)
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars from w group by conv_id
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.scan_secrets(table(spark, sf_dir, "documents"))
     return _digest(found, credentials.BASE, tuple(credentials.ORDER))
@@ -77,5 +121,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_secret_scan": op4_secret_scan, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
+ORACLES = {"op3_chat_format": OP3, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
