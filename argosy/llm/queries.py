@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, credentials, linededup, mixing, pii, quality, spans, topk, toxicity
+from . import chat, credentials, jaccard, linededup, mixing, pii, quality, spans, topk, toxicity
 from .common import sha256_hex, table
 
 
@@ -69,6 +69,10 @@ def _digest(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) ->
     return found.select("doc_id", *[spans.count(F.col("base"), k).alias(f"n_{k}") for k in base], sha256_hex(spans.joined(F.col("base"), kinds)).alias("base_sha256"), spans.joined(F.concat("base", plain), kinds).alias("spans"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_grams", "class_id", "n_links")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE, pii.KINDS)
 
@@ -121,5 +125,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
 ORACLES = {"op3_chat_format": OP3, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
