@@ -233,3 +233,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     return sketched.join(classes, F.col("form") == F.col("_form"), "left").select(
         "doc_id", "form", "n_grams", F.when(F.col("form").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The rows of `docs` that stand for their group: the one of the least doc_id. Of rows that repeat an id and n-grams one stays.
+
+    A row with a null id stays only if a row with a null id stands for its group or for one like it.
+    """
+    found = near_duplicates(docs, n, threshold, recall)
+    stay = settle(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "form").agg(F.count(F.lit(1)).alias("n"))).withColumnRenamed("doc_id", "_stay")
+    repeated = stay.where("n > 1").limit(1).count() > 0
+    kept = docs.join(stay.select("_stay").distinct(), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    if repeated:
+        kept = kept.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return kept

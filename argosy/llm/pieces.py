@@ -1,21 +1,21 @@
 """SentencePiece encoding, decoding, and sampling of segmentations by Gumbel top-k without replacement.
 
-Encoding. Pieces never span a newline or the end of a word (asserted from the vocabulary), so a text is the sequence of its
-units: a run of spaces with the word after it, a run of spaces, a newline. The model's own encoder is asked once for each
+Encoding. Where two characters are neighbours in no piece of the vocabulary, no piece can span them. So a text is the sequence
+of its units: a newline, a run of spaces, or spaces with what follows them, parted before and after the signs that the vocabulary
+never joins to other characters (found from its pieces). The model's own encoder is asked once for each
 distinct unit that a worker meets; the ids of a text are those of its units in order, equal to the encoder's on the whole text.
 A literal U+2581, which the format cannot tell from a space, is written by its byte pieces, so decoding gives back every text.
 
 Sampling. All segmentations of a text into pieces form a lattice, a chain of its units' lattices. A piece of rank r among the
 scores weighs (2 + r) ** -alpha (for models with probabilities exp(alpha * score)); a segmentation's probability is its product over the
-lattice's sum. The k + 1 segmentations with the greatest Gumbel-perturbed log probabilities are a sample without replacement
+lattice's sum. The k segmentations with the greatest Gumbel-perturbed log probabilities are a sample without replacement
 (Vieira 2014; Kool et al. 2019). They are found by A* over prefixes: each set of segmentations that share a prefix and leave a
 path at unit j has the Gumbel maximum of its mass, truncated at its parent's, as an exact bound; the set with the greatest bound
-is opened next, its own best path is drawn, and what it leaves behind returns to the queue. So k + 1 paths are opened in all,
-each with vector operations over the text's units. The last one gives the threshold t of the inclusion score of the others,
-1 - exp(-exp(log p - t)). Random numbers come from the row's key, so reruns and other partitionings agree.
+is opened next, its own best path is drawn, and what it leaves behind returns to the queue. So k paths are opened in all, with vector operations
+over the units of a batch of texts. The next bound is the threshold t of the inclusion score, 1 - exp(-exp(log p - t)). Random numbers come from the row's key, so reruns and other partitionings agree.
 
 Within a unit's lattice, sums go forward from its start and a path is drawn backward from its end; the draw that avoids the
-most probable path has states of its own ("apart"), so it needs no rejection.
+most probable path has states of its own ("apart"), so it needs no rejection. Most units of a text keep their most probable path.
 
 Defined results: a null or empty text has no ids and one empty segmentation; texts with fewer than k segmentations have fewer
 samples, as have those whose remaining mass is below 1e-12 of a unit's; rows that repeat a key and a text sample alike; other columns are
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from array import array
 from itertools import chain
 from typing import NamedTuple
@@ -41,14 +42,13 @@ from .common import text_of
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "﷐"
-UNIT = re.compile(r" *[^ \n]+| +|\n")
 #: Units that a worker remembers; it starts anew beyond.
-CACHE = 200_000
+CACHE = 350_000
 LEAST = 1e-12
 
 
 class Vocabulary:
-    """A SentencePiece model: pieces, weights and the plain encoder."""
+    """A SentencePiece model: pieces, weights, units and the plain encoder."""
 
     def __init__(self, model: bytes, alpha: float):
         import sentencepiece
@@ -59,18 +59,29 @@ class Vocabulary:
         scores = {i: sp.get_score(i) for i in usable}
         merges = all(float(s).is_integer() for s in scores.values())  # a BPE model's scores are ranks
         ranked = {i: r for r, i in enumerate(sorted(usable, key=lambda i: (-scores[i], i)))}
-        self.weight = {i: -alpha * math.log(2 + ranked[i]) if merges else alpha * scores[i] for i in usable}
-        self.floor = min(self.weight.values()) - alpha
-        self.trie: dict[str, int] = {}  # every prefix of a piece; the id of a whole one, else -1
-        for i in usable:
-            piece = sp.id_to_piece(i)
+        weight = {i: -alpha * math.log(2 + ranked[i]) if merges else alpha * scores[i] for i in usable}
+        self.pieces = [sp.id_to_piece(i) for i in range(n)]
+        self.id = {self.pieces[i]: i for i in usable}
+        self.share: dict[str, float] = {}  # every prefix of a piece; the weight of a whole one, else 0
+        for piece, i in self.id.items():
             if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                 raise ValueError(f"piece {piece!r} spans units")
             for k in range(1, len(piece)):
-                self.trie.setdefault(piece[:k], -1)
-            self.trie[piece] = i
+                self.share.setdefault(piece[:k], 0.0)
+            self.share[piece] = math.exp(weight[i])
+        self.floor = math.exp(min(weight.values()) - alpha)
+        self.longest = max(map(len, self.id))
         self.byte = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.has_bytes = sp.is_byte(self.byte[0])
+        apart = {c for piece in self.id for c in piece if c != SPACE and not (c.isalpha() or c.isdecimal())} | set(string.punctuation)
+        pairs = {(x, y) for piece in self.id for bare in [piece.lstrip(SPACE)] for x, y in zip(bare, bare[1:], strict=False)}
+        while True:  # signs that stand next to signs of their kind alone
+            joined = {c for x, y in pairs if (x in apart) != (y in apart) for c in (x, y)}
+            if not joined & apart:
+                break
+            apart -= joined
+        some = "".join(map(re.escape, sorted(apart)))
+        self.unit = re.compile(rf" *[{some}]+| *[^{some} \n]+| +|\n" if some else r" *[^ \n]+| +|\n")
 
     def spelled(self, char: str) -> tuple[int, ...]:
         """The byte pieces of a character, or the unknown piece."""
@@ -89,61 +100,23 @@ class Vocabulary:
         return out
 
 
-class Lattice(NamedTuple):
-    """A unit's lattice. Edges are grouped by the state they end in, each (previous state, id or ~number of a spelling, share, log weight)."""
+class Measure(NamedTuple):
+    """What a unit's lattice comes to. Sums and bests of positions are as they are where no scaling was needed."""
 
     log_total: float
-    log_apart: float  # log of the share of all paths but the best
+    log_best: float  # log of the best path's share
+    apart: float  # share of all paths but the best
     best: tuple[int, ...]
-    log_best: float
-    states: list[list[tuple[int, int, float, float]]]
-
-
-def lattice(unit: str, vocabulary: Vocabulary, spellings: dict[str, int]) -> Lattice:
-    """States 0 .. n are positions; n + 1 .. 2 n + 1 the positions of paths that, seen from the end, are still the best one."""
-    text, trie, weight, n = unit.replace(SPACE, LITERAL).replace(" ", SPACE), vocabulary.trie, vocabulary.weight, len(unit)
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        k, alone = i + 1, True
-        while k <= n and (piece := trie.get(text[i:k])) is not None:
-            if piece >= 0:
-                into[k].append((i, piece, weight[piece]))
-                alone = alone and k > i + 1
-            k += 1
-        if alone:  # no piece of this character alone: its bytes
-            char = unit[i]
-            into[i + 1].append((i, ~spellings.setdefault(char, len(spellings)), vocabulary.floor))
-    total, top, via, apart = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [-math.inf] * (n + 1)
-    states: list[list[tuple[int, int, float, float]]] = [[] for _ in range(2 * n + 2)]
-    exp, log = math.exp, math.log
-    for k in range(1, n + 1):
-        edges = into[k]
-        masses = [total[i] + w for i, _, w in edges]
-        peak = max(masses)
-        shares = [exp(m - peak) for m in masses]
-        whole = sum(shares)
-        total[k] = peak + log(whole)
-        tops = [top[i] + w for i, _, w in edges]
-        via[k] = b = tops.index(max(tops))
-        top[k] = tops[b]
-        states[k] = [(i, p, s / whole, w) for (i, p, w), s in zip(edges, shares, strict=True)]
-        i, p, w = edges[b]
-        shares[b] = exp(apart[i] + w - peak) if apart[i] > -math.inf else 0.0
-        rest = sum(shares)
-        if rest > 0:
-            apart[k] = peak + log(rest)
-            states[n + 1 + k] = [(n + 1 + j if e == b else j, q, s / rest, v) for e, ((j, q, v), s) in enumerate(zip(edges, shares, strict=True)) if s > 0]
-    best: list[int] = []
-    k = n
-    while k:
-        i, p, _ = into[k][via[k]]
-        best.append(p)
-        k = i
-    return Lattice(total[n], apart[n] - total[n], tuple(reversed(best)), top[n] - total[n], states)
+    sums: bytes  # the sums of all paths to each position, then the weight of the best one
 
 
 class Store:
-    """The lattices of the units met so far, as flat arrays that a whole text's paths are drawn from at once."""
+    """The units met so far. Lattices are measured at once, and laid out as arrays when a unit is drawn from again.
+
+    A lattice has states 0 .. n for positions, and n + 1 .. 2 n + 1 for positions of paths that, seen from the end, are still the best.
+    A draw takes its numbers from the row's key, its unit and its step; arrays and the one-off walk hold the same shares in the
+    same order. So what a worker has met before does not change a result.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -151,215 +124,416 @@ class Store:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.plain: list[list[int]] = []
-        self.best: list[tuple[int, ...]] = []
+        self.names: list[str] = []
+        self.plain: list[bytes] = []
+        self.best: list[bytes] = []
+        self.sums: list[bytes] = []
         self.spellings: dict[str, int] = {}
-        self.n_states = self.n_edges = self.n_units = 0
-        self.first = np.zeros(1 << 16, np.int32)
-        self.base, self.end, self.log_total, self.log_apart, self.log_best = (np.zeros(1 << 12, t) for t in (np.int32, np.int32, np.float64, np.float64, np.float64))
-        self.upto, self.log_w = np.zeros(1 << 18, np.float32), np.zeros(1 << 18, np.float32)
-        self.back, self.piece = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.spelled: list[str] = []
+        self.n_units = self.n_states = self.n_edges = 0
+        self.log_total, self.log_best, self.apart_share = (np.zeros(1 << 12) for _ in range(3))
+        self.base, self.drawn = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int32)
+        self.length = np.zeros(1 << 12, np.int64)
+        self.first, self.mass = np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
+        self.upto, self.log_w = np.zeros(1 << 16), np.zeros(1 << 16)
+        self.back, self.piece = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def _room(self, names: tuple[str, ...], n: int) -> None:
         if n > len(getattr(self, names[0])):
             for name in names:
                 old = getattr(self, name)
-                new = np.zeros(max(n, 2 * len(old)), old.dtype)
+                new = np.full(2 * n, -1, old.dtype) if name == "base" else np.zeros(2 * n, old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
 
+    def _spelling(self, char: str) -> int:
+        if char not in self.spellings:
+            self.spellings[char] = len(self.spelled)
+            self.spelled.append(char)
+        return ~self.spellings[char]
+
+    def _text(self, unit: str) -> str:
+        return unit.replace(SPACE, LITERAL).replace(" ", SPACE)
+
+    def measure(self, unit: str) -> Measure:
+        """Sums and the best path of the unit's lattice, forward from its start."""
+        text, n, get = self._text(unit), len(unit), self.vocabulary.share.get
+        total, top, via = [1.0] + [0.0] * n, [1.0] + [0.0] * n, [0] * (n + 1)
+        scale, longest, floor = 0.0, self.vocabulary.longest, self.vocabulary.floor
+        for i in range(n):
+            t, b = total[i], top[i]
+            if t < 1e-200:  # a long unit: the states that are read from here on start anew
+                scale += math.log(t)
+                own = slice(i, i + longest)
+                total[own], top[own] = [x / t for x in total[own]], [x / t for x in top[own]]
+                t, b = total[i], top[i]
+            if not get(text[i]):  # no piece of this character alone: its bytes
+                total[i + 1] += t * floor
+                if b * floor > top[i + 1]:
+                    top[i + 1], via[i + 1] = b * floor, i
+            for k in range(i + 1, min(n, i + longest) + 1):
+                w = get(text[i:k])
+                if w is None:
+                    break
+                if w:
+                    total[k] += t * w
+                    w *= b
+                    if w > top[k]:
+                        top[k], via[k] = w, i
+        best, k = [], n
+        while k:
+            i = via[k]
+            best.append(self._piece(text, i, k))
+            k = i
+        ratio = min(1.0, top[n] / total[n])
+        return Measure(math.log(total[n]) + scale, math.log(ratio), max(0.0, 1.0 - ratio), tuple(reversed(best)), array("d", total + top).tobytes() if not scale else b"")
+
+    def _piece(self, text: str, i: int, k: int) -> int:
+        p = self.vocabulary.id.get(text[i:k], -1)
+        return p if p >= 0 else self._spelling(SPACE if text[i] == LITERAL else text[i])
+
+    def _sums(self, unit: int) -> tuple[list[float], list[float]]:
+        """The sums and bests of a unit's positions; of a scaled one as logs are not kept, so they are made anew, each over the last."""
+        raw = self.sums[unit]
+        if raw:
+            both = array("d", raw).tolist()
+            return both[: len(both) // 2], both[len(both) // 2 :]
+        text, n, get, longest = self._text(self.names[unit]), len(self.names[unit]), self.vocabulary.share.get, self.vocabulary.longest
+        total, top = [0.0] + [-math.inf] * n, [0.0] + [-math.inf] * n
+        for k in range(1, n + 1):
+            edges = [(i, math.log(w)) for i in range(max(0, k - longest), k) if (w := get(text[i:k]) or (self.vocabulary.floor if k == i + 1 else 0.0))]
+            peak = max(total[i] + w for i, w in edges)
+            total[k] = peak + math.log(sum(math.exp(total[i] + w - peak) for i, w in edges))
+            top[k] = max(top[i] + w for i, w in edges)
+        return total, top
+
+    def into(self, text: str, total: list[float], top: list[float], k: int, flagged: bool, logs: bool) -> tuple[list[tuple[float, int, float, bool]], float]:
+        """The edges into position k, longest first: cumulative mass, start, weight, whether it stays on the best path; and the state's mass."""
+        get, floor, upto, out = self.vocabulary.share.get, self.vocabulary.floor, 0.0, []
+        marked = False
+        for i in range(max(0, k - self.vocabulary.longest), k):
+            w = get(text[i:k]) or (floor if k == i + 1 else 0.0)
+            if w:
+                mass = math.exp(total[i] - total[k]) if logs else total[i]
+                stays = False
+                if flagged and not marked and (abs(top[i] + math.log(w) - top[k]) < 1e-9 if logs else top[i] * w == top[k]):
+                    mass -= math.exp(top[i] - total[k]) if logs else top[i]
+                    stays = marked = True
+                if mass > 0:
+                    upto += mass * w
+                    out.append((upto, i, w, stays))
+        return out, upto
+
     def add(self, units: list[str]) -> None:
-        firsts, upto, log_w, back, piece = [], [], [], [], []
-        heads = []
+        n = self.n_units + len(units)
+        self._room(("log_total", "log_best", "apart_share", "base", "drawn", "length"), n)
+        found = [self.measure(u) for u in units]
+        own = slice(self.n_units, n)
+        self.log_total[own] = [m.log_total for m in found]
+        self.log_best[own] = [m.log_best for m in found]
+        self.apart_share[own] = [m.apart for m in found]
+        self.length[own] = [len(u) for u in units]
+        for unit, ids, m in zip(units, self.vocabulary.plain(units), found, strict=True):
+            self.number[unit] = len(self.names)
+            self.names.append(unit)
+            self.plain.append(array("i", ids).tobytes())
+            self.best.append(self.written(m.best))
+            self.sums.append(m.sums)
+        self.n_units = n
+
+    def lay_out(self, units: list[int]) -> None:
+        """Puts the lattices of the units into the arrays."""
+        firsts, masses, upto, weight, back, piece = [], [], [], [], [], []
         edge, state = self.n_edges, self.n_states
-        for unit, ids in zip(units, self.vocabulary.plain(units), strict=True):
-            x = lattice(unit, self.vocabulary, self.spellings)
-            self.number[unit] = len(self.plain)
-            self.plain.append(ids)
-            self.best.append(x.best)
-            heads.append((state, state + len(unit), x.log_total, x.log_apart, x.log_best))
-            for edges in x.states:
+        for unit in units:
+            self.base[unit] = state
+            text, (total, top), n = self._text(self.names[unit]), self._sums(unit), len(self.names[unit])
+            for flagged in (False, True):
                 firsts.append(edge)
-                edge += len(edges)
-                share = 0.0
-                for j, p, s, w in edges:
-                    share += s
-                    upto.append(share)
-                    back.append(state + j)
-                    piece.append(p)
-                    log_w.append(w)
-                if edges:
-                    upto[-1] = 2.0
-            state += len(x.states)
-        n = self.n_units + len(heads)
-        self._room(("base", "end", "log_total", "log_apart", "log_best"), n)
-        for name, column in zip(("base", "end", "log_total", "log_apart", "log_best"), zip(*heads, strict=True), strict=True):
-            getattr(self, name)[self.n_units : n] = column
-        self._room(("first",), state)
-        self.first[self.n_states : state] = firsts
+                masses.append(0.0)
+                for k in range(1, n + 1):
+                    edges, mass = self.into(text, total, top, k, flagged, not self.sums[unit])
+                    firsts.append(edge)
+                    masses.append(mass)
+                    edge += len(edges)
+                    for share, i, w, stays in edges:
+                        upto.append(share)
+                        back.append(state + (n + 1 + i if stays else i))
+                        piece.append(self._piece(text, i, k))
+                        weight.append(math.log(w))
+                    if edges:
+                        upto[-1] = math.inf
+            state += 2 * n + 2
+        self._room(("first", "mass"), state)
+        self.first[self.n_states : state], self.mass[self.n_states : state] = firsts, masses
         self._room(("upto", "log_w", "back", "piece"), edge)
-        for name, column in (("upto", upto), ("log_w", log_w), ("back", back), ("piece", piece)):
-            getattr(self, name)[self.n_edges : edge] = column
-        self.n_units, self.n_states, self.n_edges = n, state, edge
-
-    def units(self, text: str) -> np.ndarray:
-        """The numbers of the text's units; unknown ones are added."""
-        found = UNIT.findall(" " + text) if text else []
+        own = slice(self.n_edges, edge)
+        self.upto[own], self.log_w[own], self.back[own], self.piece[own] = upto, weight, back, piece
+        self.n_states, self.n_edges = state, edge
+
+    def units(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's units; unknown ones are added."""
+        cut = self.vocabulary.unit.findall
+        found = [cut(" " + t) if t else [] for t in texts]
         get = self.number.get
-        numbers = [get(u, -1) for u in found]
-        if -1 in numbers:
-            self.add(list(dict.fromkeys(u for u, i in zip(found, numbers, strict=True) if i < 0)))
-            numbers = [self.number[u] for u in found]
-        return np.array(numbers, np.int64)
-
-    def apart(self, units: np.ndarray, rng: np.random.Generator) -> tuple[list[tuple[int, ...]], np.ndarray]:
-        """A path for each unit, drawn from all but its best, and its log probability."""
-        state = self.end[units] + (self.end[units] - self.base[units]) + 1
-        stop, flagged = self.base[units], self.base[units] + (self.end[units] - self.base[units]) + 1
-        log_p, steps, live = -self.log_total[units], [], np.arange(len(units))
-        while len(live):
-            u = rng.random(len(live), np.float32)
-            edge = self.first[state[live]]
-            while (more := u >= self.upto[edge]).any():
-                edge = edge + more
-            log_p[live] += self.log_w[edge]
-            steps.append((live, self.piece[edge]))
-            state[live] = self.back[edge]
-            live = live[(state[live] != stop[live]) & (state[live] != flagged[live])]
+        numbers = [[get(u, -1) for u in f] for f in found]
+        if new := list(dict.fromkeys(u for f, ns in zip(found, numbers, strict=True) if -1 in ns for u, i in zip(f, ns, strict=True) if i < 0)):
+            self.add(new)
+            number = self.number
+            numbers = [[number[u] for u in f] if -1 in ns else ns for f, ns in zip(found, numbers, strict=True)]
+        return numbers
+
+    def written(self, path: tuple[int, ...]) -> bytes:
+        """The ids of a path, as little-endian 32-bit integers."""
+        return array("i", path if min(path) >= 0 else [i for p in path for i in ((p,) if p >= 0 else self.vocabulary.spelled(self.spelled[~p]))]).tobytes()
+
+    def apart(self, units: np.ndarray, seeds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """For each unit the ids of a path drawn from all but its best, and the log of its share of all."""
+        seen = self.drawn[units]
+        self.drawn[units] += 1
+        rare = (seen < 3) & (self.base[units] < 0)
+        if (wanted := np.unique(units[~rare & (self.base[units] < 0)])).size:
+            self.lay_out(wanted.tolist())
         paths: list[list[int]] = [[] for _ in range(len(units))]
-        for live, pieces in reversed(steps):
-            for i, p in zip(live.tolist(), pieces.tolist(), strict=True):
+        gone = np.zeros(len(units))
+        for i in np.flatnonzero(rare).tolist():
+            paths[i], gone[i] = self.walk(int(units[i]), int(seeds[i]))
+        live = np.flatnonzero(~rare)
+        base, n = self.base[units], self.length[units]
+        state, step = base + 2 * n + 1, 0
+        while len(live):
+            now = state[live]
+            u = uniform(seeds[live], step) * self.mass[now]
+            edge = self.first[now]
+            more = np.flatnonzero(u >= self.upto[edge])
+            while len(more):
+                edge[more] += 1
+                more = more[u[more] >= self.upto[edge[more]]]
+            gone[live] += self.log_w[edge]
+            for i, p in zip(live.tolist(), self.piece[edge].tolist(), strict=True):
                 paths[i].append(p)
-        return [tuple(p) for p in paths], log_p
+            state[live] = self.back[edge]
+            live = live[(state[live] != base[live]) & (state[live] != base[live] + n[live] + 1)]
+            step += 1
+        return [self.written(p[::-1]) for p in paths], gone - self.log_total[units]
+
+    def walk(self, unit: int, seed: int) -> tuple[list[int], float]:
+        """The same draw for one unit, without arrays; the path comes backward."""
+        text, (total, top), logs = self._text(self.names[unit]), self._sums(unit), not self.sums[unit]
+        k, flagged, path, gone, step = len(text), True, [], 0.0, 0
+        while k:
+            edges, mass = self.into(text, total, top, k, flagged, logs)
+            u = _uniform(seed, step) * mass
+            for share, i, w, stays in edges:
+                if u < share:
+                    break
+            path.append(self._piece(text, i, k))
+            gone += math.log(w)
+            k, flagged, step = i, stays, step + 1
+        return path, gone
+
+    def another(self, unit: int, taken: list[bytes], seed: int) -> tuple[bytes, float]:
+        """A path of the unit that isn't taken, drawn backward: an edge's mass is less by the taken paths that go through it."""
+        text, (total, top), logs = self._text(self.names[unit]), self._sums(unit), not self.sums[unit]
+        heads = [self.read(unit, t) for t in taken]
+        k, path, log_p, step = len(text), [], -float(self.log_total[unit]), 0
+        while k:
+            edges, mass = self.into(text, total, top, k, False, logs)
+            options, last = [], 0.0
+            for upto, i, w, _ in edges:
+                # Taken paths through this edge, as a share of all paths to its start.
+                gone = sum(math.exp(before - (total[i] if logs else math.log(total[i]))) for h in heads for before in [self._before(h, i, k)] if before is not None)
+                options.append((max(0.0, 1.0 - gone) * (upto - last) / mass if gone < 1 - LEAST else 0.0, i, w))
+                last = upto
+            x, step = _uniform(seed, step) * sum(o[0] for o in options), step + 1
+            chosen = None
+            for share, i, w in options:
+                if share > 0:
+                    chosen = (i, w)
+                    x -= share
+                    if x < 0:
+                        break
+            i, w = chosen or max((o[1:] for o in options), key=lambda o: o[1])
+            path.append(self._piece(text, i, k))
+            log_p += math.log(w)
+            heads = [h for h in heads if self._before(h, i, k) is not None]
+            k = i
+        return self.written(path[::-1]), log_p
+
+    @staticmethod
+    def _before(path: dict[int, tuple[int, float]], i: int, k: int) -> float | None:
+        """The log weight of the path's pieces before i, if one of its pieces goes from i to k."""
+        return path[i][1] if i in path and path[i][0] == k else None
+
+    def read(self, unit: int, ids: bytes) -> dict[int, tuple[int, float]]:
+        """A path as start -> (stop, log weight of the pieces before)."""
+        text, at, before, out = self._text(self.names[unit]), 0, 0.0, {}
+        queue = np.frombuffer(ids, np.int32).tolist()
+        while at < len(text):
+            piece = self.vocabulary.pieces[queue[0]]
+            if text.startswith(piece, at) and piece in self.vocabulary.id:
+                to, w, queue = at + len(piece), self.vocabulary.share[piece], queue[1:]
+            else:
+                to, w = at + 1, self.vocabulary.floor
+                queue = queue[len(self.vocabulary.spelled(SPACE if text[at] == LITERAL else text[at])) :]
+            out[at] = (to, before)
+            at, before = to, before + math.log(w)
+        out[-1] = (0, before)
+        return out
 
-    def left(self, unit: int, taken: set[tuple[int, ...]]) -> float:
-        """The share of the unit's paths that aren't taken; `taken` holds its best path."""
-        share = math.exp(self.log_apart[unit]) if self.log_apart[unit] > -math.inf else 0.0
-        return share - sum(math.exp(self._log_p(unit, p)) for p in taken if p != self.best[unit])
+    def log_p(self, unit: int, ids: bytes) -> float:
+        return self.read(unit, ids)[-1][1] - float(self.log_total[unit])
 
-    def _log_p(self, unit: int, path: tuple[int, ...]) -> float:
-        weight, floor = self.vocabulary.weight, self.vocabulary.floor
-        return sum(weight[p] if p >= 0 else floor for p in path) - self.log_total[unit]
 
-    def another(self, unit: int, taken: set[tuple[int, ...]], rng: np.random.Generator) -> tuple[tuple[int, ...], float]:
-        """A path of the unit that isn't taken, drawn backward: an edge's mass is less by the taken paths that go through it."""
-        base, state, log_p, path = int(self.base[unit]), int(self.end[unit]), -float(self.log_total[unit]), []
-        weight, floor = self.vocabulary.weight, self.vocabulary.floor
-        heads = [list(p) for p in taken]
-        n = int(self.end[unit]) - base
-        mass = self._masses(unit)
-        while state != base:
-            lo = int(self.first[state])
-            hi = int(self.first[state + 1])
-            options = []
-            for e in range(lo, hi):
-                p, j = int(self.piece[e]), int(self.back[e])
-                through = sum(math.exp(sum(weight[q] if q >= 0 else floor for q in h[:-1]) - mass[j - base]) for h in heads if h and h[-1] == p)
-                options.append((max(0.0, 1 - through) if through else 1.0, e, p, j))
-            shares = [s * math.exp(mass[j - base] + float(self.log_w[e])) if s > LEAST else 0.0 for s, e, p, j in options]
-            total = sum(shares)
-            if total <= 0:  # nothing measurable is left: the whole state counts
-                shares, total = [math.exp(mass[j - base] + float(self.log_w[e])) for _, e, _, j in options], 1.0
-                total = sum(shares)
-            x, pick = rng.random() * total, 0
-            while pick < len(shares) - 1 and x >= shares[pick]:
-                x -= shares[pick]
-                pick += 1
-            _, e, p, state = options[pick]
-            log_p += float(self.log_w[e])
-            path.append(p)
-            heads = [h[:-1] for h in heads if h and h[-1] == p]
-        del n
-        return tuple(reversed(path)), log_p
-
-    def _masses(self, unit: int) -> list[float]:
-        """The log sum of all paths to each position of the unit."""
-        base, end = int(self.base[unit]), int(self.end[unit])
-        out = [0.0]
-        for state in range(base + 1, end + 1):
-            lo, hi = int(self.first[state]), int(self.first[state + 1])
-            values = [out[int(self.back[e]) - base] + float(self.log_w[e]) for e in range(lo, hi)]
-            peak = max(values)
-            out.append(peak + math.log(sum(math.exp(v - peak) for v in values)))
-        return out
+GOLDEN, ONE, TWO = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-    def ids(self, path: tuple[int, ...], spelled: list[str]) -> tuple[int, ...] | list[int]:
-        return path if not path or min(path) >= 0 else [i for p in path for i in ((p,) if p >= 0 else self.vocabulary.spelled(spelled[~p]))]
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finisher."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(ONE)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(TWO)
+    return x ^ (x >> np.uint64(31))
 
-def truncated(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+
+def uniform(seeds: np.ndarray, step) -> np.ndarray:
+    """Numbers in (0, 1), by seed and step."""
+    with np.errstate(over="ignore"):
+        x = mixed(seeds.astype(np.uint64) + (np.asarray(step, np.uint64) + np.uint64(1)) * np.uint64(GOLDEN))
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def _uniform(seed: int, step: int) -> float:
+    mask = (1 << 64) - 1
+    x = (seed + (step + 1) * GOLDEN) & mask
+    x = ((x ^ (x >> 30)) * ONE) & mask
+    x = ((x ^ (x >> 27)) * TWO) & mask
+    return (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
+
+
+def truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables of location phi, given that they are at most the bound."""
     with np.errstate(divide="ignore", invalid="ignore"):
         out = phi - np.logaddexp(phi - bound, np.log(-np.log(u)))
     return np.where(np.isneginf(phi), -np.inf, out)
 
 
-class Path:
-    """An opened segmentation: the units where it differs from the best path, and the bounds of what branches off it."""
+class Drawn(NamedTuple):
+    """One sample of every text of a batch that has it."""
 
-    def __init__(self, start: int, other: dict[int, tuple[int, ...]], log_p: np.ndarray, value: float):
-        self.start, self.other, self.log_p, self.value = start, other, log_p, value
-        self.bounds = np.zeros(0)
-        self.taken: dict[int, set] = {}
+    has: np.ndarray  # of each text
+    other: dict[int, bytes]  # units, by place in the batch, whose path isn't the best
+    log_p: np.ndarray  # of each text
+    value: np.ndarray  # the perturbed log probability
 
 
-def gumbel_top_k(store: Store, units: np.ndarray, k: int, rng: np.random.Generator) -> list[Path]:
-    """The k segmentations with the greatest perturbed log probabilities, best first."""
+def gumbel_top_k(store: Store, numbers: list[list[int]], keys: np.ndarray, k: int) -> tuple[list[Drawn], np.ndarray]:
+    """The k best segmentations of each text by perturbed log probability, best first, and the value of the next.
 
-    def extend(path: Path, at: int) -> None:
-        """Draws the path's choices from unit `at` on, and the bounds of its siblings there."""
-        own = units[at:]
-        odd = at + np.flatnonzero(rng.random(len(own)) >= np.exp(store.log_best[own]))
-        odd = odd[~np.isneginf(store.log_apart[units[odd]])]
-        path.log_p[at:] = store.log_best[own]
-        log_rest = store.log_apart[units].copy()
+    Texts are independent; they are handled together to share vector operations. `keys` seeds each text.
+    """
+    sizes = np.array([len(n) for n in numbers])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    units = np.fromiter(chain.from_iterable(numbers), np.int64, int(starts[-1]))
+    text = np.repeat(np.arange(len(numbers)), sizes)
+    place = np.arange(len(units)) - starts[text]
+    stream = lambda n, what: mixed(keys + np.uint64(GOLDEN * (16 * n + what) & (2**64 - 1)))
+    log_best, apart = store.log_best[units], store.apart_share[units]
+    draw_any = np.exp(log_best)
+    filled = np.flatnonzero(sizes)
+    bounds = [(int(starts[i]), int(starts[i + 1])) for i in filled]
+
+    class Path:
+        pass
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        """Running sums within each text, so that a text's sums don't depend on its batch."""
+        out = np.empty(len(x))
+        for a, b in bounds:
+            np.cumsum(x[a:b], out=out[a:b])
+        return out
+
+    def complete(path: Path, n: int, at: np.ndarray, live: np.ndarray, bound: np.ndarray) -> None:
+        """Draws the choices of the live texts from unit `at` on, and the bounds of what branches off there."""
+        own = np.flatnonzero(live[text] & (place >= at[text]))
+        seeds = mixed(stream(n, 0)[text[own]] + place[own].astype(np.uint64))
+        odd = own[(uniform(seeds, 0) >= draw_any[own]) & (apart[own] > 0)]
+        path.log_p[own] = log_best[own]
+        rest = apart[own].copy()
         if len(odd):
-            drawn, log_p = store.apart(units[odd], rng)
-            path.other |= dict(zip(odd.tolist(), drawn, strict=True))
+            paths, log_p = store.apart(units[odd], mixed(stream(n, 1)[text[odd]] + place[odd].astype(np.uint64)))
+            path.other |= dict(zip(odd.tolist(), paths, strict=True))
             path.log_p[odd] = log_p
-            log_rest[odd] = np.log(-np.expm1(np.minimum(log_p, -LEAST)))
-        phi = np.concatenate([[0.0], np.cumsum(path.log_p)[:-1]]) + log_rest if len(units) else np.zeros(0)
+            rest[np.searchsorted(own, odd)] = -np.expm1(np.minimum(log_p, -LEAST))
+        before = summed(path.log_p) - path.log_p
         path.bounds = np.full(len(units), -np.inf)
-        path.bounds[at:] = truncated(phi[at:], path.value, np.clip(rng.random(len(own)), 1e-300, 1 - 1e-16))
-
-    first = Path(0, {}, np.zeros(len(units)), -math.log(-math.log(min(max(rng.random(), 1e-300), 1 - 1e-16))))
-    extend(first, 0)
-    found = [first]
-    while len(found) < k and len(units):
-        tops = [int(p.bounds.argmax()) for p in found]
-        parent, at = max(((p, j) for p, j in zip(found, tops, strict=True)), key=lambda x: x[0].bounds[x[1]])
-        value = float(parent.bounds[at])
-        if value == -math.inf:
+        with np.errstate(divide="ignore"):
+            path.bounds[own] = truncated(before[own] + np.log(rest), bound[text[own]], uniform(seeds, 1))
+
+    def top(path: Path) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the greatest bound of the path and its unit (place in the batch)."""
+        value, at = np.full(len(sizes), -np.inf), np.zeros(len(sizes), np.int64)
+        if len(filled):
+            value[filled] = np.maximum.reduceat(path.bounds, starts[filled])
+            hit = np.flatnonzero(path.bounds == value[text])[::-1]
+            at[text[hit]] = hit
+        return value, at
+
+    first = Path()
+    first.other, first.log_p = {}, np.zeros(len(units))
+    first.value = -np.log(-np.log(uniform(stream(0, 2), 0)))
+    first.has = np.ones(len(sizes), bool)
+    complete(first, 0, np.zeros(len(sizes), np.int64), first.has, first.value)
+    paths, taken = [first], {}
+    while True:
+        tops = [top(p) for p in paths]
+        values = np.stack([v for v, _ in tops])
+        parent = values.argmax(axis=0)
+        value = values.max(axis=0)
+        if len(paths) == k:
             break
-        unit = int(units[at])
-        own = parent.other.get(at, store.best[unit])
-        taken = parent.taken.setdefault(at, {own})
-        child = Path(at, {j: p for j, p in parent.other.items() if j < at}, parent.log_p.copy(), value)
-        if taken == {store.best[unit]}:
-            drawn, log_p = store.apart(units[at : at + 1], rng)
-            choice, at_p = drawn[0], float(log_p[0])
-        else:
-            choice, at_p = store.another(unit, taken, rng)
-        again = choice in taken
-        taken.add(choice)
-        left = store.left(unit, taken | {store.best[unit]}) + (0.0 if store.best[unit] in taken else math.exp(store.log_best[unit]))
-        phi = parent.log_p[:at].sum() + (math.log(left) if left > LEAST else -math.inf)
-        parent.bounds[at] = truncated(np.array([phi]), value, np.array([min(max(rng.random(), 1e-300), 1 - 1e-16)]))[0] if left > LEAST else -np.inf
-        if again:
-            continue
-        if choice == store.best[unit]:
-            child.other.pop(at, None)
-        else:
-            child.other[at] = choice
-        child.log_p[at] = at_p
-        extend(child, at + 1)
-        found.append(child)
-    return found
+        n, live = len(paths), ~np.isneginf(value)
+        at = np.stack([a for _, a in tops])[parent, np.arange(len(sizes))]
+        child = Path()
+        child.has, child.value = live, value
+        of = parent[text]
+        kept = live[text] & (np.arange(len(units)) < at[text])
+        child.log_p = np.where(kept, np.stack([p.log_p for p in paths])[of, np.arange(len(units))], 0.0)
+        child.other = {j: o for i, p in enumerate(paths) for j, o in p.other.items() if kept[j] and of[j] == i}
+        before = summed(child.log_p) - child.log_p
+        seeds, again = stream(n, 3), stream(n, 4)
+        fresh = [i for i in np.flatnonzero(live).tolist() if int(at[i]) not in paths[parent[i]].other and (int(parent[i]), int(at[i])) not in taken]
+        ready = {}
+        if fresh:  # only the best path is taken: one draw for all such texts
+            drawn, log_p = store.apart(units[at[fresh]], seeds[fresh])
+            ready = dict(zip(fresh, zip(drawn, log_p.tolist(), strict=True), strict=True))
+        for i in np.flatnonzero(live).tolist():
+            j, p = int(at[i]), paths[parent[i]]
+            unit = int(units[j])
+            best = store.best[unit]
+            gone = taken.setdefault((int(parent[i]), j), [p.other.get(j, best)])
+            choice, log_p = ready[i] if i in ready else store.another(unit, gone, int(seeds[i]))
+            gone.append(choice)
+            if choice != best:
+                child.other[j] = choice
+            child.log_p[j] = log_p
+            left = (store.apart_share[unit] if best in gone else 1.0) - sum(math.exp(store.log_p(unit, g)) for g in gone if g != best)
+            with np.errstate(divide="ignore"):
+                p.bounds[j] = truncated(before[j] + np.log(np.array([left if left > LEAST else 0.0])), value[i : i + 1], uniform(again[i : i + 1], 0))[0]
+        complete(child, n, at - starts[:-1] + 1, live, value)
+        paths.append(child)
+    out = []
+    for p in paths:
+        last = np.zeros(len(sizes))
+        last[filled] = summed(p.log_p)[starts[1:][filled] - 1]
+        out.append(Drawn(p.has, p.other, last, p.value))
+    return out, value
 
 
 class Encoded(NamedTuple):
-    ids: list[int]
-    samples: list[tuple[list[int], float, float]]  # ids, log probability, inclusion score
+    """Ids are little-endian 32-bit integers."""
+
+    ids: bytes
+    samples: list[tuple[bytes, float, float]]  # ids, log probability, inclusion score
 
 
 class Encoder:
@@ -368,31 +542,31 @@ class Encoder:
     def __init__(self, model: bytes, alpha: float = 1.0):
         self.store = Store(Vocabulary(model, alpha))
 
-    def encode(self, text: str, key: str, k: int, seed: int) -> Encoded:
+    def encode(self, texts: list[str], keys: list[str], k: int, seed: int) -> list[Encoded]:
         store = self.store
-        if store.n_units > CACHE:
+        if store.n_units > CACHE or store.n_edges > 40 * CACHE:
             store.clear()
-        units = store.units(text)
-        numbers = units.tolist()
-        plain = store.plain
-        ids = list(chain.from_iterable([plain[i] for i in numbers]))
+        numbers = store.units(texts)
+        plain, best = store.plain, store.best
+        ids = [b"".join([plain[i] for i in n]) for n in numbers]
         if not k:
-            return Encoded(ids, [])
-        paths = gumbel_top_k(store, units, k + 1, np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(key, seed=seed))))
-        spelled, best = list(store.spellings), store.best
-        samples = []
-        for p in paths[:k]:
-            whole = [best[i] for i in numbers]
-            for j, other in p.other.items():
-                whole[j] = other
-            flat = list(chain.from_iterable(whole))
-            log_p = float(p.log_p.sum())
-            inclusion = -math.expm1(-math.exp(min(50.0, log_p - paths[k].value))) if len(paths) > k else 1.0
-            samples.append((flat if not flat or min(flat) >= 0 else list(store.ids(tuple(flat), spelled)), log_p, inclusion))
-        return Encoded(ids, samples)
-
-    def decode(self, ids: list[int]) -> str:
-        return self.store.vocabulary.sp.decode(ids)
+            return [Encoded(i, []) for i in ids]
+        seeds = np.array([xxhash.xxh64_intdigest(key, seed=seed) for key in keys], np.uint64)
+        drawn, beyond = gumbel_top_k(store, numbers, seeds, k)
+        samples: list[list[tuple[bytes, float, float]]] = [[] for _ in texts]
+        starts = np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).tolist()
+        for d in drawn:
+            flat = [best[i] for n in numbers for i in n]
+            for j, path in d.other.items():
+                flat[j] = path
+            with np.errstate(over="ignore"):
+                inclusion = np.where(np.isneginf(beyond), 1.0, -np.expm1(-np.exp(np.minimum(50.0, d.log_p - beyond))))
+            for i in np.flatnonzero(d.has).tolist():
+                samples[i].append((b"".join(flat[starts[i] : starts[i + 1]]), float(d.log_p[i]), float(inclusion[i])))
+        return [Encoded(*x) for x in zip(ids, samples, strict=True)]
+
+    def decode(self, ids: bytes) -> str:
+        return self.store.vocabulary.sp.decode(np.frombuffer(ids, np.int32).tolist())
 
 
 _ENCODERS: dict[tuple[bytes, float], Encoder] = {}
@@ -407,7 +581,7 @@ def encoder(model: bytes, alpha: float) -> Encoder:
     return _ENCODERS[key]
 
 
-def _mapped(docs: DataFrame, model_path: str, alpha: float, row, fields: str, arrow: pa.Schema) -> DataFrame:
+def _mapped(docs: DataFrame, model_path: str, alpha: float, row, fields: str, arrow: pa.Schema, k: int, seed: int) -> DataFrame:
     with open(model_path, "rb") as f:  # a vocabulary file on the driver; its bytes go with the tasks
         model = f.read()
     docs = docs.select(F.col("doc_id"), text_of().alias("_text"))
@@ -416,10 +590,17 @@ def _mapped(docs: DataFrame, model_path: str, alpha: float, row, fields: str, ar
     def run(batches):
         own = encoder(model, alpha)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [row(own, t, str(i)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            texts = batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):  # as many rows at once as hold about a million characters
+                to, size = at + 1, len(texts[at])
+                while to < len(texts) and to - at < 512 and size + len(texts[to]) <= 1_000_000:
+                    size += len(texts[to])
+                    to += 1
+                part = batch.slice(at, to - at)
+                rows = [row(own, x) for x in own.encode(texts[at:to], [str(i) for i in part.column(0).to_pylist()], k, seed)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True))], ["doc_id", *arrow.names])
+                at = to
 
     return docs.mapInArrow(run, f"doc_id {kind}, {fields}")
 
@@ -427,13 +608,12 @@ def _mapped(docs: DataFrame, model_path: str, alpha: float, row, fields: str, ar
 def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 8, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, ids, and samples: array of ids, log_p and inclusion."""
 
-    def row(own: Encoder, text: str, key: str):
-        x = own.encode(text, key, k, seed)
-        return x.ids, [{"ids": i, "log_p": p, "inclusion": q} for i, p, q in x.samples]
+    def row(own: Encoder, x: Encoded):
+        return np.frombuffer(x.ids, np.int32), [{"ids": np.frombuffer(i, np.int32), "log_p": p, "inclusion": q} for i, p, q in x.samples]
 
     ids = pa.list_(pa.int32())
     sample = pa.struct([("ids", ids), ("log_p", pa.float64()), ("inclusion", pa.float64())])
-    return _mapped(docs, model_path, alpha, row, "ids array<int>, samples array<struct<ids: array<int>, log_p: double, inclusion: double>>", pa.schema([("ids", ids), ("samples", pa.list_(sample))]))
+    return _mapped(docs, model_path, alpha, row, "ids array<int>, samples array<struct<ids: array<int>, log_p: double, inclusion: double>>", pa.schema([("ids", ids), ("samples", pa.list_(sample))]), k, seed)
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:
@@ -451,19 +631,18 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "
     return encoded.mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def digest(ids: list[int]) -> str:
-    """Lowercase hex SHA-256 of the ids as little-endian 32-bit integers."""
-    return hashlib.sha256(array("i", ids).tobytes()).hexdigest()
+def digest(ids: bytes) -> str:
+    """Lowercase hex SHA-256 of the ids."""
+    return hashlib.sha256(ids).hexdigest()
 
 
 def digests(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 8, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """The same encodings as hashes, made where they are: doc_id, n_ids, ids_sha256, decoded_sha256 and samples (n_ids, ids_sha256, log_p, inclusion)."""
 
-    def row(own: Encoder, text: str, key: str):
-        x = own.encode(text, key, k, seed)
+    def row(own: Encoder, x: Encoded):
         back = hashlib.sha256(own.decode(x.ids).encode()).hexdigest()
-        return len(x.ids), digest(x.ids), back, [{"n_ids": len(i), "ids_sha256": digest(i), "log_p": p, "inclusion": q} for i, p, q in x.samples]
+        return len(x.ids) // 4, digest(x.ids), back, [{"n_ids": len(i) // 4, "ids_sha256": digest(i), "log_p": p, "inclusion": q} for i, p, q in x.samples]
 
     sample = pa.struct([("n_ids", pa.int64()), ("ids_sha256", pa.string()), ("log_p", pa.float64()), ("inclusion", pa.float64())])
     arrow = pa.schema([("n_ids", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("samples", pa.list_(sample))])
-    return _mapped(docs, model_path, alpha, row, "n_ids long, ids_sha256 string, decoded_sha256 string, samples array<struct<n_ids: bigint, ids_sha256: string, log_p: double, inclusion: double>>", arrow)
+    return _mapped(docs, model_path, alpha, row, "n_ids long, ids_sha256 string, decoded_sha256 string, samples array<struct<n_ids: bigint, ids_sha256: string, log_p: double, inclusion: double>>", arrow, k, seed)

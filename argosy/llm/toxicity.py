@@ -199,9 +199,8 @@ class Words(dict):
         return w
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted (score >= threshold) and offending: the sentences (start, stop, score) at the threshold or above."""
-
+def scorer(model: Model, threshold: float):
+    """A function from texts to their scores and offending sentences."""
     words = Words(model.weights)
 
     def rows(texts):
@@ -219,7 +218,31 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                     found.append({"start": m.start() if same else None, "stop": m.end() if same else None, "score": p})
             sums.append(none)
             spots.append(found)
-        scores = model.calibrated(np.array(sums)).tolist() if sums else []
-        return [(s, int(s >= threshold), x if s >= threshold else []) for s, x in zip(scores, spots, strict=True)]
+        return model.calibrated(np.array(sums)).tolist() if sums else [], spots
+
+    return rows
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """doc_id, score, predicted (score >= threshold) and offending: the sentences (start, stop, score) at the threshold or above."""
+    scored = scorer(model, threshold)
+
+    def rows(texts):
+        return [(s, int(s >= threshold), x if s >= threshold else []) for s, x in zip(*scored(texts), strict=True)]
 
     return each_text(docs, rows, "score double, predicted int, offending array<struct<start: int, stop: int, score: double>>")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` whose text scores below the threshold, with all their columns."""
+    scored = scorer(model, threshold)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            scores, _ = scored([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
