@@ -184,3 +184,45 @@ def excerpts(docs: DataFrame, budget: int) -> DataFrame:
     """Documents (position, path, text) as long as their running length stays within the budget."""
     upto = F.sum(F.length("text")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
     return docs.withColumn("upto", upto).where(F.col("upto") <= budget)
+
+
+def routed(references: DataFrame, identifiers: DataFrame, blocks: DataFrame, equations: DataFrame, claims: DataFrame) -> DataFrame:
+    """reference, target, route: where a reference (reference, label, document) leads: an identifier, else a block, else an equation (each label, id), else the document's only claim (document, id)."""
+    sole = claims.groupBy(F.col("document").alias("_d")).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("t4")).where("_n = 1")
+    out = references
+    for i, table in enumerate((identifiers, blocks, equations), 1):
+        out = out.join(table.groupBy(F.col("label").alias(f"_l{i}")).agg(F.min("id").alias(f"t{i}")), F.col("label") == F.col(f"_l{i}"), "left")
+    out = out.join(sole, F.col("document") == F.col("_d"), "left")
+    route = F.coalesce(*[F.when(F.col(f"t{i}").isNotNull(), F.lit(n)) for i, n in enumerate(("identifier", "block", "equation", "sole claim"), 1)])
+    return out.select("reference", F.coalesce("t1", "t2", "t3", "t4").alias("target"), route.alias("route"))
+
+
+def crossed(ends: DataFrame) -> DataFrame:
+    """anchor, source, target: every pair of an anchor's from-ends and to-ends (arrays), but an end with itself."""
+    return ends.select("anchor", F.explode("sources").alias("source"), "targets").select("anchor", "source", F.explode("targets").alias("target")).where("source <> target")
+
+
+def confirm_pairs(targets: DataFrame) -> DataFrame:
+    """a, b: the pair of each culled claim and its root where the root isn't its target."""
+    return targets.join(cull_roots(targets), "id").where(F.col("into") != F.col("root")).select(*pair("id", "root")).distinct()
+
+
+def tallies(links: DataFrame, *by: str) -> DataFrame:
+    return links.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest_segment(trail: DataFrame) -> DataFrame:
+    """Trail entries (ord, kind, ...) since the last start."""
+    last = trail.where("kind = 'start'").agg(F.max("ord").alias("_last"))
+    return trail.join(F.broadcast(last), F.coalesce(F.col("ord") >= F.col("_last"), F.lit(True))).drop("_last")  # one row
+
+
+def compensated(values: Column) -> Column:
+    """Neumaier's sum of an array of doubles, in order."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+    def step(a: Column, x: Column) -> Column:
+        t = a["s"] + x
+        return F.struct(t.alias("s"), (a["c"] + F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - t) + x).otherwise((x - t) + a["s"])).alias("c"))
+
+    return F.aggregate(values, zero, step, lambda a: a["s"] + a["c"])

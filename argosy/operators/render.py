@@ -58,3 +58,20 @@ def changed_files(wanted: DataFrame, standing: DataFrame) -> DataFrame:
 def footers(links: DataFrame) -> DataFrame:
     """id, leaves: the documents whose links (path, link.title) name a node."""
     return links.where("link.title rlike '^(clm|exp|ana|wrk|axm)-'").groupBy(F.col("link.title").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("path")), ", ").alias("leaves"))
+
+
+def edge_file(edges: DataFrame) -> DataFrame:
+    """relation, text: edges as a YAML list in identity order."""
+    bearing = F.when(F.col("bearing_pending"), F.lit('\n  bearing: "*pending*"')).when(F.col("bearing").isNotNull(), F.concat(F.lit("\n  bearing: "), F.col("bearing").cast("string"))).otherwise("")
+    entry = F.concat(F.lit("- source: "), "source", F.lit("\n  target: "), "target", F.lit("\n  context: "), quoted(F.coalesce("context", F.lit(""))), bearing)
+    return joined(edges, "relation", [F.col("source"), F.col("target"), F.coalesce("replaced_relation", F.lit(""))], entry, "text")
+
+
+def volume_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """volume, nodes of each kind, those without an edge, and inner edges."""
+    own = nodes.where("host is not null").select(F.substring_index("host", "/", 1).alias("volume"), "id", "kind")
+    used = edges.select(F.col("source").alias("_u")).union(edges.select("target")).distinct()
+    counted = own.join(used, F.col("id") == F.col("_u"), "left").groupBy("volume").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("claim", "analysis", "experiment")], F.count_if(F.col("_u").isNull()).alias("unattached"))
+    ends = own.select(F.col("id").alias("_id"), F.col("volume").alias("_v"))
+    inner = edges.join(ends.withColumnsRenamed({"_id": "_s", "_v": "_sv"}), F.col("source") == F.col("_s")).join(ends.withColumnsRenamed({"_id": "_t", "_v": "_tv"}), F.col("target") == F.col("_t")).where("_sv = _tv").groupBy(F.col("_sv").alias("_w")).agg(F.count(F.lit(1)).alias("inner"))
+    return counted.join(inner, F.col("volume") == F.col("_w"), "left").drop("_w").fillna(0, ["inner"])

@@ -85,6 +85,6 @@ def trace_text(nodes: DataFrame) -> DataFrame:
     r, p, up, cap = (F.col(c) for c in ("rigor", "premise", "lift", "cap"))
     derived = derivation(F.col("kind"), r, p)
     core = F.when(p.isNotNull() & r.isNotNull(), F.concat(F.lit("min("), display(r), F.lit(", "), display(p), F.lit(")"))).when(derived.isNotNull(), display(derived))
-    lifted = F.when(up.isNull(), core).when(derived.isNull(), F.concat(F.lit("lift "), display(up))).otherwise(F.concat(F.lit("max("), F.coalesce(core, F.lit("")), F.lit(", "), display(up), F.lit(")")))
+    lifted = F.when(up.isNull(), core).when(r.isNull(), F.concat(F.lit("lift "), display(up))).otherwise(F.concat(F.lit("max("), F.coalesce(core, F.lit("")), F.lit(", "), display(up), F.lit(")")))
     capped = F.when(cap.isNotNull() & F.col("strength").isNotNull(), F.concat(F.lit("min("), lifted, F.lit(", "), display(cap), F.lit(")"))).otherwise(F.when(up.isNotNull() | p.isNotNull(), lifted))
     return nodes.where(F.col("kind").isin("claim", "analysis")).select("id", F.coalesce(capped, F.lit("")).alias("trace"))

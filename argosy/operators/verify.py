@@ -85,6 +85,29 @@ def dead_links(docs: DataFrame) -> DataFrame:
     return no_path.unionByName(fault(to_anchor.join(anchors, (F.col("_path") == F.col("_p")) & (F.col("_anchor") == F.col("_a")), "left_anti"), "dead fragment", F.concat_ws(":", "path", "line"), F.col("link.destination")))
 
 
+def axiom_headings(axioms: DataFrame, headings: DataFrame) -> DataFrame:
+    """Axiom records (id, label, title) against marked headings (id, heading): none, many, other text, unknown id."""
+    marked = headings.groupBy(F.col("id").alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.min("heading").alias("heading"))
+    joined = axioms.join(marked, F.col("id") == F.col("_h"), "full_outer")
+    what = F.when(F.col("id").isNull(), "unknown id").when(F.col("_h").isNull(), "no heading").when(F.col("n") > 1, "several headings").when(F.col("heading") != F.concat_ws(" ", "label", "title"), "other text")
+    return fault(joined.where(what.isNotNull()), "axiom heading", F.coalesce("id", "_h"), what)
+
+
+def set_equality(left: DataFrame, right: DataFrame, check: str) -> DataFrame:
+    """Rows (name) that one side has and the other lacks."""
+    a, b = left.select("name").distinct(), right.select("name").distinct()
+    return fault(a.exceptAll(b), check, F.col("name"), F.lit("only left")).unionByName(fault(b.exceptAll(a), check, F.col("name"), F.lit("only right")))
+
+
+def unreached(links: DataFrame, entry: str, docs: DataFrame) -> DataFrame:
+    """Documents (path) that no chain of child links (parent, child) reaches from the entry point."""
+    from argosy.operators.graph import closure
+
+    start = docs.sparkSession.createDataFrame([(entry,)], "id string")
+    reached = closure(links.select(F.col("parent").alias("source"), F.col("child").alias("target")), start).select(F.col("node").alias("path"))
+    return fault(docs.join(reached, "path", "left_anti"), "unreached", F.col("path"), F.lit(entry))
+
+
 def stale_pages(wanted: DataFrame, standing: DataFrame) -> DataFrame:
     """Pages (path, text) missing, extra, or with other bytes."""
     joined = wanted.select(F.col("path").alias("wp"), F.sha2("text", 256).alias("wh")).join(standing.select(F.col("path").alias("sp"), F.sha2("text", 256).alias("sh")), F.col("wp") == F.col("sp"), "full_outer")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argosy.functions import graph as G
+from argosy.functions import markdown as M
 from argosy.functions import text as T
 from argosy.operators import build, graph, query, render, score, strength, verify
 from argosy.plans import star
@@ -126,7 +127,7 @@ on_graph("strength_analyses", "select id, premise, lift, cap, strength from n wh
 _SHOWN = "case when {0} is null then 'pending' else format('{{:.2f}}', {0}) end"
 _D = "case when premise is null then case when kind = 'claim' then 0.0::double else rigor end when rigor is not null then least(rigor, premise) end"
 on_graph("strength_trace_text", f"""select id, coalesce(case when cap is not null and strength is not null then 'min(' || lifted || ', ' || {_SHOWN.format('cap')} || ')' when lift is not null or premise is not null then lifted end, '') as trace from (
-  select *, case when lift is null then core when der is null then 'lift ' || {_SHOWN.format('lift')} else 'max(' || coalesce(core, '') || ', ' || {_SHOWN.format('lift')} || ')' end as lifted from (
+  select *, case when lift is null then core when rigor is null then 'lift ' || {_SHOWN.format('lift')} else 'max(' || coalesce(core, '') || ', ' || {_SHOWN.format('lift')} || ')' end as lifted from (
   select *, case when premise is not null and rigor is not null then 'min(' || {_SHOWN.format('rigor')} || ', ' || {_SHOWN.format('premise')} || ')' when der is not null then {_SHOWN.format('der')} end as core from (
   select *, {_D} as der from n where kind in ('claim', 'analysis'))))""", lambda n, e: strength.trace_text(n))
 on_graph("display_strength", f"select id, {_SHOWN.format('strength')} as shown, {_BAND} as band from n where kind = 'claim'", lambda n, e: n.where("kind = 'claim'").select("id", G.display(F.col("strength")).alias("shown"), G.band(F.col("strength")).alias("band")))
@@ -177,6 +178,11 @@ on_graph("sheets_dot", None, lambda n, e: render.sheet(n, e))
 on_graph("record_file", """select kind, string_agg('- id: ' || id || coalesce(chr(10) || '  title: "' || title || '"', '') || coalesce(chr(10) || '  label: "' || label || '"', '') || coalesce(chr(10) || '  status: "' || status || '"', ''), chr(10) order by id) as text from n where kind in ('axiom', 'work') group by 1""", lambda n, e: render.joined(n.where("kind in ('axiom', 'work')"), "kind", [F.col("id")], F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), render.quoted(F.col(c)))) for c in ("title", "label", "status")]), "text"))
 
 
+on_graph("volume_table", """, o as (select split_part(host, '/', 1) as v, id, kind from n where host is not null), u as (select source as id from e union select target from e),
+  i as (select a.v, count(*) as k from e join o a on e.source = a.id join o b on e.target = b.id where a.v = b.v group by 1)
+  select o.v as volume, count(*) filter (kind = 'claim') as claim, count(*) filter (kind = 'analysis') as analysis, count(*) filter (kind = 'experiment') as experiment, count(*) filter (o.id not in (select id from u)) as unattached, coalesce(max(k), 0) as "inner" from o left join i on o.v = i.v group by 1""", render.volume_table)
+on_graph("edge_file", """ select relation, string_agg('- source: ' || source || chr(10) || '  target: ' || target || chr(10) || '  context: "' || context || '"' || case when bearing_pending then chr(10) || '  bearing: "*pending*"' else '' end, chr(10) order by source, target) as text
+  from e where relation in ('references', 'supports') and (bearing is null) group by 1""", lambda n, e: render.edge_file(e.where("relation in ('references', 'supports') and bearing is null")))
 # text and build
 _part = lambda p: p.select(F.concat(F.lit("clm-p"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("id"), F.col("p_brand").alias("document"), F.lit("parts").alias("paper"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("line"))
 _P = "select 'clm-p' || lpad(p_partkey::varchar, 5, '0') as id, p_brand as document, p_partkey as seq, p_size as line from part"
@@ -256,6 +262,11 @@ QUERIES["stream_event_counts"] = _streamed
 ORACLES["stream_event_counts"] = "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2"
 
 
+on_tables("reference_routes", """select o_orderkey as reference, case when o_orderkey % 4 = 0 then 'c' || (o_custkey % 50)::varchar when o_orderkey % 4 = 1 then 'n' || (o_custkey % 25)::varchar end as target, case o_orderkey % 4 when 0 then 'identifier' when 1 then 'block' end as route from orders""",
+          lambda o, n: build.routed(o.select(F.col("o_orderkey").alias("reference"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("c"), F.col("o_custkey") % 50)).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("n"), F.col("o_custkey") % 25)).otherwise("none").alias("label"), F.lit("d").alias("document")), o.select(F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("label")).withColumn("id", F.col("label")), n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("label")).withColumn("id", F.col("label")), n.limit(0).select(F.col("n_name").alias("label"), F.col("n_name").alias("id")), n.select(F.lit("d").alias("document"), F.col("n_name").alias("id"))), "orders", "nation")
+on_tables("compensated_sum", "select user_id, fsum(value) > 0 as positive, count(*) as n from events group by 1", lambda e: e.groupBy("user_id").agg((build.compensated(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])) > 0).alias("positive"), F.count(F.lit(1)).alias("n")), "events")
+
+
 # literal fixtures
 def _edges(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "relation string, source string, target string")
@@ -285,3 +296,7 @@ on_rows("dead_links", [("dead link", "main/leaf.md:3", "missing.md"), ("dead fra
 on_rows("heading_anchors", [(1, "a"), (2, "a-1"), (3, "a-1-1"), (4, "a--b")], "line, anchor", lambda s: T.headings_of(s.createDataFrame([("x.md", "# A\n# A\n# A 1\n## A — B\n")], "path string, text string")).select(F.col("line").cast("long"), "anchor"))
 on_rows("closed_text", [("1| One.\n\nLabel\n\n2| Two\n3| more.",)], "text", lambda s: s.createDataFrame([(score.numbered(score.closed_text([("a", "One."), ("", "Label"), ("b", "Two\nmore.")])),)], "text string"))
 on_rows("answer_parse", [("1", "flt-overreach,flt-overreach", "", 0.7), ("2", "", "", 1.0), ("3", "", "none-beside-charges", None), ("4", "", "overlapping-ranges", None), ("5", "", "range-crosses-parts", None)], "item, faults, refusal, value", lambda s: score.parsed(s.createDataFrame([(str(i + 1), "statement", ["a", "b"], ["One\ntwo\nthree", "Four"], r) for i, r in enumerate(["flt-overreach: 1\nFLT-OVERREACH: 3", "none", "none\nflt-overreach: 1", "flt-overreach: 1-2\nflt-overreach: 2-3", "flt-overreach: 3-4"])], "item string, vocabulary string, ends array<string>, texts array<string>, reply string")).select("item", F.array_join("faults", ",").alias("faults"), "refusal", "value"))
+on_rows("record_numbers", [(1, "0.504"), (2, "0.36288"), (3, "*pending*"), (4, "0")], "rank, text", lambda s: s.createDataFrame([(i + 1, M.record_number(x)) for i, x in enumerate((0.72 * 0.7, 0.72 * 0.504, None, 0.0))], "rank long, text string"))
+on_rows("hand_mentions", [(1, "lemma", "2.1"), (2, "lemma", "2.3"), (3, "theorem", "1"), (4, "theorem", "2"), (5, "theorem", "3")], "rank, kind, number", lambda s: s.createDataFrame([(i + 1, *m) for i, m in enumerate(M.mentions("By Lemmas 2.1 and 2.3, and Theorems 1-3."))], "rank long, kind string, number string"))
+on_rows("statements", [("clm-aaaaaa", "First."), ("clm-bbbbbb", "Quoted\nrun.")], "id, statement", lambda s: s.createDataFrame([(i, M.statement("# H\n\nFirst. <!-- kbase-id: clm-aaaaaa -->\n\n> Quoted\n> run. <!-- kbase-id: clm-bbbbbb -->\n", i)) for i in ("clm-aaaaaa", "clm-bbbbbb")], "id string, statement string"))
+on_rows("axiom_headings", [("axiom heading", "axm-s00001", "no heading"), ("axiom heading", "axm-s00002", "unknown id")], '"check", subject, detail', lambda s: verify.axiom_headings(s.createDataFrame([("axm-s00000", "S0", "Rule"), ("axm-s00001", "S1", "Other")], "id string, label string, title string"), s.createDataFrame([("axm-s00000", "S0 Rule"), ("axm-s00002", "S2")], "id string, heading string")))
