@@ -14,6 +14,33 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP1 = r"""
+with w as materialized (select row_number() over () as r, doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2)),
+p as (select r, i from g qualify count(*) over (partition by r, g) > 1),
+n as (select r, count(*) as n_repeat_words from (select distinct r, i + d as at from p, (select unnest([0, 1, 2]) as d)) group by r),
+l as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+c as materialized (select doc_id, case when lang in ('en', 'de', 'fr', 'es') then lang else 'other' end as stratum, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from w left join n on w.r = n.r left join l on w.r = l.r),
+s as (select *, case when n_words > 0 then n_symbols / n_words else 0 end as symbols, case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_lines,
+  case when n_words > 0 then n_repeat_words / n_words else 0 end as repeat_words, case when n_words > 0 then word_chars / n_words else 0 end as word_length from c),
+q as (select stratum, quality, unnest([{'s': 'symbols', 'b': least(64, ceil(symbols * 64))}, {'s': 'dup_lines', 'b': least(64, ceil(dup_lines * 64))}, {'s': 'repeat_words', 'b': least(64, ceil(repeat_words * 64))}, {'s': 'word_length', 'b': least(64, ceil(word_length * 2))}]) as x
+  from s join labels on s.doc_id = labels.doc_id where quality in (0, 1)),
+f as (select stratum, x.s as signal, x.b::int as bin, sum(quality) as good, sum(1 - quality) as bad from q group by all),
+d as (select * from (select unnest(['en', 'de', 'fr', 'es', 'other']) as stratum), (select unnest(['symbols', 'dup_lines', 'repeat_words', 'word_length']) as signal), (select unnest(range(65))::int as bin)),
+a as (select stratum, signal, bin as step, sum(coalesce(good, 0)) over t as n_good, sum(coalesce(bad, 0)) over t as n_bad, coalesce(sum(coalesce(good, 0)) over u, 0) as n_false, coalesce(sum(coalesce(bad, 0)) over u, 0) as n_true
+  from d left join f using (stratum, signal, bin) window t as (partition by stratum, signal), u as (partition by stratum, signal order by bin desc rows between unbounded preceding and 1 preceding)),
+e as (select *, case when n_good > 0 and n_false < n_good * 0.005::double then list_sum(list_transform(range(n_false::bigint + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln(0.005::double) + (n_good - j) * ln(0.995::double)))) else 1 end as p_value,
+  case when n_bad > 0 then n_true / n_bad else 0 end - case when n_good > 0 then n_false / n_good else 0 end as gain from a where step < 64),
+h as (select *, max(p_value) over (partition by stratum, signal order by step desc) <= 0.05::double / 20 as certified from e),
+k as (select stratum, signal, (case signal when 'word_length' then 0.5 else 1.0 / 64 end)::double * arg_max(step, gain * 1e6 + step * 1e-6) as cutoff from h where certified and gain > 0 group by all),
+v as (select stratum, max(cutoff) filter (signal = 'symbols') as a, max(cutoff) filter (signal = 'dup_lines') as b, max(cutoff) filter (signal = 'repeat_words') as c, max(cutoff) filter (signal = 'word_length') as d from k group by 1),
+z as (select s.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(symbols > v.a, false) or coalesce(dup_lines > v.b, false) or coalesce(repeat_words > v.c, false) or coalesce(word_length > v.d, false) as rejected from s left join v using (stratum))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept from z
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -130,4 +157,4 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op3_chat_format": OP3, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
+ORACLES = {"op1_quality_rules": OP1, "op3_chat_format": OP3, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}

@@ -1,0 +1,227 @@
+"""Operators across rows: line dedup, near duplicates, mixing, exact search, components, the pipeline, oracles."""
+
+from __future__ import annotations
+
+import collections
+import random
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from argosy.llm import components, jaccard, linededup, mixing, queries, topk
+
+from .helpers import ODD, docs, words
+
+SF = "/root/testdata/sf0.001"
+
+
+def key(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(1)
+    shared = [f"A shared passage number {i} that many hold" for i in range(6)] + ["short", "", "ÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉ"]
+    rows = [(i, "\n".join(rng.choice([s, s.upper(), f"  {s}\t", words(6, rng.random())]) for s in rng.choices(shared, k=rng.randrange(8)))) for i in range(40)] + [(100, None), (101, ""), (102, "\n")]
+    holders = collections.defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(i)
+    got = {r.doc_id: r for r in linededup.drop_lines(docs(spark, rows)).collect()}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(holders[key(x)]) >= 3 and max(holders[key(x)]) != i)]
+        assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
+    assert linededup.drop_lines(docs(spark, ODD)).count() == len(ODD)
+    assert linededup.drop_lines(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_line_runs_compact_and_admit_new_lines(spark):
+    line = lambda i: f"line number {i} is long enough to count"
+    batches = [linededup.hashed(docs(spark, [(b, "\n".join(line(i) for i in range(b, b + 3)))]), 20) for b in range(5)]
+    runs = linededup.LineRuns(spark, fan_in=2)
+    new = []
+    for b in batches:
+        new.append(sorted(r.line for r in runs.admit(b).collect()))
+        runs.add(b)
+    assert new == [[0, 1, 2], [2], [2], [2], [2]]
+    assert {k: len(v) for k, v in runs.levels.items() if v} == {0: 1, 2: 1}  # 5 = 4 + 1
+    assert runs.totals().agg(F.count("*"), F.sum("n_docs")).first()[:] == (7, 15)
+
+
+def exact(rows):
+    sets = {}
+    for i, (_, t) in enumerate(rows):
+        w = (t or "").encode().split()
+        k = min(5, len(w))
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset()
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    return sets, near
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(1000 + i, t) for i, (_, t) in enumerate(ODD)]
+    for g in range(8):
+        base = words(rng.randrange(20, 120), g).split()
+        for _ in range(rng.randrange(1, 12)):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = "edit"
+            rows.append((len(rows), " ".join(copy)))
+    _, near = exact(rows)
+    root = {i: i for i in range(len(rows))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = collections.Counter()
+    for a, b in near:
+        links[rows[a][0]] += 1
+        links[rows[b][0]] += 1
+        a, b = find(a), find(b)
+        if a != b:
+            least, other = sorted((a, b), key=lambda i: rows[i][0])
+            root[other] = least
+    for block in (1024, 3):  # one tile for each component, and many
+        got = {r.doc_id: r for r in jaccard.near_duplicates(docs(spark, rows), block=block).collect()}
+        for i, (d, _) in enumerate(rows):
+            assert (got[d].n_links, got[d].class_id) == (links[d], rows[find(i)][0])
+    assert jaccard.near_duplicates(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_near_duplicates_take_nulls_and_repeats(spark):
+    got = jaccard.near_duplicates(docs(spark, [*ODD, *ODD])).collect()
+    assert len(got) == 2 * len(ODD)
+    assert {(r.class_id, r.n_links) for r in got if r.doc_id == 4} == {(4, 3)}
+    assert {r.n_links for r in got if r.doc_id in (1, 2, 3)} == {0}
+    left = jaccard.one_of_each(docs(spark, [*ODD, *ODD, (50, words(4000, 5))])).collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None and r.doc_id >= 4) == [4, 5, 6]
+
+
+def test_bands_reach_the_recall():
+    for t, recall in ((0.8, 0.9999), (0.5, 0.9), (0.9, 0.999)):
+        b, r = jaccard.bands_for(t, recall)
+        assert 1 - (1 - t**r) ** b >= recall and b * r <= jaccard.MAX_HASHES
+    with pytest.raises(ValueError):
+        jaccard.bands_for(0.01, 0.9999, 8)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
+    star = [("s00", f"s{i:02d}") for i in range(1, 30)]
+    loose = [(f"x{rng.randrange(40):02d}", f"x{rng.randrange(40):02d}") for _ in range(25)]
+    edges = chain + star + loose + [("z", "z"), (None, "q")]
+    got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a and b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def water(sizes, weights, share, most):
+    """The iterative definition: clamp what is above, share the excess again."""
+    total, target, fixed = share * sum(sizes.values()), {}, set()
+    while True:
+        free = [s for s in sizes if s not in fixed]
+        left = total - sum(target[s] for s in fixed)
+        for s in free:
+            target[s] = left * weights[s] / sum(weights[f] for f in free)
+        over = [s for s in free if target[s] > most * sizes[s]]
+        if not over:
+            return target
+        for s in over:
+            target[s] = most * sizes[s]
+            fixed.add(s)
+
+
+def test_mixing_fills_targets(spark):
+    rng = random.Random(4)
+    sources = ["a", "B", "é", "c", None, "d"]
+    rows = [(i, words(rng.randrange(0, 40), i), "en", sources[min(5, int(rng.expovariate(0.7)))]) for i in range(600)] + [(1000, None, "en", "only null"), (None, "no id", "en", "a")]
+    got = mixing.mix_plan_for(docs(spark, rows)).collect()
+    sizes = collections.Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len((t or "").split())
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    want = water(dict(sizes), {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, 1.5, 2)
+    taken = collections.Counter()
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
+        assert r.taken == r.repeats * r.size and 0 <= r.repeats <= 2
+        taken[r.source] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 20
+    again = mixing.mix_plan_for(docs(spark, rows).repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixing.mix(docs(spark, rows))
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({r.doc_id: r.repeats for r in got if r.repeats})
+    assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_exact_search_matches_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)] + [(400 + i, [0.5] * 8) for i in range(20)]
+    odd = [(500, None), (550, []), (600, [float("nan")] * 8), (650, [None] * 8), (700, [1.0, 2.0]), (None, [0.5] * 8), (750, [1e30] * 8)]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors + odd], "vec_id long, embedding array<float>, score int, _id string")
+    for tile, shard in ((8192, 4096), (3, 40)):
+        monkeypatch.setattr(topk, "QUERY_TILE", tile)
+        monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+        got = collections.defaultdict(list)
+        for r in topk.exact_top_k(df.where(F.col("vec_id") % 50 == 0), df, 5).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        whole = {i: np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(object) for i, v in vectors}
+        for q in (0, 50, 250, 400):
+            scores = sorted(((-sum(int(a) * int(b) for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q))
+            mine = [x for x in got[q] if x[0] != 750][:4]
+            assert mine == [(i, -s) for s, i in scores][: len(mine)] and len(got[q]) == 5
+        assert not {500, 550, 600, 650} & set(got) and 700 not in got
+    assert topk.exact_top_k(df.limit(0), df, 5).count() == 0
+
+
+def _duck():
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    cur = _duck().execute(queries.ORACLES[name])
+    order = [[d[0] for d in cur.description].index(c) for c in df.columns]
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in cur.fetchall())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_pipeline(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    df, rows = source, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, SF).cache()
+        assert df.columns == source.columns
+        rows[name] = {r.doc_id: r for r in df.collect()}
+    assert set(rows["line dedup"]) == set(rows["toxicity"]) and set(rows["mixing sources"]) <= set(rows["n-gram Jaccard join"]) <= set(rows["toxicity"])
+    _, near = exact([(i, r.text) for i, r in rows["n-gram Jaccard join"].items()])
+    assert not near
+    last = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in df.collect())
+    assert corpus_pipeline.ORACLE_SQL is None
