@@ -42,6 +42,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, after bounding the session's Arrow batches: whole texts are long, and a batch stands in memory several times."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def text_of(name: str = "text") -> Column:
     """The text as a string, null as the empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -52,13 +60,24 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """This Python worker's one large helper (a cache of words, an encoder): kept from task to task, and let go when another is asked for."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def each_text(docs: DataFrame, fn, schema: str, id_col: str = "doc_id") -> DataFrame:
     """The id and what `fn` makes of each batch of whole texts (null: empty): a list of rows, one for each text, by `schema`."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    docs = docs.select(F.col(id_col), text_of().alias("_text"))
+    docs = small_batches(docs).select(F.col(id_col), text_of().alias("_text"))
     out = StructType([docs.schema[id_col], *_parse_datatype_string(schema).fields])
     arrow = to_arrow_schema(out)
 

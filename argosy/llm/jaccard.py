@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_of
+from .common import held, settle, small_batches, text_of
 from .components import components
 
 BLOCK, GRAMS = 1024, 2_000_000
@@ -35,7 +35,7 @@ MAX_HASHES = 128
 
 def bands_for(threshold: float, recall: float, most: int = MAX_HASHES) -> tuple[int, int]:
     """Bands and rows: the most rows a band (fewest false candidates) with 1 - (1 - t**rows)**bands >= recall in `most` hashes."""
-    fits = [(b, r) for r in range(1, most + 1) if (b := max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**r)))) * r <= most]
+    fits = [(b, r) for r in range(1, most + 1) if threshold**r > 1e-12 and (b := max(1, math.ceil(math.log1p(-recall) / math.log1p(-(threshold**r))))) * r <= most]
     if not fits:
         raise ValueError("no banding of so few hashes reaches the recall")
     return max(fits, key=lambda x: x[1])
@@ -44,7 +44,7 @@ def bands_for(threshold: float, recall: float, most: int = MAX_HASHES) -> tuple[
 def _words(text: str, known: dict) -> np.ndarray:
     """64-bit hashes of the words; bytes.split() parts at the same white space as the pattern for words."""
     parts = text.encode("utf-8", "surrogatepass").split()
-    if len(known) > 500_000:
+    if len(known) > 100_000:
         known.clear()
     get, out = known.get, []
     for w in parts:
@@ -81,12 +81,12 @@ def band_hashes(grams: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) ->
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
     """doc_id, form, n_grams and bands of every document; form and bands are null where there are no n-grams."""
-    docs = docs.select("doc_id", text_of().alias("_text"))
+    docs = small_batches(docs).select("doc_id", text_of().alias("_text"))
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, bands * rows, np.uint64)
 
     def run(batches):
-        known: dict = {}
+        known = held("jaccard", dict)
         for batch in batches:
             forms, sizes, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -115,7 +115,7 @@ def with_grams(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     last = len(joined.columns) - 1
 
     def run(batches):
-        known: dict = {}
+        known = held("jaccard", dict)
         for batch in batches:
             grams = [gram_set(t, n, known) for t in batch.column(last).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(g.tobytes()) == f for g, f in zip(grams, batch.column(at).to_pylist(), strict=True)])

@@ -24,10 +24,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, text_of
+from .common import each_text, held, small_batches, text_of
 
 SENTENCE, TOKEN = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
-CACHE = 400_000
+CACHE = 150_000
 
 
 def features(word: str) -> list[str]:
@@ -189,9 +189,6 @@ class Words(dict):
         super().__init__()
         self.of = weights
 
-    def __reduce__(self):
-        return Words, (self.of,)
-
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE:
             self.clear()
@@ -201,9 +198,10 @@ class Words(dict):
 
 def scorer(model: Model, threshold: float):
     """A function from texts to their scores and offending sentences."""
-    words = Words(model.weights)
+    mark = hash((model.bias, len(model.weights), model.slope, model.shift))
 
     def rows(texts):
+        words = held(("toxicity", mark), lambda: Words(model.weights))
         sums, spots = [], []
         for text in texts:
             low, none, found = text.lower(), 0.0, []
@@ -245,4 +243,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
             scores, _ = scored([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
