@@ -163,13 +163,13 @@ def add_marker(text: str, line: int, id: str) -> str:
     """The text with a statement marker after the line's last character."""
     lines = text.split("\n")
     held = lines[line - 1]
-    lines[line - 1] = f"{held.rstrip(' \t')} <!-- kbase-id: {id} -->" + held[len(held.rstrip(" \t")) :]
+    lines[line - 1] = f"{held.rstrip(' \t')} <!-- node-id: {id} -->" + held[len(held.rstrip(" \t")) :]
     return "\n".join(lines)
 
 
 def move_marker(text: str, line: int, id: str) -> str:
     """The text with the id's marker on another line."""
-    return add_marker(re.sub(rf"\s*<!--\s*kbase-id:\s*{id}\s*-->", "", text), line, id)
+    return add_marker(re.sub(rf"\s*<!--\s*[a-z]+-id:\s*{id}\s*-->", "", text), line, id)
 
 
 def repoint(text: str, moved: dict[str, str]) -> str:

@@ -283,8 +283,8 @@ on_rows("shortest_path", [(1, "a"), (2, "b"), (3, "d")], "rank, id", lambda s: s
 on_rows("reading_order", [(1, "main"), (2, "one"), (3, "two"), (4, "leaf"), (5, "three")], "rank, path", lambda s: s.createDataFrame([(i + 1, x) for i, x in enumerate(graph.reading_order({"main": ["one", "two", "three"], "two": ["leaf", "one"]}, "main"))], "rank long, path string"))
 on_rows("decided", [("1", "B"), ("2", "A"), ("3", "A"), ("4", None)], "item, letter", lambda s: build.decided(s.createDataFrame([("1", "", {"A": 0.2, "B": 0.7}, ["A", "B"]), ("2", "", {"A": 0.5, "B": 0.5}, ["A", "B"]), ("3", " A ", None, ["A", "B"]), ("4", "AB", None, ["A", "B"])], "item string, text string, confidence map<string, double>, offered array<string>")))
 _DOCS = [
-    ("main/leaf.md", "# Alpha result\n<!-- kbase-id: clm-aaaaaa -->\nSee [beta](two.md#beta-result \"clm-bbbbbb\") and clm-cccccc, or [gone](missing.md).\n```\nclm-zzzzzz\n```\n"),
-    ("main/two.md", "# Beta result\n<!-- kbase-id: clm-bbbbbb -->\n<!-- kbase-id: clm-bbbbbb -->\nBack to [alpha](leaf.md#nowhere \"clm-aaaaaa\"), clm-qqqqqq.\n"),
+    ("main/leaf.md", "# Alpha result\n<!-- node-id: clm-aaaaaa -->\nSee [beta](two.md#beta-result \"clm-bbbbbb\") and clm-cccccc, or [gone](missing.md).\n```\nclm-zzzzzz\n```\n"),
+    ("main/two.md", "# Beta result\n<!-- node-id: clm-bbbbbb -->\n<!-- node-id: clm-bbbbbb -->\nBack to [alpha](leaf.md#nowhere \"clm-aaaaaa\"), clm-qqqqqq.\n"),
 ]
 _docs = lambda s: s.createDataFrame(_DOCS, "path string, text string")
 _kb = lambda s: s.createDataFrame([("clm-aaaaaa", "claim"), ("clm-bbbbbb", "claim"), ("clm-cccccc", "claim")], "id string, kind string")
@@ -298,5 +298,5 @@ on_rows("closed_text", [("1| One.\n\nLabel\n\n2| Two\n3| more.",)], "text", lamb
 on_rows("answer_parse", [("1", "flt-overreach,flt-overreach", "", 0.7), ("2", "", "", 1.0), ("3", "", "none-beside-charges", None), ("4", "", "overlapping-ranges", None), ("5", "", "range-crosses-parts", None)], "item, faults, refusal, value", lambda s: score.parsed(s.createDataFrame([(str(i + 1), "statement", ["a", "b"], ["One\ntwo\nthree", "Four"], r) for i, r in enumerate(["flt-overreach: 1\nFLT-OVERREACH: 3", "none", "none\nflt-overreach: 1", "flt-overreach: 1-2\nflt-overreach: 2-3", "flt-overreach: 3-4"])], "item string, vocabulary string, ends array<string>, texts array<string>, reply string")).select("item", F.array_join("faults", ",").alias("faults"), "refusal", "value"))
 on_rows("record_numbers", [(1, "0.504"), (2, "0.36288"), (3, "*pending*"), (4, "0")], "rank, text", lambda s: s.createDataFrame([(i + 1, M.record_number(x)) for i, x in enumerate((0.72 * 0.7, 0.72 * 0.504, None, 0.0))], "rank long, text string"))
 on_rows("hand_mentions", [(1, "lemma", "2.1"), (2, "lemma", "2.3"), (3, "theorem", "1"), (4, "theorem", "2"), (5, "theorem", "3")], "rank, kind, number", lambda s: s.createDataFrame([(i + 1, *m) for i, m in enumerate(M.mentions("By Lemmas 2.1 and 2.3, and Theorems 1-3."))], "rank long, kind string, number string"))
-on_rows("statements", [("clm-aaaaaa", "First."), ("clm-bbbbbb", "Quoted\nrun.")], "id, statement", lambda s: s.createDataFrame([(i, M.statement("# H\n\nFirst. <!-- kbase-id: clm-aaaaaa -->\n\n> Quoted\n> run. <!-- kbase-id: clm-bbbbbb -->\n", i)) for i in ("clm-aaaaaa", "clm-bbbbbb")], "id string, statement string"))
+on_rows("statements", [("clm-aaaaaa", "First."), ("clm-bbbbbb", "Quoted\nrun.")], "id, statement", lambda s: s.createDataFrame([(i, M.statement("# H\n\nFirst. <!-- node-id: clm-aaaaaa -->\n\n> Quoted\n> run. <!-- node-id: clm-bbbbbb -->\n", i)) for i in ("clm-aaaaaa", "clm-bbbbbb")], "id string, statement string"))
 on_rows("axiom_headings", [("axiom heading", "axm-s00001", "no heading"), ("axiom heading", "axm-s00002", "unknown id")], '"check", subject, detail', lambda s: verify.axiom_headings(s.createDataFrame([("axm-s00000", "S0", "Rule"), ("axm-s00001", "S1", "Other")], "id string, label string, title string"), s.createDataFrame([("axm-s00000", "S0 Rule"), ("axm-s00002", "S2")], "id string, heading string")))

@@ -30,7 +30,7 @@ def test_terms_and_canonical_form():
 
 
 def test_code_links_and_markers():
-    text = "`a` [x](y.md \"clm-aaaaaa\")\n```\n[no](z.md)\n```\n``a ` b`` clm-bbbbbb\n<!-- kbase-id: clm-cccccc -->"
+    text = "`a` [x](y.md \"clm-aaaaaa\")\n```\n[no](z.md)\n```\n``a ` b`` clm-bbbbbb\n<!-- node-id: clm-cccccc -->"
     assert [x[1] for line in T.strip_code(text).splitlines() for x in T.links(line)] == ["y.md"]
     assert T.bare_ids(T.strip_code(text).splitlines()[4]) == ["clm-bbbbbb"]
     assert T.markers(text) == [("clm-cccccc", 5, text.index("<!--"))]
@@ -49,8 +49,8 @@ def test_slugs_sentences_paths_excerpts():
 
 
 def test_markdown_structure():
-    text = "[Up](../index.md)\n# A\nbody\n## B\nx <!-- kbase-id: clm-bbbbbb -->\n# C\n- [one](one.md) and [two](sub/two.md)\n- [one](one.md)\n"
-    assert M.section(text, "a") == "body\n## B\nx <!-- kbase-id: clm-bbbbbb -->" and M.section(text, "z") is None
+    text = "[Up](../index.md)\n# A\nbody\n## B\nx <!-- node-id: clm-bbbbbb -->\n# C\n- [one](one.md) and [two](sub/two.md)\n- [one](one.md)\n"
+    assert M.section(text, "a") == "body\n## B\nx <!-- node-id: clm-bbbbbb -->" and M.section(text, "z") is None
     assert M.statement(text, "clm-bbbbbb") == "x" and M.statement(text, "clm-cccccc") == ""
     assert M.child_list("v/index.md", text) == ["v/one.md", "v/sub/two.md"] and M.up_link("v/index.md", text) == "index.md"
     assert M.title("word " * 40, 3, set()).endswith("…") and M.title("A", 2, {"A"}) == "A (¶2)"
@@ -59,7 +59,7 @@ def test_markdown_structure():
     assert M.runs_within(["b", "c"], ["a", "b", "c"]) and not M.runs_within(["c", "b"], ["a", "b", "c"])
     assert M.add_citation("x beta y", 1, "beta", "b.md", "clm-bbbbbb") == 'x [beta](b.md "clm-bbbbbb") y'
     assert M.cite_bare_ids("see clm-bbbbbb", {"clm-bbbbbb": "Beta"}, {"clm-bbbbbb": "b.md"}) == 'see [Beta](b.md "clm-bbbbbb")'
-    assert M.move_marker(M.add_marker("a\nb", 1, "clm-bbbbbb"), 2, "clm-bbbbbb") == "a\nb <!-- kbase-id: clm-bbbbbb -->"
+    assert M.move_marker(M.add_marker("a\nb", 1, "clm-bbbbbb"), 2, "clm-bbbbbb") == "a\nb <!-- node-id: clm-bbbbbb -->"
     assert M.repoint("[x](a.md) [y](b.md)", {"a.md": "c.md"}) == "[x](c.md) [y](b.md)" and M.link_to("a/b/c.md", "a/d.md", "x") == "../d.md#x"
 
 
