@@ -34,7 +34,7 @@ a as (select stratum, signal, bin as step, sum(coalesce(good, 0)) over t as n_go
 e as (select *, case when n_good > 0 and n_false < n_good * 0.005::double then list_sum(list_transform(range(n_false::bigint + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln(0.005::double) + (n_good - j) * ln(0.995::double)))) else 1 end as p_value,
   case when n_bad > 0 then n_true / n_bad else 0 end - case when n_good > 0 then n_false / n_good else 0 end as gain from a where step < 64),
 h as (select *, max(p_value) over (partition by stratum, signal order by step desc) <= 0.05::double / 20 as certified from e),
-k as (select stratum, signal, (case signal when 'word_length' then 0.5 else 1.0 / 64 end)::double * arg_max(step, gain * 1e6 + step * 1e-6) as cutoff from h where certified and gain > 0 group by all),
+k as (select stratum, signal, (case signal when 'word_length' then 0.5 else 1.0 / 64 end)::double * max({'g': gain, 's': step}).s as cutoff from h where certified and gain > 0 group by stratum, signal),
 v as (select stratum, max(cutoff) filter (signal = 'symbols') as a, max(cutoff) filter (signal = 'dup_lines') as b, max(cutoff) filter (signal = 'repeat_words') as c, max(cutoff) filter (signal = 'word_length') as d from k group by 1),
 z as (select s.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(symbols > v.a, false) or coalesce(dup_lines > v.b, false) or coalesce(repeat_words > v.c, false) or coalesce(word_length > v.d, false) as rejected from s left join v using (stratum))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept from z
