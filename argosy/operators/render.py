@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argosy.functions import text as T
 from argosy.functions.graph import display, relation_rank
 
 STROKES = {"supports": "solid", "founds": "bold", "lifts": "dashed", "refutes": "dotted"}
@@ -14,6 +15,11 @@ def quoted(x: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
 
 
+def number(x: Column) -> Column:
+    """A number as records spell it: Python's shortest form that reads back; null stays null."""
+    return F.when(x.isNotNull(), T.udf(lambda v: repr(float(v)), "string")(x))
+
+
 def joined(df: DataFrame, by: str, order: list[Column], line: Column, name: str) -> DataFrame:
     """One text for each value of `by`: its lines in order."""
     keyed = df.select(by, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")).alias("s"))
@@ -45,7 +51,7 @@ def sheet(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def record_file(nodes: DataFrame) -> DataFrame:
     """kind, text: nodes as a YAML list in id order."""
     value = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), quoted(F.col(c).cast("string"))))
-    entry = F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), value("title"), value("label"), value("status"), F.concat(F.lit("  rigor: "), F.coalesce(F.col("rigor").cast("string"), F.lit('"*pending*"'))))
+    entry = F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), value("title"), value("label"), value("status"), F.concat(F.lit("  rigor: "), F.coalesce(number(F.col("rigor")), F.lit('"*pending*"'))))
     return joined(nodes, "kind", [F.col("id")], entry, "text")
 
 
@@ -62,9 +68,10 @@ def footers(links: DataFrame) -> DataFrame:
 
 def edge_file(edges: DataFrame) -> DataFrame:
     """relation, text: edges as a YAML list in identity order."""
-    bearing = F.when(F.col("bearing_pending"), F.lit('\n  bearing: "*pending*"')).when(F.col("bearing").isNotNull(), F.concat(F.lit("\n  bearing: "), F.col("bearing").cast("string"))).otherwise("")
-    entry = F.concat(F.lit("- source: "), "source", F.lit("\n  target: "), "target", F.lit("\n  context: "), quoted(F.coalesce("context", F.lit(""))), bearing)
-    return joined(edges, "relation", [F.col("source"), F.col("target"), F.coalesce("replaced_relation", F.lit(""))], entry, "text")
+    bearing = F.when(F.col("bearing_pending"), F.lit('\n  bearing: "*pending*"')).when(F.col("bearing").isNotNull(), F.concat(F.lit("\n  bearing: "), number(F.col("bearing")))).otherwise("")
+    replaced = F.when(F.col("relation") == "demoted", F.concat(F.lit("\n  replaced-relation: "), quoted(F.coalesce("replaced_relation", F.lit(""))))).otherwise("")
+    entry = F.concat(F.lit("- source: "), "source", F.lit("\n  target: "), "target", F.lit("\n  context: "), quoted(F.coalesce("context", F.lit(""))), replaced, bearing)
+    return joined(edges, "relation", [F.coalesce(relation_rank(F.col("replaced_relation")), F.lit(-1)), F.col("source"), F.col("target")], entry, "text")
 
 
 def volume_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -176,6 +176,8 @@ on_graph("summary_pages", f"""select v || '/summary.md' as path, string_agg(entr
   from n left join (select target, string_agg('  - ' || relation || ' ' || source, chr(10) order by {_RANK}, source) as listed from e where relation <> 'references' group by 1) x on n.id = x.target where host is not null and kind in ('claim', 'analysis')) group by v""", lambda n, e: render.pages(n, e))
 on_graph("sheets_dot", None, lambda n, e: render.sheet(n, e))
 on_graph("record_file", """select kind, string_agg('- id: ' || id || coalesce(chr(10) || '  title: "' || title || '"', '') || coalesce(chr(10) || '  label: "' || label || '"', '') || coalesce(chr(10) || '  status: "' || status || '"', ''), chr(10) order by id) as text from n where kind in ('axiom', 'work') group by 1""", lambda n, e: render.joined(n.where("kind in ('axiom', 'work')"), "kind", [F.col("id")], F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), render.quoted(F.col(c)))) for c in ("title", "label", "status")]), "text"))
+# The whole node and edge tables: numbers and demoted edges print as Python spells them, so no SQL.
+on_graph("record_file_all", None, lambda n, e: render.record_file(n))
 
 
 on_graph("volume_table", """, o as (select split_part(host, '/', 1) as v, id, kind from n where host is not null), u as (select source as id from e union select target from e),
@@ -183,6 +185,7 @@ on_graph("volume_table", """, o as (select split_part(host, '/', 1) as v, id, ki
   select o.v as volume, count(*) filter (kind = 'claim') as claim, count(*) filter (kind = 'analysis') as analysis, count(*) filter (kind = 'experiment') as experiment, count(*) filter (o.id not in (select id from u)) as unattached, coalesce(max(k), 0) as "inner" from o left join i on o.v = i.v group by 1""", render.volume_table)
 on_graph("edge_file", """ select relation, string_agg('- source: ' || source || chr(10) || '  target: ' || target || chr(10) || '  context: "' || context || '"' || case when bearing_pending then chr(10) || '  bearing: "*pending*"' else '' end, chr(10) order by source, target) as text
   from e where relation in ('references', 'supports') and (bearing is null) group by 1""", lambda n, e: render.edge_file(e.where("relation in ('references', 'supports') and bearing is null")))
+on_graph("edge_file_all", None, lambda n, e: render.edge_file(e))
 # text and build
 _part = lambda p: p.select(F.concat(F.lit("clm-p"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("id"), F.col("p_brand").alias("document"), F.lit("parts").alias("paper"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("line"))
 _P = "select 'clm-p' || lpad(p_partkey::varchar, 5, '0') as id, p_brand as document, p_partkey as seq, p_size as line from part"
@@ -220,6 +223,7 @@ on_tables("contracted_links", f"""{_R}, x as (select id, min(pos) as root from r
 on_tables("multiset_diff", """select o_orderpriority, greatest(d, 0)::bigint as lost, greatest(-d, 0)::bigint as added from (select o_orderpriority, count(*) filter (o_orderstatus = 'F') - count(*) filter (o_orderstatus = 'O') as d from orders group by 1) where d <> 0""", lambda o: build.multiset_diff(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["o_orderpriority"]), "orders")
 on_tables("tfidf_shortlist", None, lambda b: build.tfidf_shortlist(b.select(F.col("item_id").cast("string").alias("id"), "text"), 2), "benchmark")
 on_tables("canonical_terms", """select doc_id, len(list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) > 2 and not regexp_full_match(w, '[0-9]+') and not list_contains(['%s'], w)))::int as n_terms from documents where not regexp_matches(text, '<|\\$`|```')""" % "', '".join(sorted(T.STOPWORDS)), lambda d: d.where(~F.col("text").rlike(r"<|\$`|```")).select("doc_id", F.size(T.udf(T.terms, "array<string>")("text")).alias("n_terms")), "documents")
+on_tables("canonical_terms_all", None, lambda d: d.select("doc_id", F.size(T.udf(T.terms, "array<string>")("text")).alias("n_terms")), "documents")
 on_tables("sentence_counts", None, lambda d: d.select("doc_id", F.size(T.udf(lambda x: T.sentences(T.normal_space(x)), "array<string>")("text")).alias("n_sentences")), "documents")
 on_tables("dead_page_links", """with l as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages), u as (select distinct regexp_extract(url, '^https?://[^/]+(/.*)$', 1) as p from pages) select page_id, href, count(*) as n from l where href not in (select p from u) group by 1, 2""", lambda p: p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href")).join(p.select(F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1).alias("_p")).distinct(), F.col("href") == F.col("_p"), "left_anti").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n")), "pages")
 _ev = lambda e: e.select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), "event_type")
