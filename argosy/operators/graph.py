@@ -1,8 +1,9 @@
 """Iterative operators on directed graphs: closure, levels, shortest paths, cycles, reduction, contraction, reading order.
 
-Loops run on the driver, data stays distributed: each round is a join whose result is settled. Order-dependent rules (which edge
-of a cycle is cut, which shortcut is dropped) run as a small kernel, and only on the core that distributed peeling leaves; the
-core's size is checked against KERNEL_EDGES first.
+Loops run on the driver, data stays distributed: each round is a join whose result is settled. Which shortcut is dropped depends on
+the order of edges only inside a strongly connected part, so a kernel reduces each part in a task of its own, whatever its size, and
+joins settle the edges between parts. Which edges of cycles are cut depends on the whole walk: a kernel cuts cores of up to
+KERNEL_EDGES edges, and larger ones lose one edge at a time by distributed rounds until they fit.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argosy.functions.graph import relation_rank
+from argosy.functions.graph import SCORING, relation_rank
 from argosy.plans.star import settle
 
 KERNEL_EDGES = 200_000
@@ -80,12 +81,6 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return left
 
 
-def _kernel_rows(edges: DataFrame) -> list:
-    if (n := edges.count()) > KERNEL_EDGES:
-        raise ValueError(f"{n} edges lie on or before cycles; more than {KERNEL_EDGES} are not taken into one task")
-    return edges.collect()
-
-
 def cut_cycles(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dict[str, str]) -> list[tuple[str, str, str]]:
     """The (relation, source, target) that a depth-first walk cuts, one for each cycle it closes: the first supports edge into an analysis in walk order, else the closing edge."""
     order = {r: i for i, r in enumerate(("supports", "founds", "lifts", "refutes"))}
@@ -127,12 +122,92 @@ def _closing(nodes, ways):
     return None
 
 
+def cut_core(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dict[str, str]) -> list[tuple[str, str, str]]:
+    """What cut_cycles cuts, without walking anew: each node that reaches a cycle leads on by its first edge to another such node, so the first cycle closes on the path of first edges from the first node."""
+    order = {r: i for i, r in enumerate(SCORING)}
+    place = lambda x: (rank.get(x, len(rank)), x)
+    ranked = sorted(set(edges), key=lambda e: (order[e[0]], place(e[1]), place(e[2])))
+    at, ways, into = {e: i for i, e in enumerate(ranked)}, defaultdict(list), defaultdict(list)
+    for e in ranked:
+        ways[e[1]].append(e)
+        into[e[2]].append(e)
+    nodes = sorted({x for _, a, b in ranked for x in (a, b)}, key=place)
+    gone, left, first = set(), {x: len(ways[x]) for x in nodes}, dict.fromkeys(nodes, 0)
+
+    def drop(e):
+        ends = [e]
+        while ends:
+            e = ends.pop()
+            if e not in gone:
+                gone.add(e)
+                left[e[1]] -= 1
+                if not left[e[1]]:
+                    ends += into[e[1]]
+
+    for x in nodes:
+        if not ways[x]:
+            for e in into[x]:
+                drop(e)
+    cuts = []
+    for start in nodes:
+        while left[start]:
+            trail, on, x = [], {}, start
+            while x not in on:
+                on[x] = len(trail)
+                while ways[x][first[x]] in gone:
+                    first[x] += 1
+                trail.append(ways[x][first[x]])
+                x = trail[-1][2]
+            cuts.append(_cut_of(trail[on[x] :], kinds, at.__getitem__))
+            drop(cuts[-1])
+    return cuts
+
+
+def _cut_of(closing: list[tuple[str, str, str]], kinds: dict[str, str], place) -> tuple[str, str, str]:
+    into = [e for e in closing if e[0] == "supports" and kinds.get(e[2]) == "analysis"]
+    return min(into, key=place) if into else closing[-1]
+
+
+def _kinds(nodes: DataFrame, ids: set[str]) -> dict[str, str]:
+    named = nodes.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id string")
+    return {r.id: r.kind for r in nodes.join(F.broadcast(named), "id", "left_semi").select("id", "kind").collect()} if ids else {}
+
+
+def _next_cut(core: DataFrame, nodes: DataFrame, rank: dict[str, int]) -> tuple[str, str, str]:
+    """The first cut of a core that stays distributed: each node's first edge, the nodes on the path of these by doubling, and only that path on the driver."""
+    spark, far = core.sparkSession, F.lit(len(rank))
+    places = spark.createDataFrame(list(rank.items()), "_id string, _p int")
+    order = F.array_position(F.array(*map(F.lit, SCORING)), F.col("relation"))
+    placed = core.join(places, F.col("target") == F.col("_id"), "left")
+    first = settle(placed.groupBy("source").agg(F.min(F.struct(order.alias("o"), F.coalesce("_p", far).alias("p"), "target", "relation")).alias("e")).select("source", F.col("e.target").alias("target"), F.col("e.relation").alias("relation")))
+    start = first.join(places, F.col("source") == F.col("_id"), "left").agg(F.min(F.struct(F.coalesce("_p", far).alias("p"), "source"))).first()[0].source
+    path, jump = settle(spark.createDataFrame([(start,)], "source string")), first.select("source", "target")
+    while True:
+        more = settle(path.join(jump, "source").select(F.col("target").alias("source")).distinct().join(path, "source", "left_anti"))
+        if not more.limit(1).count():
+            break
+        path = settle(path.unionByName(more))
+        jump = settle(jump.join(jump.select(F.col("source").alias("target"), F.col("target").alias("_t")), "target").select("source", F.col("_t").alias("target")))
+    by = {r.source: (r.relation, r.source, r.target) for r in first.join(path, "source", "left_semi").collect()}
+    trail, on, x = [], {}, start
+    while x not in on:
+        on[x] = len(trail)
+        trail.append(by[x])
+        x = by[x][2]
+    closing = trail[on[x] :]
+    place = lambda x: (rank.get(x, len(rank)), x)
+    return _cut_of(closing, _kinds(nodes, {e[2] for e in closing if e[0] == "supports"}), lambda e: (place(e[1]), place(e[2])))
+
+
 def cycle_cuts(edges: DataFrame, nodes: DataFrame, hosted: list[str] = ()) -> DataFrame:
-    """relation, source, target of every scoring edge that breaking the cycles demotes. `hosted`: ids in reading order."""
-    core = _kernel_rows(cyclic_core(edges.select("relation", "source", "target")))
-    ids = {x for r in core for x in (r.source, r.target)}
-    kinds = {r.id: r.kind for r in nodes.join(F.broadcast(nodes.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id string")), "id", "left_semi").select("id", "kind").collect()} if ids else {}
-    cuts = cut_cycles([(r.relation, r.source, r.target) for r in core], {x: i for i, x in enumerate(hosted)}, kinds)
+    """rank, relation, source, target of every scoring edge that breaking the cycles demotes. `hosted`: ids in reading order."""
+    rank, cuts = {x: i for i, x in enumerate(hosted)}, []
+    core = cyclic_core(edges.where(F.col("relation").isin(*SCORING)).select("relation", "source", "target").distinct())
+    while core.count() > KERNEL_EDGES:
+        cuts.append(_next_cut(core, nodes, rank))
+        core = cyclic_core(core.where(~((F.col("relation") == cuts[-1][0]) & (F.col("source") == cuts[-1][1]) & (F.col("target") == cuts[-1][2]))))
+    rows = [tuple(r) for r in core.collect()]
+    cuts += cut_core(rows, rank, _kinds(nodes, {x for r in rows for x in r[1:]}))
     return nodes.sparkSession.createDataFrame([(i + 1, *c) for i, c in enumerate(cuts)], "rank int, relation string, source string, target string")
 
 
@@ -144,7 +219,7 @@ def reduced(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     kept = []
     for a, b in pairs:
         ways[a].discard(b)
-        stack, seen = [a], {a}
+        stack, seen = [a], set()
         while stack and b not in seen:
             new = ways[stack.pop()] - seen
             seen |= new
@@ -155,13 +230,94 @@ def reduced(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return kept
 
 
-def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Edges less the supports edges that others make needless. Only supports edges with another way out and in can be, so only those with company reach the kernel."""
-    supports = edges.where(F.col("relation") == "supports").select("source", "target").distinct()
-    rows = sorted((r.source, r.target) for r in _kernel_rows(supports))
-    spark = edges.sparkSession
-    kept = spark.createDataFrame(reduced(rows), "source string, target string").withColumn("relation", F.lit("supports"))
-    return edges.where(F.col("relation") != "supports").unionByName(edges.join(kept, ["relation", "source", "target"], "left_semi"))
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """The pairs left after dropping, again and again, those from nodes without a way in and into nodes without a way on."""
+    left = settle(pairs)
+    n = left.count()
+    while n:
+        ends = left.select(F.col("source").alias("_x")).distinct().join(left.select(F.col("target").alias("_x")).distinct(), "_x", "left_semi")
+        left = settle(left.join(ends, F.col("source") == F.col("_x"), "left_semi").join(ends, F.col("target") == F.col("_x"), "left_semi"))
+        n, before = left.count(), n
+        if n == before:
+            break
+    return left
+
+
+def strong_parts(pairs: DataFrame) -> DataFrame:
+    """id, part of every node on a cycle of two nodes or more: the least id of its strongly connected part, or another id that no other part has."""
+    out = pairs.select(F.col("source").alias("id"), F.col("source").alias("part")).limit(0)
+    left = _trimmed(pairs.where("source <> target").select("source", "target").distinct())
+    while left.limit(1).count():
+        # Each node takes the least id that reaches it; the part of that id is what reaches it back within its colour.
+        colour = settle(left.select(F.col("source").alias("id")).union(left.select("target")).distinct().withColumn("part", F.col("id")))
+        while True:
+            step = left.join(colour, F.col("source") == F.col("id")).groupBy("target").agg(F.min("part").alias("_p"))
+            new = settle(colour.join(step, F.col("id") == F.col("target"), "left").select("id", F.least("part", "_p").alias("part"), (F.col("_p") < F.col("part")).alias("_moved")))
+            colour = new.select("id", "part")
+            if not new.where("_moved").limit(1).count():
+                break
+        inside = settle(left.join(colour.select(F.col("id").alias("source"), "part"), "source").join(colour.select(F.col("id").alias("target"), "part"), ["target", "part"]))
+        front = seen = settle(colour.where("id = part"))
+        while front.limit(1).count():
+            front = settle(inside.join(front.select(F.col("id").alias("target"), "part"), ["target", "part"], "left_semi").select(F.col("source").alias("id"), "part").distinct().join(seen, ["id", "part"], "left_anti"))
+            seen = settle(seen.unionByName(front))
+        out = settle(out.unionByName(seen))
+        done = seen.select(F.col("id").alias("_x"))
+        left = _trimmed(left.join(done, F.col("source") == F.col("_x"), "left_anti").join(done, F.col("target") == F.col("_x"), "left_anti"))
+    return out
+
+
+def shortcuts(pairs: DataFrame) -> DataFrame:
+    """The pairs of an acyclic graph whose target is also reached by a longer way."""
+    left = settle(pairs)
+    middle = settle(left.select(F.col("source").alias("_m")).distinct().join(left.select(F.col("target").alias("_m")).distinct(), "_m", "left_semi"))
+    # Only what has another way out and in, over a node that has both, can be one.
+    on = left.join(middle.select(F.col("_m").alias("source"), F.lit(1).alias("_s")), "source", "left").join(middle.select(F.col("_m").alias("target"), F.lit(1).alias("_t")), "target", "left").fillna(0, ["_s", "_t"])
+    out, into = on.groupBy("source").agg(F.sum("_t").alias("_o")), on.groupBy("target").agg(F.sum("_s").alias("_i"))
+    open_ = settle(on.join(out, "source").join(into, "target").where("_o > _t and _i > _s").select("source", "target"))
+    front = settle(left.join(middle.select(F.col("_m").alias("target")), "target", "left_semi").join(open_.select("source").distinct(), "source", "left_semi").select(F.col("source").alias("start"), F.col("target").alias("node")))
+    found, seen = open_.limit(0), front
+    while front.limit(1).count():
+        step = settle(front.join(left, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct())
+        found = settle(found.unionByName(open_.join(step.select(F.col("start").alias("source"), F.col("node").alias("target")), ["source", "target"], "left_semi")))
+        open_ = settle(open_.join(found, ["source", "target"], "left_anti"))
+        front = settle(step.join(seen, ["start", "node"], "left_anti").join(middle.select(F.col("_m").alias("node")), "node", "left_semi").join(open_.select(F.col("source").alias("start")).distinct(), "start", "left_semi").select("start", "node"))
+        seen = settle(seen.unionByName(front))
+    return found
+
+
+def needless(pairs: DataFrame) -> DataFrame:
+    """The pairs that `reduced` drops from all pairs in order.
+
+    Reach never changes, so pairs inside a strongly connected part depend on those of the part alone; of those between two parts, all
+    go if a third part lies between, else all but the last.
+    """
+    parts = strong_parts(pairs)
+    ends = pairs.join(parts.select(F.col("id").alias("source"), F.col("part").alias("_a")), "source", "left").join(parts.select(F.col("id").alias("target"), F.col("part").alias("_b")), "target", "left")
+    ends = settle(ends.select("source", "target", F.coalesce("_a", "source").alias("a"), F.coalesce("_b", "target").alias("b")))
+    inner = ends.where("a = b and (source <> target)").unionByName(ends.where("source = target").join(parts.select(F.col("id").alias("source")), "source", "left_semi"))
+
+    def dropped(part):
+        rows = sorted(zip(part["source"], part["target"], strict=True))
+        kept = set(reduced(rows))
+        return part[[(a, b) not in kept for a, b in zip(part["source"], part["target"], strict=True)]][["source", "target"]]
+
+    inside = inner.groupBy("a").applyInPandas(dropped, "source string, target string")
+    between = ends.where("a <> b")
+    one = between.groupBy("a", "b").agg(F.max(F.struct("source", "target")).alias("last"), F.count(F.lit(1)).alias("_n"))
+    over = shortcuts(one.select(F.col("a").alias("source"), F.col("b").alias("target"))).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    long = between.join(over, ["a", "b"], "left_semi").select("source", "target")
+    double = between.join(one.where("_n > 1").join(over, ["a", "b"], "left_anti"), ["a", "b"]).where("struct(source, target) <> last").select("source", "target")
+    return inside.unionByName(long).unionByName(double)
+
+
+def transitive_reduction(edges: DataFrame, within: str | None = None) -> DataFrame:
+    """Edges less the supports edges that others make needless, of all edges or of those with the same `within`."""
+    mark = lambda c: F.col(c) if within is None else F.concat(F.col(within), F.lit("\n"), c)
+    supports = edges.where(F.col("relation") == "supports")
+    gone = needless(supports.select(mark("source").alias("source"), mark("target").alias("target")).distinct()).select(F.col("source").alias("_s"), F.col("target").alias("_t"))
+    kept = supports.join(gone, (mark("source") == F.col("_s")) & (mark("target") == F.col("_t")), "left_anti")
+    return edges.where(F.col("relation") != "supports").unionByName(kept)
 
 
 def contract(pointers: DataFrame) -> DataFrame:

@@ -271,6 +271,23 @@ on_tables("reference_routes", """select o_orderkey as reference, case when o_ord
 on_tables("compensated_sum", "select user_id, fsum(value) > 0 as positive, count(*) as n from events group by 1", lambda e: e.groupBy("user_id").agg((build.compensated(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])) > 0).alias("positive"), F.count(F.lit(1)).alias("n")), "events")
 
 
+# graph loops over the whole edge table
+def _fed_back(e: DataFrame) -> DataFrame:
+    """The scoring edges, and refutations of three parts' suppliers by those parts: cycles at the end of the graph."""
+    back = e.where("relation = 'supports' and target in ('clm-p00001', 'clm-p00002', 'clm-p00003')").select(F.lit("refutes").alias("relation"), F.col("target").alias("source"), F.col("source").alias("target"))
+    return e.select("relation", "source", "target").unionByName(back)
+
+
+def _path(e: DataFrame) -> DataFrame:
+    source, target = e.where("relation = 'supports'").agg(F.min("source"), F.min_by("target", F.struct("source", "target"))).first()
+    above = e.where((F.col("relation") == "founds") & (F.col("target") == source)).agg(F.min("source")).first()[0]
+    return e.sparkSession.createDataFrame(list(enumerate(graph.shortest_path(e, above, target), 1)), "rank int, id string")
+
+
+on_graph("cycle_cuts_all", None, lambda n, e: graph.cycle_cuts(_fed_back(e), n))
+on_graph("transitive_reduction_all", None, lambda n, e: graph.transitive_reduction(e))
+on_graph("shortest_path_all", None, lambda n, e: _path(e))
+
 # literal fixtures
 def _edges(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "relation string, source string, target string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 from pathlib import Path
 
 import pytest
 
 from argosy.functions.graph import RELATIONS
+from argosy.operators import graph
 from argosy.plans import catalog, star
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +53,39 @@ def test_record_file_holds_every_node(spark):
         want[n.kind].append("\n".join([*lines, "  rigor: " + ('"*pending*"' if n.rigor is None else repr(n.rigor))]))
     got = {r.kind: r.text for r in catalog.QUERIES["record_file_all"](spark, SF).collect()}
     assert set(got) == {"claim", "analysis", "experiment", "axiom", "work"} and got == {k: "\n".join(v) for k, v in want.items()}
+
+
+def _graphs(n, size, edges, relations=("supports",)):
+    rng = random.Random(7)
+    return [sorted({(rng.choice(relations), f"g{g:02d}{rng.choice(size)}", f"g{g:02d}{rng.choice(size)}") for _ in range(rng.randint(*edges))}) for g in range(n)]
+
+
+def test_reduction_of_any_size(spark):
+    graphs = _graphs(40, "abcdefghi", (4, 26)) + [[("supports", "xa", "xa"), ("founds", "xa", "xb")]]
+    graphs += [[("supports", f"z{a}", f"z{b}") for a, b in ("ab", "bc", "cd", "ad", "ac", "de", "ce", "fe")]]
+    want = sorted(p for g in graphs for p in graph.reduced([(a, b) for r, a, b in g if r == "supports"]))
+    held = graph.KERNEL_EDGES
+    graph.KERNEL_EDGES = 10  # the edges of all graphs were refused above this many
+    try:
+        out = graph.transitive_reduction(spark.createDataFrame([e for g in graphs for e in g], "relation string, source string, target string")).collect()
+    finally:
+        graph.KERNEL_EDGES = held
+    assert sorted((r.source, r.target) for r in out if r.relation == "supports") == want and ("xa", "xa") in want
+    assert sum(r.relation == "founds" for r in out) == 1
+
+
+def test_cuts_by_first_edges():
+    for g in _graphs(300, "abcdefg", (3, 18), ("supports", "founds", "lifts", "refutes")):
+        ids = sorted({x for e in g for x in e[1:]})
+        for kinds in ({}, {x: "analysis" for x in ids[::2]}):
+            rank = {x: i for i, x in enumerate(reversed(ids[1:4]))}
+            assert graph.cut_core(g, rank, kinds) == graph.cut_cycles(g, rank, kinds)
+
+
+def test_cuts_of_cores_beyond_the_kernel(spark, monkeypatch):
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 3)
+    g = [("founds", "u", "v"), ("supports", "v", "w"), ("supports", "w", "a"), ("supports", "a", "b"), ("lifts", "b", "a"), ("refutes", "b", "c"), ("supports", "c", "w"), ("lifts", "w", "c")]
+    rows = spark.createDataFrame([*g, ("references", "b", "u"), g[3]], "relation string, source string, target string")
+    nodes = spark.createDataFrame([(x, "analysis" if x in "bw" else "claim") for x in "abcuvw"], "id string, kind string")
+    got = [tuple(r)[1:] for r in graph.cycle_cuts(rows, nodes, ["v", "c"]).orderBy("rank").collect()]
+    assert got == graph.cut_cycles(g, {"v": 0, "c": 1}, {"b": "analysis", "w": "analysis"}) and len(got) == 2
