@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from argosy.functions import text as T
 from argosy.functions.graph import display, relation_rank
+from argosy.operators.graph import transitive_reduction
+from argosy.plans.star import settle
 
-STROKES = {"supports": "solid", "founds": "bold", "lifts": "dashed", "refutes": "dotted"}
+STROKES = {"supports": "solid", "founds": "bold", "lifts": "dashed", "refutes": "dotted", "demoted": "dotted constraint=false"}
 
 
 def quoted(x: Column) -> Column:
@@ -35,17 +37,49 @@ def pages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined(own.withColumn("volume", F.substring_index("host", "/", 1)), "volume", [F.col("host"), F.col("id")], entry, "text").select(F.concat("volume", F.lit("/summary.md")).alias("path"), "text")
 
 
-def sheet(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """volume, dot: a graph of each volume's nodes and the scoring edges between them, one stroke for each (source, target, relation)."""
-    own = nodes.where("host is not null").select(F.substring_index("host", "/", 1).alias("volume"), "id", "title", "strength")
-    of = own.select(F.col("id").alias("_id"), F.col("volume").alias("_v"))
+def _node_line(n: str = "id") -> Column:
+    return F.concat(F.lit("  "), quoted(F.col(n)), F.lit(" [label="), quoted(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), display(F.col("strength")))), F.lit("];"))
+
+
+def _drawn(nodes: DataFrame, edges: DataFrame, whole: bool) -> DataFrame:
+    """volume, k, a, line of every sheet: nodes (k 0), ghosts, strokes (2). `whole`: the full sheet, its volume empty, in place of the volumes'."""
+    group = F.when(F.col("host").contains("/"), F.substring_index("host", "/", 1)).otherwise("")
+    held = nodes.select("id", "title", "strength", (F.lit("") if whole else group).alias("volume"))
     strokes = F.create_map(*[F.lit(x) for kv in STROKES.items() for x in kv])
     drawn = edges.where(F.col("relation").isin(*STROKES)).select("relation", "source", "target").distinct()
-    inner = drawn.join(of.withColumnsRenamed({"_id": "_s", "_v": "volume"}), F.col("source") == F.col("_s")).join(of.withColumnsRenamed({"_id": "_t", "_v": "_w"}), F.col("target") == F.col("_t")).where("volume = _w")
-    lines = own.select("volume", F.lit(0).alias("k"), F.col("id").alias("a"), F.concat(F.lit("  "), quoted(F.col("id")), F.lit(" [label="), quoted(F.concat("title", F.lit(" "), display(F.col("strength")))), F.lit("];")).alias("line")).unionByName(
-        inner.select("volume", F.lit(1).alias("k"), F.concat_ws(" ", "source", "target", "relation").alias("a"), F.concat(F.lit("  "), quoted(F.col("source")), F.lit(" -> "), quoted(F.col("target")), F.lit(" [style="), F.element_at(strokes, F.col("relation")), F.lit("];")).alias("line"))
+    if whole:
+        own, touch = held, drawn.withColumn("volume", F.lit(""))
+    else:
+        own = held.where("volume <> ''")
+        near = [drawn.join(own.select(F.col("id").alias(end), "volume"), end) for end in ("source", "target")]
+        touch = near[0].unionByName(near[1]).distinct()
+    touch = settle(touch)
+    ends = touch.select("volume", F.col("source").alias("id")).union(touch.select("volume", F.col("target"))).distinct()
+    shown = ends.unionByName(own.select("volume", "id")).distinct()
+    named = shown.join(held.select("id", "title", "strength", F.lit(True).alias("_held")), "id", "left")
+    ghost = F.concat(F.lit("  "), quoted(F.col("id")), F.lit(' [style="dashed" label='), quoted(F.col("id")), F.lit("];"))
+    kept = transitive_reduction(touch, "volume")
+    return named.select("volume", F.when(F.col("_held"), 0).otherwise(1).alias("k"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.when(F.col("_held"), _node_line()).otherwise(ghost).alias("line")).unionByName(
+        kept.select("volume", F.lit(2).alias("k"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation").alias("c"), F.concat(F.lit("  "), quoted(F.col("source")), F.lit(" -> "), quoted(F.col("target")), F.lit(" [style="), F.element_at(strokes, F.col("relation")), F.lit("];")).alias("line"))
     )
-    return joined(lines, "volume", [F.col("k"), F.col("a")], F.col("line"), "body").select("volume", F.concat(F.lit("digraph claims {\n"), "body", F.lit("\n}\n")).alias("dot"))
+
+
+def _sheets(lines: DataFrame) -> DataFrame:
+    """One text for each sheet, in two steps, so that a large sheet's lines are put in order in many tasks."""
+    order = [F.col(c) for c in ("k", "a", "b", "c")]
+    block = lines.withColumn("_block", F.concat(F.col("k"), F.substring("a", 1, 8)))
+    texts = block.groupBy("volume", "_block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "line"))), lambda s: s["line"]), "\n").alias("text"))
+    return joined(texts, "volume", [F.col("_block")], F.col("text"), "body").select("volume", F.concat(F.lit("digraph claims {\n"), "body", F.lit("\n}\n")).alias("dot"))
+
+
+def sheet(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """volume, dot: each volume's nodes, those one edge away, ids that no record carries (ghosts), and the strokes with an end in the volume, one for each (source, target, relation), less the supports edges that others of the sheet make needless."""
+    return _sheets(_drawn(nodes, edges, False))
+
+
+def full_sheet(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """volume (empty), dot: all nodes, those without host too, ghosts and strokes, reduced."""
+    return _sheets(_drawn(nodes, edges, True))
 
 
 def record_file(nodes: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ on_graph("judged_hash", "select id, sha256('9:statement' || strlen(title) || ':'
 on_graph("dirty_items", "select id, sha256('9:statement' || strlen(title) || ':' || title) as hash from n where kind = 'claim' and not manually_scored and strength is not null and not (dependents % 2 = 0)", lambda n, e: score.dirty(n.where("kind = 'claim' and strength is not null").select("id", F.col("title").alias("statement"), "manually_scored", F.when(F.col("dependents") % 2 == 0, G.judged_hash(F.lit("statement"), F.col("title"))).otherwise("0").alias("judged_hash")), "statement").select("id", "hash"))
 on_graph("summary_pages", f"""select v || '/summary.md' as path, string_agg(entry, chr(10) order by host, id) as text from (select split_part(host, '/', 1) as v, host, id, '- ' || id || ': ' || title || ' (' || {_SHOWN.format('strength')} || ')' || coalesce(chr(10) || listed, '') as entry
   from n left join (select target, string_agg('  - ' || relation || ' ' || source, chr(10) order by {_RANK}, source) as listed from e where relation <> 'references' group by 1) x on n.id = x.target where host is not null and kind in ('claim', 'analysis')) group by v""", lambda n, e: render.pages(n, e))
-on_graph("sheets_dot", None, lambda n, e: render.sheet(n, e))
+on_graph("sheets_dot", None, lambda n, e: render.sheet(n, e).unionByName(render.full_sheet(n, e)))
 on_graph("record_file", """select kind, string_agg('- id: ' || id || coalesce(chr(10) || '  title: "' || title || '"', '') || coalesce(chr(10) || '  label: "' || label || '"', '') || coalesce(chr(10) || '  status: "' || status || '"', ''), chr(10) order by id) as text from n where kind in ('axiom', 'work') group by 1""", lambda n, e: render.joined(n.where("kind in ('axiom', 'work')"), "kind", [F.col("id")], F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), render.quoted(F.col(c)))) for c in ("title", "label", "status")]), "text"))
 # The whole node and edge tables: numbers and demoted edges print as Python spells them, so no SQL.
 on_graph("record_file_all", None, lambda n, e: render.record_file(n))

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 from argosy.functions.graph import RELATIONS
-from argosy.operators import graph
+from argosy.operators import graph, render
 from argosy.plans import catalog, star
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +89,26 @@ def test_cuts_of_cores_beyond_the_kernel(spark, monkeypatch):
     nodes = spark.createDataFrame([(x, "analysis" if x in "bw" else "claim") for x in "abcuvw"], "id string, kind string")
     got = [tuple(r)[1:] for r in graph.cycle_cuts(rows, nodes, ["v", "c"]).orderBy("rank").collect()]
     assert got == graph.cut_cycles(g, {"v": 0, "c": 1}, {"b": "analysis", "w": "analysis"}) and len(got) == 2
+
+
+def _sheet(nodes, edges, volume):
+    """A sheet by brute force: (id, host, title) and (relation, source, target); the full sheet for ""."""
+    names = {i: t for i, _, t in nodes}
+    own = {i for i, h, _ in nodes if not volume or (h or "").startswith(volume + "/")}
+    drawn = sorted({e for e in edges if e[0] != "references" and (not volume or {e[1], e[2]} & own)}, key=lambda e: (e[1], e[2], e[0]))
+    kept = graph.reduced([e[1:] for e in drawn if e[0] == "supports"])
+    shown = own | {x for e in drawn for x in e[1:]}
+    lines = [f'  "{i}" [label="{names[i]} 0.12"];' for i in sorted(shown) if i in names] + [f'  "{i}" [style="dashed" label="{i}"];' for i in sorted(shown) if i not in names]
+    lines += [f'  "{a}" -> "{b}" [style={render.STROKES[r]}];' for r, a, b in drawn if r != "supports" or (a, b) in kept]
+    return "\n".join(["digraph claims {", *lines, "}", ""])
+
+
+def test_sheets_draw_across_volumes(spark):
+    nodes = [("clm-a", "v/x.md", "A"), ("clm-b", "v/y.md", "B"), ("clm-c", "w/x.md", "C"), ("clm-d", "w/x.md", "D"), ("clm-e", "u/x.md", "E"), ("wrk-a", None, "Work"), ("clm-lone", "v/x.md", "Lone")]
+    edges = [("supports", *x.split()) for x in ("clm-a clm-b", "clm-b clm-c", "clm-a clm-c", "clm-c clm-d", "clm-b clm-d", "clm-e clm-d", "clm-d clm-gone")]
+    edges += [("founds", "wrk-a", "clm-a"), ("references", "clm-a", "clm-e"), ("demoted", "clm-d", "clm-a"), ("lifts", "clm-c", "clm-d"), ("refutes", "clm-x", "clm-b"), edges[0]]
+    n = spark.createDataFrame([(*x, 0.125) for x in nodes], "id string, host string, title string, strength double")
+    e = spark.createDataFrame(edges, "relation string, source string, target string")
+    got = {r.volume: r.dot for r in render.sheet(n, e).unionByName(render.full_sheet(n, e)).collect()}
+    assert got == {v: _sheet(nodes, edges, v) for v in ("", "u", "v", "w")}
+    assert '"clm-b" -> "clm-c"' in got["v"] and '"clm-a" -> "clm-c"' not in got["v"] and "clm-gone" in got["w"]
