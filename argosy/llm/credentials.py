@@ -16,6 +16,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -77,40 +78,36 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     return [s for s in found if not (i := bisect_left(starts, s[2])) or ends[i - 1] <= s[1]]
 
 
-def link(text: str, base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], reach: int) -> list:
-    """Pairs (weak part, nearest complementary part) by the interval join; each weak part has one for each role it meets."""
+def pairs(text: str, parts: list[tuple[str, int, int]], reach: int) -> list:
+    """Every pair (identifier or endpoint, secret) of parts within reach and scope, by the interval join."""
     gaps = [m.start() for m in GAP.finditer(text)]
-    sides: dict[str, list] = {"id": [], "secret": [], "endpoint": []}
-    for part in sorted([*base, *weak], key=lambda s: s[1]):
-        sides[ROLE[part[0]]].append(part)
-    starts = {role: [s[1] for s in parts] for role, parts in sides.items()}
-    reaches: dict[str, list[int]] = {}  # of each part, the index of the part that reaches furthest so far
-    for role, parts in sides.items():
-        reaches[role] = []
-        for i, s in enumerate(parts):
-            reaches[role].append(reaches[role][-1] if reaches[role] and parts[reaches[role][-1]][2] >= s[2] else i)
     scope = lambda at: bisect_right(gaps, at)
+    secrets = sorted((s for s in parts if ROLE[s[0]] == "secret"), key=lambda s: s[1])
+    starts = [s[1] for s in secrets]
+    stops = list(accumulate((s[2] for s in secrets), max))  # the furthest end so far
     out = []
-    for part in weak:
-        for other in ("secret",) if ROLE[part[0]] != "secret" else ("id", "endpoint"):
-            parts, at = sides[other], bisect_left(starts[other], part[1])
-            near = [parts[at]] if at < len(parts) else []
-            near += [parts[reaches[other][at - 1]], parts[at - 1]] if at else []
-            near = [s for s in near if s[1] - part[2] <= reach and part[1] - s[2] <= reach and scope(s[1]) == scope(part[1])]
-            if near:
-                out.append((part, min(near, key=lambda s: max(s[1] - part[2], part[1] - s[2]))))
+    for part in sorted((s for s in parts if ROLE[s[0]] != "secret"), key=lambda s: s[1]):
+        near = secrets[bisect_left(stops, part[1] - reach) : bisect_right(starts, part[2] + reach)]
+        out += [(part, s) for s in near if part[1] - s[2] <= reach and scope(s[1]) == scope(part[1])]
     return out
 
 
+def link(text: str, base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], reach: int) -> list:
+    """Pairs (weak part, complementary part): each weak part with all parts of other roles within reach and scope."""
+    own, found = set(weak), pairs(text, [*base, *weak], reach)
+    return [(a, b) for a, b in found if a in own] + [(b, a) for a, b in found if b in own]
+
+
 def scan(text: str, reach: int = 200) -> Found:
     base = strong(text)
     weak = weak_parts(text, base)
-    links = link(text, base, weak, reach) if weak else []
-    return Found(base, sorted({a for a, _ in links}, key=lambda s: (s[1], ORDER[s[0]])), links)
+    links = pairs(text, [*base, *weak], reach) if weak or len(base) > 1 else []
+    met = {s for pair in links for s in pair}
+    return Found(base, sorted(set(weak) & met, key=lambda s: (s[1], ORDER[s[0]])), links)
 
 
 def scan_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
-    """doc_id, base, added and links: arrays of spans, and the pairs by which weak parts were reported."""
+    """doc_id, base, added and links: arrays of spans, and all pairs of an identifier or endpoint (part) with a secret (other), strong parts too."""
     span = "struct<kind: string, start: int, stop: int>"
 
     def rows(texts):
