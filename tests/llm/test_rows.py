@@ -157,6 +157,17 @@ def test_pii_base_spans_match_brute_force():
         assert sorted(pii.base_and_rest(text)[0]) == sorted(pii_base(text)), text
 
 
+def test_pii_spelled_addresses_in_any_case_and_brackets(spark):
+    texts = ["mail me: MAX (AT) MYHOST (DOT) ORG", "Mail me: max (At) post.org", "contact ana [at] mail [dot] net", "contact ana[aT]mail.net"]
+    for t in texts:
+        assert [k for k, *_ in pii.base_and_rest(t)[1]] == ["email_spelled"], t
+        assert pii.base_and_rest(t)[1] == [("email_spelled", *m.span()) for m in pii.WIDE["email_spelled"].finditer(t)]
+    assert pii.base_and_rest("at home (at last) [or not]") == ([], [])
+    model = pii.fit(docs(spark, []).limit(0))
+    assert [[s[0] for s, _ in added] for _, added in model.choose(texts)] == [["email_spelled"]] * len(texts)
+    assert [added for _, added in model.choose(["see you max (at) post.org"])] == [[]]
+
+
 def test_pii_adds_wide_kinds_and_leaves_clean_numbers(spark):
     model = pii.fit(docs(spark, [(i, f"mail {i}@x.org and 4111111111111111 and 1234567812345678 or 10.0.0.{i}") for i in range(60)]))
     base, added = model.choose(["SSN 123-45-6789 please", "order 12345-678 of 2024-01-02", "plain words", ""])[0]
