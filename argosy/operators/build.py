@@ -41,20 +41,26 @@ def cosines(statements: DataFrame) -> DataFrame:
 
 
 def tfidf_shortlist(statements: DataFrame, k: int = 2, exclude: DataFrame | None = None) -> DataFrame:
-    """source, rank, target, cosine: each source's k best others, ties by id; targets without a common term fill up in id order."""
+    """source, rank, target, cosine: each source's k best others, ties by id, less the pairs to `exclude` (a, b) either way; targets without a common term fill up in id order."""
     scored = cosines(statements)
-    if exclude is not None:
-        shut = exclude.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        scored = scored.join(shut.unionByName(shut.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    if exclude is None:
+        shut = scored.select("a", "b").limit(0)
+    else:
+        shut = settle(exclude.select("a", "b").unionByName(exclude.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        scored = scored.join(shut, ["a", "b"], "left_anti")
     order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = settle(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     # A source's fill is among the first ids: k, and as many more as could be itself, picked or shut out.
     have = best.groupBy(F.col("a").alias("source")).agg(F.collect_list("b").alias("picked"))
-    short = statements.select(F.col("id").alias("source")).distinct().join(have, "source", "left").withColumn("picked", F.coalesce("picked", F.array().cast("array<string>"))).where(F.size("picked") < k)
-    spare = [r.id for r in statements.select("id").distinct().orderBy("id").limit(2 * k + 1).collect()]
-    open_ids = F.slice(F.filter(F.array(*map(F.lit, spare)) if spare else F.array().cast("array<string>"), lambda x: (x != F.col("source")) & ~F.array_contains("picked", x)), F.lit(1), F.lit(k) - F.size("picked"))
-    fill = short.select("source", F.posexplode(open_ids).alias("i", "target"), "picked").select("source", (F.size("picked") + F.col("i") + 1).alias("rank"), "target", F.lit(0.0).alias("cosine"))
-    return best.select(F.col("a").alias("source"), "rank", F.col("b").alias("target"), "cosine").unionByName(fill if exclude is None else fill.limit(0))
+    closed = shut.groupBy(F.col("a").alias("source")).agg(F.count(F.lit(1)).alias("_shut"))
+    short = statements.select(F.col("id").alias("source")).distinct().join(have, "source", "left").join(closed, "source", "left")
+    short = settle(short.select("source", F.coalesce("picked", F.array().cast("array<string>")).alias("picked"), F.coalesce("_shut", F.lit(0)).alias("_shut")).where(F.size("picked") < k))
+    most = 2 * k + 1 + (short.agg(F.max("_shut")).first()[0] or 0)
+    spare = settle(statements.select("id").distinct().orderBy("id").limit(most)).withColumn("_i", F.row_number().over(Window.orderBy("id")) - 1)
+    tried = short.select("source", "picked", F.explode(F.sequence(F.lit(0), (F.lit(2 * k) + F.col("_shut")).cast("int"))).alias("_i")).join(spare, "_i").where((F.col("id") != F.col("source")) & ~F.array_contains("picked", F.col("id")))
+    free = tried.join(shut.select(F.col("a").alias("source"), F.col("b").alias("id")), ["source", "id"], "left_anti")
+    fill = free.withColumn("rank", F.size("picked") + F.row_number().over(Window.partitionBy("source").orderBy("id"))).where(F.col("rank") <= k).select("source", "rank", F.col("id").alias("target"), F.lit(0.0).alias("cosine"))
+    return best.select(F.col("a").alias("source"), "rank", F.col("b").alias("target"), "cosine").unionByName(fill)
 
 
 def proximity(nodes: DataFrame, k: int = 3) -> DataFrame:

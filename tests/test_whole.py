@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 from argosy.functions.graph import RELATIONS
-from argosy.operators import graph, render
+from argosy.operators import build, graph, render
 from argosy.plans import catalog, star
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +112,19 @@ def test_sheets_draw_across_volumes(spark):
     got = {r.volume: r.dot for r in render.sheet(n, e).unionByName(render.full_sheet(n, e)).collect()}
     assert got == {v: _sheet(nodes, edges, v) for v in ("", "u", "v", "w")}
     assert '"clm-b" -> "clm-c"' in got["v"] and '"clm-a" -> "clm-c"' not in got["v"] and "clm-gone" in got["w"]
+
+
+@pytest.mark.parametrize("k", [2, 4])
+def test_shortlists_fill_up_beside_excluded_pairs(spark, k):
+    texts = {"a": "compact operator bound", "b": "compact operator norm", "c": "graph colouring", "d": "prime sieve", "e": "graph minors", "f": "heat flow", "g": "knot group"}
+    shut = [("a", "b"), ("c", "a"), ("d", "a"), ("d", "b"), ("d", "c"), ("d", "e"), ("a", "b")]
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    cosine = {(r.a, r.b): r.cosine for r in build.cosines(df).collect()}
+    for pairs in ([], shut):
+        closed = {p for a, b in pairs for p in ((a, b), (b, a))}
+        want = []
+        for a in texts:
+            others = sorted((b for b in texts if b != a and (a, b) not in closed), key=lambda b: (-cosine.get((a, b), 0.0), b))
+            want += [(a, i + 1, b, cosine.get((a, b), 0.0)) for i, b in enumerate(others[:k])]
+        exclude = spark.createDataFrame(pairs, "a string, b string") if pairs else None
+        assert sorted(map(tuple, build.tfidf_shortlist(df, k, exclude).collect())) == want
