@@ -1,10 +1,15 @@
 """Line dedup by levelled sorted runs of line hashes.
 
 A run is a table of 128-bit line hashes, sorted by hash, with the number of documents that hold the line and the largest
-of their ids. Each batch of documents is merge-joined with the runs held so far and then becomes a run of level 0. As soon
+of their ids. Each batch of documents becomes a run of level 0, by itself. As soon
 as a level holds `fan_in` runs they are compacted into one run of the next level, so b batches leave O(log b) runs and a
 hash is rewritten O(log b) times. Runs are Parquet below the shared folder.
 
+The corpus rule can't come from an anti-join of each batch with the runs held so far: that leaves the lines that no run holds, but a
+line is lost for the lines that are held, too, counted over all batches, and its largest doc_id may stand in any batch, so earlier
+documents' fate is open until the last one. `drops` therefore adds all batches, sums the runs and joins all lines with the totals.
+`LineRuns.admit` is that anti-join for admitting only new lines of a batch; no query calls it.
+
 Documents become hashes once (`hashed`), in DataFrame expressions; text is not shuffled for that. A line that a third of
 all documents hold is one row of each task's partial aggregate, and joins split its partition (AQE).
 
