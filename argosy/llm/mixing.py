@@ -12,7 +12,7 @@ shuffle, so a source with a third of all rows costs no more than any other), and
 which a source's point lies are ordered by a window.
 
 Defined results: a null text has size 0; null is a source of its own, after all others; an empty table gives an empty
-result; rows that repeat an id and a size share one decision; other columns are passed on (`mix`) or ignored (`plan_mix`).
+result; rows that repeat an id and a text are decided one by one; other columns are passed on (`mix`) or ignored (`plan_mix`).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from argosy.operators.prefix import before
+
 from .common import WORD, settle, text_of
 
 #: The plan has one row for each source; it is broadcast up to this many bytes of names and rows, and joined by a shuffle beyond.
@@ -32,8 +34,9 @@ def words(text: str = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
-def order_key(seed: int, doc_id: str = "doc_id") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+def order_key(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """md5 of seed, id and text: rows that share an id are spread like any others."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), text_of(text)))
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -42,28 +45,25 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
-    """source, source_size, target: the water-filling over a table (source, source_size) with one row for each source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    everyone = Window.partitionBy()
-    by_ratio = Window.orderBy("_ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    cap = F.col("source_size").cast("double") * max_epochs
-    level = (F.col("_total") - F.coalesce(F.sum("_cap").over(by_ratio), F.lit(0.0))) / (F.col("_weights") - F.coalesce(F.sum("_weight").over(by_ratio), F.lit(0.0)))
-    return (
-        sizes.withColumn("_weight", weight)
-        .withColumn("_cap", cap)
-        .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-        .withColumn("_total", F.sum("source_size").over(everyone).cast("double") * share)
-        .withColumn("_weights", F.sum("_weight").over(everyone))
-        .withColumn("_level", level)
-        .withColumn("_clamped", F.col("_ratio") <= F.col("_level"))
-        .withColumn("_water", F.max(F.when(~F.col("_clamped"), F.col("_level"))).over(everyone))
-        .select("source", "source_size", F.when(F.col("_clamped"), F.col("_cap")).otherwise(F.col("_water") * F.col("_weight")).alias("target"))
-    )
+    """source, source_size, target: the water-filling over a table (source, source_size) with one row for each source.
+
+    Sources may be many: ranks and running sums come from range partitions, only sums over all of them from the driver.
+    """
+    sizes = settle(sizes)
+    total = float(sizes.agg(F.sum("source_size")).first()[0] or 0) * share
+    named = before(sizes, [F.col("source").asc_nulls_last()], {"_rank": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank"), F.lit(len(weights))) + 1).cast("int"))
+    capped = settle(named.withColumn("_weight", weight).withColumn("_cap", F.col("source_size").cast("double") * max_epochs).withColumn("_ratio", F.col("_cap") / F.col("_weight")))
+    all_weights = capped.agg(F.sum("_weight")).first()[0] or 0.0
+    placed = before(capped, [F.col("_ratio"), F.col("source").asc_nulls_last()], {"_caps": F.col("_cap"), "_lesser": F.col("_weight")})
+    level = (F.lit(total) - F.col("_caps")) / (F.lit(all_weights) - F.col("_lesser"))
+    filled = settle(placed.withColumn("_level", level).withColumn("_clamped", F.col("_ratio") <= F.col("_level")))
+    water = filled.where(~F.col("_clamped")).agg(F.max("_level")).first()[0]
+    return filled.select("source", "source_size", F.when(F.col("_clamped"), F.col("_cap")).otherwise(F.lit(water).cast("double") * F.col("_weight")).alias("target"))
 
 
 def plan_mix(keyed: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
-    """One row for each source: source_size, target, whole repetitions, and the last (key, id, size) that gets one more.
+    """One row for each source: source_size, target, whole repetitions, and the last unit (key, id, size) that gets one more, with how many of its rows do.
 
     `keyed` has the columns of `sized`; it is read twice, so it should be settled.
     """
@@ -71,9 +71,9 @@ def plan_mix(keyed: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
     plan = targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = settle(plan.withColumn("whole", F.floor(epochs)).withColumn("_rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    before = Window.partitionBy("source").orderBy("_bucket")
+    upto = Window.partitionBy("source").orderBy("_bucket")
     at = (
-        buckets.withColumn("_upto", F.sum("_words").over(before))
+        buckets.withColumn("_upto", F.sum("_words").over(upto))
         .withColumn("_before", F.col("_upto") - F.col("_words"))
         .withColumnRenamed("source", "_source")
         .join(plan.select("source", "_rest"), F.col("_source").eqNullSafe(F.col("source")))
@@ -81,12 +81,16 @@ def plan_mix(keyed: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
         .select("_source", F.col("_bucket").alias("_cut"), "_before", "_rest")
     )
     inside = keyed.join(_small(settle(at)), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_cut")))
+    units = inside.groupBy("source", "_key", "doc_id", "size", "_before", "_rest").agg(F.count(F.lit(1)).alias("_rows"))
     step = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("_start", F.col("_before") + F.coalesce(F.sum(F.col("size") * F.col("_rows")).over(step), F.lit(0)))
+    # A row is in if at least half of it fits, so of a unit's rows the first of them are.
+    fits = F.when(F.col("size") > 0, F.floor((F.col("_rest") - F.col("_start")) / F.col("size") + 0.5)).when(F.col("_start") <= F.col("_rest"), F.col("_rows")).otherwise(F.lit(0))
     cuts = (
-        inside.withColumn("_middle", F.col("_before") + F.coalesce(F.sum("size").over(step), F.lit(0)) + F.col("size") / 2)
-        .where(F.col("_middle") <= F.col("_rest"))
+        units.withColumn("_fit", F.least(fits, F.col("_rows")))
+        .where(F.col("_fit") > 0)
         .groupBy("source")
-        .agg(F.max(F.struct("_key", "doc_id", "size")).alias("_last"))
+        .agg(F.max(F.struct("_key", "doc_id", "size", "_fit", "_rows")).alias("_last"))
         .withColumnRenamed("source", "_source")
     )
     at = at.select(F.col("_source").alias("_at"), "_cut")
@@ -106,17 +110,26 @@ def _small(plan: DataFrame) -> DataFrame:
 
 def repeats(plan: DataFrame, keyed: DataFrame) -> DataFrame:
     """`keyed` with source_size, target, repeats (how often the mix takes the row) and taken (words)."""
+    split = plan.where("_last._fit < _last._rows").limit(1).count() > 0
     plan = plan.withColumnRenamed("source", "_of")
+    own, last = F.struct("_key", "doc_id", "size"), F.struct("_last._key", "_last.doc_id", "_last.size")
     # Without a cut the rest is 0 or, by rounding, all of the source.
     before_cut = F.when(F.col("_cut").isNull(), F.col("_all")).otherwise(
-        (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & F.coalesce(F.struct("_key", "doc_id", "size") <= F.col("_last"), F.lit(False)))
-    )
-    return (
-        keyed.join(_small(plan.select("_of", "source_size", "target", "whole", "_all", "_some", "_cut", "_last")), F.col("source").eqNullSafe(F.col("_of")), "left")
-        .withColumn("repeats", F.col("whole") + F.when(F.col("_some") & before_cut, 1).otherwise(0))
-        .withColumn("taken", F.col("repeats") * F.col("size"))
-        .drop("_of", "whole", "_all", "_some", "_cut", "_last")
+        (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & F.col("_last").isNotNull() & F.coalesce(own <= last, F.lit(False)))
     )
+    joined = keyed.join(_small(plan.select("_of", "source_size", "target", "whole", "_all", "_some", "_cut", "_last")), F.col("source").eqNullSafe(F.col("_of")), "left")
+    parted = F.col("_last").isNotNull() & F.coalesce((F.col("_last._fit") < F.col("_last._rows")) & (own == last), F.lit(False)) & F.col("_some")
+    once_more = F.when(F.col("_some") & before_cut, 1).otherwise(0)
+    out = (joined.where(~parted) if split else joined).withColumn("repeats", F.col("whole") + once_more).select(*keyed.columns, "source_size", "target", "repeats")
+    if split:
+        # One unit of a source at most: its rows are counted by all they hold, and the first of them get one more.
+        names = [*keyed.columns, "source_size", "target", "whole"]
+        same = joined.where(parted).withColumn("_hash", F.xxhash64(F.to_json(F.struct(*keyed.columns)))).groupBy("source", "_hash")
+        same = same.agg(*[F.first(c).alias(c) for c in names if c != "source"], F.first("_last._fit").alias("_fit"), F.count(F.lit(1)).alias("_n"))
+        earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        each = same.withColumn("_more", F.col("_fit") - earlier).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+        out = out.unionByName(each.withColumn("repeats", F.col("whole") + F.when(F.col("_i") <= F.col("_more"), 1).otherwise(0)).select(*out.columns))
+    return out.withColumn("taken", F.col("repeats") * F.col("size"))
 
 
 def mix_plan_for(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 9) -> DataFrame:
