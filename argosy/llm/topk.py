@@ -77,11 +77,11 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, scale: float = 2
     form = lambda df: df.select(F.col(id_col).cast("long").alias("_id"), integers(F.col(vector_col), scale).alias("_v")).where("_id is not null and _v is not null").withColumn("_dim", F.size("_v"))
     asked, held = form(queries).withColumn("_form", F.xxhash64("_v")).dropDuplicates(["_id", "_form"]), form(vectors)
     n_tiles, n_shards = max(1, -(-asked.count() // QUERY_TILE)), max(1, -(-held.count() // SHARD_ROWS))
-    dealt = lambda n: F.pmod(F.xxhash64("_id", F.lit(n)), F.lit(n)).cast("int")
+    # Rows that share an id may be a third of a table, so queries and vectors are dealt by their content and id together.
+    dealt = lambda n: F.pmod(F.xxhash64("_id", "_v", F.lit(n)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = asked.withColumn("_tile", dealt(n_tiles)).withColumn("_shard", each(n_shards))
-    # Rows that share an id may be a third of the table, so vectors are dealt by their content and id together.
-    held = held.withColumn("_shard", F.pmod(F.xxhash64("_id", "_v"), F.lit(n_shards)).cast("int")).withColumn("_tile", each(n_tiles))
+    held = held.withColumn("_shard", dealt(n_shards)).withColumn("_tile", each(n_tiles))
     keys = ["_tile", "_shard", "_dim"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best_of_tile(k), PARTIAL)
     lists, width = found.groupBy("query_id", "_form", "_shard").agg(_best(F.collect_list(_item()), k)), n_shards
