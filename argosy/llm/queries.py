@@ -100,6 +100,22 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_grams", "class_id", "n_links")
 
 
+#: Exact pairs of distinct n-gram sets, and the groups that they join.
+OP5 = r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+s as materialized (select doc_id, list_sort(list_distinct(case when len(ws) < 5 then case when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end
+  else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end)) as gs from d),
+f as materialized (select row_number() over () as f, gs, len(gs) as g, count(*) as n, min(doc_id) as least from s where len(gs) > 0 group by gs),
+x as materialized (select f, g, n, unnest(gs) as gram from f),
+p as materialized (select a.f as u, b.f as v, any_value(b.n) as n from x a join x b on a.gram = b.gram and a.f <> b.f group by a.f, b.f having 5 * count(*) >= 4 * (any_value(a.g) + any_value(b.g) - count(*))),
+r(u, v) as (select f, f from f union select r.u, p.v from r join p on r.v = p.u),
+c as (select r.u, min(least) as class_id from r join f on r.v = f.f group by r.u),
+l as (select u, sum(n) as n from p group by u)
+select doc_id, len(s.gs)::bigint as n_grams, case when f.f is null then doc_id else class_id end as class_id, (coalesce(l.n, 0) + coalesce(f.n - 1, 0))::bigint as n_links
+from s left join f on s.gs = f.gs left join c on c.u = f.f left join l on l.u = f.f
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE, pii.KINDS)
 
@@ -110,11 +126,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7 = r"""
-with l as (select doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
-  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
-c as (select k, max(doc_id) as last from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
-m as (select l.*, c.k is not null and l.doc_id <> c.last as gone from l left join c using (k))
-select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from m group by doc_id
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select r, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from d)),
+c as (select k, max(doc_id) as last from l where length(k) >= 20 group by k having count(distinct doc_id) + max((doc_id is null)::int) >= 3),
+m as (select l.*, c.k is not null and l.doc_id is distinct from c.last as gone from l left join c using (k))
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from m group by r
 """
 
 
@@ -127,7 +144,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9 = r"""
-with s as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('9:' || coalesce(doc_id::varchar, 'null')) as k from documents),
+with s as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('9:' || coalesce(doc_id::varchar, 'null') || ':' || coalesce(text, '')) as k from documents),
 w as (select source, sum(size)::bigint as source_size from s group by 1),
 a as (select *, [3.0, 1.0, 2.0][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int]::double as weight from w),
 b as (select *, source_size::double * 2.0::double as cap, cap / weight as ratio, (sum(source_size) over ())::double * 1.5::double as total, sum(weight) over () as weights from a),
@@ -157,4 +174,4 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op1_quality_rules": OP1, "op3_chat_format": OP3, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
+ORACLES = {"op1_quality_rules": OP1, "op3_chat_format": OP3, "op5_jaccard_join": OP5, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
