@@ -31,7 +31,7 @@ def statement(text: str, id: str) -> str:
     at = next((n for i, n, _ in T.markers(text) if i == id), None)
     if at is None:
         return ""
-    bare = lambda rows: T.MARKER.sub("", "\n".join(T.QUOTE.sub("", x) for x in rows)).strip()
+    bare = lambda rows: T.marker().sub("", "\n".join(T.QUOTE.sub("", x) for x in rows)).strip()
     same = (lambda x: bool(T.QUOTE.match(x))) if T.QUOTE.match(lines[at]) else (lambda x: bool(x.strip()) and not T.HEADING.match(x))
     first = last = at
     while first > 0 and same(lines[first - 1]):
@@ -159,17 +159,23 @@ def cite_bare_ids(text: str, titles: dict[str, str], destinations: dict[str, str
     return "\n".join(out)
 
 
-def add_marker(text: str, line: int, id: str) -> str:
-    """The text with a statement marker after the line's last character."""
-    lines = text.split("\n")
-    held = lines[line - 1]
-    lines[line - 1] = f"{held.rstrip(' \t')} <!-- node-id: {id} -->" + held[len(held.rstrip(" \t")) :]
+def add_marker(text: str, line: int, id: str, prefix: str = T.PREFIX) -> str:
+    """The text with a statement marker after the line's last character; unchanged if the line has it."""
+    lines, own = text.split("\n"), f"<!-- {prefix}: {id} -->"
+    body, rest = re.fullmatch(r"(?s)(.*?)([ \t]*)", lines[line - 1]).groups()
+    if own not in body:
+        lines[line - 1] = f"{body} {own}{rest}"
     return "\n".join(lines)
 
 
-def move_marker(text: str, line: int, id: str) -> str:
+def drop_marker(text: str, id: str, prefix: str = T.PREFIX) -> str:
+    """The text without the id's markers."""
+    return re.sub(rf"[ \t]*<!--\s*{re.escape(prefix)}:\s*{id}\s*-->", "", text)
+
+
+def move_marker(text: str, line: int, id: str, prefix: str = T.PREFIX) -> str:
     """The text with the id's marker on another line."""
-    return add_marker(re.sub(rf"\s*<!--\s*[a-z]+-id:\s*{id}\s*-->", "", text), line, id)
+    return add_marker(drop_marker(text, id, prefix), line, id, prefix)
 
 
 def repoint(text: str, moved: dict[str, str]) -> str:

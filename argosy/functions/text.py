@@ -6,28 +6,36 @@ the `*_of` functions apply them to a table (path, text) in Arrow batches.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import posixpath
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Link, definition, marker, markup and maths patterns.
 LINK = re.compile(r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*(<[^>]*>|[^)\s]+)(?:\s+(\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)")
 REFERENCE = re.compile(r"(?m)^[ \t]{0,3}\[[^\[\]^][^\[\]]*\]:[ \t]*(<[^>]*>|\S+)[ \t]*(?:\"[^\"]*\"|'[^']*'|\([^)]*\))?[ \t]*$")
-MARKER = re.compile(r"(?s)<!--\s*[a-z]+-id:\s*(.*?)\s*-->")
+#: What a statement marker's comment opens with, before its ids; a parameter wherever markers are read or written.
+PREFIX = "node-id"
 ID_TOKEN = re.compile(r"\b(?:clm|exp|ana|wrk|axm)-[a-z0-9]{6}\b")
-MARKUP, PLAIN_LINK, WIDE_SPACE = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>"), re.compile(r"\[([^\[\]]*)\]\([^()]*\)"), re.compile("  +")
+MARKUP, PLAIN_LINK = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>"), re.compile(r"\[([^\[\]]*)\]\([^()]*\)")
+GONE = "\uffff"  # no character
+WORDS = regex.compile(r"[\p{L}\p{N}](?:\uffff*[\p{L}\p{N}])*")
 MATHS = re.compile(r"\$`[^`]*`\$")
 FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[ \t]*(.*?)[ \t]*$")
 QUOTE = re.compile(r"^(?:[ \t]{0,3}>[ \t]?)+")
 HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*$")
 SYMBOL = re.compile(r"\\[A-Za-z]+(?:_\{[^{}]*\}|_[A-Za-z0-9])?|[A-Za-z](?:_\{[^{}]*\}|_[A-Za-z0-9])")
 STOP = re.compile("[.!?][\"')\\]*_`»”’]* ")
+INITIAL = re.compile(r"[A-Za-z]\.")
 OPENS = re.compile("[A-Z0-9$\\\\`*_(\\[\"'#—-]")
 # Words too common to tell statements apart, and tokens with a stop that ends no sentence.
 STOPWORDS = frozenset(
@@ -53,17 +61,17 @@ def _blank(text: str) -> str:
 def blank_inline(text: str) -> str:
     """Inline maths and code spans as spaces; a run of n backticks closes at the next run of exactly n on its line."""
     text = MATHS.sub(lambda m: _blank(m[0]), text)
-    runs = [(m.start(), m.end()) for m in re.finditer("`+", text)]
-    out, last, i = [], 0, 0
-    while i < len(runs):
-        a, b = runs[i]
-        close = next((j for j in range(i + 1, len(runs)) if runs[j][1] - runs[j][0] == b - a), None)
-        if close is None or "\n" in text[b : runs[close][0]]:
-            i += 1
-            continue
-        out += [text[last:a], _blank(text[a : runs[close][1]])]
-        last, i = runs[close][1], close + 1
-    return "".join([*out, text[last:]])
+    runs = [m.span() for m in re.finditer("`+", text)]
+    closes, later = {}, {}
+    for a, b in reversed(runs):
+        closes[a], later[b - a] = later.get(b - a), (a, b)
+    spans, at = [], 0
+    for a, b in runs:
+        close = closes[a]
+        if a >= at and close and "\n" not in text[b : close[0]]:
+            spans.append((a, close[1]))
+            at = close[1]
+    return "".join(part for (_, end), (a, b) in itertools.pairwise([(0, 0), *spans, (len(text), len(text))]) for part in (text[end:a], _blank(text[a:b])))
 
 
 def fences(lines: list[str]) -> list[tuple[int, int, str]]:
@@ -97,14 +105,21 @@ def links(line: str) -> list[tuple[str, str, str, int, int]]:
     return [(m[1], m[2], m[3][1:-1] if m[3] else "", m.start(), m.end()) for m in LINK.finditer(line)]
 
 
-def markers(text: str) -> list[tuple[str, int, int]]:
+@functools.cache
+def marker(prefix: str = PREFIX) -> re.Pattern:
+    """The pattern of statement markers."""
+    return re.compile(rf"(?s)<!--\s*{re.escape(prefix)}:\s*(.*?)\s*-->")
+
+
+def markers(text: str, prefix: str = PREFIX) -> list[tuple[str, int, int]]:
     """Id, line (from 0), offset of every statement marker; works and axioms are hosted nowhere."""
-    return [(i, text.count("\n", 0, m.start()), m.start()) for m in MARKER.finditer(text) for i in re.findall(r"(?:clm|exp|ana)-[a-z0-9]{6}", m[1])]
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    return [(i, bisect_left(breaks, m.start()), m.start()) for m in marker(prefix).finditer(text) for i in re.findall(r"(?:clm|exp|ana)-[a-z0-9]{6}", m[1])]
 
 
-def bare_ids(line: str) -> list[str]:
+def bare_ids(line: str, prefix: str = PREFIX) -> list[str]:
     """Ids in prose: outside links, markers and definitions, or a link's whole text."""
-    shut = [m.span() for m in MARKER.finditer(line)] + [m.span() for m in REFERENCE.finditer(line)]
+    shut = [m.span() for m in marker(prefix).finditer(line)] + [m.span() for m in REFERENCE.finditer(line)]
     own = links(line)
     out = []
     for m in ID_TOKEN.finditer(line):
@@ -116,34 +131,25 @@ def bare_ids(line: str) -> list[str]:
     return out
 
 
-def folded(text: str) -> tuple[str, list[int]]:
-    """Markup and link targets dropped, letters and numbers lowered, other runs one space, two at a paragraph break; and where each character came from."""
-    gone = bytearray(len(text))
-    for m in MARKUP.finditer(text):
-        gone[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    for m in PLAIN_LINK.finditer(text):
-        gone[m.start()] = 1
-        gone[m.end(1) : m.end()] = b"\1" * (m.end() - m.end(1))
-    wide = {i for m in WIDE_SPACE.finditer(text) for i in range(*m.span())}
-    out: list[str] = []
-    index: list[int] = []
-    gap = 0
-    for i, c in enumerate(text):
-        if gone[i]:
-            continue
-        if unicodedata.category(c)[0] in "LN":
-            piece = " " * (gap if out else 0) + c.lower()
-            out.append(piece)
-            index += [i] * len(piece)
-            gap = 0
-        else:
-            gap = max(gap, 2 if i in wide else 1)
-    return "".join(out), index
+def words(text: str) -> list[tuple[int, bool, str]]:
+    """Place, whether a wide gap (two spaces in a row) stands before it, and lower-cased form of every run of letters and numbers.
+
+    Markup and all of a link but its text is filled up with GONE first, so that places stay and words join across it.
+    """
+    bare = PLAIN_LINK.sub(lambda m: GONE + m[1] + GONE * (len(m[0]) - len(m[1]) - 1), text.replace(GONE, "."))
+    bare = MARKUP.sub(lambda m: GONE * len(m[0]), bare)
+    out, end = [], 0
+    for m in WORDS.finditer(bare):
+        word = m[0].replace(GONE, "")
+        # By the letter: a sigma at the end stays one.
+        out.append((m.start(), "  " in bare[end : m.start()], "".join(map(str.lower, word)) if "Σ" in word else word.lower()))
+        end = m.end()
+    return out
 
 
 def canonical(text: str) -> str:
-    """The folded text alone."""
-    return folded(text)[0]
+    """The words by one space, or by two over a wide gap."""
+    return "".join(("  " if wide else " ") + w for _, wide, w in words(text)).lstrip(" ")
 
 
 def slug(heading: str) -> str:
@@ -156,16 +162,14 @@ def slug(heading: str) -> str:
 
 def slugs(headings: list[str]) -> list[str]:
     """Anchors of a document's headings in order; a taken one gets the first free number."""
-    seen: dict[str, int] = {}
-    out = []
-    for h in headings:
-        base = anchor = slug(h)
-        while anchor in seen:
-            seen[base] += 1
-            anchor = f"{base}-{seen[base]}"
-        seen[anchor] = 0
-        out.append(anchor)
-    return out
+    taken: dict[str, int] = {}  # anchor: the last number it was given
+    for base in map(slug, headings):
+        free = (n for n in itertools.count(taken.get(base, 0) + 1) if f"{base}-{n}" not in taken)
+        if base in taken:
+            taken[base] = n = next(free)
+            base = f"{base}-{n}"
+        taken[base] = 0
+    return list(taken)
 
 
 def headings(text: str) -> list[tuple[int, int, str]]:
@@ -186,21 +190,44 @@ def symbols(text: str) -> list[str]:
 
 
 def terms(text: str) -> list[str]:
-    """Folded words of more than two letters that aren't digits or stop words, then maths symbols."""
-    return [w for w in canonical(text).split() if len(w) > 2 and not w.isdigit() and w not in STOPWORDS] + symbols(text)
+    """Folded words of more than two letters that aren't all digits or stop words, then maths symbols."""
+    return [w for _, _, w in words(text) if len(w) > 2 and not w.isdecimal() and w not in STOPWORDS] + symbols(text)
+
+
+def plain_terms(text: Column) -> Column:
+    """`terms` without maths, in the JVM."""
+    bare = F.regexp_replace(F.regexp_replace(F.translate(text, GONE + "Σ", ".σ"), PLAIN_LINK.pattern, f"{GONE}$1{GONE}"), "(?d)" + MARKUP.pattern, "")
+    found = F.regexp_extract_all(F.replace(bare, F.lit(GONE), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.filter(F.transform(found, F.lower), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\p{Nd}+$") & ~w.isin(*sorted(STOPWORDS)))
+
+
+def terms_of(text: Column) -> Column:
+    """`terms` as a column: only texts with maths or fences are handed to Python, for their symbols."""
+    maths = F.when(F.contains(text, F.lit("$`")) | F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~")), text)
+    return F.concat(plain_terms(text), F.coalesce(udf(symbols, "array<string>")(maths), F.array().cast("array<string>")))
+
+
+def _within(text: str, sign: str) -> Callable[[int], bool]:
+    """Whether a place lies between an odd and an even unescaped sign."""
+    marks = [m.start() for m in re.finditer(rf"(?<!\\){re.escape(sign)}", text)]
+    return lambda at: bisect_left(marks, at) % 2 == 1
+
+
+def sentence_ends(text: str) -> list[int]:
+    """Where a sentence ends before another: at stops before a space and an opening character, outside code and maths, not after abbreviations or initials."""
+    maths, code = _within(text, "$"), _within(text, "`")
+
+    def ends(stop: re.Match) -> bool:
+        token = text[text.rfind(" ", 0, stop.end() - 1) + 1 : stop.end() - 1]
+        return bool(OPENS.match(text, stop.end())) and token.lower() not in ABBREVIATIONS and not INITIAL.fullmatch(token) and not maths(stop.start()) and not code(stop.start())
+
+    return [stop.end() - 1 for stop in STOP.finditer(text) if ends(stop)]
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences of one collapsed paragraph: stops before an opening character, outside code and maths, not after abbreviations."""
-    out, start = [], 0
-    for m in STOP.finditer(text):
-        end = m.end() - 1
-        token = text[:end].rsplit(" ", 1)[-1]
-        inside = any(len(re.findall(rf"(?<!\\){re.escape(d)}", text[: m.start()])) % 2 for d in "$`")
-        if end > start and end + 1 < len(text) and OPENS.match(text[end + 1]) and not inside and token.lower() not in ABBREVIATIONS and not re.fullmatch(r"[A-Za-z]\.", token):
-            out.append(text[start:end])
-            start = end + 1
-    return [*out, text[start:]] if start < len(text) else out
+    """Sentences of one collapsed paragraph."""
+    ends = sentence_ends(text)
+    return [x for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(text)], strict=True) if (x := text[a:b])]
 
 
 def resolved(source: str, target: str) -> tuple[str, str]:
@@ -219,19 +246,21 @@ def locality(a: str, b: str) -> str:
 
 
 def excerpt_lines(document: str, excerpt: str) -> list[int]:
-    """Lines (from 1) that an excerpt begins on: searched collapsed, else folded."""
+    """Lines (from 1) that an excerpt begins on: searched collapsed, else by its words."""
     lines = [normal_space(QUOTE.sub("", x)) for x in document.splitlines()]
-    starts, at = [], 0
-    for x in lines:
-        starts.append(at)
-        at += len(x) + 1
+    starts = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
     body, wanted = " ".join(lines), normal_space(excerpt)
-    line_of = lambda i: sum(s <= i for s in starts)
-    if wanted and (found := [m.start() for m in re.finditer(f"(?={re.escape(wanted)})", body)]):
-        return [line_of(i) for i in found]
-    low, index = folded(body)
-    wanted = canonical(wanted)
-    return [line_of(i) for i in dict.fromkeys(index[m.start()] for m in re.finditer(f"(?={re.escape(wanted)})", low))] if wanted else []
+    line_of = lambda at: bisect_right(starts, at, hi=len(lines))
+    if wanted and (found := [line_of(m.start()) for m in re.finditer(f"(?={re.escape(wanted)})", body)]):
+        return found
+    own, wanted = words(body), canonical(wanted)
+    if not wanted:
+        return []
+    pieces = [("  " if wide else " ") + w for _, wide, w in own]
+    begins, low = [0, *itertools.accumulate(map(len, pieces))], "".join(pieces)
+    # A hit may begin inside a word; it counts where that word stands, once for each place.
+    hits = dict.fromkeys((i := bisect_right(begins, m.start()) - 1, m.start() - begins[i]) for m in re.finditer(f"(?={re.escape(wanted)})", low))
+    return [line_of(own[i][0]) for i, _ in hits]
 
 
 def udf(fn, kind: str):
@@ -266,11 +295,11 @@ def headings_of(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.explode(udf(find, "array<struct<line: int, level: int, heading: string, anchor: string>>")("text")).alias("h")).select("path", "h.*")
 
 
-def markers_of(docs: DataFrame) -> DataFrame:
+def markers_of(docs: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """path, id, line (from 1), offset of every statement marker."""
 
     def find(text: str):
-        return [{"id": i, "line": n + 1, "offset": o} for i, n, o in markers(text)]
+        return [{"id": i, "line": n + 1, "offset": o} for i, n, o in markers(text, prefix)]
 
     return docs.select("path", F.explode(udf(find, "array<struct<id: string, line: int, offset: int>>")("text")).alias("m")).select("path", "m.*")
 
