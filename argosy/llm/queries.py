@@ -11,7 +11,7 @@ from .common import sha256_hex, table
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "n_holdout", *[f"cutoff_{s}" for s in quality.GRID])
 
 
 OP1 = r"""
@@ -25,19 +25,24 @@ c as materialized (select doc_id, case when lang in ('en', 'de', 'fr', 'es') the
   from w left join n on w.r = n.r left join l on w.r = l.r),
 s as (select *, case when n_words > 0 then n_symbols / n_words else 0 end as symbols, case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_lines,
   case when n_words > 0 then n_repeat_words / n_words else 0 end as repeat_words, case when n_words > 0 then word_chars / n_words else 0 end as word_length from c),
-q as (select stratum, quality, unnest([{'s': 'symbols', 'b': least(64, ceil(symbols * 64))}, {'s': 'dup_lines', 'b': least(64, ceil(dup_lines * 64))}, {'s': 'repeat_words', 'b': least(64, ceil(repeat_words * 64))}, {'s': 'word_length', 'b': least(64, ceil(word_length * 2))}]) as x
-  from s join labels on s.doc_id = labels.doc_id where quality in (0, 1)),
+m as (select doc_id, min(quality) as quality from labels where quality in (0, 1) group by 1),
+o as (select s.doc_id, min(stratum) as s, min(m.quality) as quality, max(symbols) as symbols, max(dup_lines) as dup_lines, max(repeat_words) as repeat_words, max(word_length) as word_length from s join m on s.doc_id = m.doc_id group by 1),
+own as (select s from o group by 1 having sum(quality) >= ceil(ln(0.05::double / 24) / ln(0.995::double))),
+q as (select case when s in (select s from own) then s else 'pool' end as stratum, quality, unnest([{'s': 'symbols', 'b': least(64, ceil(symbols * 64))}, {'s': 'dup_lines', 'b': least(64, ceil(dup_lines * 64))}, {'s': 'repeat_words', 'b': least(64, ceil(repeat_words * 64))}, {'s': 'word_length', 'b': least(64, ceil(word_length * 2))}]) as x from o),
 f as (select stratum, x.s as signal, x.b::int as bin, sum(quality) as good, sum(1 - quality) as bad from q group by all),
-d as (select * from (select unnest(['en', 'de', 'fr', 'es', 'other']) as stratum), (select unnest(['symbols', 'dup_lines', 'repeat_words', 'word_length']) as signal), (select unnest(range(65))::int as bin)),
+d as (select * from (select unnest(['en', 'de', 'fr', 'es', 'other', 'pool']) as stratum), (select unnest(['symbols', 'dup_lines', 'repeat_words', 'word_length']) as signal), (select unnest(range(65))::int as bin)),
 a as (select stratum, signal, bin as step, sum(coalesce(good, 0)) over t as n_good, sum(coalesce(bad, 0)) over t as n_bad, coalesce(sum(coalesce(good, 0)) over u, 0) as n_false, coalesce(sum(coalesce(bad, 0)) over u, 0) as n_true
   from d left join f using (stratum, signal, bin) window t as (partition by stratum, signal), u as (partition by stratum, signal order by bin desc rows between unbounded preceding and 1 preceding)),
 e as (select *, case when n_good > 0 and n_false < n_good * 0.005::double then list_sum(list_transform(range(n_false::bigint + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln(0.005::double) + (n_good - j) * ln(0.995::double)))) else 1 end as p_value,
   case when n_bad > 0 then n_true / n_bad else 0 end - case when n_good > 0 then n_false / n_good else 0 end as gain from a where step < 64),
-h as (select *, max(p_value) over (partition by stratum, signal order by step desc) <= 0.05::double / 20 as certified from e),
+h as (select *, max(p_value) over (partition by stratum, signal order by step desc) <= 0.05::double / 24 as certified from e),
 k as (select stratum, signal, (case signal when 'word_length' then 0.5 else 1.0 / 64 end)::double * max({'g': gain, 's': step}).s as cutoff from h where certified and gain > 0 group by stratum, signal),
 v as (select stratum, max(cutoff) filter (signal = 'symbols') as a, max(cutoff) filter (signal = 'dup_lines') as b, max(cutoff) filter (signal = 'repeat_words') as c, max(cutoff) filter (signal = 'word_length') as d from k group by 1),
-z as (select s.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(symbols > v.a, false) or coalesce(dup_lines > v.b, false) or coalesce(repeat_words > v.c, false) or coalesce(word_length > v.d, false) as rejected from s left join v using (stratum))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept from z
+y as (select * replace (case when stratum in (select s from own) then stratum else 'pool' end as stratum) from s),
+c2 as (select stratum, max(n_good)::bigint as n_holdout from a group by 1),
+z as (select y.*, n_holdout, v.a, v.b, v.c, v.d, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(symbols > v.a, false) or coalesce(dup_lines > v.b, false) or coalesce(repeat_words > v.c, false) or coalesce(word_length > v.d, false) as rejected
+  from y left join v using (stratum) left join c2 using (stratum))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept, stratum, n_holdout, a as cutoff_symbols, b as cutoff_dup_lines, c as cutoff_repeat_words, d as cutoff_word_length from z
 """
 
 

@@ -252,6 +252,20 @@ def test_exact_search_matches_brute_force(spark, monkeypatch):
     assert topk.exact_top_k(df.limit(0), df, 5).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_quality_oracle_where_cutoffs_are_certified(spark, tmp_path):
+    rng = random.Random(12)
+    lang = lambda i: "en" if i < 3000 else ("de", "fr", "xx", None)[i % 4]
+    rows = [(i, words(60, i) + (" ###" * 30 if i % 5 == 0 else ""), lang(i), "a") for i in range(4700)] + [(0, words(55, 0), "en", "a"), (None, words(55, 1), "en", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, int(i % 5 != 0)) for i in range(4700)] + [(i, 0) for i in rng.sample(range(4700), 5)] + [(7, 3), (99999, 1), (None, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    same(spark, "op1_quality_rules", str(tmp_path))
+    got = {r.stratum: r for r in queries.op1_quality_rules(spark, str(tmp_path)).collect()}
+    assert set(got) == {"en", "pool"} and got["pool"].n_holdout < got["en"].n_holdout
+    assert got["en"].cutoff_symbols is not None and got["pool"].cutoff_symbols is not None
+
+
 def test_mixing_meets_targets_beside_repeated_rows(spark):
     text = words(10, 1)
     hot = [(1, text, "en", "b")] * 950 + [(100 + i, words(10, i), "en", "b") for i in range(50)]
