@@ -7,6 +7,9 @@ import posixpath
 import re
 import textwrap
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from argosy.functions import text as T
 
 # Block kinds that no premise relation can hold, and the kinds that a hand-written mention names.
@@ -26,24 +29,35 @@ def section(text: str, anchor: str) -> str | None:
 
 
 def statement(text: str, id: str) -> str:
-    """What a marker marks: its section if it stands under a heading, its quote if it is quoted, else its paragraph; markers are left out."""
-    lines = text.splitlines()
-    at = next((n for i, n, _ in T.markers(text) if i == id), None)
-    if at is None:
-        return ""
+    """What an id's first marker marks, "" without one."""
+    return statements(text).get(id, "")
+
+
+def statements(text: str) -> dict[str, str]:
+    """For each id what its first marker marks: its section if it stands under a heading, its quote if it is quoted, else its paragraph; markers are left out."""
+    lines, heads, out = text.splitlines(), T.headings(text), {}
     bare = lambda rows: T.marker().sub("", "\n".join(T.QUOTE.sub("", x) for x in rows)).strip()
-    same = (lambda x: bool(T.QUOTE.match(x))) if T.QUOTE.match(lines[at]) else (lambda x: bool(x.strip()) and not T.HEADING.match(x))
-    first = last = at
-    while first > 0 and same(lines[first - 1]):
-        first -= 1
-    while last + 1 < len(lines) and same(lines[last + 1]):
-        last += 1
-    own = bare(lines[first : last + 1])
-    if own or first == 0 or not T.HEADING.match(lines[first - 1]):
-        return own
-    level = len(T.HEADING.match(lines[first - 1])[1])
-    end = next((n for n, k, _ in T.headings(text) if n > first and k <= level), len(lines) + 1)
-    return bare(lines[last + 1 : end - 1])
+    for id, at, _ in T.markers(text):
+        if id in out:
+            continue
+        same = (lambda x: bool(T.QUOTE.match(x))) if T.QUOTE.match(lines[at]) else (lambda x: bool(x.strip()) and not T.HEADING.match(x))
+        first = last = at
+        while first > 0 and same(lines[first - 1]):
+            first -= 1
+        while last + 1 < len(lines) and same(lines[last + 1]):
+            last += 1
+        own = bare(lines[first : last + 1])
+        if not own and first > 0 and (above := T.HEADING.match(lines[first - 1])):
+            end = next((n for n, k, _ in heads if n > first and k <= len(above[1])), len(lines) + 1)
+            own = bare(lines[last + 1 : end - 1])
+        out[id] = own
+    return out
+
+
+def statements_of(docs: DataFrame) -> DataFrame:
+    """id, statement of every marked id in (path, text); of documents that mark an id the first by path counts."""
+    found = docs.select("path", F.explode(T.udf(statements, "map<string, string>")("text")).alias("id", "statement"))
+    return found.groupBy("id").agg(F.min_by("statement", "path").alias("statement"))
 
 
 def child_list(source: str, text: str) -> list[str]:
@@ -101,6 +115,12 @@ def mentions(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def mentions_of(docs: DataFrame) -> DataFrame:
+    """path, rank (from 1), kind, number of every mention by hand in (path, text)."""
+    find = T.udf(lambda x: [{"kind": k, "number": n} for k, n in mentions(x)], "array<struct<kind: string, number: string>>")
+    return docs.select("path", F.posexplode(find("text")).alias("at", "m")).select("path", (F.col("at") + 1).alias("rank"), "m.kind", "m.number")
+
+
 def bibliography(text: str) -> list[str]:
     """Keys of a reference list's entries, in order."""
     return [m[1] for line in T.strip_code(text).splitlines() if (m := re.match(r"\s*(?:[-*+]\s+)?\[(?:\^)?([^\]\s]+)\]:?\s+\S", T.QUOTE.sub("", line)))]

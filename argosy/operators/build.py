@@ -158,12 +158,18 @@ def multiset_diff(left: DataFrame, right: DataFrame, columns: Sequence[str]) ->
     return joined.where("d <> 0").select(*columns, F.greatest("d", F.lit(0)).alias("lost"), F.greatest(-F.col("d"), F.lit(0)).alias("added"))
 
 
-def modulo_ids(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges with natural keys (kind, title, host) for ids, to compare two builds."""
-    key = F.concat_ws("|", "kind", "title", "host")
+def modulo_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """part (node or edge), key, to_key, relation, value of every node and edge, with natural keys (kind, title, host) for ids."""
+    key = F.concat_ws("|", "kind", F.coalesce("title", F.lit("")), F.coalesce("host", F.lit("")))
     named = nodes.select(F.col("id").alias("_id"), key.alias("_key"))
-    ends = edges.join(named.withColumnsRenamed({"_id": "_s", "_key": "from"}), F.col("source") == F.col("_s")).join(named.withColumnsRenamed({"_id": "_t", "_key": "to"}), F.col("target") == F.col("_t"))
-    return nodes.select(key.alias("key"), "rigor"), ends.select("relation", "from", "to", "bearing")
+    ends = edges.join(named.withColumnsRenamed({"_id": "_s", "_key": "key"}), F.col("source") == F.col("_s")).join(named.withColumnsRenamed({"_id": "_t", "_key": "to_key"}), F.col("target") == F.col("_t"))
+    rows = nodes.select(F.lit("node").alias("part"), key.alias("key"), F.lit("").alias("to_key"), F.lit("").alias("relation"), F.col("rigor").alias("value"))
+    return rows.unionByName(ends.select(F.lit("edge").alias("part"), "key", "to_key", "relation", F.col("bearing").alias("value")))
+
+
+def modulo_diff(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """What two graphs (nodes, edges) have more often than each other, whatever their ids."""
+    return multiset_diff(modulo_ids(*left), modulo_ids(*right), ["part", "key", "to_key", "relation", "value"])
 
 
 def volume_bundles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -232,3 +238,13 @@ def compensated(values: Column) -> Column:
         return F.struct(t.alias("s"), (a["c"] + F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - t) + x).otherwise((x - t) + a["s"])).alias("c"))
 
     return F.aggregate(values, zero, step, lambda a: a["s"] + a["c"])
+
+
+def compensated_sums(df: DataFrame, key: str, order: str, value: str, block: int = 10_000) -> DataFrame:
+    """key, total, n: each key's Neumaier sum in the order of an integer column; blocks of that column are summed each in a task, then joined in order."""
+    part = F.floor(F.col(order) / block)
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    inner = df.where(F.col(value).isNotNull()).groupBy(key, part.alias("_b")).agg(rows.alias("rows"), F.count(F.lit(1)).alias("n"))
+    inner = inner.select(key, "_b", "n", compensated(F.transform("rows", lambda x: x["v"])).alias("s"))
+    sums = F.sort_array(F.collect_list(F.struct("_b", "s")))
+    return inner.groupBy(key).agg(compensated(F.transform(sums, lambda x: x["s"])).alias("total"), F.sum("n").alias("n"))

@@ -102,7 +102,7 @@ def edges_of(edges: DataFrame, relations: Sequence[str] = (), id: str | None = N
     if id is not None:
         at = {"in": F.col("target") == id, "out": F.col("source") == id}
         held &= at.get(direction, at["in"] | at["out"])
-    found = edges.where(held).select("relation", "replaced_relation", "source", "target", "context", bearing_text(F.col("bearing"), F.col("bearing_pending")).alias("bearing"))
+    found = edges.where(held).select("relation", "replaced_relation", "source", "target", "context", "bearing", "bearing_pending")
     return found.orderBy(relation_rank(F.col("relation")), "source", "target", relation_rank(F.col("replaced_relation")).asc_nulls_first())
 
 

@@ -1,13 +1,17 @@
-"""Rendering: record files, summary pages, DOT sheets, reference footers. Text is assembled by aggregates; one row is one file."""
+"""Rendering: record files, summary pages, DOT sheets, reference footers. Every line is a row; parts of a file are put together by aggregates."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.functions.graph import display, relation_rank
+from argosy.functions.graph import band, display, relation_rank, scoring
 from argosy.operators.graph import transitive_reduction
+from argosy.operators.prefix import before
+from argosy.operators.strength import trace_text
 from argosy.plans.star import settle
 
 STROKES = {"supports": "solid", "founds": "bold", "lifts": "dashed", "refutes": "dotted", "demoted": "dotted constraint=false"}
@@ -22,30 +26,114 @@ def number(x: Column) -> Column:
     return F.when(x.isNotNull(), T.udf(lambda v: repr(float(v)), "string")(x))
 
 
-def joined(df: DataFrame, by: str, order: list[Column], line: Column, name: str) -> DataFrame:
-    """One text for each value of `by`: its lines in order."""
-    keyed = df.select(by, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")).alias("s"))
-    return keyed.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["line"]), "\n").alias(name))
-
-
-def pages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """path, text: a summary page for each volume: its claims and analyses with strength and incoming edges."""
-    lines = edges.where(F.col("relation") != "references").select(F.col("target").alias("_t"), F.struct(relation_rank(F.col("relation")).alias("r"), F.col("source").alias("s"), F.concat(F.lit("  - "), "relation", F.lit(" "), "source")).alias("e"))
-    listed = lines.groupBy("_t").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["col3"]), "\n").alias("edges"))
-    own = nodes.where("host is not null and kind in ('claim', 'analysis')").join(listed, F.col("id") == F.col("_t"), "left")
-    entry = F.concat_ws("\n", F.concat(F.lit("- "), "id", F.lit(": "), "title", F.lit(" ("), display(F.col("strength")), F.lit(")")), "edges")
-    return joined(own.withColumn("volume", F.substring_index("host", "/", 1)), "volume", [F.col("host"), F.col("id")], entry, "text").select(F.concat("volume", F.lit("/summary.md")).alias("path"), "text")
+def parts(df: DataFrame, by: str, order: Sequence[Column], line: Column, name: str, size: int = 1000) -> DataFrame:
+    """`by`, part (from 0) and text: each file's lines in order, `size` lines to a part. A file's parts joined by newlines are its text.
+
+    Places come from running sums over range partitions, so a file of any size is put together in many tasks.
+    """
+    keyed = df.select(by, *[o.alias(f"_o{i}") for i, o in enumerate(order)], line.alias("_line"))
+    ranked = before(keyed, [F.col(by), *[F.col(f"_o{i}") for i in range(len(order))]], {"_rank": F.lit(1)})
+    first = ranked.groupBy(F.col(by).alias("_by")).agg(F.min("_rank").alias("_first"))
+    placed = ranked.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn("part", F.floor((F.col("_rank") - F.col("_first")) / size).cast("int"))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_line"))), lambda s: s["_line"]), "\n")
+    return placed.groupBy(by, "part").agg(texts.alias(name))
+
+
+def write_files(texts: DataFrame, folder: str, path: str = "path", text: str = "text") -> None:
+    """Every file's parts below `folder`/path=..., in order: the files of one folder, concatenated by name, are the file."""
+    texts.repartitionByRange(F.col(path), F.col("part")).sortWithinPartitions(path, "part").select(path, text).write.mode("overwrite").partitionBy(path).text(folder)
+
+
+#: A page's lists by the relations they hold, and whose entry an edge stands on: a reference on its source's, all others on their target's.
+LISTS = {"supports": ("rests-on", 7), "founds": ("rests-on", 7), "lifts": ("lifted-by", 9), "refutes": ("refuted-by", 11), "references": ("references", 13), "demoted": ("demoted", 15)}
+
+
+def listed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, sec, list, line, order columns of every bullet of an entry's lists."""
+    on_source = F.col("relation") == "references"
+    name, sec = (F.element_at(F.create_map(*[x for r, v in LISTS.items() for x in (F.lit(r), F.lit(v[i]))]), F.col("relation")) for i in (0, 1))
+    routed = edges.select("*", F.when(on_source, F.col("source")).otherwise(F.col("target")).alias("id"), F.when(on_source, F.col("target")).otherwise(F.col("source")).alias("other"), name.alias("list"), sec.alias("sec"))
+    far = nodes.select(F.col("id").alias("_o"), F.col("title").alias("_title"), F.when(F.col("kind").isin("claim", "analysis"), display(F.col("strength"))).alias("_shown"))
+    bearing = F.when(F.col("bearing_pending"), F.lit("pending")).otherwise(number(F.col("bearing")))
+    bit = lambda before, x, after: F.coalesce(F.concat(F.lit(before), x, F.lit(after)), F.lit(""))
+    line = F.concat(
+        F.lit("  - "), "other", bit(" — ", F.col("_title"), ""), bit(" (", F.when(scoring(F.col("relation")), F.col("_shown")), ")"), bit(" (demoted from ", F.col("replaced_relation"), ")"),
+        bit(" [", bearing, "]"), bit(" [", F.when(F.col("context") != "", F.col("context")), "]"),
+    )
+    return routed.join(far, F.col("other") == F.col("_o"), "left").select("id", F.col("sec") + 1, "list", line.alias("line"), relation_rank(F.col("relation")).alias("r"), "other").toDF("id", "sec", "list", "line", "r", "other")
+
+
+def page_lines(nodes: DataFrame, edges: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """path, place (order of the entry), id, sec, r, other, line: every line of the summary pages.
+
+    A volume's page holds its hosted nodes by host and id, works.md the works by label. `leaves` (id, leaf): documents that name a node.
+    """
+    held = nodes.where("host is not null or kind = 'work'").select("*", F.when(F.col("kind") == "work", "works.md").otherwise(F.concat(F.substring_index("host", "/", 1), F.lit("/summary.md"))).alias("path"))
+    place = F.struct(F.coalesce("host", "label", F.lit("")).alias("at"), F.col("id").alias("by"))
+    derived = F.col("kind").isin("claim", "analysis")
+    named = held.select("id", F.lit("").alias("leaf")).limit(0) if leaves is None else leaves.select("id", "leaf")
+    footer = named.groupBy(F.col("id").alias("_f")).agg(F.array_join(F.sort_array(F.collect_set("leaf")), ", ").alias("_leaves"))
+    traced = trace_text(nodes).select(F.col("id").alias("_tr"), "trace")
+    full = held.join(footer, F.col("id") == F.col("_f"), "left").join(traced, F.col("id") == F.col("_tr"), "left")
+    rows = F.array(*[
+        F.struct(F.lit(sec).alias("sec"), text.alias("line"))
+        for sec, text in (
+            (0, F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit(" <!-- node-id: "), "id", F.lit(" -->"))),
+            (1, F.lit("")),
+            (2, F.when(F.col("kind") != "work", F.concat(F.lit("Leaves: "), F.coalesce("_leaves", F.lit("none"))))),
+            (3, F.when(F.col("kind") != "work", F.lit(""))),
+            (4, F.lit("### Rigor")),
+            (5, F.when(F.col("kind") == "experiment", F.concat(F.lit("- status: "), "status"))),
+            (6, F.concat(F.lit("- rigor: "), F.coalesce(number(F.col("rigor")), F.lit("pending")), F.when(F.col("manually_scored"), F.lit(" (manual)")).otherwise(""))),
+            (18, F.when(derived, F.lit(""))),
+            (19, F.when(derived, F.lit("### Strength"))),
+            (20, F.when(derived, F.concat(display(F.col("strength")), F.when(F.col("trace") != "", F.concat(F.lit(" [= "), "trace", F.lit("]"))).otherwise("")))),
+            (21, F.lit("")),
+        )
+    ])
+    own = full.select("path", place.alias("place"), "id", F.explode(F.filter(rows, lambda x: x["line"].isNotNull())).alias("x")).select("path", "place", "id", "x.sec", F.lit(-1).alias("r"), F.lit("").alias("other"), "x.line")
+    items = listed(nodes, edges)
+    heads = items.select("id", (F.col("sec") - 1).alias("sec"), F.concat(F.lit("- "), "list", F.lit(":")).alias("line")).distinct().select("id", "sec", F.lit(-1).alias("r"), F.lit("").alias("other"), "line")
+    at = held.where(derived).select(F.col("id").alias("_i"), "path", place.alias("place"))
+    lists = items.select("id", "sec", "r", "other", "line").unionByName(heads).join(at, F.col("id") == F.col("_i")).select("path", "place", "id", "sec", "r", "other", "line")
+    return own.unionByName(lists)
+
+
+def pages(nodes: DataFrame, edges: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """path, part, text of the summary pages."""
+    lines = page_lines(nodes, edges, leaves)
+    return parts(lines, "path", [F.col("place"), F.col("sec"), F.col("r"), F.col("other"), F.col("line")], F.col("line"), "text")
+
+
+def page_anchors(headings: DataFrame) -> DataFrame:
+    """page, at, anchor of a page's headings (page, at: a total order, heading); a repeated slug takes the first free number.
+
+    Numbers count a slug's headings by running sums; only pages where a numbered anchor is also a heading of its own go through the slugger whole.
+    """
+    slugged = settle(headings.select("page", "at", "heading", T.udf(T.slug, "string")(F.concat(F.lit("# "), "heading")).alias("slug")))
+    ranked = before(slugged, [F.col("page"), F.col("slug"), F.col("at")], {"_rank": F.lit(1)})
+    first = ranked.groupBy(F.col("page").alias("_p"), F.col("slug").alias("_s")).agg(F.min("_rank").alias("_first"))
+    numbered = settle(ranked.join(first, (F.col("page") == F.col("_p")) & (F.col("slug") == F.col("_s"))).select("page", "at", "heading", "slug", (F.col("_rank") - F.col("_first")).alias("n")))
+    anchor = F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n"))
+    taken = numbered.where("n > 0").select("page", anchor.alias("slug")).join(slugged.select("page", "slug").distinct(), ["page", "slug"], "left_semi").select(F.col("page").alias("_odd")).distinct()
+
+    def whole(page):
+        page = page.sort_values("at")
+        return page.assign(anchor=T.slugs(["# " + h for h in page["heading"]]))[["page", "at", "anchor"]]
+
+    kind = dict(slugged.dtypes)
+    odd = slugged.join(taken, F.col("page") == F.col("_odd"), "left_semi").groupBy("page").applyInPandas(whole, f"page string, at {kind['at']}, anchor string")
+    return numbered.join(taken, F.col("page") == F.col("_odd"), "left_anti").select("page", "at", anchor.alias("anchor")).unionByName(odd)
 
 
 def _node_line(n: str = "id") -> Column:
     return F.concat(F.lit("  "), quoted(F.col(n)), F.lit(" [label="), quoted(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), display(F.col("strength")))), F.lit("];"))
 
 
-def _drawn(nodes: DataFrame, edges: DataFrame, whole: bool) -> DataFrame:
-    """volume, k, a, line of every sheet: nodes (k 0), ghosts, strokes (2). `whole`: the full sheet, its volume empty, in place of the volumes'."""
+def _drawn_rows(nodes: DataFrame, edges: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(volume, id) of every node or ghost and (volume, relation, source, target) of every stroke of every sheet, reduced. `whole`: the full sheet, its volume empty, in place of the volumes'."""
     group = F.when(F.col("host").contains("/"), F.substring_index("host", "/", 1)).otherwise("")
-    held = nodes.select("id", "title", "strength", (F.lit("") if whole else group).alias("volume"))
-    strokes = F.create_map(*[F.lit(x) for kv in STROKES.items() for x in kv])
+    held = nodes.select("id", (F.lit("") if whole else group).alias("volume"))
     drawn = edges.where(F.col("relation").isin(*STROKES)).select("relation", "source", "target").distinct()
     if whole:
         own, touch = held, drawn.withColumn("volume", F.lit(""))
@@ -55,38 +143,62 @@ def _drawn(nodes: DataFrame, edges: DataFrame, whole: bool) -> DataFrame:
         touch = near[0].unionByName(near[1]).distinct()
     touch = settle(touch)
     ends = touch.select("volume", F.col("source").alias("id")).union(touch.select("volume", F.col("target"))).distinct()
-    shown = ends.unionByName(own.select("volume", "id")).distinct()
-    named = shown.join(held.select("id", "title", "strength", F.lit(True).alias("_held")), "id", "left")
+    return settle(ends.unionByName(own.select("volume", "id")).distinct()), transitive_reduction(touch, "volume")
+
+
+def _drawn(nodes: DataFrame, edges: DataFrame, whole: bool) -> DataFrame:
+    """volume, k, a, b, c, line of every sheet: nodes (k 0), ghosts (1), strokes (2)."""
+    shown, kept = _drawn_rows(nodes, edges, whole)
+    strokes = F.create_map(*[F.lit(x) for kv in STROKES.items() for x in kv])
+    named = shown.join(nodes.select("id", "title", "strength", F.lit(True).alias("_held")), "id", "left")
     ghost = F.concat(F.lit("  "), quoted(F.col("id")), F.lit(' [style="dashed" label='), quoted(F.col("id")), F.lit("];"))
-    kept = transitive_reduction(touch, "volume")
     return named.select("volume", F.when(F.col("_held"), 0).otherwise(1).alias("k"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.when(F.col("_held"), _node_line()).otherwise(ghost).alias("line")).unionByName(
         kept.select("volume", F.lit(2).alias("k"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation").alias("c"), F.concat(F.lit("  "), quoted(F.col("source")), F.lit(" -> "), quoted(F.col("target")), F.lit(" [style="), F.element_at(strokes, F.col("relation")), F.lit("];")).alias("line"))
     )
 
 
 def _sheets(lines: DataFrame) -> DataFrame:
-    """One text for each sheet, in two steps, so that a large sheet's lines are put in order in many tasks."""
-    order = [F.col(c) for c in ("k", "a", "b", "c")]
-    block = lines.withColumn("_block", F.concat(F.col("k"), F.substring("a", 1, 8)))
-    texts = block.groupBy("volume", "_block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "line"))), lambda s: s["line"]), "\n").alias("text"))
-    return joined(texts, "volume", [F.col("_block")], F.col("text"), "body").select("volume", F.concat(F.lit("digraph claims {\n"), "body", F.lit("\n}\n")).alias("dot"))
+    """volume, part, dot: each sheet's lines in order between its first and last."""
+    ends = lines.select("volume").distinct().select("volume", F.explode(F.array(F.struct(F.lit(-1).alias("k"), F.lit("digraph claims {").alias("line")), F.struct(F.lit(9).alias("k"), F.lit("}").alias("line")))).alias("x"))
+    ends = ends.select("volume", "x.k", F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), "x.line")
+    return parts(lines.unionByName(ends), "volume", [F.col(c) for c in ("k", "a", "b", "c")], F.col("line"), "dot")
+
+
+def legend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """volume, item (kind, band or stroke), name, n: what a volume's sheet draws, and how often; ghosts are a kind."""
+    shown, strokes = _drawn_rows(nodes, edges, False)
+    named = shown.join(nodes.select(F.col("id").alias("_id"), "kind", band(F.col("strength")).alias("band")), F.col("id") == F.col("_id"), "left")
+    kinds = named.groupBy("volume", F.coalesce("kind", F.lit("ghost")).alias("name")).agg(F.count(F.lit(1)).alias("n")).select("volume", F.lit("kind").alias("item"), "name", "n")
+    bands = named.where("band is not null").groupBy("volume", F.col("band").alias("name")).agg(F.count(F.lit(1)).alias("n")).select("volume", F.lit("band").alias("item"), "name", "n")
+    counts = strokes.groupBy("volume", F.col("relation").alias("name")).agg(F.count(F.lit(1)).alias("n")).select("volume", F.lit("stroke").alias("item"), "name", "n")
+    return kinds.unionByName(bands).unionByName(counts)
+
+
+def digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """tail, head, premise, words: the edges between two volumes, premises (supports, founds) apart, as counts in listing order ("3 supports · 1 lifts")."""
+    volume = nodes.where("host is not null").select(F.col("id").alias("_id"), F.substring_index("host", "/", 1).alias("_v"))
+    drawn = edges.where(F.col("relation").isin(*STROKES)).select("relation", "source", "target").distinct()
+    joined = drawn.join(volume.withColumnsRenamed({"_id": "_s", "_v": "tail"}), F.col("source") == F.col("_s")).join(volume.withColumnsRenamed({"_id": "_t", "_v": "head"}), F.col("target") == F.col("_t")).where("tail <> head")
+    counts = joined.groupBy("tail", "head", F.col("relation").isin("supports", "founds").alias("premise"), "relation").agg(F.count(F.lit(1)).alias("n"))
+    item = F.struct(relation_rank(F.col("relation")).alias("r"), F.concat_ws(" ", "n", "relation").alias("w"))
+    return counts.groupBy("tail", "head", "premise").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["w"]), " · ").alias("words"))
 
 
 def sheet(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """volume, dot: each volume's nodes, those one edge away, ids that no record carries (ghosts), and the strokes with an end in the volume, one for each (source, target, relation), less the supports edges that others of the sheet make needless."""
+    """volume, part, dot: each volume's nodes, those one edge away, ids that no record carries (ghosts), and the strokes with an end in the volume, one for each (source, target, relation), less the supports edges that others of the sheet make needless."""
     return _sheets(_drawn(nodes, edges, False))
 
 
 def full_sheet(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """volume (empty), dot: all nodes, those without host too, ghosts and strokes, reduced."""
+    """volume (empty), part, dot: all nodes, those without host too, ghosts and strokes, reduced."""
     return _sheets(_drawn(nodes, edges, True))
 
 
 def record_file(nodes: DataFrame) -> DataFrame:
-    """kind, text: nodes as a YAML list in id order."""
+    """kind, part, text: nodes as a YAML list in id order."""
     value = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), quoted(F.col(c).cast("string"))))
     entry = F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), value("title"), value("label"), value("status"), F.concat(F.lit("  rigor: "), F.coalesce(number(F.col("rigor")), F.lit('"*pending*"'))))
-    return joined(nodes, "kind", [F.col("id")], entry, "text")
+    return parts(nodes, "kind", [F.col("id"), entry], entry, "text")
 
 
 def changed_files(wanted: DataFrame, standing: DataFrame) -> DataFrame:
@@ -101,11 +213,11 @@ def footers(links: DataFrame) -> DataFrame:
 
 
 def edge_file(edges: DataFrame) -> DataFrame:
-    """relation, text: edges as a YAML list in identity order."""
+    """relation, part, text: edges as a YAML list in identity order."""
     bearing = F.when(F.col("bearing_pending"), F.lit('\n  bearing: "*pending*"')).when(F.col("bearing").isNotNull(), F.concat(F.lit("\n  bearing: "), number(F.col("bearing")))).otherwise("")
     replaced = F.when(F.col("relation") == "demoted", F.concat(F.lit("\n  replaced-relation: "), quoted(F.coalesce("replaced_relation", F.lit(""))))).otherwise("")
     entry = F.concat(F.lit("- source: "), "source", F.lit("\n  target: "), "target", F.lit("\n  context: "), quoted(F.coalesce("context", F.lit(""))), replaced, bearing)
-    return joined(edges, "relation", [F.coalesce(relation_rank(F.col("replaced_relation")), F.lit(-1)), F.col("source"), F.col("target")], entry, "text")
+    return parts(edges, "relation", [F.coalesce(relation_rank(F.col("replaced_relation")), F.lit(-1)), F.col("source"), F.col("target"), entry], entry, "text")
 
 
 def volume_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:

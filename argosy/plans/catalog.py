@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,74 +12,14 @@ from argosy.functions import markdown as M
 from argosy.functions import text as T
 from argosy.operators import build, graph, query, render, score, strength, verify
 from argosy.plans import star
+from argosy.plans.registry import ORACLES, QUERIES, SCORED, on_graph, on_tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-_SCORED = "('supports', 'founds', 'lifts', 'refutes')"
-
-
-def _sql(text: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", text)
-
-
-def _level(name: str, seats: str, values: str) -> str:
-    """CTEs that fold the seats over the values known so far."""
-    return f"""
-{name}_s as materialized (select e.target as id, min(case when relation in ('supports', 'founds') then bearing * v end) as premise, max(case when relation = 'lifts' then bearing * v end) as lift,
-  min(case when relation = 'refutes' then 1.0::double - bearing * v end) as cap from e join {values} s on e.source = s.id where relation in {_SCORED} group by 1),
-{name} as materialized (select id, premise, lift, cap, case when held is null or cap is null then held else least(held, cap) end as v from (
-  select id, premise, lift, cap, case when d is null then lift when lift is null then d else greatest(d, lift) end as held from (
-    select n.id, premise, lift, cap, case when premise is null then case when kind = 'claim' then 0.0::double else rigor end when rigor is not null then least(rigor, premise) end as d
-    from n0 n left join {name}_s s on n.id = s.id where {seats})))"""
-
-
-#: The derived view in SQL: the levels of the star's graph, unrolled.
-BASE = f"""with n0 as materialized ({_sql(star.NODES)}),
-e as materialized ({_sql(star.EDGES)}),
-v0 as materialized (select id, rigor as v from n0 where kind in ('axiom', 'work') or (kind = 'experiment' and status = 'run')),
-{_level("l1", "n.id like 'clm-s%' or n.id like 'clm-c%'", "v0")},
-v1 as materialized (select * from v0 union all select id, v from l1),
-{_level("l2", "n.kind = 'analysis'", "v1")},
-v2 as materialized (select * from v1 union all select id, v from l2),
-{_level("l3", "n.id like 'clm-p%'", "v2")},
-d as (select source, count(distinct target) as dependents from e where relation in {_SCORED} group by 1),
-lv as (select *, 1 as level from l1 union all select *, 2 from l2 union all select *, 3 from l3),
-n as materialized (select n0.*, premise, lift, cap, case when kind in ('claim', 'analysis') then v else rigor end as strength, coalesce(dependents, 0)::bigint as dependents
-  from n0 left join lv on n0.id = lv.id left join d on n0.id = d.source)
-"""
 _FOUND = "select id, kind, title, label, host, strength, dependents from n"
 _RANK = "case relation when 'supports' then 0 when 'founds' then 1 when 'lifts' then 2 when 'refutes' then 3 when 'references' then 4 else 5 end"
 _TEXT = "case when bearing_pending then 'pending' else bearing::varchar end"
 _BAND = "case when strength is null then 'unknown' when strength >= 0.85::double then 'ok-to-build' when strength >= 0.65::double then 'ok-with-caveats' when strength >= 0.45::double then 'input-only' when strength >= 0.2::double then 'do-not-build' else 'unsubstantiated' end"
 
 
-def on_graph(name: str, sql: str | None, fn: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """A query over the snapshot's nodes and edges."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        held = star.snapshot(spark, sf_dir)
-        return fn(held.nodes, held.edges)
-
-    QUERIES[name] = run
-    if sql:
-        ORACLES[name] = BASE + sql
-
-
-def on_tables(name: str, sql: str | None, fn: Callable[..., DataFrame], *tables: str) -> None:
-    """A query over some of the tables."""
-    QUERIES[name] = lambda spark, sf_dir: fn(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
-    if sql:
-        ORACLES[name] = sql
-
-
-def on_rows(name: str, rows: list[tuple], columns: str, fn: Callable[[SparkSession], DataFrame]) -> None:
-    """A query over a literal fixture, with the rows it has to give."""
-    literal = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::double" if isinstance(x, float) else f"{x}::bigint" if not isinstance(x, bool) else str(x).lower()
-    QUERIES[name] = lambda spark, sf_dir: fn(spark)
-    ORACLES[name] = f"select * from (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({columns})"
-
-
 # find
 on_graph("find_all", _FOUND, lambda n, e: query.find(n))
 on_graph("find_kind", f"{_FOUND} where kind in ('work', 'axiom')", lambda n, e: query.find(n, kinds=["work", "axiom"]))
@@ -95,11 +33,11 @@ on_graph("find_sort_strength_desc", f"select *, row_number() over (order by stre
 on_graph("find_sort_dependents", f"select *, row_number() over (order by dependents desc, strength nulls first, id)::int as rank from ({_FOUND}) qualify rank <= 25", lambda n, e: query.find(n, sort="dependents", order="desc", limit=25))
 on_graph("find_limit_negative", f"select * exclude (back), row_number() over (order by back desc)::int as rank from (select *, row_number() over (order by id desc) as back from ({_FOUND})) where back <= 7", lambda n, e: query.find(n, sort="id", limit=-7))
 # edges
-_NO_NUMBER = ["relation", "replaced_relation", "source", "target", "context"]
-on_graph("edges_all", "select relation, replaced_relation, source, target, context from e", lambda n, e: query.edges_of(e).select(*_NO_NUMBER))
-on_graph("edges_in", "select relation, replaced_relation, source, target, context from e where target = 'clm-p00007'", lambda n, e: query.edges_of(e, id="clm-p00007", direction="in").select(*_NO_NUMBER))
-on_graph("edges_out", "select relation, replaced_relation, source, target, context from e where source = 'clm-s00003'", lambda n, e: query.edges_of(e, id="clm-s00003", direction="out").select(*_NO_NUMBER))
-on_graph("edges_relation", "select relation, replaced_relation, source, target, context from e where relation in ('founds', 'demoted')", lambda n, e: query.edges_of(e, relations=["founds", "demoted"]).select(*_NO_NUMBER))
+_EDGE = "select relation, replaced_relation, source, target, context, bearing, bearing_pending from e"
+on_graph("edges_all", _EDGE, lambda n, e: query.edges_of(e))
+on_graph("edges_in", f"{_EDGE} where target = 'clm-p00007'", lambda n, e: query.edges_of(e, id="clm-p00007", direction="in"))
+on_graph("edges_out", f"{_EDGE} where source = 'clm-s00003'", lambda n, e: query.edges_of(e, id="clm-s00003", direction="out"))
+on_graph("edges_relation", f"{_EDGE} where relation in ('founds', 'demoted')", lambda n, e: query.edges_of(e, relations=["founds", "demoted"]))
 on_graph("edges_pending", "select relation, source, target from e where bearing_pending", lambda n, e: e.where("bearing_pending").select("relation", "source", "target"))
 for _name, _id in (("show_claim", "clm-p00007"), ("show_analysis", "ana-000012"), ("show_experiment", "exp-000005"), ("show_axiom", "axm-000001"), ("show_work", "wrk-000003")):
     on_graph(
@@ -114,13 +52,13 @@ on_graph("stats_relation_census", f"""select rank, b.relation, walked, coalesce(
   case when scoring then least end as least, case when scoring then most end as most
   from (values (1, 'supports', true, true), (2, 'founds', false, true), (3, 'lifts', true, true), (4, 'refutes', true, true), (5, 'references', false, false), (6, 'demoted', false, false)) b(rank, relation, walked, scoring)
   left join (select relation, count(*) as n, count(distinct {_TEXT}) as distinct_bearings, count(*) filter (bearing_pending) as pending, min(bearing) as least, max(bearing) as most from e group by 1) x on b.relation = x.relation""", lambda n, e: query.relation_census(e))
-on_graph("stats_bearing_counts", f"select relation, bearing, bearing_pending, count(*) as n from e where relation in {_SCORED} group by 1, 2, 3", lambda n, e: query.bearing_counts(e))
+on_graph("stats_bearing_counts", f"select relation, bearing, bearing_pending, count(*) as n from e where relation in {SCORED} group by 1, 2, 3", lambda n, e: query.bearing_counts(e))
 on_graph("stats_manual_model", "select 'rigor' as item, count(*) filter (manually_scored) as manual, count(*) filter (not manually_scored) as model from n where kind in ('claim', 'analysis', 'experiment') union all select 'bearing', count(*) filter (manually_scored), count(*) filter (not manually_scored) from e where relation in ('supports', 'lifts', 'refutes')", lambda n, e: query.provenance_counts(n, e))
 on_graph("stats_volume_aggregates", "select split_part(host, '/', 1) as volume, count(*) filter (kind = 'claim') as claims, count(*) filter (kind = 'experiment') as experiments from n where host is not null group by 1", lambda n, e: query.volume_counts(n))
 on_graph("highest_leverage", "select id, title, strength, dependents, row_number() over (order by dependents desc, strength, id)::int as rank from n where kind = 'claim' and strength < 0.65::double and dependents >= 1 qualify rank <= 10", lambda n, e: query.highest_leverage(n))
 on_graph("weakest", "select id, title, strength, row_number() over (order by strength, id)::int as rank from n where kind = 'claim' and strength is not null qualify rank <= 10", lambda n, e: query.weakest(n))
-on_graph("dependents", f"select source as id, count(distinct target) as dependents from e where relation in {_SCORED} group by 1", lambda n, e: n.where("dependents > 0").select("id", "dependents"))
-_CONTRIBUTED = f"select e.relation, e.source, e.target, bearing, strength as source_strength, coalesce(kind = 'experiment' and status <> 'run', false) as excluded, case when coalesce(kind = 'experiment' and status <> 'run', false) then null when relation = 'refutes' then 1.0::double - bearing * strength else bearing * strength end as contribution from e left join n on e.source = n.id where relation in {_SCORED}"
+on_graph("dependents", f"select source as id, count(distinct target) as dependents from e where relation in {SCORED} group by 1", lambda n, e: n.where("dependents > 0").select("id", "dependents"))
+_CONTRIBUTED = f"select e.relation, e.source, e.target, bearing, strength as source_strength, coalesce(kind = 'experiment' and status <> 'run', false) as excluded, case when coalesce(kind = 'experiment' and status <> 'run', false) then null when relation = 'refutes' then 1.0::double - bearing * strength else bearing * strength end as contribution from e left join n on e.source = n.id where relation in {SCORED}"
 on_graph("contributions", _CONTRIBUTED, query.contributions)
 on_graph("strength_claims", "select id, premise, lift, cap, strength from n where kind = 'claim'", lambda n, e: n.where("kind = 'claim'").select("id", "premise", "lift", "cap", "strength"))
 on_graph("strength_analyses", "select id, premise, lift, cap, strength from n where kind = 'analysis'", lambda n, e: n.where("kind = 'analysis'").select("id", "premise", "lift", "cap", "strength"))
@@ -134,7 +72,7 @@ on_graph("display_strength", f"select id, {_SHOWN.format('strength')} as shown,
 
 
 def _traced(id: str, near: str, far: str) -> str:
-    return f""", r as (with recursive w(id, depth) as (select '{id}', 0 union select e.{far}, depth + 1 from w join e on e.{near} = w.id where e.relation in {_SCORED} and depth < 8) select id, min(depth) as depth from w group by 1),
+    return f""", r as (with recursive w(id, depth) as (select '{id}', 0 union select e.{far}, depth + 1 from w join e on e.{near} = w.id where e.relation in {SCORED} and depth < 8) select id, min(depth) as depth from w group by 1),
 c as ({_CONTRIBUTED})
 select c.relation, c.source, c.target, (r.depth + 1)::int as depth, source_strength as strength, contribution, excluded from c join r on c.{near} = r.id"""
 
@@ -146,14 +84,33 @@ on_graph("trace_by_contribution", f"{_IN[0]}, t as (select c.relation{_IN[2]}) s
 on_graph("scoring_set_rigor", "select 1 as part, id as source, manually_scored from n where kind not in ('work', 'axiom')", lambda n, e: query.scoring_set(n, e).where("part = 1").select("part", "source", "manually_scored"))
 on_graph("scoring_set_bearing", "select 2 as part, relation, source, target, manually_scored from e where relation in ('supports', 'lifts', 'refutes')", lambda n, e: query.scoring_set(n, e).where("part = 2"))
 # graph
-_LEVELS = f""", w as (with recursive r(id, depth) as (select distinct source, 0 from e where relation in {_SCORED} and source not in (select target from e where relation in {_SCORED})
-  union select e.target, depth + 1 from r join e on e.source = r.id where e.relation in {_SCORED}) select id, max(depth)::int as level from r group by 1) select * from w"""
+_LEVELS = f""", w as (with recursive r(id, depth) as (select distinct source, 0 from e where relation in {SCORED} and source not in (select target from e where relation in {SCORED})
+  union select e.target, depth + 1 from r join e on e.source = r.id where e.relation in {SCORED}) select id, max(depth)::int as level from r group by 1) select * from w"""
 _scored = lambda e: e.where(G.scoring(F.col("relation")))
 on_graph("topo_levels", _LEVELS, lambda n, e: graph.levels(_scored(e)))
-on_graph("closure_axioms", f""", w as (with recursive r(start, node, depth) as (select id, id, 0 from n where kind = 'axiom' union select start, e.target, depth + 1 from r join e on e.source = r.node where e.relation in {_SCORED}) select start, node, min(depth)::int as depth from r group by 1, 2) select * from w""", lambda n, e: graph.closure(_scored(e), n.where("kind = 'axiom'").select("id")))
+on_graph("closure_axioms", f""", w as (with recursive r(start, node, depth) as (select id, id, 0 from n where kind = 'axiom' union select start, e.target, depth + 1 from r join e on e.source = r.node where e.relation in {SCORED}) select start, node, min(depth)::int as depth from r group by 1, 2) select * from w""", lambda n, e: graph.closure(_scored(e), n.where("kind = 'axiom'").select("id")))
 on_graph("neighbourhood", ", o as (select id from n where starts_with(host, 'volume-3/')), t as (select * from e where source in (select id from o) or target in (select id from o)) select id, kind from n where id in (select id from o union select source from t union select target from t)", lambda n, e: graph.neighbourhood(n, e, "volume-3")[0].select("id", "kind"))
 on_graph("volume_bundles", f""", v as (select id, split_part(host, '/', 1) as v from n) select a.v as tail, b.v as head, {', '.join(f"count(*) filter (relation = '{r}') as {r}" for r in G.SCORING)} from e join v a on e.source = a.id join v b on e.target = b.id where a.v <> b.v group by 1, 2""", lambda n, e: build.volume_bundles(n, e))
-on_graph("kb_modulo_ids", "select concat_ws('|', kind, title, host) as key, count(*) as n from n group by 1", lambda n, e: build.modulo_ids(n, e)[0].groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _rebuilt(n: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph under other ids, with some parts' titles, some rigors and some relations changed."""
+    anew = lambda c: F.concat(F.lit("x"), F.reverse(c))
+    part = F.col("id").startswith("clm-p") & F.col("id").endswith("7")
+    nodes = n.select("kind", anew("id").alias("id"), F.when(part, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"), "host", F.when(F.col("kind") == "axiom", 0.5).otherwise(F.col("rigor")).alias("rigor"))
+    return nodes, e.select(F.when(F.col("relation") == "demoted", "references").otherwise(F.col("relation")).alias("relation"), anew("source").alias("source"), anew("target").alias("target"), "bearing")
+
+
+on_graph(
+    "kb_modulo_ids",
+    """, a as (select id, kind || '|' || coalesce(title, '') || '|' || coalesce(host, '') as key, rigor from n),
+  b as (select id, kind || '|' || coalesce(case when id like 'clm-p%7' then title || '!' else title end, '') || '|' || coalesce(host, '') as key, case when kind = 'axiom' then 0.5 else rigor end as rigor from n),
+  l as (select 'node' as part, key, '' as to_key, '' as relation, rigor as value from a union all select 'edge', s.key, t.key, relation, bearing from e join a s on e.source = s.id join a t on e.target = t.id),
+  r as (select 'node' as part, key, '' as to_key, '' as relation, rigor as value from b union all select 'edge', s.key, t.key, case when relation = 'demoted' then 'references' else relation end, bearing from e join b s on e.source = s.id join b t on e.target = t.id),
+  u as (select *, 1 as d from l union all select *, -1 from r), g as (select part, key, to_key, relation, value, sum(d) as d from u group by all having sum(d) <> 0)
+  select part, key, to_key, relation, value, greatest(d, 0)::bigint as lost, greatest(-d, 0)::bigint as added from g""",
+    lambda n, e: build.modulo_diff((n, e), _rebuilt(n, e)),
+)
 # integrity
 
 
@@ -169,23 +126,20 @@ on_graph("faults_dangling", _BROKEN_SQL + " select 'dangling' as \"check\", rela
 on_graph("faults_duplicate_edges", _BROKEN_SQL + " select 'duplicate edge' as \"check\", relation || ' ' || source || ' ' || target as subject, count(*)::varchar as detail from b group by relation, replaced_relation, source, target having count(*) > 1", lambda n, e: verify.duplicate_edges(_broken(n, e)))
 on_graph("faults_illegal_pairing", _BROKEN_SQL + """ select 'illegal pairing' as "check", relation || ' ' || source || ' ' || target as subject, s.kind || ' ' || t.kind as detail from b join n s on b.source = s.id join n t on b.target = t.id
   where (bearing is not null or bearing_pending) and not (t.kind in ('claim', 'analysis') and case case when relation = 'demoted' then replaced_relation else relation end when 'supports' then s.kind in ('claim', 'experiment') when 'founds' then s.kind in ('work', 'axiom') when 'lifts' then s.kind in ('analysis', 'experiment') when 'refutes' then s.kind in ('claim', 'analysis', 'experiment') else false end)""", lambda n, e: verify.illegal_pairs(n, _broken(n, e)))
-on_graph("faults_domains", "select 'bad id' as \"check\", id as subject, kind as detail from n where not regexp_matches(id, '^(clm|exp|ana|wrk|axm)-[a-z0-9]{6}$')", lambda n, e: verify.domains(n, e))
+on_graph(
+    "faults_domains",
+    """, fd as (select * replace (case when kind = 'work' then rigor + 1 else rigor end as rigor, case when kind = 'axiom' then upper(id) else id end as id) from n)
+  select 'rigor outside [0, 1]' as "check", id as subject, rigor::varchar as detail from fd where rigor < 0 or rigor > 1 union all select 'bad id', id, kind from fd where not regexp_matches(id, '^(clm|exp|ana|wrk|axm)-[a-z0-9]{6}$')
+  union all select 'bearing outside [0, 1]', relation || ' ' || source || ' ' || target, (-bearing)::varchar from e where relation = 'founds' and bearing > 0""",
+    lambda n, e: verify.domains(n.withColumn("rigor", F.when(F.col("kind") == "work", F.col("rigor") + 1).otherwise(F.col("rigor"))).withColumn("id", F.when(F.col("kind") == "axiom", F.upper("id")).otherwise(F.col("id"))), e.withColumn("bearing", F.when((F.col("relation") == "founds"), -F.col("bearing")).otherwise(F.col("bearing")))),
+)
 on_graph("judged_hash", "select id, sha256('9:statement' || strlen(title) || ':' || title) as judged_hash from n where kind = 'claim'", lambda n, e: n.where("kind = 'claim'").select("id", G.judged_hash(F.lit("statement"), F.col("title")).alias("judged_hash")))
-on_graph("dirty_items", "select id, sha256('9:statement' || strlen(title) || ':' || title) as hash from n where kind = 'claim' and not manually_scored and strength is not null and not (dependents % 2 = 0)", lambda n, e: score.dirty(n.where("kind = 'claim' and strength is not null").select("id", F.col("title").alias("statement"), "manually_scored", F.when(F.col("dependents") % 2 == 0, G.judged_hash(F.lit("statement"), F.col("title"))).otherwise("0").alias("judged_hash")), "statement").select("id", "hash"))
-on_graph("summary_pages", f"""select v || '/summary.md' as path, string_agg(entry, chr(10) order by host, id) as text from (select split_part(host, '/', 1) as v, host, id, '- ' || id || ': ' || title || ' (' || {_SHOWN.format('strength')} || ')' || coalesce(chr(10) || listed, '') as entry
-  from n left join (select target, string_agg('  - ' || relation || ' ' || source, chr(10) order by {_RANK}, source) as listed from e where relation <> 'references' group by 1) x on n.id = x.target where host is not null and kind in ('claim', 'analysis')) group by v""", lambda n, e: render.pages(n, e))
-on_graph("sheets_dot", None, lambda n, e: render.sheet(n, e).unionByName(render.full_sheet(n, e)))
-on_graph("record_file", """select kind, string_agg('- id: ' || id || coalesce(chr(10) || '  title: "' || title || '"', '') || coalesce(chr(10) || '  label: "' || label || '"', '') || coalesce(chr(10) || '  status: "' || status || '"', ''), chr(10) order by id) as text from n where kind in ('axiom', 'work') group by 1""", lambda n, e: render.joined(n.where("kind in ('axiom', 'work')"), "kind", [F.col("id")], F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), render.quoted(F.col(c)))) for c in ("title", "label", "status")]), "text"))
-# The whole node and edge tables: numbers and demoted edges print as Python spells them, so no SQL.
-on_graph("record_file_all", None, lambda n, e: render.record_file(n))
+on_graph("dirty_items", "select id, sha256('9:statement' || strlen(title) || ':' || title) as hash from n where kind = 'claim' and not manually_scored and not (dependents % 2 = 0)", lambda n, e: score.dirty(n.where("kind = 'claim'").select("id", F.col("title").alias("statement"), "manually_scored", F.when(F.col("dependents") % 2 == 0, G.judged_hash(F.lit("statement"), F.col("title"))).otherwise("0").alias("judged_hash")), "statement").select("id", "hash"))
 
 
 on_graph("volume_table", """, o as (select split_part(host, '/', 1) as v, id, kind from n where host is not null), u as (select source as id from e union select target from e),
   i as (select a.v, count(*) as k from e join o a on e.source = a.id join o b on e.target = b.id where a.v = b.v group by 1)
   select o.v as volume, count(*) filter (kind = 'claim') as claim, count(*) filter (kind = 'analysis') as analysis, count(*) filter (kind = 'experiment') as experiment, count(*) filter (o.id not in (select id from u)) as unattached, coalesce(max(k), 0) as "inner" from o left join i on o.v = i.v group by 1""", render.volume_table)
-on_graph("edge_file", """ select relation, string_agg('- source: ' || source || chr(10) || '  target: ' || target || chr(10) || '  context: "' || context || '"' || case when bearing_pending then chr(10) || '  bearing: "*pending*"' else '' end, chr(10) order by source, target) as text
-  from e where relation in ('references', 'supports') and (bearing is null) group by 1""", lambda n, e: render.edge_file(e.where("relation in ('references', 'supports') and bearing is null")))
-on_graph("edge_file_all", None, lambda n, e: render.edge_file(e))
 # text and build
 _part = lambda p: p.select(F.concat(F.lit("clm-p"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("id"), F.col("p_brand").alias("document"), F.lit("parts").alias("paper"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("line"))
 _P = "select 'clm-p' || lpad(p_partkey::varchar, 5, '0') as id, p_brand as document, p_partkey as seq, p_size as line from part"
@@ -222,9 +176,6 @@ on_tables("contracted_links", f"""{_R}, x as (select id, min(pos) as root from r
   m as (select coalesce(xa.root, a) as a, coalesce(xb.root, b) as b, h from l left join x xa on a = xa.id left join x xb on b = xb.id) select least(a, b) as a, greatest(a, b) as b, ['marked', 'unmarked', 'adjacent'][min(h)] as harvest from m where a <> b group by 1, 2""", lambda o, c: build.contracted_links(o.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 100).alias("b"), F.when(F.col("o_orderstatus") == "F", "adjacent").when(F.col("o_orderstatus") == "O", "unmarked").otherwise("marked").alias("harvest")), build.cull_roots(_culls(o, c))), "orders", "customer")
 on_tables("multiset_diff", """select o_orderpriority, greatest(d, 0)::bigint as lost, greatest(-d, 0)::bigint as added from (select o_orderpriority, count(*) filter (o_orderstatus = 'F') - count(*) filter (o_orderstatus = 'O') as d from orders group by 1) where d <> 0""", lambda o: build.multiset_diff(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["o_orderpriority"]), "orders")
 on_tables("tfidf_shortlist", None, lambda b: build.tfidf_shortlist(b.select(F.col("item_id").cast("string").alias("id"), "text"), 2), "benchmark")
-on_tables("canonical_terms", """select doc_id, len(list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) > 2 and not regexp_full_match(w, '[0-9]+') and not list_contains(['%s'], w)))::int as n_terms from documents where not regexp_matches(text, '<|\\$`|```')""" % "', '".join(sorted(T.STOPWORDS)), lambda d: d.where(~F.col("text").rlike(r"<|\$`|```")).select("doc_id", F.size(T.udf(T.terms, "array<string>")("text")).alias("n_terms")), "documents")
-on_tables("canonical_terms_all", None, lambda d: d.select("doc_id", F.size(T.udf(T.terms, "array<string>")("text")).alias("n_terms")), "documents")
-on_tables("sentence_counts", None, lambda d: d.select("doc_id", F.size(T.udf(lambda x: T.sentences(T.normal_space(x)), "array<string>")("text")).alias("n_sentences")), "documents")
 on_tables("dead_page_links", """with l as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages), u as (select distinct regexp_extract(url, '^https?://[^/]+(/.*)$', 1) as p from pages) select page_id, href, count(*) as n from l where href not in (select p from u) group by 1, 2""", lambda p: p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href")).join(p.select(F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1).alias("_p")).distinct(), F.col("href") == F.col("_p"), "left_anti").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n")), "pages")
 _ev = lambda e: e.select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), "event_type")
 on_tables("section_asof", """select user_id as path, event_id as line, event_id::varchar as id, coalesce(last_value(case when event_type = 'signup' then event_id::varchar end ignore nulls) over (partition by user_id order by event_id), '') as anchor from events qualify event_type = 'purchase'""", lambda e: build.hosted_under(_ev(e).where("event_type = 'purchase'").withColumn("id", F.col("line").cast("string")), _ev(e).where("event_type = 'signup'").withColumn("anchor", F.col("line").cast("string"))), "events")
@@ -268,56 +219,6 @@ ORACLES["stream_event_counts"] = "select date_trunc('hour', ts) as start, event_
 
 on_tables("reference_routes", """select o_orderkey as reference, case when o_orderkey % 4 = 0 then 'c' || (o_custkey % 50)::varchar when o_orderkey % 4 = 1 then 'n' || (o_custkey % 25)::varchar end as target, case o_orderkey % 4 when 0 then 'identifier' when 1 then 'block' end as route from orders""",
           lambda o, n: build.routed(o.select(F.col("o_orderkey").alias("reference"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("c"), F.col("o_custkey") % 50)).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("n"), F.col("o_custkey") % 25)).otherwise("none").alias("label"), F.lit("d").alias("document")), o.select(F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("label")).withColumn("id", F.col("label")), n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("label")).withColumn("id", F.col("label")), n.limit(0).select(F.col("n_name").alias("label"), F.col("n_name").alias("id")), n.select(F.lit("d").alias("document"), F.col("n_name").alias("id"))), "orders", "nation")
-on_tables("compensated_sum", "select user_id, fsum(value) > 0 as positive, count(*) as n from events group by 1", lambda e: e.groupBy("user_id").agg((build.compensated(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])) > 0).alias("positive"), F.count(F.lit(1)).alias("n")), "events")
-
-
-# graph loops over the whole edge table
-def _fed_back(e: DataFrame) -> DataFrame:
-    """The scoring edges, and refutations of three parts' suppliers by those parts: cycles at the end of the graph."""
-    back = e.where("relation = 'supports' and target in ('clm-p00001', 'clm-p00002', 'clm-p00003')").select(F.lit("refutes").alias("relation"), F.col("target").alias("source"), F.col("source").alias("target"))
-    return e.select("relation", "source", "target").unionByName(back)
-
-
-def _path(e: DataFrame) -> DataFrame:
-    source, target = e.where("relation = 'supports'").agg(F.min("source"), F.min_by("target", F.struct("source", "target"))).first()
-    above = e.where((F.col("relation") == "founds") & (F.col("target") == source)).agg(F.min("source")).first()[0]
-    return e.sparkSession.createDataFrame(list(enumerate(graph.shortest_path(e, above, target), 1)), "rank int, id string")
-
-
-on_graph("cycle_cuts_all", None, lambda n, e: graph.cycle_cuts(_fed_back(e), n))
-on_graph("transitive_reduction_all", None, lambda n, e: graph.transitive_reduction(e))
-on_graph("shortest_path_all", None, lambda n, e: _path(e))
-
-# literal fixtures
-def _edges(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "relation string, source string, target string")
-
-
-def _named(spark: SparkSession, ids: str, kind: str = "claim") -> DataFrame:
-    return spark.createDataFrame([(i, kind) for i in ids.split()], "id string, kind string")
-
-
-on_rows("cycle_cuts", [(1, "supports", "b", "a")], "rank, relation, source, target", lambda s: graph.cycle_cuts(_edges(s, [("founds", "w", "a"), ("supports", "a", "b"), ("supports", "b", "a")]), _named(s, "a b"), []).withColumn("rank", F.col("rank").cast("long")))
-on_rows("cycle_cuts_hosted", [(1, "supports", "a", "b")], "rank, relation, source, target", lambda s: graph.cycle_cuts(_edges(s, [("supports", "a", "b"), ("supports", "b", "a")]), _named(s, "a b"), ["b", "a"]).withColumn("rank", F.col("rank").cast("long")))
-on_rows("transitive_reduction", [("supports", "a", "b"), ("supports", "b", "c"), ("supports", "c", "d")], "relation, source, target", lambda s: graph.transitive_reduction(_edges(s, [("supports", x[0], x[1]) for x in ("ab", "ad", "bc", "cd")])))
-on_rows("shortest_path", [(1, "a"), (2, "b"), (3, "d")], "rank, id", lambda s: s.createDataFrame([(i + 1, x) for i, x in enumerate(graph.shortest_path(_edges(s, [("supports", *x) for x in ("ab", "ac", "bd", "cd", "de")]), "a", "d"))], "rank long, id string"))
-on_rows("reading_order", [(1, "main"), (2, "one"), (3, "two"), (4, "leaf"), (5, "three")], "rank, path", lambda s: s.createDataFrame([(i + 1, x) for i, x in enumerate(graph.reading_order({"main": ["one", "two", "three"], "two": ["leaf", "one"]}, "main"))], "rank long, path string"))
-on_rows("decided", [("1", "B"), ("2", "A"), ("3", "A"), ("4", None)], "item, letter", lambda s: build.decided(s.createDataFrame([("1", "", {"A": 0.2, "B": 0.7}, ["A", "B"]), ("2", "", {"A": 0.5, "B": 0.5}, ["A", "B"]), ("3", " A ", None, ["A", "B"]), ("4", "AB", None, ["A", "B"])], "item string, text string, confidence map<string, double>, offered array<string>")))
-_DOCS = [
-    ("main/leaf.md", "# Alpha result\n<!-- node-id: clm-aaaaaa -->\nSee [beta](two.md#beta-result \"clm-bbbbbb\") and clm-cccccc, or [gone](missing.md).\n```\nclm-zzzzzz\n```\n"),
-    ("main/two.md", "# Beta result\n<!-- node-id: clm-bbbbbb -->\n<!-- node-id: clm-bbbbbb -->\nBack to [alpha](leaf.md#nowhere \"clm-aaaaaa\"), clm-qqqqqq.\n"),
-]
-_docs = lambda s: s.createDataFrame(_DOCS, "path string, text string")
-_kb = lambda s: s.createDataFrame([("clm-aaaaaa", "claim"), ("clm-bbbbbb", "claim"), ("clm-cccccc", "claim")], "id string, kind string")
-on_rows("citations_of", [("main/two.md", 4, "alpha")], "path, line, text", lambda s: query.citations_of(_docs(s), "clm-aaaaaa").withColumn("line", F.col("line").cast("long")))
-on_rows("marker_cardinality", [("marker cardinality", "clm-bbbbbb", "2"), ("marker cardinality", "clm-cccccc", "0")], '"check", subject, detail', lambda s: verify.marker_faults(_kb(s), _docs(s)))
-on_rows("unknown_ids", [("unknown id", "main/two.md:4", "clm-qqqqqq")], '"check", subject, detail', lambda s: verify.unknown_ids(_kb(s), _docs(s)))
-on_rows("bare_ids", [("bare id", "main/leaf.md:3", "clm-cccccc")], '"check", subject, detail', lambda s: verify.bare_known_ids(_kb(s), _docs(s)))
-on_rows("dead_links", [("dead link", "main/leaf.md:3", "missing.md"), ("dead fragment", "main/two.md:4", "leaf.md#nowhere")], '"check", subject, detail', lambda s: verify.dead_links(_docs(s)))
-on_rows("heading_anchors", [(1, "a"), (2, "a-1"), (3, "a-1-1"), (4, "a--b")], "line, anchor", lambda s: T.headings_of(s.createDataFrame([("x.md", "# A\n# A\n# A 1\n## A — B\n")], "path string, text string")).select(F.col("line").cast("long"), "anchor"))
-on_rows("closed_text", [("1| One.\n\nLabel\n\n2| Two\n3| more.",)], "text", lambda s: s.createDataFrame([(score.numbered(score.closed_text([("a", "One."), ("", "Label"), ("b", "Two\nmore.")])),)], "text string"))
-on_rows("answer_parse", [("1", "flt-overreach,flt-overreach", "", 0.7), ("2", "", "", 1.0), ("3", "", "none-beside-charges", None), ("4", "", "overlapping-ranges", None), ("5", "", "range-crosses-parts", None)], "item, faults, refusal, value", lambda s: score.parsed(s.createDataFrame([(str(i + 1), "statement", ["a", "b"], ["One\ntwo\nthree", "Four"], r) for i, r in enumerate(["flt-overreach: 1\nFLT-OVERREACH: 3", "none", "none\nflt-overreach: 1", "flt-overreach: 1-2\nflt-overreach: 2-3", "flt-overreach: 3-4"])], "item string, vocabulary string, ends array<string>, texts array<string>, reply string")).select("item", F.array_join("faults", ",").alias("faults"), "refusal", "value"))
-on_rows("record_numbers", [(1, "0.504"), (2, "0.36288"), (3, "*pending*"), (4, "0")], "rank, text", lambda s: s.createDataFrame([(i + 1, M.record_number(x)) for i, x in enumerate((0.72 * 0.7, 0.72 * 0.504, None, 0.0))], "rank long, text string"))
-on_rows("hand_mentions", [(1, "lemma", "2.1"), (2, "lemma", "2.3"), (3, "theorem", "1"), (4, "theorem", "2"), (5, "theorem", "3")], "rank, kind, number", lambda s: s.createDataFrame([(i + 1, *m) for i, m in enumerate(M.mentions("By Lemmas 2.1 and 2.3, and Theorems 1-3."))], "rank long, kind string, number string"))
-on_rows("statements", [("clm-aaaaaa", "First."), ("clm-bbbbbb", "Quoted\nrun.")], "id, statement", lambda s: s.createDataFrame([(i, M.statement("# H\n\nFirst. <!-- node-id: clm-aaaaaa -->\n\n> Quoted\n> run. <!-- node-id: clm-bbbbbb -->\n", i)) for i in ("clm-aaaaaa", "clm-bbbbbb")], "id string, statement string"))
-on_rows("axiom_headings", [("axiom heading", "axm-s00001", "no heading"), ("axiom heading", "axm-s00002", "unknown id")], '"check", subject, detail', lambda s: verify.axiom_headings(s.createDataFrame([("axm-s00000", "S0", "Rule"), ("axm-s00001", "S1", "Other")], "id string, label string, title string"), s.createDataFrame([("axm-s00000", "S0 Rule"), ("axm-s00002", "S2")], "id string, heading string")))
+on_tables("compensated_sum", "select user_id, round(sum(value::decimal(38, 12))::double, 6) as total, count(*) as n from events group by 1", lambda e: build.compensated_sums(e, "user_id", "event_id", "value").select("user_id", F.round("total", 6).alias("total"), "n"), "events")
+
+

@@ -66,6 +66,26 @@ EDGES = "\nunion all ".join([
 ])
 
 
+#: A Markdown document for each part, in a tree of ten children a node: an up-link, prose that names ids and results by hand, a
+#: citation of the next part, code, repeated headings, statement markers and a child list; every fault that `verify` looks for is
+#: planted by the key.
+DOCUMENTS = f"""select k.p_partkey as k, 'parts/p' || cast(k.p_partkey as string) || '.md' as path,
+case when k.p_partkey = 0 then 'Entry.' when k.p_partkey % 29 = 0 then '[up](p0.md)' else '[up](p' || cast(floor((k.p_partkey - 1) / 10) as string) || '.md)' end || chr(10) || chr(10) ||
+'# Part ' || cast(k.p_partkey % 7 as string) || chr(10) || chr(10) ||
+'Lemmas 2.1 and 2.' || cast(k.p_partkey % 5 as string) || ' say that ' || case when k.p_partkey % 5 = 0 then 'clm-qqqqqq' else {CLS('(k.p_partkey % 10)')} end || ' and `clm-zzzzzz` hold.' || chr(10) || chr(10) ||
+'See [next](' || case when k.p_partkey % 17 = 0 then 'q' else 'p' end || cast(k.p_partkey + 1 as string) || '.md#' || case when k.p_partkey % 19 = 0 then 'nowhere' else 'part-' || cast((k.p_partkey + 1) % 7 as string) end || ' "' || {CLP('(k.p_partkey + 1)')} || '").' || chr(10) || chr(10) ||
+'```' || chr(10) || 'clm-nocode and [gone](gone.md)' || chr(10) || '```' || chr(10) || chr(10) || '## Use' || chr(10) || chr(10) || '## Use' || chr(10) || chr(10) ||
+'Statement ' || cast(k.p_partkey as string) || '. Its size is ' || cast(k.p_size as string) || '.' || case when k.p_partkey % 13 = 0 then '' else ' <!-- node-id: ' || {CLP('k.p_partkey')} || ' -->' end || chr(10) || chr(10) ||
+case when k.p_partkey % 11 = 0 then '> Again ' || cast(k.p_partkey as string) || '. <!-- node-id: ' || {CLP('k.p_partkey')} || ' -->' else 'Nothing more.' end || chr(10) || chr(10) ||
+concat_ws(chr(10), {', '.join(f"case when 10 * k.p_partkey + {j} < n.n and (10 * k.p_partkey + {j}) % 31 <> 0 then '- [child](p' || cast(10 * k.p_partkey + {j} as string) || '.md)' end" for j in range(1, 11))}) as text
+from {{part}} k cross join (select count(*) as n from {{part}}) n"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, path, text of the star's documents."""
+    return spark.sql(DOCUMENTS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
 class Snapshot(NamedTuple):
     """A knowledge base as queries read it: nodes with strength and dependents, and edges."""
 
