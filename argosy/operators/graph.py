@@ -2,18 +2,22 @@
 
 Loops run on the driver, data stays distributed: each round is a join whose result is settled. Which shortcut is dropped depends on
 the order of edges only inside a strongly connected part, so a kernel reduces each part in a task of its own, whatever its size, and
-joins settle the edges between parts. Which edges of cycles are cut depends on the whole walk: a kernel cuts cores of up to
-KERNEL_EDGES edges, and larger ones lose one edge at a time by distributed rounds until they fit.
+joins settle the edges between parts. Which edges of cycles are cut depends on the walk through a weakly connected part: a kernel cuts
+parts of up to KERNEL_EDGES edges, each in a task, and larger ones lose one edge at a time by distributed rounds until they fit.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argosy.functions.graph import SCORING, relation_rank
+from argosy.operators.components import components
+from argosy.operators.prefix import before
 from argosy.plans.star import settle
 
 KERNEL_EDGES = 200_000
@@ -123,7 +127,12 @@ def _closing(nodes, ways):
 
 
 def cut_core(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dict[str, str]) -> list[tuple[str, str, str]]:
-    """What cut_cycles cuts, without walking anew: each node that reaches a cycle leads on by its first edge to another such node, so the first cycle closes on the path of first edges from the first node."""
+    """What cut_cycles cuts."""
+    return [cut for _, cut in cuts_by_start(edges, rank, kinds)]
+
+
+def cuts_by_start(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dict[str, str]) -> list[tuple[str, tuple[str, str, str]]]:
+    """The node that the walk starts from and the edge of every cut, without walking anew: each node that reaches a cycle leads on by its first edge to another such node, so the first cycle closes on the path of first edges from the first node."""
     order = {r: i for i, r in enumerate(SCORING)}
     place = lambda x: (rank.get(x, len(rank)), x)
     ranked = sorted(set(edges), key=lambda e: (order[e[0]], place(e[1]), place(e[2])))
@@ -158,8 +167,8 @@ def cut_core(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dic
                     first[x] += 1
                 trail.append(ways[x][first[x]])
                 x = trail[-1][2]
-            cuts.append(_cut_of(trail[on[x] :], kinds, at.__getitem__))
-            drop(cuts[-1])
+            cuts.append((start, _cut_of(trail[on[x] :], kinds, at.__getitem__)))
+            drop(cuts[-1][1])
     return cuts
 
 
@@ -168,19 +177,13 @@ def _cut_of(closing: list[tuple[str, str, str]], kinds: dict[str, str], place) -
     return min(into, key=place) if into else closing[-1]
 
 
-def _kinds(nodes: DataFrame, ids: set[str]) -> dict[str, str]:
-    named = nodes.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id string")
-    return {r.id: r.kind for r in nodes.join(F.broadcast(named), "id", "left_semi").select("id", "kind").collect()} if ids else {}
-
-
-def _next_cut(core: DataFrame, nodes: DataFrame, rank: dict[str, int]) -> tuple[str, str, str]:
-    """The first cut of a core that stays distributed: each node's first edge, the nodes on the path of these by doubling, and only that path on the driver."""
-    spark, far = core.sparkSession, F.lit(len(rank))
-    places = spark.createDataFrame(list(rank.items()), "_id string, _p int")
+def _next_cut(core: DataFrame) -> tuple[str, tuple[str, str, str]]:
+    """The walk's start and first cut in a core (of `placed`) that stays distributed: each node's first edge, the nodes on the path of these by doubling, and only that path on the driver."""
+    spark = core.sparkSession
     order = F.array_position(F.array(*map(F.lit, SCORING)), F.col("relation"))
-    placed = core.join(places, F.col("target") == F.col("_id"), "left")
-    first = settle(placed.groupBy("source").agg(F.min(F.struct(order.alias("o"), F.coalesce("_p", far).alias("p"), "target", "relation")).alias("e")).select("source", F.col("e.target").alias("target"), F.col("e.relation").alias("relation")))
-    start = first.join(places, F.col("source") == F.col("_id"), "left").agg(F.min(F.struct(F.coalesce("_p", far).alias("p"), "source"))).first()[0].source
+    by_target = F.struct(order.alias("o"), F.col("to").alias("p"), "target", "relation", "analysis", "at")
+    first = settle(core.groupBy("source").agg(F.min(by_target).alias("e")).select("source", F.col("e.target").alias("target"), "e.relation", "e.analysis", F.col("e.p").alias("to"), "e.at"))
+    start = first.agg(F.min(F.struct("at", "source"))).first()[0].source
     path, jump = settle(spark.createDataFrame([(start,)], "source string")), first.select("source", "target")
     while True:
         more = settle(path.join(jump, "source").select(F.col("target").alias("source")).distinct().join(path, "source", "left_anti"))
@@ -188,27 +191,70 @@ def _next_cut(core: DataFrame, nodes: DataFrame, rank: dict[str, int]) -> tuple[
             break
         path = settle(path.unionByName(more))
         jump = settle(jump.join(jump.select(F.col("source").alias("target"), F.col("target").alias("_t")), "target").select("source", F.col("_t").alias("target")))
-    by = {r.source: (r.relation, r.source, r.target) for r in first.join(path, "source", "left_semi").collect()}
+    by = {r.source: r for r in first.join(path, "source", "left_semi").collect()}
     trail, on, x = [], {}, start
     while x not in on:
         on[x] = len(trail)
-        trail.append(by[x])
-        x = by[x][2]
+        trail.append((by[x].relation, x, by[x].target))
+        x = by[x].target
     closing = trail[on[x] :]
-    place = lambda x: (rank.get(x, len(rank)), x)
-    return _cut_of(closing, _kinds(nodes, {e[2] for e in closing if e[0] == "supports"}), lambda e: (place(e[1]), place(e[2])))
-
-
-def cycle_cuts(edges: DataFrame, nodes: DataFrame, hosted: list[str] = ()) -> DataFrame:
-    """rank, relation, source, target of every scoring edge that breaking the cycles demotes. `hosted`: ids in reading order."""
-    rank, cuts = {x: i for i, x in enumerate(hosted)}, []
-    core = cyclic_core(edges.where(F.col("relation").isin(*SCORING)).select("relation", "source", "target").distinct())
-    while core.count() > KERNEL_EDGES:
-        cuts.append(_next_cut(core, nodes, rank))
-        core = cyclic_core(core.where(~((F.col("relation") == cuts[-1][0]) & (F.col("source") == cuts[-1][1]) & (F.col("target") == cuts[-1][2]))))
-    rows = [tuple(r) for r in core.collect()]
-    cuts += cut_core(rows, rank, _kinds(nodes, {x for r in rows for x in r[1:]}))
-    return nodes.sparkSession.createDataFrame([(i + 1, *c) for i, c in enumerate(cuts)], "rank int, relation string, source string, target string")
+    kinds = {e[2]: "analysis" for e in closing if by[e[1]].analysis}
+    return start, _cut_of(closing, kinds, lambda e: ((by[e[1]].at, e[1]), (by[e[1]].to, e[2])))
+
+
+CUT = "first long, start string, seq int, relation string, source string, target string"
+
+
+def _cuts_of_part(part):
+    """The cuts of one weakly connected part, in one task."""
+    import pandas as pd
+
+    far = 1 + max(int(part["at"].max()), int(part["to"].max()))
+    rank = {**dict(zip(part["target"], part["to"], strict=True)), **dict(zip(part["source"], part["at"], strict=True))}
+    rows = cuts_by_start(list(zip(part["relation"], part["source"], part["target"], strict=True)), rank, {t: "analysis" for t, a in zip(part["target"], part["analysis"], strict=True) if a})
+    return pd.DataFrame([(rank.get(s, far), s, i, *cut) for i, (s, cut) in enumerate(rows)], columns=["first", "start", "seq", "relation", "source", "target"])
+
+
+def cycle_cuts(edges: DataFrame, nodes: DataFrame, hosted: DataFrame | Sequence[str] = ()) -> DataFrame:
+    """rank, relation, source, target of every scoring edge that breaking the cycles demotes. `hosted`: ids in reading order, or a table (id, rank).
+
+    Walks don't cross weakly connected parts, so each part of the core is cut in a task of its own; a part of more than
+    KERNEL_EDGES edges loses one edge at a time by distributed rounds until it fits.
+    """
+    spark = nodes.sparkSession
+    if not isinstance(hosted, DataFrame):
+        hosted = spark.createDataFrame([(x, i) for i, x in enumerate(hosted)], "id string, rank long")
+    far, place = F.lit(2**62), hosted.select(F.col("id").alias("_id"), F.col("rank").cast("long").alias("_p"))
+    scored = edges.where(F.col("relation").isin(*SCORING)).select("relation", "source", "target").distinct()
+    placed = scored
+    for end, name in (("source", "at"), ("target", "to")):
+        placed = placed.join(place, F.col(end) == F.col("_id"), "left").withColumn(name, F.coalesce("_p", far)).drop("_id", "_p")
+    kinds = nodes.where("kind = 'analysis'").select(F.col("id").alias("_id")).distinct()
+    placed = placed.join(kinds, F.col("target") == F.col("_id"), "left").withColumn("analysis", (F.col("relation") == "supports") & F.col("_id").isNotNull()).drop("_id")
+    core, seq, out = cyclic_core(placed), 0, []
+    while True:
+        if not core.limit(1).count():
+            break
+        members = components(core.select(F.col("source").alias("u"), F.col("target").alias("v")))
+        parted = settle(core.join(members, F.col("source") == F.col("u"), "left").select(*core.columns, F.coalesce("v", "source").alias("part")))
+        large = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > KERNEL_EDGES).select(F.col("part").alias("_large"))
+        large = settle(large)
+        small = parted.join(large, F.col("part") == F.col("_large"), "left_anti")
+        out.append(settle(small.groupBy("part").applyInPandas(_cuts_of_part, CUT)))
+        name = large.agg(F.min("_large")).first()[0]
+        if name is None:
+            break
+        # One cut of one large part; the rest of the large parts goes round again.
+        start, cut = _next_cut(parted.where(F.col("part") == name))
+        first = hosted.where(F.col("id") == start).agg(F.min("rank")).first()[0]
+        out.append(spark.createDataFrame([(2**62 if first is None else first, start, seq - 2**30, *cut)], CUT))
+        seq += 1
+        rest = parted.join(large, F.col("part") == F.col("_large"), "left_semi").drop("part")
+        core = cyclic_core(rest.where(~((F.col("relation") == cut[0]) & (F.col("source") == cut[1]) & (F.col("target") == cut[2]))))
+    if not out:
+        return spark.createDataFrame([], "rank int, relation string, source string, target string")
+    cuts = functools.reduce(DataFrame.unionByName, out)
+    return before(cuts, [F.col("first"), F.col("start"), F.col("seq")], {"rank": F.lit(1)}).select((F.col("rank") + 1).cast("int").alias("rank"), "relation", "source", "target")
 
 
 def reduced(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:

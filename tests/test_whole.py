@@ -10,7 +10,7 @@ import pytest
 
 from argosy.functions.graph import RELATIONS
 from argosy.operators import build, graph, render
-from argosy.plans import catalog, star
+from argosy.plans import catalog, files, star, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -23,11 +23,19 @@ def _quoted(x):
 def test_canonical_terms_take_markup_and_maths(spark, tmp_path):
     texts = ["plain words here", "A <b>bold</b> contraction bound", "operator $`\\lambda_{c}`$ holds", "```\nfenced code\n```\nafter all"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.n_terms for r in catalog.QUERIES["canonical_terms_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n_terms for r in catalog.QUERIES["canonical_terms"](spark, str(tmp_path)).collect()}
     # plain words here; bold contraction bound; operator lambda m:\lambda_c holds; code is text to canonical()
     assert sorted(got) == [0, 1, 2, 3] and got[1] == 3 and got[2] == 4
 
 
+def _joined(df, by):
+    """The texts of files in parts."""
+    out = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: r.part):
+        out[r[by]].append(r.text)
+    return {k: "\n".join(v) for k, v in out.items()}
+
+
 @tables
 def test_edge_file_holds_every_edge(spark):
     want = defaultdict(list)
@@ -41,7 +49,7 @@ def test_edge_file_holds_every_edge(spark):
         elif e.bearing is not None:
             lines.append(f"  bearing: {e.bearing!r}")
         want[e.relation].append("\n".join(lines))
-    got = {r.relation: r.text for r in catalog.QUERIES["edge_file_all"](spark, SF).collect()}
+    got = _joined(catalog.QUERIES["edge_file"](spark, SF), "relation")
     assert set(got) == set(RELATIONS) and got == {k: "\n".join(v) for k, v in want.items()}
 
 
@@ -51,7 +59,7 @@ def test_record_file_holds_every_node(spark):
     for n in sorted(star.snapshot(spark, SF).nodes.collect(), key=lambda n: n.id):
         lines = [f"- id: {n.id}"] + [f"  {c}: {_quoted(n[c])}" for c in ("title", "label", "status") if n[c] is not None]
         want[n.kind].append("\n".join([*lines, "  rigor: " + ('"*pending*"' if n.rigor is None else repr(n.rigor))]))
-    got = {r.kind: r.text for r in catalog.QUERIES["record_file_all"](spark, SF).collect()}
+    got = _joined(catalog.QUERIES["record_file"](spark, SF), "kind")
     assert set(got) == {"claim", "analysis", "experiment", "axiom", "work"} and got == {k: "\n".join(v) for k, v in want.items()}
 
 
@@ -109,7 +117,7 @@ def test_sheets_draw_across_volumes(spark):
     edges += [("founds", "wrk-a", "clm-a"), ("references", "clm-a", "clm-e"), ("demoted", "clm-d", "clm-a"), ("lifts", "clm-c", "clm-d"), ("refutes", "clm-x", "clm-b"), edges[0]]
     n = spark.createDataFrame([(*x, 0.125) for x in nodes], "id string, host string, title string, strength double")
     e = spark.createDataFrame(edges, "relation string, source string, target string")
-    got = {r.volume: r.dot for r in render.sheet(n, e).unionByName(render.full_sheet(n, e)).collect()}
+    got = {r.volume: r.dot + "\n" for r in render.sheet(n, e).unionByName(render.full_sheet(n, e)).collect()}
     assert got == {v: _sheet(nodes, edges, v) for v in ("", "u", "v", "w")}
     assert '"clm-b" -> "clm-c"' in got["v"] and '"clm-a" -> "clm-c"' not in got["v"] and "clm-gone" in got["w"]
 
