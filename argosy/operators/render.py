@@ -194,10 +194,45 @@ def full_sheet(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _sheets(_drawn(nodes, edges, True))
 
 
+#: A record's fields in order.
+RECORD = {
+    "claim": ("id", "title", "rigor", "manually-scored", "rationale", "judged-hash"), "analysis": ("id", "title", "rigor", "manually-scored", "rationale", "judged-hash"),
+    "experiment": ("id", "title", "status", "rigor", "manually-scored", "judged-hash"), "work": ("id", "label", "title", "rigor", "rationale"), "axiom": ("id", "label", "title"),
+}
+_SCORED = ("relation", "source", "target", "context", "bearing", "manually-scored", "judged-hash")
+EDGE = {
+    "references": ("relation", "source", "target", "context"), "demoted": ("relation", "replaced-relation", "source", "target", "context", "bearing", "manually-scored"), "founds": ("relation", "source", "target", "context", "bearing"),
+    "supports": _SCORED, "lifts": _SCORED, "refutes": _SCORED,
+}
+NEVER_JUDGED = "0" * 64
+
+
+def _field(df: DataFrame, name: str, first: bool) -> Column:
+    """One field's line: numbers as they read back, pending by its word, texts quoted; what a record lacks as its empty value."""
+    column = name.replace("-", "_")
+    held = F.col(column) if column in df.columns else F.lit(None).cast("string")
+    if name in ("rigor", "bearing"):
+        value = F.coalesce(number(held.cast("double")), F.lit('"*pending*"'))
+    elif name == "manually-scored":
+        value = F.coalesce(held.cast("boolean"), F.lit(False)).cast("string")
+    elif name in ("id", "source", "target", "relation", "replaced-relation", "status"):
+        value = F.coalesce(held, F.lit(""))
+    else:
+        value = quoted(F.coalesce(held.cast("string"), F.lit(NEVER_JUDGED if name == "judged-hash" else "")))
+    return F.concat(F.lit("- " if first else "  "), F.lit(f"{name}: "), value)
+
+
+def _record(df: DataFrame, by: str, kinds: dict[str, tuple[str, ...]]) -> Column:
+    out = None
+    for kind, fields in kinds.items():
+        text = F.concat_ws("\n", *[_field(df, f, i == 0) for i, f in enumerate(fields)])
+        out = F.when(F.col(by) == kind, text) if out is None else out.when(F.col(by) == kind, text)
+    return out
+
+
 def record_file(nodes: DataFrame) -> DataFrame:
-    """kind, part, text: nodes as a YAML list in id order."""
-    value = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), quoted(F.col(c).cast("string"))))
-    entry = F.concat_ws("\n", F.concat(F.lit("- id: "), "id"), value("title"), value("label"), value("status"), F.concat(F.lit("  rigor: "), F.coalesce(number(F.col("rigor")), F.lit('"*pending*"'))))
+    """kind, part, text: nodes as a YAML list in id order, with every field of their kind."""
+    entry = _record(nodes, "kind", RECORD)
     return parts(nodes, "kind", [F.col("id"), entry], entry, "text")
 
 
@@ -213,10 +248,8 @@ def footers(links: DataFrame) -> DataFrame:
 
 
 def edge_file(edges: DataFrame) -> DataFrame:
-    """relation, part, text: edges as a YAML list in identity order."""
-    bearing = F.when(F.col("bearing_pending"), F.lit('\n  bearing: "*pending*"')).when(F.col("bearing").isNotNull(), F.concat(F.lit("\n  bearing: "), number(F.col("bearing")))).otherwise("")
-    replaced = F.when(F.col("relation") == "demoted", F.concat(F.lit("\n  replaced-relation: "), quoted(F.coalesce("replaced_relation", F.lit(""))))).otherwise("")
-    entry = F.concat(F.lit("- source: "), "source", F.lit("\n  target: "), "target", F.lit("\n  context: "), quoted(F.coalesce("context", F.lit(""))), replaced, bearing)
+    """relation, part, text: edges as a YAML list in identity order, with every field of their relation."""
+    entry = _record(edges, "relation", EDGE)
     return parts(edges, "relation", [F.coalesce(relation_rank(F.col("replaced_relation")), F.lit(-1)), F.col("source"), F.col("target"), entry], entry, "text")
 
 
