@@ -35,8 +35,8 @@ def words(text: str = "text") -> Column:
 
 
 def order_key(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
-    """md5 of seed, id and text: rows that share an id are spread like any others."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), text_of(text)))
+    """md5 of seed, id and the text's md5: rows that share an id are spread like any others, and no text is copied."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.md5(text_of(text))))
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs
 
 
 def plan_mix(keyed: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
-    """One row for each source: source_size, target, whole repetitions, and the last unit (key, id, size) that gets one more, with how many of its rows do.
+    """One row for each source: source_size, target, whole repetitions, and the last unit (key, id) that gets one more, with how many of its rows do.
 
     `keyed` has the columns of `sized`; it is read twice, so it should be settled.
     """
@@ -90,7 +90,7 @@ def plan_mix(keyed: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
         units.withColumn("_fit", F.least(fits, F.col("_rows")))
         .where(F.col("_fit") > 0)
         .groupBy("source")
-        .agg(F.max(F.struct("_key", "doc_id", "size", "_fit", "_rows")).alias("_last"))
+        .agg(F.max(F.struct("_key", "doc_id", "_fit", "_rows")).alias("_last"))
         .withColumnRenamed("source", "_source")
     )
     at = at.select(F.col("_source").alias("_at"), "_cut")
@@ -109,10 +109,10 @@ def _small(plan: DataFrame) -> DataFrame:
 
 
 def repeats(plan: DataFrame, keyed: DataFrame) -> DataFrame:
-    """`keyed` with source_size, target, repeats (how often the mix takes the row) and taken (words)."""
+    """`keyed` (doc_id, source, _key, _bucket and any others) with source_size, target and repeats (how often the mix takes the row)."""
     split = plan.where("_last._fit < _last._rows").limit(1).count() > 0
     plan = plan.withColumnRenamed("source", "_of")
-    own, last = F.struct("_key", "doc_id", "size"), F.struct("_last._key", "_last.doc_id", "_last.size")
+    own, last = F.struct("_key", "doc_id"), F.struct("_last._key", "_last.doc_id")
     # Without a cut the rest is 0 or, by rounding, all of the source.
     before_cut = F.when(F.col("_cut").isNull(), F.col("_all")).otherwise(
         (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & F.col("_last").isNotNull() & F.coalesce(own <= last, F.lit(False)))
@@ -129,18 +129,18 @@ def repeats(plan: DataFrame, keyed: DataFrame) -> DataFrame:
         earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         each = same.withColumn("_more", F.col("_fit") - earlier).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
         out = out.unionByName(each.withColumn("repeats", F.col("whole") + F.when(F.col("_i") <= F.col("_more"), 1).otherwise(0)).select(*out.columns))
-    return out.withColumn("taken", F.col("repeats") * F.col("size"))
+    return out
 
 
 def mix_plan_for(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 9) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats, taken for every document."""
     keyed = settle(sized(docs, seed))
-    return repeats(plan_mix(keyed, weights, share, max_epochs), keyed).drop("_key", "_bucket")
+    return repeats(plan_mix(keyed, weights, share, max_epochs), keyed).withColumn("taken", F.col("repeats") * F.col("size")).drop("_key", "_bucket")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 9) -> DataFrame:
     """The mixed table: the rows of `docs`, each as often as the mix takes it. Texts are not shuffled."""
     plan = plan_mix(settle(sized(docs, seed)), weights, share, max_epochs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("_row"), "doc_id", "source", words().alias("size"), order_key(seed).alias("_key")).withColumn("_bucket", F.substring("_key", 1, 3))
+    keyed = docs.select(row.alias("_row"), "doc_id", "source", order_key(seed).alias("_key")).withColumn("_bucket", F.substring("_key", 1, 3))
     return repeats(plan, keyed).select("_row", F.explode(F.sequence(F.lit(1), F.greatest(F.col("repeats"), F.lit(1)).cast("int"))).alias("_nth"), "repeats").where("repeats > 0").select("_row.*")
