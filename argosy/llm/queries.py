@@ -149,7 +149,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9 = r"""
-with s as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('9:' || coalesce(doc_id::varchar, 'null') || ':' || coalesce(text, '')) as k from documents),
+with s as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('9:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) as k from documents),
 w as (select source, sum(size)::bigint as source_size from s group by 1),
 a as (select *, [3.0, 1.0, 2.0][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int]::double as weight from w),
 b as (select *, source_size::double * 2.0::double as cap, cap / weight as ratio, (sum(source_size) over ())::double * 1.5::double as total, sum(weight) over () as weights from a),

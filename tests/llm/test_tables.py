@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from argosy.llm import components, jaccard, linededup, mixing, queries, topk
+from argosy.llm import jaccard, linededup, mixing, queries, topk
+
+from argosy.operators import components
 
 from .helpers import ODD, docs, words
 
