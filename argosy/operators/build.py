@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import text
 from argosy.operators.graph import contract
+from argosy.operators.prefix import before
 from argosy.plans.star import settle
 
 
@@ -63,14 +64,22 @@ def tfidf_shortlist(statements: DataFrame, k: int = 2, exclude: DataFrame | None
     return best.select(F.col("a").alias("source"), "rank", F.col("b").alias("target"), "cosine").unionByName(fill)
 
 
+def _beside(nodes: DataFrame, by: str, reach: int) -> DataFrame:
+    """id, document, seq, n: each node with those up to `reach` places on either side of it among the nodes of its `by`."""
+    ranked = settle(before(nodes.select("id", "document", "seq", F.col(by).alias("_by")), [F.col("_by"), F.col("seq"), F.col("id")], {"_r": F.lit(1)}))
+    steps = F.explode(F.array(*[F.lit(i) for i in range(-reach, reach + 1) if i]))
+    asked = ranked.withColumn("_o", steps).withColumn("_at", F.col("_r") + F.col("_o"))
+    other = ranked.select(F.col("_r").alias("_at"), F.col("_by").alias("_of"), F.struct("id", "document", "seq").alias("n"))
+    return asked.join(other, "_at").where(F.col("_by").eqNullSafe(F.col("_of"))).select("id", "document", "seq", "n")
+
+
 def proximity(nodes: DataFrame, k: int = 3) -> DataFrame:
     """source, rank, target: each node's k nearest of its own paper (id, document, paper, seq), by locality, distance, sequence.
 
-    The nearest by (same document, distance) lie within k places on either side of the source in its document and in its paper, so shifted copies are joined, not all pairs.
+    The nearest by (same document, distance) lie within 2 k places of the source in its document and in its paper. Places are running
+    counts over range partitions and neighbours an equi-join on them, so neither all pairs nor a paper meet in one task.
     """
-    doc, paper = Window.partitionBy("document").orderBy("seq"), Window.partitionBy("paper").orderBy("seq")
-    near = F.array(*[F.struct(f(F.struct("id", "document", "seq"), i).over(w).alias("n")) for w in (doc, paper) for f in (F.lag, F.lead) for i in range(1, 2 * k + 1)])
-    found = nodes.withColumn("_near", near).select("id", "document", "seq", F.explode("_near").alias("x")).where("x.n is not null").select("id", "document", "seq", "x.n").distinct()
+    found = _beside(nodes, "document", 2 * k).unionByName(_beside(nodes, "paper", 2 * k)).distinct()
     tier = (F.col("n.document") != F.col("document")).cast("int")
     order = Window.partitionBy("id").orderBy(tier, F.abs(F.col("n.seq") - F.col("seq")), "n.seq")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("source"), "rank", F.col("n.id").alias("target"))
@@ -137,9 +146,9 @@ def cull_roots(targets: DataFrame) -> DataFrame:
     return contract(targets)
 
 
-def final_culls(targets: DataFrame, confirmed: DataFrame) -> DataFrame:
+def final_culls(targets: DataFrame, roots: DataFrame, confirmed: DataFrame) -> DataFrame:
     """id, root: culls whose root is their target, or whose pair (id, root) is confirmed."""
-    both = targets.join(cull_roots(targets), "id")
+    both = targets.join(roots, "id")
     return both.where(F.col("into") == F.col("root")).select("id", "root").unionByName(both.where(F.col("into") != F.col("root")).select("id", "root").join(confirmed.select("id", "root"), ["id", "root"], "left_semi"))
 
 
@@ -193,9 +202,9 @@ def inside(points: DataFrame, spans: DataFrame, width: int = 256) -> DataFrame:
 
 
 def excerpts(docs: DataFrame, budget: int) -> DataFrame:
-    """Documents (position, path, text) as long as their running length stays within the budget."""
-    upto = F.sum(F.length("text")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    return docs.withColumn("upto", upto).where(F.col("upto") <= budget)
+    """Documents (position, path, text) as long as their running length stays within the budget, with upto."""
+    summed = before(docs, [F.col("position"), F.col("path")], {"_before": F.length("text")})
+    return summed.withColumn("upto", F.col("_before") + F.length("text")).where(F.col("upto") <= budget).drop("_before")
 
 
 def routed(references: DataFrame, identifiers: DataFrame, blocks: DataFrame, equations: DataFrame, claims: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A round folds every node whose sources all have values: premises by min, lifts by max, refutations as caps. A value that isn't there yet
 is not the same as a pending one, so nothing is folded early; what never becomes ready lies on a cycle or rests on one, and
-derives nothing. Each round's values are settled; edges of settled targets leave the frontier, so the work over all rounds is
-one join for each edge and level.
+derives nothing. A round settles the open nodes with what has landed on them, and the edges into those that stay open; edges of settled
+targets leave the frontier, so the work over all rounds is one join for each edge and level.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +37,35 @@ def stations(landing: DataFrame) -> DataFrame:
 
 def folded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, premise, lift, cap, strength, level of every claim and analysis; strength and level are null on and above cycles."""
-    seats = settle(nodes.where(F.col("kind").isin("claim", "analysis")).select("id", "kind", "rigor"))
-    sources = participants(nodes).select(F.col("id").alias("source"), F.col("rigor").alias("value"))
+    left = settle(nodes.where(F.col("kind").isin("claim", "analysis")).select("id", "kind", "rigor"))
+    sources = participants(nodes).select(F.col("id").alias("_p"), F.col("rigor").alias("_value"))
     walk = edges.where(scoring(F.col("relation"))).select("relation", "source", "target", "bearing")
-    inner = seats.select(F.col("id").alias("_s"))
     # Sources outside seats and participants (planned experiments, unknown ids) are no part of the walk.
-    fixed = walk.join(sources, "source").select("relation", "source", "target", contribution(F.col("relation"), F.col("bearing"), F.col("value")).alias("worth"))
-    open_edges = settle(walk.join(inner, F.col("source") == F.col("_s"), "left_semi"))
-    landed = settle(fixed.select("target", "relation", "worth"))
-    done, left, level = None, seats, 1
+    joined = walk.join(sources, F.col("source") == F.col("_p"), "left").join(left.select(F.col("id").alias("_s")), F.col("source") == F.col("_s"), "left").where("_p is not null or _s is not null")
+    worth = lambda value: contribution(F.col("relation"), F.col("bearing"), F.col(value))
+    waits = F.col("_p").isNull()
+    state = settle(joined.select("relation", "source", "target", "bearing", waits.alias("open"), F.when(~waits, worth("_value")).alias("worth")))
+    done, level = [], 1
     while True:
-        waiting = open_edges.select("target").distinct()
-        ready = left.join(waiting, F.col("id") == F.col("target"), "left_anti")
-        found = ready.join(stations(landed).withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left")
-        found = settle(found.select("id", "premise", "lift", "cap", fold(F.col("kind"), F.col("rigor"), F.col("premise"), F.col("lift"), F.col("cap")).alias("strength"), F.lit(level).alias("level")))
-        if not found.limit(1).count():
-            break
-        done = found if done is None else done.unionByName(found)
-        left = settle(left.join(found.select(F.col("id").alias("_d")), F.col("id") == F.col("_d"), "left_anti"))
-        if not left.limit(1).count():
+        waiting = state.where("open").select(F.col("target").alias("_w")).distinct()
+        landed = stations(state.where("not open")).withColumnRenamed("id", "_i")
+        marked = left.join(waiting, F.col("id") == F.col("_w"), "left").join(landed, F.col("id") == F.col("_i"), "left")
+        marked = settle(marked.select("id", "kind", "rigor", "premise", "lift", "cap", F.col("_w").isNull().alias("ready")))
+        counts = marked.agg(F.count_if("ready"), F.count_if(~F.col("ready"))).first()
+        left = marked.where("not ready").select("id", "kind", "rigor")
+        if not counts[0]:
             break
-        values = found.select(F.col("id").alias("source"), F.col("strength").alias("value"))
-        fresh = open_edges.join(values, "source").select("target", "relation", contribution(F.col("relation"), F.col("bearing"), F.col("value")).alias("worth"))
-        # Only what lands on nodes still open is needed again.
-        landed = settle(landed.unionByName(fresh).join(left.select(F.col("id").alias("target")), "target", "left_semi"))
-        open_edges = settle(open_edges.join(values.select("source"), "source", "left_anti"))
+        found = marked.where("ready").select("id", "premise", "lift", "cap", fold(F.col("kind"), F.col("rigor"), F.col("premise"), F.col("lift"), F.col("cap")).alias("strength"), F.lit(level).alias("level"))
+        done.append(found)
+        if not counts[1]:
+            return functools.reduce(DataFrame.unionByName, done)
+        # Only edges into nodes still open are needed again; those from what is found are settled.
+        state = state.join(left.select(F.col("id").alias("_l")), F.col("target") == F.col("_l"), "left_semi").join(found.select(F.col("id").alias("_v"), F.col("strength").alias("_value")), F.col("source") == F.col("_v"), "left")
+        fresh = F.col("open") & F.col("_v").isNotNull()
+        state = settle(state.select("relation", "source", "target", "bearing", (F.col("open") & F.col("_v").isNull()).alias("open"), F.when(fresh, worth("_value")).otherwise(F.col("worth")).alias("worth")))
         level += 1
     none = [F.lit(None).cast("double").alias(c) for c in ("premise", "lift", "cap", "strength")]
-    rest = left.select("id", *none, F.lit(None).cast("int").alias("level")) if done is None or left.limit(1).count() else None
-    return done if rest is None else rest if done is None else done.unionByName(rest)
+    return functools.reduce(DataFrame.unionByName, [*done, left.select("id", *none, F.lit(None).cast("int").alias("level"))])
 
 
 def derive(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from argosy.functions import text as T
 from argosy.operators import build, graph, query, render, score, strength, verify
 from argosy.plans import star
 from argosy.plans.registry import ORACLES, QUERIES, SCORED, on_graph, on_tables
+from argosy.streaming import ledger
 
 _FOUND = "select id, kind, title, label, host, strength, dependents from n"
 _RANK = "case relation when 'supports' then 0 when 'founds' then 1 when 'lifts' then 2 when 'refutes' then 3 when 'references' then 4 else 5 end"
@@ -171,11 +173,21 @@ _T = "t as (select o_custkey as id, min(o_custkey - o_orderkey % 5 - 1) as into_
 on_tables("cull_targets", f"with {_T} select id, into_ as into from t".replace(" as into from", ' as "into" from'), _culls, "orders", "customer")
 _R = f"with recursive {_T}, r(id, pos) as (select id, into_ from t union all select r.id, t.into_ from r join t on r.pos = t.id)"
 on_tables("cull_roots", f"{_R} select id, min(pos) as root from r group by 1", lambda o, c: build.cull_roots(_culls(o, c)), "orders", "customer")
-on_tables("cull_final", f"{_R}, x as (select id, min(pos) as root from r group by 1) select x.id, x.root from x join t on x.id = t.id where t.into_ = x.root or x.id % 2 = 0", lambda o, c: build.final_culls(t := star.settle(_culls(o, c)), build.cull_roots(t).where("id % 2 = 0")), "orders", "customer")
+on_tables("cull_final", f"{_R}, x as (select id, min(pos) as root from r group by 1) select x.id, x.root from x join t on x.id = t.id where t.into_ = x.root or x.id % 2 = 0", lambda o, c: build.final_culls(t := star.settle(_culls(o, c)), r := build.cull_roots(t), r.where("id % 2 = 0")), "orders", "customer")
 on_tables("contracted_links", f"""{_R}, x as (select id, min(pos) as root from r group by 1), l as (select o_custkey as a, o_orderkey % 100 as b, case o_orderstatus when 'F' then 3 when 'O' then 2 else 1 end as h from orders),
   m as (select coalesce(xa.root, a) as a, coalesce(xb.root, b) as b, h from l left join x xa on a = xa.id left join x xb on b = xb.id) select least(a, b) as a, greatest(a, b) as b, ['marked', 'unmarked', 'adjacent'][min(h)] as harvest from m where a <> b group by 1, 2""", lambda o, c: build.contracted_links(o.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 100).alias("b"), F.when(F.col("o_orderstatus") == "F", "adjacent").when(F.col("o_orderstatus") == "O", "unmarked").otherwise("marked").alias("harvest")), build.cull_roots(_culls(o, c))), "orders", "customer")
 on_tables("multiset_diff", """select o_orderpriority, greatest(d, 0)::bigint as lost, greatest(-d, 0)::bigint as added from (select o_orderpriority, count(*) filter (o_orderstatus = 'F') - count(*) filter (o_orderstatus = 'O') as d from orders group by 1) where d <> 0""", lambda o: build.multiset_diff(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["o_orderpriority"]), "orders")
-on_tables("tfidf_shortlist", None, lambda b: build.tfidf_shortlist(b.select(F.col("item_id").cast("string").alias("id"), "text"), 2), "benchmark")
+on_tables(
+    "tfidf_shortlist",
+    r"""with t as (select item_id::varchar as id, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda y: lower(y)), lambda y: length(y) > 2 and not regexp_full_match(y, '\p{Nd}+') and not list_contains(['%s'], y)) as ws from benchmark),
+  f as (select id, term, count(*) as tf from (select id, unnest(ws) as term from t) group by all), d as (select term, count(*) as df from f group by 1),
+  r as (select id, term, (1 + ln(tf)) * (ln((1.0 + (select count(*) from t)) / (1.0 + df)) + 1.0) as w from f join d using (term)), v as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as w from r),
+  c as (select a.id as source, b.id as target, round(sum(a.w * b.w), 12) as cosine from v a join v b on a.term = b.term and a.id <> b.id group by all),
+  p as (select a.id as source, b.id as target, coalesce(cosine, 0) as cosine from t a join t b on a.id <> b.id left join c on c.source = a.id and c.target = b.id)
+  select source, row_number() over (partition by source order by cosine desc, target)::int as rank, target, round(cosine, 9) as cosine from p qualify rank <= 2""" % "', '".join(sorted(T.STOPWORDS)),
+    lambda b: build.tfidf_shortlist(b.select(F.col("item_id").cast("string").alias("id"), "text"), 2).withColumn("cosine", F.round("cosine", 9)),
+    "benchmark",
+)
 on_tables("dead_page_links", """with l as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages), u as (select distinct regexp_extract(url, '^https?://[^/]+(/.*)$', 1) as p from pages) select page_id, href, count(*) as n from l where href not in (select p from u) group by 1, 2""", lambda p: p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href")).join(p.select(F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1).alias("_p")).distinct(), F.col("href") == F.col("_p"), "left_anti").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n")), "pages")
 _ev = lambda e: e.select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), "event_type")
 on_tables("section_asof", """select user_id as path, event_id as line, event_id::varchar as id, coalesce(last_value(case when event_type = 'signup' then event_id::varchar end ignore nulls) over (partition by user_id order by event_id), '') as anchor from events qualify event_type = 'purchase'""", lambda e: build.hosted_under(_ev(e).where("event_type = 'purchase'").withColumn("id", F.col("line").cast("string")), _ev(e).where("event_type = 'signup'").withColumn("anchor", F.col("line").cast("string"))), "events")
@@ -200,21 +212,28 @@ on_tables("retention", "select event_type as kind, event_id as name from events
 on_tables("ask_totals", "select event_type as outcome, count(*) as n, sum(event_id)::bigint as tokens, count(*) filter (r > 1) as warm from (select *, row_number() over (partition by user_id order by event_id) as r from events) group by 1", lambda e: score.ask_totals(e.select(F.col("user_id").alias("group"), F.col("event_id").alias("ord"), F.col("event_type").alias("outcome"), F.col("event_id").alias("tokens"))), "events")
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by Structured Streaming over the events' file, run until all files are read."""
-    from argosy.streaming.ledger import windowed_counts
+def _streamed(name: str, rows: Callable[[DataFrame], DataFrame], keys: list[str], schema: str):
+    """A streaming aggregate over the events' file in update mode, run until all files are read: each batch's changed rows are written once, and the last of each key counts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{sf_dir}/events.parquet"
+        star.settle(spark.range(1))  # sets the shared folder
+        root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+        stream = rows(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet"))
+        keep = lambda df, batch: df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/{batch:012d}")
+        out = stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        out.awaitTermination()
+        held = spark.read.schema(f"{schema}, _batch int").parquet(f"{root}/out/*")
+        rest = [c for c in held.columns if c not in (*keys, "_batch")]
+        return held.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
 
-    path = f"{sf_dir}/events.parquet"
-    star.settle(spark.range(1))  # sets the shared folder
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    stream = windowed_counts(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp")))
-    out = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).start()
-    out.awaitTermination()
-    return spark.read.parquet(f"{root}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    QUERIES[name] = run
 
 
-QUERIES["stream_event_counts"] = _streamed
+_streamed("stream_event_counts", lambda e: ledger.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz")), ["start", "event_type"], "start timestamp_ntz, event_type string, n long")
 ORACLES["stream_event_counts"] = "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2"
+_streamed("stream_last_state", lambda e: ledger.last_states(e.select(F.col("user_id").alias("item"), F.col("event_type").alias("status"), "value", F.col("event_id").alias("ended"), F.lit("").alias("digest"))), ["item"], "item long, status string, value double")
+ORACLES["stream_last_state"] = "select user_id as item, event_type as status, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1"
 
 
 on_tables("reference_routes", """select o_orderkey as reference, case when o_orderkey % 4 = 0 then 'c' || (o_custkey % 50)::varchar when o_orderkey % 4 = 1 then 'n' || (o_custkey % 25)::varchar end as target, case o_orderkey % 4 when 0 then 'identifier' when 1 then 'block' end as route from orders""",
