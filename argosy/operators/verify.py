@@ -121,12 +121,27 @@ def inverse_links(up: DataFrame, down: DataFrame) -> DataFrame:
     return fault(a.exceptAll(b), "not in child list", F.col("child"), F.col("parent")).unionByName(fault(b.exceptAll(a), "no up-link", F.col("child"), F.col("parent")))
 
 
+def frontmatter(docs: DataFrame) -> DataFrame:
+    """Documents that open with a frontmatter block: none carries one."""
+    return fault(docs.where(F.col("text").rlike(r"(?s)\A---[ \t]*\n(?:.*?\n)?---[ \t]*(?:\n|\z)")), "frontmatter", F.concat("path", F.lit(":1")), F.lit(""))
+
+
+def demoted(edges: DataFrame) -> DataFrame:
+    """Edges that breaking cycles demoted: reported, not a fault."""
+    return fault(edges.where("relation = 'demoted'"), "demoted", F.concat_ws(" ", "source", "target"), F.col("replaced_relation"))
+
+
 def verify(nodes: DataFrame, edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """All faults."""
+    """All faults of records, and of documents if they are given."""
     found = [dangling(nodes, edges), duplicate_edges(edges), duplicate_nodes(nodes), illegal_pairs(nodes, edges), domains(nodes, edges)]
     if docs is not None:
-        found += [marker_faults(nodes, docs), unknown_ids(nodes, docs), bare_known_ids(nodes, docs), dead_links(docs)]
+        found += [marker_faults(nodes, docs), unknown_ids(nodes, docs), bare_known_ids(nodes, docs), dead_links(docs), frontmatter(docs)]
     return reduce(DataFrame.unionByName, found)
 
 
+def report(nodes: DataFrame, edges: DataFrame, docs: DataFrame, axioms: DataFrame, headings: DataFrame, wanted: DataFrame, standing: DataFrame) -> DataFrame:
+    """The whole report: every fault of records and documents, axiom records against marked headings, pages against what they should be, and the demoted edges."""
+    return reduce(DataFrame.unionByName, [verify(nodes, edges, docs), axiom_headings(axioms, headings), stale_pages(wanted, standing), demoted(edges)])
+
+
 __all__ = ["BEARING_TARGETS", "dangling", "dead_links", "domains", "duplicate_edges", "duplicate_nodes", "illegal_pairs", "inverse_links", "marker_faults", "stale_pages", "unknown_ids", "verify"]

@@ -70,7 +70,7 @@ EDGES = "\nunion all ".join([
 #: citation of the next part, code, repeated headings, statement markers and a child list; every fault that `verify` looks for is
 #: planted by the key.
 DOCUMENTS = f"""select k.p_partkey as k, 'parts/p' || cast(k.p_partkey as string) || '.md' as path,
-case when k.p_partkey = 0 then 'Entry.' when k.p_partkey % 29 = 0 then '[up](p0.md)' else '[up](p' || cast(floor((k.p_partkey - 1) / 10) as string) || '.md)' end || chr(10) || chr(10) ||
+case when k.p_partkey = 0 then 'Entry.' when k.p_partkey % 29 = 0 then '[up](p0.md)' else '[up](p' || cast(cast(floor((k.p_partkey - 1) / 10) as bigint) as string) || '.md)' end || chr(10) || chr(10) ||
 '# Part ' || cast(k.p_partkey % 7 as string) || chr(10) || chr(10) ||
 'Lemmas 2.1 and 2.' || cast(k.p_partkey % 5 as string) || ' say that ' || case when k.p_partkey % 5 = 0 then 'clm-qqqqqq' else {CLS('(k.p_partkey % 10)')} end || ' and `clm-zzzzzz` hold.' || chr(10) || chr(10) ||
 'See [next](' || case when k.p_partkey % 17 = 0 then 'q' else 'p' end || cast(k.p_partkey + 1 as string) || '.md#' || case when k.p_partkey % 19 = 0 then 'nowhere' else 'part-' || cast((k.p_partkey + 1) % 7 as string) end || ' "' || {CLP('(k.p_partkey + 1)')} || '").' || chr(10) || chr(10) ||

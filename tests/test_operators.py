@@ -164,7 +164,7 @@ def test_rendering_writes_only_what_changed(spark):
     assert sorted((r.path, r.action) for r in render.changed_files(want, have).collect()) == [("b", "write"), ("c", "remove")]
     assert sorted((r.subject, r.detail) for r in verify.stale_pages(want, have).collect()) == [("b", "stale"), ("c", "extra")]
     n = nodes(spark, [("clm-aaaaaa", 0.5, 'say "hi"', "v/x.md")]).withColumn("strength", F.lit(0.125))
-    assert render.sheet(n, edges(spark, [("a", "sup", "b", 1)])).first().dot == 'digraph claims {\n  "clm-aaaaaa" [label="say \\"hi\\" 0.12"];\n}\n'
+    assert render.sheet(n, edges(spark, [("a", "sup", "b", 1)])).first().dot == 'digraph claims {\n  "clm-aaaaaa" [label="say \\"hi\\" 0.12"];\n}'
 
 
 def test_expressions(spark):
