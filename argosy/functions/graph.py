@@ -51,6 +51,14 @@ def bearing_text(bearing: Column, pending: Column) -> Column:
     return F.when(pending, F.lit("pending")).otherwise(bearing.cast("string"))
 
 
+def bearing_of(text: Column) -> tuple[Column, Column]:
+    """Bearing and pending of a bearing as it is written: a number in [0, 1] or the pending word; both null for anything else."""
+    bare = F.trim(text)
+    number, pending = bare.try_cast("double"), bare.isin("pending", "*pending*")
+    fits = ~F.isnan(number) & number.between(0, 1)
+    return F.when(fits, number), F.when(pending, True).when(fits, False)
+
+
 def bearing_legal(relation: Column, source_kind: Column, target_kind: Column) -> Column:
     out = F.lit(False)
     for name, kinds in BEARING_SOURCES.items():

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argosy.functions.graph import BANDS, RELATIONS, SCORING, WALKED, band, bearing_text, contribution, fold, relation_rank, scoring
+from argosy.functions.graph import BANDS, RELATIONS, SCORING, WALKED, band, contribution, display, fold, relation_rank, scoring
 from argosy.plans.star import settle
 
 
@@ -85,13 +85,47 @@ def find(nodes: DataFrame, kinds: Sequence[str] = (), title: str | None = None,
     return found.orderBy(*_ordered(by)) if limit is None else limited(found, by, limit)
 
 
-def show(nodes: DataFrame, edges: DataFrame, id: str) -> DataFrame:
-    """One node's record with its band and its edge counts; of records that share the id the last by content wins."""
-    one = nodes.where(F.col("id") == id)
+def last_row(rows: DataFrame, id: str, order: str | None = None) -> DataFrame:
+    """The row of an id; of several the last by the column `order`, which numbers rows as they stand in their file (without one, by content)."""
+    own, names = rows.where(F.col("id") == id), [c for c in rows.columns if c != "id"]
+    best = F.max_by(F.struct(*names), F.col(order)) if order else F.max(F.struct(*names))
+    return own.groupBy("id").agg(best.alias("r")).select("id", "r.*")
+
+
+def show(nodes: DataFrame, edges: DataFrame, id: str, order: str | None = None) -> DataFrame:
+    """One node's record with its band and its edge counts."""
     counts = edges.where((F.col("source") == id) | (F.col("target") == id)).agg(F.count_if(F.col("target") == id).alias("edges_in"), F.count_if(F.col("source") == id).alias("edges_out"))
     fields = ("id", "kind", "title", "label", "status", "rigor", "manually_scored", "host", "strength", "dependents")
-    last = one.groupBy("id").agg(F.max(F.struct(*[c for c in fields if c != "id"])).alias("r")).select("id", "r.*")
-    return last.join(F.broadcast(counts), how="inner", on=F.lit(True)).select(*fields, band(F.col("strength")).alias("band"), "edges_in", "edges_out")
+    last = last_row(nodes.select(*fields, *([order] if order else [])), id, order)
+    return last.join(F.broadcast(counts), how="inner", on=F.lit(True)).select(*fields, band(F.col("strength")).alias("band"), "edges_in", "edges_out")  # one row of counts
+
+
+#: What each kind's record shows after kind, id, title, host and summary page, in order.
+SHOWN = {
+    "claim": ("rigor", "manually-scored", "strength", "strength-band", "rationale", "premises"), "analysis": ("rigor", "manually-scored", "strength", "strength-band", "rationale"),
+    "experiment": ("status", "rigor", "manually-scored"), "axiom": ("label", "rigor"), "work": ("label", "rigor", "rationale"),
+}
+
+
+def show_record(nodes: DataFrame, edges: DataFrame, id: str, order: str | None = None) -> DataFrame:
+    """at, key, value of one node's record by its kind, then a row for each of its edges in and out, in the fixed order of edges."""
+    held = nodes if "rationale" in nodes.columns else nodes.withColumn("rationale", F.lit(None).cast("string"))
+    premises = edges.where((F.col("target") == id) & F.col("relation").isin("supports", "founds")).agg(F.count(F.lit(1)).alias("_premises"))
+    one = last_row(held, id, order).join(F.broadcast(premises), F.lit(True))  # one row
+    text = {
+        "kind": F.col("kind"), "id": F.col("id"), "title": F.col("title"), "host": F.col("host"), "summary": F.when(F.col("host").isNotNull(), F.concat(F.substring_index("host", "/", 1), F.lit("/summary.md"))),
+        "rigor": F.coalesce(F.col("rigor").cast("string"), F.lit("pending")), "manually-scored": F.coalesce("manually_scored", F.lit(False)).cast("string"), "strength": display(F.col("strength")), "strength-band": band(F.col("strength")),
+        "rationale": F.coalesce("rationale", F.lit("")), "premises": F.col("_premises").cast("string"), "status": F.col("status"), "label": F.col("label"),
+    }
+    fields = None
+    for kind, names in SHOWN.items():
+        rows = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("key"), text[n].alias("value")) for i, n in enumerate(("kind", "id", "title", "host", "summary", *names))])
+        fields = F.when(F.col("kind") == kind, rows) if fields is None else fields.when(F.col("kind") == kind, rows)
+    record = one.select(F.explode(fields).alias("x")).select("x.*")
+    bullet = F.concat_ws(" ", "relation", "source", "target", F.when(F.col("bearing_pending"), "pending").otherwise(F.col("bearing").cast("string")), F.when(F.col("manually_scored"), "(manual)"))
+    ends = [(F.col("target") == id, "edge-in", 100), (F.col("source") == id, "edge-out", 200)]
+    listed = [edges.where(at).select((F.lit(n) + relation_rank(F.col("relation"))).alias("at"), F.lit(key).alias("key"), bullet.alias("value")) for at, key, n in ends]
+    return record.unionByName(listed[0]).unionByName(listed[1]).orderBy("at", "value")
 
 
 def edges_of(edges: DataFrame, relations: Sequence[str] = (), id: str | None = None, direction: str = "both") -> DataFrame:

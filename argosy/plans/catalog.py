@@ -47,6 +47,20 @@ for _name, _id in (("show_claim", "clm-p00007"), ("show_analysis", "ana-000012")
         f"select id, kind, title, label, status, rigor, manually_scored, host, strength, dependents, {_BAND} as band, (select count(*) from e where target = '{_id}') as edges_in, (select count(*) from e where source = '{_id}') as edges_out from n where id = '{_id}'",
         lambda n, e, i=_id: query.show(n, e, i),
     )
+_HEAD = ("kind", "id", "title", "host", "summary")
+_VALUE = {
+    "summary": "split_part(host, '/', 1) || '/summary.md'", "rigor": "coalesce(rigor::varchar, 'pending')", "manually-scored": "coalesce(manually_scored, false)::varchar", "strength": "case when strength is null then 'pending' else format('{:.2f}', strength) end",
+    "strength-band": _BAND, "rationale": "''", "premises": "(select count(*) from e where target = n.id and relation in ('supports', 'founds'))::varchar",
+}
+_BULLET = "concat_ws(' ', relation, source, target, case when bearing_pending then 'pending' else bearing::varchar end, case when manually_scored then '(manual)' end)"
+for _name, _id in (("show_record_claim", "clm-p00007"), ("show_record_analysis", "ana-000012"), ("show_record_experiment", "exp-000005"), ("show_record_axiom", "axm-000001"), ("show_record_work", "wrk-000003")):
+    _keys = (*_HEAD, *query.SHOWN[_name.rpartition("_")[2]])
+    on_graph(
+        _name,
+        "select x.a::int as \"at\", x.k as key, x.v as value from (select unnest([" + ", ".join(f"{{'a': {_i}, 'k': '{_k}', 'v': ({_VALUE.get(_k, _k)})::varchar}}" for _i, _k in enumerate(_keys)) + f"]) as x from n where id = '{_id}')"
+        + "".join(f" union all select ({_n} + {_RANK})::int, '{_k}', {_BULLET} from e where {_c} = '{_id}'" for _n, _k, _c in ((100, "edge-in", "target"), (200, "edge-out", "source"))),
+        lambda n, e, i=_id: query.show_record(n, e, i),
+    )
 # stats
 on_graph("stats_kind_counts", "select kind, count(*) as n from n group by 1", lambda n, e: query.kind_counts(n))
 on_graph("stats_bands", f"select rank, b.band, coalesce(n, 0)::bigint as n from (values (1, 'ok-to-build'), (2, 'ok-with-caveats'), (3, 'input-only'), (4, 'do-not-build'), (5, 'unsubstantiated'), (6, 'unknown')) b(rank, band) left join (select {_BAND} as band, count(*) as n from n where kind = 'claim' group by 1) x on b.band = x.band", lambda n, e: query.band_counts(n))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from argosy.functions import graph as G
 from argosy.functions import markdown as M
 from argosy.functions import text as T
+from argosy.plans import everything as catalog
 from argosy.operators import build, graph, migrate, render, score, verify, write
 from argosy.operators.query import Refused
-from argosy.plans import catalog
+
 from argosy.sources import records
 from argosy.streaming import ledger
 
