@@ -95,6 +95,43 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(found, credentials.BASE, tuple(credentials.ORDER))
 
 
+def _any_case(words: str) -> str:
+    """A pattern of ASCII letters in either case."""
+    return "".join(f"[{c}{c.upper()}]" if c.isascii() and c.islower() else c for c in words)
+
+
+def _spans_sql(name: str, kind: str, pattern: str, held: str = "true", value: str = "") -> str:
+    """CTEs for the spans (r, kind, m, a, b) of a pattern's leftmost matches: their places follow from the pieces between them."""
+    p = pattern.replace("'", "''")
+    own = f", regexp_extract_all(x, '{p}', {value}) as vs" if value else ""
+    return f"""{name}_u as (select r, generate_subscripts(ms, 1) as i, unnest(ms) as m, unnest(ps[1:len(ms)]) as p{', unnest(vs) as v' if value else ''} from (select r, regexp_extract_all(x, '{p}') as ms, string_split_regex(x, '{p}') as ps{own} from t where regexp_matches(x, '{p}'))),
+{name} as (select r, '{kind}' as kind, m, a, a + length(m) as b from (select *, (sum(length(p)) over (partition by r order by i) + coalesce(sum(length(m)) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0))::int as a from {name}_u) where {held})"""
+
+
+_VALUE = r"""["']?\x20*[:=]\x20*["']?"""
+_JOIN = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, k, b) {0}, '')"
+OP4 = f"""
+with t as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as x from documents),
+{_spans_sql('as_', 'assign', f"({_any_case('password|passwd|secret|token|api_?key')}){_VALUE}([A-Za-z0-9+/_.=-]+)", 'length(v) >= 6', '2')},
+{_spans_sql('ac', 'access', 'AKIA[A-Z0-9]+', 'length(m) >= 20')},
+{_spans_sql('he', 'hex', '[0-9a-f]{24,}')},
+{_spans_sql('wi', 'weak_id', rf"\b(?:{_any_case('user')}(?:{_any_case('name')})?|{_any_case('login|client_?id|account_?id|access_?id')}){_VALUE}[A-Za-z0-9@._-]{{3,}}")},
+{_spans_sql('ru', 'weak_secret', '[A-Za-z0-9+/_=-]{20,}')},
+{_spans_sql('en', 'endpoint', rf"\b(?:https?|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._-]+(?::[0-9]{{1,5}})?|\bhost{_VALUE}[A-Za-z0-9.-]+\.[A-Za-z0-9.-]+")},
+{_spans_sql('ga', 'gap', r'\n[\x20\t]*\n')},
+ch as (select r, a, m, ch, count(*) as c from (select r, a, m, unnest(string_split(m, '')) as ch from ru) group by all),
+ws as (select ru.* from ru join (select r, a, -sum(c / length(m) * log2(c / length(m))) as h from ch group by r, a) using (r, a)
+  where h >= 3.5 and regexp_full_match(m, '[A-Za-z0-9+/_-]{{20,}}={{0,2}}') and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')),
+ba as (select *, 0 as k, 'secret' as role from as_ union all select *, 1, 'id' from ac union all select *, 2, 'secret' from he),
+we as (select w.* from (select *, 3 as k, 'id' as role from wi union all select *, 4, 'secret' from ws union all select *, 5, 'endpoint' from en) w where not exists (select 1 from ba where ba.r = w.r and ba.a < w.b and ba.b > w.a)),
+pa as (select *, (select count(*) from ga where ga.r = q.r and ga.a <= q.a) as scope from (select *, false as weak from ba union all select *, true from we) q),
+li as (select s.r, s.kind as sk, s.a as sa, s.b as sb, o.kind as ok, o.a as oa, o.b as ob from pa s join pa o on s.r = o.r and s.scope = o.scope and s.role = 'secret' and o.role <> 'secret' and o.a - s.b <= 200 and s.a - o.b <= 200),
+al as (select r, kind, a, b, k, false as weak from ba union all select distinct we.r, we.kind, we.a, we.b, we.k, true from we join li on we.r = li.r and ((we.kind = li.sk and we.a = li.sa and we.b = li.sb) or (we.kind = li.ok and we.a = li.oa and we.b = li.ob)))
+select any_value(doc_id) as doc_id, count(*) filter (kind = 'assign' and not weak) as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  sha256({_JOIN.format('filter (not weak)')}) as base_sha256, {_JOIN.format('')} as spans from t left join al using (r) group by r
+"""
+
+
 def _digest(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
     """Counts of the base kinds, the hash of the base spans and all spans."""
     plain = F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
@@ -179,4 +216,4 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op1_quality_rules": OP1, "op3_chat_format": OP3, "op5_jaccard_join": OP5, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
+ORACLES = {"op1_quality_rules": OP1, "op3_chat_format": OP3, "op4_secret_scan": OP4, "op5_jaccard_join": OP5, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}

@@ -266,6 +266,57 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert {r.score for r in toxicity.score(table, nobody).collect()} == {0.0}
 
 
+def plain_score(model, text):
+    """The noisy-or of a document by its definition, one sentence at a time."""
+    none = 1.0
+    for sentence in re.findall(r"[^.!?\n]+", (text or "").lower()):
+        found = {f for w in re.findall(r"\w+", sentence) for f in toxicity.features(w)}
+        none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in found))))
+    p = min(max(1 - none, 1e-9), 1 - 1e-9)
+    return 1 / (1 + math.exp(-(model.slope * math.log(p / (1 - p)) + model.shift)))
+
+
+def test_toxicity_scores_are_the_noisy_or(spark):
+    rng = random.Random(16)
+    vocabulary = [f"{rng.choice('abcde')}{rng.choice('xyz')}{rng.choice('lmnop')}{i % 9}" for i in range(60)]
+    weights = {f: rng.gauss(0, 1) for w in vocabulary[:30] for f in toxicity.features(w)}
+    model = toxicity.Model(-2.0, weights, 1.3, 0.2, True)
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", "", ".", "!\n"]) for _ in range(rng.randrange(40))) for _ in range(80)] + ["", None, "x" * 100_000 + ". " + vocabulary[0]]
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(plain_score(model, t), abs=1e-9)
+    assert toxicity.score(docs(spark, []).limit(0), model).count() == 0
+    clash = docs(spark, [(1, vocabulary[0])]).withColumn("_k", F.lit(1)).withColumn("score", F.lit("mine"))
+    assert toxicity.drop_toxic(clash, toxicity.Model(-9.0, {}, 1.0, 0.0, True)).columns == clash.columns
+
+
+def test_toxicity_fit_follows_the_gradient():
+    rng = np.random.default_rng(17)
+    n, docs_ = 6, 40
+    doc = np.sort(rng.integers(0, docs_, 120))
+    sentence = np.repeat(np.arange(120), 2)
+    bags = toxicity.Bags(rng.integers(0, 2, docs_), doc, sentence, rng.integers(0, n, 240), rng.integers(0, 3, docs_).astype(float))
+
+    def loss(theta):
+        none = toxicity.log_none(bags, theta[n], theta[:n])
+        some = np.clip(-np.expm1(none), 1e-9, 1)
+        return -np.where(bags.y == 1, np.log(some), none).mean() + 0.5e-3 * (theta[:n] ** 2).sum() / n
+
+    bias, weights = toxicity.fit_bags(bags, n, rounds=3000, rate=0.02)
+    best = np.append(weights, bias)
+    slope = [(loss(best + d) - loss(best - d)) / 2e-4 for d in 1e-4 * np.eye(n + 1)]
+    assert np.abs(slope).max() < 5e-3 and loss(best) < loss(np.append(np.zeros(n), -5.0))
+
+
+def test_platt_is_the_logistic_fit():
+    rng = np.random.default_rng(18)
+    none = -rng.exponential(1.0, 4000)
+    p = -np.expm1(none)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.7 * np.log(p / (1 - p)) - 0.4)))).astype(int)
+    slope, shift = toxicity.platt(none, y)
+    assert slope == pytest.approx(0.7, abs=0.1) and shift == pytest.approx(-0.4, abs=0.15)
+
+
 @pytest.fixture(scope="module")
 def own_encoder():
     with open(pieces.DEFAULT_MODEL, "rb") as f:
@@ -308,6 +359,21 @@ def test_samples_follow_the_lattice_without_replacement(own_encoder):
         assert abs(got / n - want) < 5 * math.sqrt(want * (1 - want) / n)
 
 
+@pytest.mark.parametrize("text", ["on", "an in", "on\nat it"])
+def test_inclusion_scores_weigh_samples_without_bias(own_encoder, text):
+    n = 4000
+    sums, each = [], collections.defaultdict(list)
+    for x in own_encoder.encode([text] * n, [f"k{i}" for i in range(n)], 3, 2):
+        sums.append(sum(math.exp(p) / q for _, p, q in x.samples))
+        for ids, p, q in x.samples:
+            each[ids].append((math.exp(p), 1 / q))
+    # Horvitz and Thompson: by inclusion scores every segmentation counts as often as it is likely, and all of them as one.
+    assert abs(np.mean(sums) - 1) < 5 * np.std(sums) / math.sqrt(n) + 1e-9
+    for ids, rows in sorted(each.items(), key=lambda x: -len(x[1]))[:4]:
+        hits = np.array([w for _, w in rows] + [0.0] * (n - len(rows)))
+        assert abs(hits.mean() - 1) < 5 * hits.std() / math.sqrt(n), ids
+
+
 def test_samples_do_not_depend_on_batches(own_encoder):
     texts = [words(120, i) for i in range(8)]
     keys = [str(i) for i in range(8)]
