@@ -240,13 +240,19 @@ def newest_segment(trail: DataFrame) -> DataFrame:
 
 def compensated(values: Column) -> Column:
     """Neumaier's sum of an array of doubles, in order."""
+    pair = compensated_pair(values)
+    return pair["s"] + pair["c"]
+
+
+def compensated_pair(values: Column) -> Column:
+    """Neumaier's running sum s and compensation c of an array of doubles."""
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
 
     def step(a: Column, x: Column) -> Column:
         t = a["s"] + x
         return F.struct(t.alias("s"), (a["c"] + F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - t) + x).otherwise((x - t) + a["s"])).alias("c"))
 
-    return F.aggregate(values, zero, step, lambda a: a["s"] + a["c"])
+    return F.aggregate(values, zero, step)
 
 
 def compensated_sums(df: DataFrame, key: str, order: str, value: str, block: int = 10_000) -> DataFrame:
@@ -254,6 +260,6 @@ def compensated_sums(df: DataFrame, key: str, order: str, value: str, block: int
     part = F.floor(F.col(order) / block)
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     inner = df.where(F.col(value).isNotNull()).groupBy(key, part.alias("_b")).agg(rows.alias("rows"), F.count(F.lit(1)).alias("n"))
-    inner = inner.select(key, "_b", "n", compensated(F.transform("rows", lambda x: x["v"])).alias("s"))
-    sums = F.sort_array(F.collect_list(F.struct("_b", "s")))
-    return inner.groupBy(key).agg(compensated(F.transform(sums, lambda x: x["s"])).alias("total"), F.sum("n").alias("n"))
+    inner = inner.select(key, "_b", "n", compensated_pair(F.transform("rows", lambda x: x["v"])).alias("p"))
+    sums = F.sort_array(F.collect_list(F.struct("_b", "p.s", "p.c")))
+    return inner.groupBy(key).agg(compensated(F.flatten(F.transform(sums, lambda x: F.array(x["s"], x["c"])))).alias("total"), F.sum("n").alias("n"))
