@@ -344,6 +344,26 @@ def test_oracles(spark, name):
     same(spark, name, SF)
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_documents(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [*ODD, *ODD, (7, long), (8, "a line that three of them hold\nx"), (9, "a line that three of them hold\ny"), (10, "a line that three of them hold\nz"), (11, "no source", "en", None)]
+    table = docs(spark, rows)
+    got = stage(spark, table, SF)
+    if name == "SentencePiece":
+        assert got.count() == len(rows) and got.where("doc_id = 1 and size(ids) > 0").count() == 0
+    else:
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+        kept = collections.Counter(r.doc_id for r in got.collect())
+        want = {"toxicity": len(rows), "line dedup": len(rows), "n-gram Jaccard join": len(rows) - 6}.get(name)
+        assert want is None or sum(kept.values()) == want, kept
+        if name == "line dedup":
+            assert {r.doc_id: r.text for r in got.where("doc_id between 8 and 10").collect()} == {8: "x", 9: "y", 10: rows[-2][1]}
+    assert stage(spark, table.limit(0), SF).count() == 0
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_pipeline(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
