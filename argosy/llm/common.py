@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,11 +75,23 @@ _HELD: dict = {}
 def held(key, make):
     """This Python worker's one large helper (a cache of words, an encoder): kept from task to task, and let go when another is asked for."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as a worker that goes on to another operator would else hold what both need."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def each_text(docs: DataFrame, fn, schema: str, id_col: str = "doc_id") -> DataFrame:
     """The id and what `fn` makes of each batch of whole texts (null: empty): a list of rows, one for each text, by `schema`."""
     import pyarrow as pa

@@ -28,6 +28,8 @@ from .common import each_text, held, small_batches, text_of
 
 SENTENCE, TOKEN = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
 CACHE = 150_000
+#: Features that a task counts before it hands them on; more would be combined better and held longer.
+COUNTED = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -77,7 +79,7 @@ def counted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[y].update({f for w in set(TOKEN.findall(text.lower())) for f in features(w)})
-            if len(found[0]) > 1_000_000:
+            if len(found[0]) > COUNTED:
                 yield flush()
         yield flush()
 
