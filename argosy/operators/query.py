@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argosy.functions.graph import BANDS, RELATIONS, SCORING, WALKED, band, contribution, display, fold, relation_rank, scoring
+from argosy.functions.graph import BANDS, RELATIONS, SCORING, WALKED, band, bearing_text, contribution, display, fold, relation_rank, scoring
 from argosy.plans.star import settle
 
 
