@@ -12,41 +12,63 @@ from argosy.plans.texts import _FIRST, _ID, _MARKED, _PATH
 
 on_docs(
     "sections",
-    f"select {_PATH} as path, unnest([0, 1, 2, 3])::int as n, unnest([0, 1, 2, 2])::int as level, unnest(['', 'Part ' || p_partkey % 7, 'Use', 'Use']) as title, unnest([1, 3, 13, 15])::int as line, unnest([null, 0, 1, 1])::int as parent from part",
+    f"""select {_PATH} as path, unnest([0, 1, 2, 3])::int as n, unnest([0, 1, 2, 2])::int as level, unnest(['', 'Part ' || p_partkey % 7, 'Use', 'Use']) as title, unnest([1, 3, 13, 15])::int as line, unnest([null, 0, 1, 1])::int as parent
+      from part""",
     lambda d, n, e: documents.sections(d).drop("segment"),
 )
-on_docs("section_paths", f"select {_PATH} as path, unnest([1, 2, 3])::int as n, unnest(['part-' || p_partkey % 7, 'use', 'use-1']) as slug from part", lambda d, n, e: documents.section_paths(documents.sections(d)))
+on_docs(
+    "section_paths",
+    f"select {_PATH} as path, unnest([1, 2, 3])::int as n, unnest(['part-' || p_partkey % 7, 'use', 'use-1']) as slug from part",
+    lambda d, n, e: documents.section_paths(documents.sections(d)),
+)
 on_docs("own_prose", f"select {_PATH} as path, 1::int as n from part", lambda d, n, e: documents.own_prose(documents.sections(d)))
 _WORDS = r"regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<!--.*?-->', ' ', 'g'), '(?m)^(#+ |> |- )', '', 'g'), '\[([^\[\]]*)\]\([^()]*\)', '\1', 'g'), '[`*]', '', 'g'), '\S+')"
 on_docs(
     "lost_words",
     f"""select path, word, (case when k % 23 = 0 and k % 37 <> 0 then c else 0 end)::bigint as lost, (case when k % 37 = 0 and k % 23 <> 0 then c else 0 end)::bigint as added
-  from (select path, k, word, count(*) as c from (select path, k, unnest({_WORDS.format("'## Use' || split_part(text, '## Use', 3)")}) as word from docs) group by all) where (k % 23 = 0) <> (k % 37 = 0)""",
+  from (select path, k, word, count(*) as c from (select path, k, unnest({_WORDS.format("'## Use' || split_part(text, '## Use', 3)")}) as word
+      from docs) group by all) where (k % 23 = 0) <> (k % 37 = 0)""",
     lambda d, n, e: documents.lost_words(d, (s := documents.sections(d.drop("k")).join(d.select("path", "k"), "path")).where("n < 3 or k % 23 <> 0").unionByName(s.where("n = 3 and k % 37 = 0"))),
 )
 on_docs(
     "misaligned",
-    f"select 'heading alignment' as \"check\", {_PATH} || ' 1' as subject, 'other words' as detail from part where p_partkey % 9 = 0 union all select 'heading alignment', {_PATH} || ' 4', 'not rendered' from part where p_partkey % 10 = 0 union all select 'heading alignment', {_PATH} || ' 3', 'not in the outline' from part where p_partkey % 8 = 0",
+    f"""select 'heading alignment' as \"check\", {_PATH} || ' 1' as subject, 'other words' as detail
+      from part where p_partkey % 9 = 0 union all select 'heading alignment', {_PATH} || ' 4', 'not rendered'
+      from part where p_partkey % 10 = 0 union all select 'heading alignment', {_PATH} || ' 3', 'not in the outline'
+      from part where p_partkey % 8 = 0""",
     lambda d, n, e: documents.misaligned(
         d.select("path", F.explode(F.array(
             F.struct(F.lit(1).alias("n"), F.concat(F.lit("Part "), F.when(F.col("k") % 9 == 0, F.lit("x")).otherwise((F.col("k") % 7).cast("string"))).alias("title")), F.struct(F.lit(2).alias("n"), F.lit("Use").alias("title")),
             F.when(F.col("k") % 8 != 0, F.struct(F.lit(3).alias("n"), F.lit("Use").alias("title"))), F.when(F.col("k") % 10 == 0, F.struct(F.lit(4).alias("n"), F.lit("More").alias("title"))),
         )).alias("x")).where("x is not null").select("path", "x.*"), documents.sections(d)),
-)
+)
 on_docs(
     "rewritten_links",
-    f"select path, md5(replace(text, '](p' || (k + 1) || '.md#part-' || (k + 1) % 7, '](../other/p' || (k + 1) || '.md#part-' || (k + 1) % 7)) as text_md5  from docs where k % 17 <> 0 and k % 19 <> 0 and k % 3 = 0",
+    f"""select path, md5(replace(text, '](p' || (k + 1) || '.md#part-' || (k + 1) % 7, '](../other/p' || (k + 1) || '.md#part-' || (k + 1) % 7)) as text_md5 
+      from docs where k % 17 <> 0 and k % 19 <> 0 and k % 3 = 0""",
     lambda d, n, e: documents.rewritten(d, d.where("k % 17 <> 0 and k % 19 <> 0 and k % 3 = 0").selectExpr("path", "concat('p', k + 1, '.md#part-', (k + 1) % 7) as old", "concat('../other/p', k + 1, '.md#part-', (k + 1) % 7) as new")).select("path", F.md5("text").alias("text_md5")),
 )
 on_docs(
     "inventory_census",
-    f"""select kind, name, count(*) as n, count(distinct path) as documents from (select {_PATH} as path, unnest(['heading', 'heading', 'heading', 'fence', 'link', 'mention', 'mention']) as kind, unnest(['1', '2', '2', '', 'citation', 'lemma', 'lemma']) as name from part
-  union all select {_PATH}, 'marker', 'clm' from part, range({_MARKED}) union all select {_PATH}, 'link', 'plain' from part where p_partkey > 0
-  union all select 'parts/p' || parent || '.md', 'link', 'plain' from (select p_partkey as parent, 10 * p_partkey + j as c, n_parts from k, range(1, 11) r(j)) where c < n_parts and c % 31 <> 0) group by 1, 2""",
+    f"""select kind, name, count(*) as n, count(distinct path) as documents from (select {_PATH} as path, unnest(['heading', 'heading', 'heading', 'fence', 'link', 'mention', 'mention']) as kind, unnest(['1', '2', '2', '', 'citation', 'lemma', 'lemma']) as name
+      from part
+  union all select {_PATH}, 'marker', 'clm' from part, range({_MARKED})
+      union all select {_PATH}, 'link', 'plain' from part where p_partkey > 0
+  union all select 'parts/p' || parent || '.md', 'link', 'plain' from (select p_partkey as parent, 10 * p_partkey + j as c, n_parts
+      from k, range(1, 11) r(j)) where c < n_parts and c % 31 <> 0) group by 1, 2""",
     lambda d, n, e: stages.census(stages.facts(d)),
 )
-on_docs("first_lines_look", f"select n.id, case when f.line = 19 then 'block' else 'prose' end as look from n left join {_FIRST} f using (id) where kind = 'claim'", lambda d, n, e: stages.visual_kinds(n, (x := d.withColumn("text", F.replace("text", F.lit("> Again"), F.lit("> **Lemma** again")))), derive.first_markers(T.markers_of(x))))
-on_docs("analyses_split", f"select {_ID} as id, {_PATH} as document, 17::int as line, 'Statement ' || p_partkey || '.' as title, 'Its size is ' || p_size || '.' as rest from part where p_partkey % 13 <> 0", lambda d, n, e: stages.splits(d))
+on_docs(
+    "first_lines_look",
+    f"select n.id, case when f.line = 19 then 'block' else 'prose' end as look from n left join {_FIRST} f using (id) where kind = 'claim'",
+    lambda d, n, e: stages.visual_kinds(n, (x := d.withColumn("text", F.replace("text", F.lit("> Again"), F.lit("> **Lemma** again")))), derive.first_markers(T.markers_of(x))),
+)
+on_docs(
+    "analyses_split",
+    f"""select {_ID} as id, {_PATH} as document, 17::int as line, 'Statement ' || p_partkey || '.' as title, 'Its size is ' || p_size || '.' as rest
+      from part where p_partkey % 13 <> 0""",
+    lambda d, n, e: stages.splits(d),
+)
 on_docs(
     "own_equations",
     f"select {_PATH} as path, 1::int as n, 9::int as start from part",
@@ -57,50 +79,80 @@ on_docs(
 )
 on_tables(
     "claims_discovered",
-    r"""with p as (select doc_id, generate_subscripts(ps, 1) - 1 as spot, trim(regexp_replace(unnest(ps), '\s+', ' ', 'g')) as x from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n') as ps from documents)),
-  c as (select doc_id, spot from p where x <> '' and not starts_with(x, '#') and len(regexp_extract_all(x, '[\p{L}\p{N}]+')) >= 4) select doc_id::varchar as host, spot::int as "at" from c where (doc_id + spot) % 2 = 0""",
+    r"""with p as (select doc_id, generate_subscripts(ps, 1) - 1 as spot, trim(regexp_replace(unnest(ps), '\s+', ' ', 'g')) as x
+      from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n') as ps
+      from documents)),
+  c as (select doc_id, spot from p where x <> '' and not starts_with(x, '#') and len(regexp_extract_all(x, '[\p{L}\p{N}]+')) >= 4)
+      select doc_id::varchar as host, spot::int as "at" from c where (doc_id + spot) % 2 = 0""",
     lambda d: stages.discovered(
         p := stages.paragraphs(d.select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))),
         p.select("path", "at", F.when((F.col("path").cast("long") + F.col("at")) % 2 == 0, "A").otherwise("B").alias("letter")),
     ).select("host", "at"),
     "documents",
-)
+)
 on_tables(
     "equations_minted",
-    "select o_orderpriority as document, o_custkey as label, min(o_orderkey) as start from orders where o_orderkey % 3 <> 0 and o_custkey in (select c_custkey from customer where c_custkey % 4 = 1) group by 1, 2",
+    """select o_orderpriority as document, o_custkey as label, min(o_orderkey) as start
+      from orders where o_orderkey % 3 <> 0 and o_custkey in (select c_custkey
+      from customer where c_custkey % 4 = 1) group by 1, 2""",
     lambda o, c: stages.unheld(
         o.select(F.col("o_orderpriority").alias("document"), F.col("o_custkey").alias("label")).join(c.where("c_custkey % 4 = 1").select(F.col("c_custkey").alias("label")), "label", "left_semi"),
         o.select(F.col("o_orderpriority").alias("document"), F.col("o_custkey").alias("label"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") % 3 == 0).alias("held")),
     ).drop("id"),
-    "orders", "customer",
-)
+    "orders",
+    "customer",
+)
 on_tables(
     "depends_attributed",
-    f"""{loops._SQL}, q as (select g.*, k % 10 as m, k - k % 10 + 9 < (select count(*) from customer) as whole from g join z on g.source = z.id where k % 10 <> 8)
-  select case when whole and target < source then 'demoted' else 'supports' end as relation, case when whole and target < source then 'supports' end as replaced_relation, source, target from q""",
+    f"""{loops._SQL}, q as (select g.*, k % 10 as m, k - k % 10 + 9 < (select count(*)
+      from customer) as whole from g join z on g.source = z.id where k % 10 <> 8)
+  select case when whole and target < source then 'demoted' else 'supports' end as relation, case when whole and target < source then 'supports' end as replaced_relation, source, target
+      from q""",
     lambda c: stages.attributed(
         loops._rings(c).select("source", "target", F.array(F.lit("supports"), F.lit("lifts")).alias("allowed")),
         loops._rings(c).join(c.selectExpr(f"{loops._C.format(0)} as source", "c_custkey as k"), "source").select("source", "target", F.when(F.col("k") % 10 == 8, "founds").otherwise("supports").alias("relation")),
         loops._kinds(c).withColumn("kind", F.lit("claim")), loops._rings(c).limit(0),
     ),
     "customer",
-)
-on_tables("stage_tally", "select 'priority' as what, o_orderpriority as value, count(*) as n from orders group by 2 union all select 'status', o_orderstatus, count(*) from orders group by 2", lambda o: stages.tally(("priority", o, "o_orderpriority"), ("status", o, "o_orderstatus")), "orders")
+)
+on_tables(
+    "stage_tally",
+    """select 'priority' as what, o_orderpriority as value, count(*) as n from orders
+      group by 2 union all select 'status', o_orderstatus, count(*) from orders
+      group by 2""",
+    lambda o: stages.tally(("priority", o, "o_orderpriority"), ("status", o, "o_orderstatus")),
+    "orders",
+)
 
 
 def _front(d):
     return d.withColumn("text", F.when(F.col("k") % 41 == 0, F.concat(F.lit("---\nkind: leaf\n---\n"), "text")).otherwise(F.col("text")))
 
 
-on_docs("frontmatter", f"select 'frontmatter' as \"check\", {_PATH} || ':1' as subject, '' as detail from part where p_partkey % 41 = 0", lambda d, n, e: verify.frontmatter(_front(d)))
-on_docs("demoted_edges", "select 'demoted' as \"check\", source || ' ' || target as subject, replaced_relation as detail from e where relation = 'demoted'", lambda d, n, e: verify.demoted(e))
+on_docs(
+    "frontmatter",
+    f"select 'frontmatter' as \"check\", {_PATH} || ':1' as subject, '' as detail from part where p_partkey % 41 = 0",
+    lambda d, n, e: verify.frontmatter(_front(d)),
+)
+on_docs(
+    "demoted_edges",
+    "select 'demoted' as \"check\", source || ' ' || target as subject, replaced_relation as detail from e where relation = 'demoted'",
+    lambda d, n, e: verify.demoted(e),
+)
 on_docs(
     "verify_report",
-    f"""select "check", count(*) as n from (select 'marker cardinality' as "check" from n where kind in ('claim', 'analysis', 'experiment') and id not in (select {_ID} from part where {_MARKED} = 1) union all select 'unknown id' from part where p_partkey % 5 = 0
-  union all select 'bare id' from part where p_partkey % 5 <> 0 union all select case when p_partkey % 17 = 0 or p_partkey + 1 = n_parts then 'dead link' else 'dead fragment' end from k where p_partkey % 17 = 0 or p_partkey % 19 = 0 or p_partkey + 1 = n_parts
-  union all select 'frontmatter' from part where p_partkey % 41 = 0 union all select 'axiom heading' from n where kind = 'axiom' union all select 'demoted' from e where relation = 'demoted' union all select 'page' from part where p_partkey % 43 = 0) group by 1""",
+    f"""select "check", count(*) as n from (select 'marker cardinality' as "check"
+      from n where kind in ('claim', 'analysis', 'experiment') and id not in (select {_ID}
+      from part where {_MARKED} = 1) union all select 'unknown id' from part where p_partkey % 5 = 0
+  union all select 'bare id' from part where p_partkey % 5 <> 0 union all
+      select case when p_partkey % 17 = 0 or p_partkey + 1 = n_parts then 'dead link' else 'dead fragment' end
+      from k where p_partkey % 17 = 0 or p_partkey % 19 = 0 or p_partkey + 1 = n_parts
+  union all select 'frontmatter' from part where p_partkey % 41 = 0 union all
+      select 'axiom heading' from n where kind = 'axiom' union all select 'demoted'
+      from e where relation = 'demoted' union all select 'page' from part where p_partkey % 43 = 0)
+      group by 1""",
     lambda d, n, e: verify.report(
         n, e, _front(d), axioms=n.where("kind = 'axiom'").select("id", "label", "title"), headings=n.limit(0).select("id", F.col("title").alias("heading")),
         wanted=d.select("path", "text"), standing=d.select("path", F.when(F.col("k") % 43 == 0, "old").otherwise(F.col("text")).alias("text")),
     ).groupBy("check").agg(F.count(F.lit(1)).alias("n")),
-)
+)

@@ -43,12 +43,28 @@ on_tables(
     "customer",
 )
 _acyclic = lambda c: _rings(c).where("source < target")
-on_tables("transitive_reduction", f"{_SQL} select 'supports' as relation, {_C.format(0)} as source, {_C.format(1)} as target from customer where c_custkey % 10 < 9 and c_custkey + 1 < (select count(*) from customer)", lambda c: graph.transitive_reduction(_acyclic(c).join(_kinds(c).select(F.col("id").alias("target")), "target", "left_semi").select("relation", "source", "target")), "customer")
+on_tables(
+    "transitive_reduction",
+    f"""{_SQL} select 'supports' as relation, {_C.format(0)} as source, {_C.format(1)} as target
+      from customer where c_custkey % 10 < 9 and c_custkey + 1 < (select count(*)
+      from customer)""",
+    lambda c: graph.transitive_reduction(_acyclic(c).join(_kinds(c).select(F.col("id").alias("target")), "target", "left_semi").select("relation", "source", "target")),
+    "customer",
+)
 on_tables(
     "shortest_path",
-    f"""{_SQL}, r as (with recursive w(id, path) as (select {_at('0')}, [{_at('0')}] union all select g.target, list_append(path, g.target) from w join g on g.source = w.id where g.source < g.target and len(path) < 10 and w.id <> {_at('9')}) select path from w where id = {_at('9')} order by len(path), list_reverse(path) limit 1)
-  select unnest(path) as id, generate_subscripts(path, 1)::int as rank from r""",
+    f"""{_SQL}, r as (with recursive w(id, path) as (select {_at('0')}, [{_at('0')}]
+      union all select g.target, list_append(path, g.target) from w join g on g.source = w.id
+      where g.source < g.target and len(path) < 10 and w.id <> {_at('9')}) select path
+      from w where id = {_at('9')} order by len(path), list_reverse(path) limit 1)
+  select unnest(path) as id, generate_subscripts(path, 1)::int as rank
+      from r""",
     lambda c: c.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(graph.shortest_path(_acyclic(c), "clm-c00000", "clm-c00009"))], "id string, rank int"),
     "customer",
 )
-on_tables("strong_parts", f"{_SQL} select id, {_at('k - k % 10')} as part from z where k - k % 10 + 9 < (select count(*) from customer)", lambda c: graph.strong_parts(_rings(c).select("source", "target")), "customer")
+on_tables(
+    "strong_parts",
+    f"{_SQL} select id, {_at('k - k % 10')} as part from z where k - k % 10 + 9 < (select count(*) from customer)",
+    lambda c: graph.strong_parts(_rings(c).select("source", "target")),
+    "customer",
+)

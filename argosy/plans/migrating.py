@@ -16,15 +16,18 @@ _PAGE = (
 )
 on_tables(
     "register_lines",
-    f"""select 'r' || s_suppkey as path, unnest([5, 6, 9])::int as line, {_ID} as entry, unnest(['rigor', 'rationale', null]) as field, unnest([(s_suppkey % 10)::varchar, 'why', 'a stray line']) as value from supplier where s_suppkey % 5 <> 0 and s_suppkey % 3 = 0
-  union all select 'r' || s_suppkey, unnest([5, 6])::int, {_ID}, unnest(['rigor', 'rationale']), unnest([(s_suppkey % 10)::varchar, 'why']) from supplier where s_suppkey % 5 <> 0 and s_suppkey % 3 <> 0""",
+    f"""select 'r' || s_suppkey as path, unnest([5, 6, 9])::int as line, {_ID} as entry, unnest(['rigor', 'rationale', null]) as field, unnest([(s_suppkey % 10)::varchar, 'why', 'a stray line']) as value
+      from supplier where s_suppkey % 5 <> 0 and s_suppkey % 3 = 0
+  union all select 'r' || s_suppkey, unnest([5, 6])::int, {_ID}, unnest(['rigor', 'rationale']), unnest([(s_suppkey % 10)::varchar, 'why'])
+      from supplier where s_suppkey % 5 <> 0 and s_suppkey % 3 <> 0""",
     lambda s: migrate.register_lines(s.selectExpr("'r' || s_suppkey as path", f"{_PAGE} as text")),
     "supplier",
 )
 _OLD = f"'Claim.  <!-- old-id: ' || {_ID} || ', ' || {CLS('(s_suppkey + 1)')} || ' -->' || chr(10) || '<!-- old-id: ana-' || lpad(cast(s_suppkey as string), 6, '0') || ' -->' || chr(10) || 'end'"
 on_tables(
     "one_marker_each",
-    f"""select 'r' || s_suppkey as path, 'Claim.<!-- node-id: ' || {_ID} || ' --><!-- node-id: ' || {CLS('(s_suppkey + 1)')} || ' -->' || case when s_suppkey % 2 = 0 then '' else chr(10) end || '<!-- node-id: ana-' || lpad(s_suppkey::varchar, 6, '0') || ' -->' || chr(10) || 'end' as text from supplier""",
+    f"""select 'r' || s_suppkey as path, 'Claim.<!-- node-id: ' || {_ID} || ' --><!-- node-id: ' || {CLS('(s_suppkey + 1)')} || ' -->' || case when s_suppkey % 2 = 0 then '' else chr(10) end || '<!-- node-id: ana-' || lpad(s_suppkey::varchar, 6, '0') || ' -->' || chr(10) || 'end' as text
+      from supplier""",
     lambda s: migrate.one_marker_each(s.selectExpr("'r' || s_suppkey as path", f"{_OLD} as text"), s.where("s_suppkey % 2 = 0").selectExpr("'ana-' || lpad(cast(s_suppkey as string), 6, '0') as analysis", f"{CLS('(s_suppkey + 1)')} as claim"), "old-id"),
     "supplier",
 )
@@ -44,6 +47,7 @@ def _bare(d):
 on_docs(
     "statement_citations",
     r"""select path, md5(regexp_replace(regexp_replace(regexp_replace(text, '#(part-\d|nowhere)', '#use-1'), ' "clm-[a-z0-9]+"', ''), '\[next\]\(([^)]*)\)', '[next](\1 "clm-p' || case when length((k + 1)::varchar) < 5 then lpad((k + 1)::varchar, 5, '0') else (k + 1)::varchar end || '")')) as text_md5
-  from docs where k % 17 <> 0 and k + 1 in (select p_partkey from part where p_partkey % 13 <> 0 or p_partkey % 11 = 0)""",
+  from docs where k % 17 <> 0 and k + 1 in (select p_partkey from part
+      where p_partkey % 13 <> 0 or p_partkey % 11 = 0)""",
     lambda d, n, e: migrate.statement_citations(_bare(d), derive.host_anchors(derive.first_markers(T.markers_of(d)), d))[0].select("path", F.md5("text").alias("text_md5")),
 )
