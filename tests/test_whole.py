@@ -28,6 +28,23 @@ def test_canonical_terms_take_markup_and_maths(spark, tmp_path):
     assert sorted(got) == [0, 1, 2, 3] and got[1] == 3 and got[2] == 4
 
 
+def _entry(row, fields):
+    """A record by its rule: ids and names bare, numbers as Python spells them or pending, other texts quoted, what is missing as its empty value."""
+    lines = []
+    for name in fields:
+        x = row.get(name.replace("-", "_"))
+        if name in ("rigor", "bearing"):
+            text = '"*pending*"' if x is None else repr(x)
+        elif name == "manually-scored":
+            text = str(bool(x)).lower()
+        elif name in ("id", "source", "target", "relation", "replaced-relation", "status"):
+            text = x or ""
+        else:
+            text = _quoted(x or ("0" * 64 if name == "judged-hash" else ""))
+        lines.append(f"{name}: {text}")
+    return "- " + "\n  ".join(lines)
+
+
 def _joined(df, by):
     """The texts of files in parts."""
     out = defaultdict(list)
@@ -41,14 +58,7 @@ def test_edge_file_holds_every_edge(spark):
     want = defaultdict(list)
     place = lambda e: (e.replaced_relation is not None and RELATIONS.index(e.replaced_relation), e.source, e.target)
     for e in sorted(star.snapshot(spark, SF).edges.collect(), key=place):
-        lines = [f"- source: {e.source}", f"  target: {e.target}", f"  context: {_quoted(e.context or '')}"]
-        if e.relation == "demoted":
-            lines.append(f"  replaced-relation: {_quoted(e.replaced_relation)}")
-        if e.bearing_pending:
-            lines.append('  bearing: "*pending*"')
-        elif e.bearing is not None:
-            lines.append(f"  bearing: {e.bearing!r}")
-        want[e.relation].append("\n".join(lines))
+        want[e.relation].append(_entry(e.asDict(), render.EDGE[e.relation]))
     got = _joined(catalog.QUERIES["edge_file"](spark, SF), "relation")
     assert set(got) == set(RELATIONS) and got == {k: "\n".join(v) for k, v in want.items()}
 
@@ -57,8 +67,7 @@ def test_edge_file_holds_every_edge(spark):
 def test_record_file_holds_every_node(spark):
     want = defaultdict(list)
     for n in sorted(star.snapshot(spark, SF).nodes.collect(), key=lambda n: n.id):
-        lines = [f"- id: {n.id}"] + [f"  {c}: {_quoted(n[c])}" for c in ("title", "label", "status") if n[c] is not None]
-        want[n.kind].append("\n".join([*lines, "  rigor: " + ('"*pending*"' if n.rigor is None else repr(n.rigor))]))
+        want[n.kind].append(_entry(n.asDict(), render.RECORD[n.kind]))
     got = _joined(catalog.QUERIES["record_file"](spark, SF), "kind")
     assert set(got) == {"claim", "analysis", "experiment", "axiom", "work"} and got == {k: "\n".join(v) for k, v in want.items()}
 
