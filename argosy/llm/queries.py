@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, credentials, jaccard, linededup, mixing, pieces, pii, quality, spans, topk, toxicity
+from . import centroids, chat, credentials, decontaminate, jaccard, linededup, mixing, pieces, pii, quality, repair, spans, topk, toxicity
 from .common import sha256_hex, table
 
 
@@ -215,5 +215,88 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op1_quality_rules": OP1, "op3_chat_format": OP3, "op4_secret_scan": OP4, "op5_jaccard_join": OP5, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damaged(turns))
+    hashes = repair.digests(found.turns).withColumnRenamed("conv_id", "_h")
+    every = turns.select(F.col("conv_id").alias("_c")).distinct().join(found.conversations, F.col("_c").eqNullSafe(F.col("conv_id")), "left").join(hashes, F.col("_c").eqNullSafe(F.col("_h")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(F.col("_c").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", sha256_hex(F.lit(""))).alias("repaired_sha256"))
+
+
+#: CRC-32 by its polynomial, then the cheapest edits turn by turn, least (cost, audit) of each state.
+OP11 = r"""
+with recursive s as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+f as materialized (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda x: ascii(x)::bigint)), lambda c, b:
+  xor(c >> 8, list_reduce(list_prepend(xor(c, b) & 255, range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end))), 4294967295::bigint) % 20 as fate from s),
+g as (select coalesce(conv_id::varchar, 'null') as c, turn, case when fate = 4 then 'user' else role end as role, case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case when fate = 3 then [0, 1] else [0] end) as copy from f where fate <> 0)),
+h as (select *, row_number() over (partition by c order by turn nulls first, role, md5(text)) as i, rtrim(text, E' \t\n\x0b\x0c\r') as bare from g),
+n as materialized (select *, left(role, 1) as ini, case when bare = '' then 'b' when row_number() over (partition by c, role, text order by i) > 1 then 'd' when right(bare, 1) not in ('.', '!', '?') then 't' else 'n' end as fault,
+  lag(left(role, 1)) over (partition by c order by i) || left(role, 1) as pair from h),
+t as (select c, unnest([{'st': 0, 'w': {'c': 0, 'a': ''}}, {'st': 2, 'w': {'c': 3, 'a': 'I'}}, {'st': 3, 'w': {'c': 6, 'a': 'II'}}]) as x from (select distinct c from n)),
+p(c, i, st, w) as (select c, 0::bigint, x.st, x.w from t union all
+  select c, i, y.st, min(y.w) from (
+    select c, i, unnest(case st when 2 then [{'st': 2, 'w': w}, {'st': 3, 'w': {'c': w.c + 3, 'a': w.a || 'I'}}] when 3 then [{'st': 3, 'w': w}, {'st': 2, 'w': {'c': w.c + 3, 'a': w.a || 'I'}}]
+      else [{'st': st, 'w': w}, {'st': 2, 'w': {'c': w.c + 3, 'a': w.a || 'I'}}, {'st': 3, 'w': {'c': w.c + 6, 'a': w.a || 'II'}}] end) as y from (
+      select c, i, z.st, min({'c': z.c, 'a': z.a}) as w from (
+        select p.c, n.i, unnest(list_filter([{'st': p.st, 'c': p.w.c + 4, 'a': p.w.a || 'D'},
+          case when fault in ('n', 't') then case when ini = 's' and p.st = 0 then {'st': 1, 'c': p.w.c + m, 'a': p.w.a || 'K'} when ini = 'u' and p.st <> 2 then {'st': 2, 'c': p.w.c + m, 'a': p.w.a || 'K'} when ini = 'a' and p.st = 2 then {'st': 3, 'c': p.w.c + m, 'a': p.w.a || 'K'} end end,
+          case when fault in ('n', 't') then case when p.st = 2 then {'st': 3, 'c': p.w.c + m + 3, 'a': p.w.a || 'R'} else {'st': 2, 'c': p.w.c + m + 3, 'a': p.w.a || 'R'} end end], lambda v: v is not null)) as z
+        from p join (select *, case fault when 't' then 3 else 0 end as m from n) n on n.c = p.c and n.i = p.i + 1) group by all)) group by c, i, y.st),
+e as (select c, i as n_rows, min(w) as w from p join (select c, max(i) as i from n group by c) l using (c, i) where st in (0, 3) group by all),
+u as (select c, w, x, o, sum((x <> 'I')::int) over q as i, sum((x <> 'D')::int) over q - 1 as po, sum((x <> 'D')::int) over (partition by c) % 2 as sys from (select *, unnest(string_split(w.a, '')) as x, generate_subscripts(string_split(w.a, ''), 1) as o from e where w.a <> '') window q as (partition by c order by o)),
+r as (select u.c, sha256(coalesce(string_agg(case when x = 'K' then role else case when (po - sys) % 2 = 0 then 'user' else 'assistant' end end || ':' || case when x = 'I' then '' else text end, chr(10) order by o) filter (x <> 'D'), '')) as h
+  from u left join n on u.c = n.c and u.i = n.i group by u.c),
+a as (select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from n group by c)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(w.c, 0)::bigint as cost, coalesce(w.a, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id, coalesce(conv_id::varchar, 'null') as c from conversations) left join a using (c) left join e using (c) left join r using (c)
+"""
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
+_WORDS12 = rf"regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '{decontaminate.WORD}')"
+OP12 = rf"""
+with d as materialized (select row_number() over () as r, doc_id, {_WORDS12} as ws from documents),
+b as (select coalesce(item_id::varchar, 'null') as item, {_WORDS12} as ws from benchmark),
+v as materialized (select distinct item, least(len(ws), 10) as n, array_to_string(ws[i:i + 9], ' ') as w from (select *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from b where len(ws) > 0)),
+p as (select r, i, n, array_to_string(ws[i:i + n - 1], ' ') as w from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from v) where len(ws) >= n)),
+o as materialized (select p.r, p.i, v.n, v.item from p join v on p.w = v.w and p.n = v.n),
+h as (select r, count(*) as n_hit from (select distinct r, unnest(range(i, i + n)) as at from o) group by r),
+t as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from o) group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join h using (r) left join t using (r)
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, rank=centroids.seeded_rank(2))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", sha256_hex(F.col("centroid")).alias("centroid_sha256"))
+
+
+def _op13(k: int, rounds: int) -> str:
+    """All distances in every round: |x|^2 - 2 x.c + |c|^2, exact in doubles."""
+    near = "a{i} as materialized (select r, min({{'d': ee - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e), 'k': k}}) as m from v, c{i} c group by r)"
+    mean = """s{i} as (select m.k as k, j, sum(x)::bigint as s, count(*) as n from (select r, generate_subscripts(e, 1) as j, unnest(e)::bigint as x from v) join a{i} using (r) group by all),
+c{n} as materialized (select k, coalesce(f.e, c.e) as e from c{i} c left join (select k, list(((s - (s % n + n) % n) // n)::double order by j) as e from s{i} group by k) f using (k))"""
+    steps = [near.format(i=i) + (",\n" + mean.format(i=i, n=i + 1) if i < rounds else "") for i in range(rounds + 1)]
+    return f"""
+with v as materialized (select *, list_inner_product(e, e) as ee from (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)),
+c0 as materialized (select row_number() over (order by h, e) - 1 as k, e from (select e, sha256('2:' || coalesce(vec_id::varchar, 'null')) as h from v order by h, e limit {k})),
+{', '.join(steps)},
+z as (select vec_id, m.k as k, m.d::bigint as d from v join a{rounds} using (r))
+select vec_id, k::int as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(list_transform(c.e, lambda x: x::bigint), ',')) as centroid_sha256 from z join c{rounds} c using (k)
+"""
+
+
+OP13 = _op13(40, 5)
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_chat_format": op3_chat_format, "op4_secret_scan": op4_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_mix": op9_mix, "op10_exact_top_k": op10_exact_top_k, "op11_conversation_repair": op11_conversation_repair, "op12_decontaminate": op12_decontaminate, "op13_centroids": op13_centroids}
+ORACLES = {"op1_quality_rules": OP1, "op3_chat_format": OP3, "op4_secret_scan": OP4, "op5_jaccard_join": OP5, "op7_line_dedup": OP7, "op9_mix": OP9, "op10_exact_top_k": OP10, "op11_conversation_repair": OP11, "op12_decontaminate": OP12, "op13_centroids": OP13}
