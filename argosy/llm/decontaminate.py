@@ -31,35 +31,40 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def _bucket(shingle: Column) -> Column:
-    return F.pmod(F.xxhash64(shingle), F.lit(BUCKETS))
+def _taken(words: Column, at: Column, size: int) -> list[Column]:
+    """`size` words from a place (from 0), each by its index: slices copy the whole array."""
+    return [F.get(words, at + j) for j in range(size)]
 
 
-def _gram(words: Column, at: Column, size: int | Column) -> Column:
-    return F.array_join(F.slice(words, at, size), " ")  # words hold no spaces
+def _bucket(words: list[Column]) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS))
+
+
+def _starts(words: Column, size: int) -> Column:
+    """Places (from 0) of all runs of `size` words; the first alone if there are fewer."""
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
 
 
 def windows(items: DataFrame, window: int) -> DataFrame:
     """item (its id as text), window (its words joined by spaces), n (its words), grams (array): each item's windows."""
     cut = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(text_of()).alias("_w")).where(F.size("_w") > 0)
-    cut = cut.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - window + 1, F.lit(1))), lambda i: F.slice("_w", i, window))).alias("_w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - SHINGLE + 1, F.lit(1))), lambda i: _gram(F.col("_w"), i, SHINGLE))
+    cut = cut.select("item", F.explode(F.transform(_starts(F.col("_w"), window), lambda i: F.filter(F.array(*_taken(F.col("_w"), i, window)), lambda w: w.isNotNull()))).alias("_w"))
+    grams = F.transform(_starts(F.col("_w"), SHINGLE), lambda i: F.concat_ws(" ", *_taken(F.col("_w"), i, SHINGLE)))  # words hold no spaces
     return cut.select("item", F.array_join("_w", " ").alias("window"), F.size("_w").alias("n"), grams.alias("grams")).distinct()
 
 
 def _marked(docs: DataFrame, grams: DataFrame, id_col: str) -> DataFrame:
     """_id, _key (the text's hash), n_words and marks (array of at, gram): places whose shingle falls into a bucket of the benchmark's."""
-    size = F.when(F.size("_g") < SHINGLE, F.size("_g")).otherwise(SHINGLE)
-    held = grams.select(F.split("gram", " ").alias("_g")).select(size.alias("size"), _bucket(F.col("_g")).alias("bucket")).distinct().collect()  # at most BUCKETS of each of five sizes
+    bucket = F.coalesce(*[F.when(F.size("_g") == n, _bucket(_taken(F.col("_g"), F.lit(0), n))) for n in range(1, SHINGLE + 1)])
+    held = grams.select(F.split("gram", " ").alias("_g")).select(F.size("_g").alias("size"), bucket.alias("bucket")).distinct().collect()  # at most BUCKETS of each of five sizes
     bits = bytearray(BUCKETS)
     for r in held:
         bits[r.bucket] = 1
     bitmap, one = F.lit(bytes(bits)), F.lit(b"\x01")
 
     def marks(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_w") - size + 1)
-        hit = F.filter(starts, lambda i: F.substring(bitmap, (_bucket(F.slice("_w", i, size)) + 1).cast("int"), F.lit(1)) == one)
-        return F.when(F.size("_w") >= size, F.transform(hit, lambda i: F.struct((i - 1).alias("at"), _gram(F.col("_w"), i, size).alias("gram"))))
+        hit = F.filter(_starts(F.col("_w"), size), lambda i: F.substring(bitmap, (_bucket(_taken(F.col("_w"), i, size)) + 1).cast("int"), F.lit(1)) == one)
+        return F.when(F.size("_w") >= size, F.transform(hit, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *_taken(F.col("_w"), i, size)).alias("gram"))))
 
     none = F.array().cast("array<struct<at: int, gram: string>>")
     found = F.concat(none, *[F.coalesce(marks(s), none) for s in sorted({r.size for r in held})])
@@ -116,6 +121,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, share: fl
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, share: float = 1.0) -> DataFrame:
     """The rows of `docs` (with a column `text`) in which no window occurs."""
     cut = settle(windows(items, window))
-    marked = settle(_marked(docs.select(F.lit(0).alias("_id"), "text"), cut.select(F.explode("grams").alias("gram")).distinct(), "_id").where(F.size("marks") > 0))
+    marked = settle(_marked(docs.select(F.lit(0).alias("_id"), "text"), cut.select(F.explode("grams").alias("gram")).distinct(), "_id"))  # a filter here would be pushed down, and take the words anew for every place
     hit = _occurrences(marked, cut, share).select(F.col("_key").alias("_hit")).distinct()
     return docs.join(hit, F.unhex(F.md5(F.encode(text_of(), "UTF-8"))) == F.col("_hit"), "left_anti")
