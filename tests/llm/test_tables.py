@@ -311,7 +311,7 @@ def test_running_sums_follow_the_whole_order(spark):
 
 def _duck(folder=SF):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         if Path(f"{folder}/{t}.parquet").exists():
             con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'/*.parquet' if Path(f'{folder}/{t}.parquet').is_dir() else ''}')")
     return con
