@@ -79,9 +79,3 @@ def fold(text: Column) -> Column:
 def judged_hash(*parts: Column) -> Column:
     """SHA-256 over the parts, each written behind its length in bytes."""
     return F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
-
-
-def minted_id(prefix: str, seed: Column, taken: int = 0) -> Column:
-    """A deterministic id: six base-36 digits of a hash of the seed; `taken` is the counter after a collision."""
-    head = F.conv(F.substring(F.sha2(F.concat_ws(":", seed, F.lit(str(taken))), 256), 1, 12), 16, 36)
-    return F.concat(F.lit(f"{prefix}-"), F.lpad(F.lower(F.right(head, F.lit(6))), 6, "0"))

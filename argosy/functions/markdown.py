@@ -36,11 +36,14 @@ def statement(text: str, id: str) -> str:
 def statements(text: str) -> dict[str, str]:
     """For each id what its first marker marks: its section if it stands under a heading, its quote if it is quoted, else its paragraph; markers are left out."""
     lines, heads, out = text.splitlines(), T.headings(text), {}
-    bare = lambda rows: T.marker().sub("", "\n".join(T.QUOTE.sub("", x) for x in rows)).strip()
+    bare = lambda rows: T.without_markers("\n".join(T.QUOTE.sub("", x) for x in rows)).strip()
+    held: dict[tuple[bool, int], str] = {}  # what a quoted or plain block's lines hold, each block read once
     for id, at, _ in T.markers(text):
-        if id in out:
+        quoted = bool(T.QUOTE.match(lines[at]))
+        if id in out or (quoted, at) in held:
+            out.setdefault(id, held.get((quoted, at)))
             continue
-        same = (lambda x: bool(T.QUOTE.match(x))) if T.QUOTE.match(lines[at]) else (lambda x: bool(x.strip()) and not T.HEADING.match(x))
+        same = (lambda x: bool(T.QUOTE.match(x))) if quoted else (lambda x: bool(x.strip()) and not T.HEADING.match(x))
         first = last = at
         while first > 0 and same(lines[first - 1]):
             first -= 1
@@ -51,6 +54,7 @@ def statements(text: str) -> dict[str, str]:
             end = next((n for n, k, _ in heads if n > first and k <= len(above[1])), len(lines) + 1)
             own = bare(lines[last + 1 : end - 1])
         out[id] = own
+        held |= {(quoted, i): own for i in range(first, last + 1)}
     return out
 
 
@@ -97,28 +101,42 @@ def names_no_premise(word: str) -> bool:
     return bool(kind) and (kind in NO_PREMISE or (kind.endswith("s") and kind[:-1] in NO_PREMISE))
 
 
-def mentions(text: str) -> list[tuple[str, str]]:
-    """(kind, number) of mentions by hand, as "Lemmas 2.1, 2.3 and 4" or "Theorems 1-3"."""
-    kinds = "|".join(sorted(RESULTS, key=len, reverse=True))
-    out = []
-    for m in re.finditer(rf"\b({kinds}|corollarie)s?\s+(\d+(?:\.\d+)*(?:(?:\s*(?:,|and|or|to|-|–)\s*)+\d+(?:\.\d+)*)*)", text, re.IGNORECASE):
-        kind = m[1].lower().replace("corollarie", "corollary")
-        numbers = re.findall(r"\d+(?:\.\d+)*|-|–|to", m[2])
-        for i, n in enumerate(numbers):
-            if n in ("-", "–", "to"):
-                a, b = numbers[i - 1], numbers[i + 1]
-                head = a.rpartition(".")[0]
-                if head == b.rpartition(".")[0]:
-                    out += [(kind, f"{head}.{k}" if head else str(k)) for k in range(int(a.rpartition(".")[2]) + 1, int(b.rpartition(".")[2]))]
+_NUMBER = r"\d+(?:\.\d+)*"
+_MENTION = re.compile(rf"\b({'|'.join(sorted(RESULTS, key=len, reverse=True))}|corollarie)s?\s+(?={_NUMBER})", re.IGNORECASE)
+_ITEM = re.compile(_NUMBER)
+#: What stands between two numbers: no part of it can be read in two ways, so it takes linear time.
+_BETWEEN = re.compile(rf"\s*((?:(?:,|and|or|to|-|–)\s*)+)(?={_NUMBER})")
+_RANGE = re.compile("to|-|–")
+
+
+def mentions(text: str) -> list[tuple[str, str, str | None]]:
+    """(kind, number, through) of mentions by hand, as "Lemmas 2.1, 2.3 and 4" or "Theorems 1-3".
+
+    A range of two rising numbers under one head is one row, through its last number; what else a sign of a range stands between are numbers of their own.
+    """
+    out, at = [], 0
+    while m := _MENTION.search(text, at):
+        kind, at, joined = m[1].lower().replace("corollarie", "corollary"), m.end(), ""
+        while number := _ITEM.match(text, at):
+            at = number.end()
+            low = out[-1] if joined else None
+            a, b = (low[1].rpartition(".") if low else None), number[0].rpartition(".")
+            rising = low is not None and low[2] is None and len(_RANGE.findall(joined)) == 1 and a[0] == b[0] and (len(a[2]), a[2]) < (len(b[2]), b[2])
+            if rising:
+                out[-1] = (kind, low[1], number[0])
             else:
-                out.append((kind, n))
+                out.append((kind, number[0], None))
+            between = _BETWEEN.match(text, at)
+            if not between:
+                break
+            joined, at = between[1], between.end()
     return out
 
 
 def mentions_of(docs: DataFrame) -> DataFrame:
-    """path, rank (from 1), kind, number of every mention by hand in (path, text)."""
-    find = T.udf(lambda x: [{"kind": k, "number": n} for k, n in mentions(x)], "array<struct<kind: string, number: string>>")
-    return docs.select("path", F.posexplode(find("text")).alias("at", "m")).select("path", (F.col("at") + 1).alias("rank"), "m.kind", "m.number")
+    """path, rank (from 1), kind, number, through (null, or a range's last number) of every mention by hand in (path, text)."""
+    find = T.udf(lambda x: [{"kind": k, "number": n, "through": t} for k, n, t in mentions(x)], "array<struct<kind: string, number: string, through: string>>")
+    return docs.select("path", F.posexplode(find("text")).alias("at", "m")).select("path", (F.col("at") + 1).alias("rank"), "m.kind", "m.number", "m.through")
 
 
 def bibliography(text: str) -> list[str]:
@@ -190,7 +208,7 @@ def add_marker(text: str, line: int, id: str, prefix: str = T.PREFIX) -> str:
 
 def drop_marker(text: str, id: str, prefix: str = T.PREFIX) -> str:
     """The text without the id's markers."""
-    return re.sub(rf"[ \t]*<!--\s*{re.escape(prefix)}:\s*{id}\s*-->", "", text)
+    return re.sub(rf"(?:(?<![ \t])[ \t]+)?<!--\s*{re.escape(prefix)}:\s*{id}\s*-->", "", text)
 
 
 def move_marker(text: str, line: int, id: str, prefix: str = T.PREFIX) -> str:

@@ -105,39 +105,57 @@ def links(line: str) -> list[tuple[str, str, str, int, int]]:
     return [(m[1], m[2], m[3][1:-1] if m[3] else "", m.start(), m.end()) for m in LINK.finditer(line)]
 
 
+def closing(text: str) -> tuple[str, str]:
+    """The text up to its last comment's close, and the rest: a comment that opens in the first part is closed there, so patterns of comments take linear time on it; none lies in the rest."""
+    cut = text.rfind("-->") + 3
+    return (text[:cut], text[cut:]) if cut > 2 else ("", text)
+
+
 @functools.cache
 def marker(prefix: str = PREFIX) -> re.Pattern:
-    """The pattern of statement markers."""
-    return re.compile(rf"(?s)<!--\s*{re.escape(prefix)}:\s*(.*?)\s*-->")
+    """The pattern of statement markers, for the first part of `closing`."""
+    return re.compile(rf"(?s)<!--\s*{re.escape(prefix)}:(.*?)-->")
+
+
+def without_markers(text: str, prefix: str = PREFIX) -> str:
+    head, rest = closing(text)
+    return marker(prefix).sub("", head) + rest
 
 
 def markers(text: str, prefix: str = PREFIX) -> list[tuple[str, int, int]]:
     """Id, line (from 0), offset of every statement marker; works and axioms are hosted nowhere."""
     breaks = [m.start() for m in re.finditer("\n", text)]
-    return [(i, bisect_left(breaks, m.start()), m.start()) for m in marker(prefix).finditer(text) for i in re.findall(r"(?:clm|exp|ana)-[a-z0-9]{6}", m[1])]
+    return [(i, bisect_left(breaks, m.start()), m.start()) for m in marker(prefix).finditer(closing(text)[0]) for i in re.findall(r"(?:clm|exp|ana)-[a-z0-9]{6}", m[1])]
 
 
 def bare_ids(line: str, prefix: str = PREFIX) -> list[str]:
     """Ids in prose: outside links, markers and definitions, or a link's whole text."""
-    shut = [m.span() for m in marker(prefix).finditer(line)] + [m.span() for m in REFERENCE.finditer(line)]
-    own = links(line)
+    shut, defined, own = [m.span() for m in marker(prefix).finditer(closing(line)[0])], [m.span() for m in REFERENCE.finditer(line)], links(line)
     out = []
     for m in ID_TOKEN.finditer(line):
-        if any(a <= m.start() and m.end() <= b for a, b in shut):
+        if any((i := bisect_right(held, m.start(), key=lambda x: x[0]) - 1) >= 0 and m.end() <= held[i][1] for held in (shut, defined)):
             continue
-        around = next((x for x in own if x[3] < m.start() < x[4]), None)
-        if around is None or around[0] == m[0]:
+        i = bisect_left(own, m.start(), key=lambda x: x[3]) - 1
+        if i < 0 or m.start() >= own[i][4] or own[i][0] == m[0]:
             out.append(m[0])
     return out
 
 
+def _comments_closed(text: str) -> str:
+    """The text with the opening of every comment that its line doesn't close as other signs."""
+    if "<!--" not in text:
+        return text
+    lines = text.split("\n")
+    return "\n".join(line[: (cut := max(line.rfind("-->"), 0))] + line[cut:].replace("<!--", "<!..") for line in lines)
+
+
 def words(text: str) -> list[tuple[int, bool, str]]:
     """Place, whether a wide gap (two spaces in a row) stands before it, and lower-cased form of every run of letters and numbers.
 
     Markup and all of a link but its text is filled up with GONE first, so that places stay and words join across it.
     """
     bare = PLAIN_LINK.sub(lambda m: GONE + m[1] + GONE * (len(m[0]) - len(m[1]) - 1), text.replace(GONE, "."))
-    bare = MARKUP.sub(lambda m: GONE * len(m[0]), bare)
+    bare = MARKUP.sub(lambda m: GONE * len(m[0]), _comments_closed(bare))
     out, end = [], 0
     for m in WORDS.finditer(bare):
         word = m[0].replace(GONE, "")
@@ -154,7 +172,8 @@ def canonical(text: str) -> str:
 
 def slug(heading: str) -> str:
     """A heading's anchor: rendered text, lower case, spaces as hyphens, other signs dropped."""
-    text = re.sub(r"(?s)<!--.*?-->", "", re.sub(r"[ \t]#+[ \t]*$", "", re.sub(r"^#{1,6}\s+", "", heading)))
+    head, rest = closing(re.sub(r"[ \t]#+[ \t]*$", "", re.sub(r"^#{1,6}\s+", "", heading)))
+    text = re.sub(r"(?s)<!--.*?-->", "", head) + rest
     text = LINK.sub(lambda m: m[1], re.sub(r"!(?=\[)", "", text))
     text = re.sub(r"(?<!\w)_([^_]+)_(?!\w)", r"\1", text).strip().lower()
     return "".join("-" if c == " " else c for c in text if c in " -" or unicodedata.category(c)[0] in "LMN" or unicodedata.category(c) == "Pc")
@@ -202,9 +221,11 @@ def plain_terms(text: Column) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    """`terms` as a column: only texts with maths or fences are handed to Python, for their symbols."""
+    """`terms` as a column: only texts with maths or fences are handed to Python, for their symbols, and those that open more than 100 comments, as the JVM's pattern looks for the end of each."""
+    hostile = F.regexp_count(text, F.lit("<!--")) > 100
+    plain = F.when(~hostile, plain_terms(F.when(~hostile, text))).otherwise(udf(lambda x: [w for w in terms(x) if not w.startswith("m:")], "array<string>")(F.when(hostile, text)))
     maths = F.when(F.contains(text, F.lit("$`")) | F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~")), text)
-    return F.concat(plain_terms(text), F.coalesce(udf(symbols, "array<string>")(maths), F.array().cast("array<string>")))
+    return F.concat(plain, F.coalesce(udf(symbols, "array<string>")(maths), F.array().cast("array<string>")))
 
 
 def _within(text: str, sign: str) -> Callable[[int], bool]:

@@ -40,7 +40,8 @@ def tokens(text: str) -> list[str]:
     """Words with markup undone; fenced blocks are taken verbatim, without their fences."""
     lines, out, at = text.splitlines(), [], 0
     for a, b, _ in [*T.fences(lines), (len(lines), len(lines), "")]:
-        prose = re.sub(r"(?s)<!--.*?-->", " ", "\n".join(lines[at:a]))
+        head, rest = T.closing("\n".join(lines[at:a]))
+        prose = re.sub(r"(?s)<!--.*?-->", " ", head) + rest
         prose = T.LINK.sub(lambda m: m[1], MARKS.sub("", prose))
         out += re.sub(r"[`*]", "", prose).split()
         out += " ".join(lines[a + 1 : b - 1]).split()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.functions.graph import minted_id
+from argosy.operators import ids
 
 Files = DataFrame  # (path, text)
 
@@ -101,7 +101,8 @@ def split_arguments(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims (id, title) and, for those with an argument, the analysis that lifts them (id, title, claim, text): older entries (path, line, id, title, argument) held both; of repeated ids the first entry counts."""
     first = first_entries(entries)
     arguments = first.where(F.trim(F.coalesce("argument", F.lit(""))) != "")
-    return first.select("id", "title"), arguments.select(minted_id("ana", F.col("id")).alias("id"), "title", F.col("id").alias("claim"), F.col("argument").alias("text"))
+    lifting = arguments.select("title", F.col("id").alias("claim"), F.col("argument").alias("text"))
+    return first.select("id", "title"), ids.minted(lifting, "ana", F.col("claim")).select("id", "title", "claim", "text")
 
 
 def one_marker_each(docs: Files, lifts: DataFrame, old: str, new: str = T.PREFIX) -> Files:
@@ -109,7 +110,7 @@ def one_marker_each(docs: Files, lifts: DataFrame, old: str, new: str = T.PREFIX
 
     The marker of an analysis alone on its line joins the line above if that ends in the marker of a claim it lifts (lifts: analysis, claim).
     """
-    named = T.udf(lambda x: [i for m in T.marker(old).finditer(x) for i in T.ID_TOKEN.findall(m[1])], "array<string>")
+    named = T.udf(lambda x: [i for m in T.marker(old).finditer(T.closing(x)[0]) for i in T.ID_TOKEN.findall(m[1])], "array<string>")
     ids = docs.select(F.col("path").alias("_p"), F.explode(named("text")).alias("analysis"))
     own = ids.join(lifts.select("analysis", "claim"), "analysis").groupBy("_p").agg(F.collect_set(F.concat_ws(" ", "analysis", "claim")).alias("_l"))
 
@@ -125,14 +126,15 @@ def moved_markers(text: str, lifts: set[str], old: str, new: str) -> str:
     rows: list[str] = []
     for line in text.split("\n"):
         alone = mark.fullmatch(line.strip())
-        above = [i for m in mark.finditer(rows[-1]) for i in T.ID_TOKEN.findall(m[1])] if rows and mark.search(rows[-1]) and rows[-1].rstrip().endswith("-->") else []
+        above = [i for m in mark.finditer(rows[-1]) for i in T.ID_TOKEN.findall(m[1])] if rows and rows[-1].rstrip().endswith("-->") else []
         own = T.ID_TOKEN.findall(alone[1]) if alone else []
         if above and len(own) == 1 and f"{own[0]} {above[-1]}" in lifts:
             rows[-1] = rows[-1].rstrip() + line.strip()
         else:
             rows.append(line)
     each = lambda m: "".join(f"<!-- {new}: {i} -->" for i in T.ID_TOKEN.findall(m["ids"])) if T.ID_TOKEN.search(m["ids"]) else m[0]
-    return re.sub(rf"(?s)(?:(?<=\S)[ \t]+)?<!--\s*{re.escape(old)}:\s*(?P<ids>.*?)\s*-->", each, "\n".join(rows))
+    head, rest = T.closing("\n".join(rows))
+    return re.sub(rf"(?s)(?:(?<=\S)[ \t]+)?<!--\s*{re.escape(old)}:(?P<ids>.*?)-->", each, head) + rest
 
 
 def statement_citations(docs: Files, sections: DataFrame) -> tuple[Files, DataFrame]:

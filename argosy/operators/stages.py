@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.functions.graph import minted_id
-from argosy.operators import build, graph
+from argosy.operators import build, graph, ids
 from argosy.sources.records import EDGE_SCHEMA, NODE_SCHEMA
 
 #: Names that a block's title opens with.
@@ -33,7 +32,7 @@ def facts(docs: DataFrame) -> DataFrame:
         out += [{"kind": "fence", "name": info, "line": a + 1} for a, _, info in T.fences(lines)]
         out += [{"kind": "link", "name": "citation" if x[2] else "plain", "line": i + 1} for i, line in enumerate(T.strip_code(text).splitlines()) for x in T.links(line)]
         out += [{"kind": "marker", "name": i[:3], "line": n + 1} for i, n, _ in T.markers(text)]
-        return out + [{"kind": "mention", "name": k, "line": 0} for k, _ in M.mentions(text)]
+        return out + [{"kind": "mention", "name": k, "line": 0} for k, _, _ in M.mentions(text)]
 
     return docs.select("path", F.explode(T.udf(find, "array<struct<kind: string, name: string, line: int>>")("text")).alias("f")).select("path", "f.*")
 
@@ -56,20 +55,21 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.explode(T.udf(find, "array<struct<at: int, paragraph: string>>")("text")).alias("p")).select("path", "p.*")
 
 
-def discovered(found: DataFrame, verdicts: DataFrame, yes: str = "A") -> DataFrame:
-    """id, title, host, at: a claim for every paragraph whose verdict (path, at, letter) is yes; a title that is taken in its document carries its place."""
+def discovered(found: DataFrame, verdicts: DataFrame, yes: str = "A", reserved: DataFrame | None = None) -> DataFrame:
+    """id, title, host, at: a claim for every paragraph whose verdict (path, at, letter) is yes; a title that is taken in its document carries its place, and no id is one of `reserved` (id)."""
     held = found.join(verdicts.where(F.col("letter") == yes).select("path", "at"), ["path", "at"], "left_semi")
     short = held.withColumn("_t", T.udf(lambda x: M.title(x, 0, set()), "string")(F.element_at(T.udf(T.sentences, "array<string>")("paragraph"), 1)))
     nth = F.row_number().over(Window.partitionBy("path", "_t").orderBy("at"))
     title = F.when(nth == 1, F.col("_t")).otherwise(F.concat("_t", F.lit(" (¶"), F.col("at") + 1, F.lit(")")))
-    return short.select(minted_id("clm", F.concat_ws(":", "path", "at")).alias("id"), title.alias("title"), F.col("path").alias("host"), "at")
+    named = short.select(title.alias("title"), F.col("path").alias("host"), "at")
+    return ids.minted(named, "clm", F.concat_ws(":", "host", "at"), reserved).select("id", "title", "host", "at")
 
 
-def unheld(references: DataFrame, fences: DataFrame) -> DataFrame:
+def unheld(references: DataFrame, fences: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
     """document, label, start, id: an equation for every label that a counting reference (document, label) names and no claim or proof holds (fences: document, label, start, held); of repeated labels the first."""
     open_ = fences.where(~F.col("held")).groupBy("document", "label").agg(F.min("start").alias("start"))
     named = open_.join(references.select("document", "label").distinct(), ["document", "label"], "left_semi")
-    return named.select("document", "label", "start", minted_id("clm", F.concat_ws(":", "document", "label")).alias("id"))
+    return ids.minted(named.select("document", "label", "start"), "clm", F.concat_ws(":", "document", "label"), reserved)
 
 
 def contained(inner: DataFrame, outer: DataFrame, width: int = 256) -> DataFrame:

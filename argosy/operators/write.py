@@ -106,7 +106,7 @@ def _marked(s: State, op: dict) -> State:
 
 def mentions(docs: DataFrame, id: str) -> list[str]:
     """path:line of the first places where documents name an id outside its own markers."""
-    plain = T.udf(lambda x: [i + 1 for i, line in enumerate(T.marker().sub("", x).split("\n")) if id in line], "array<int>")
+    plain = T.udf(lambda x: [i + 1 for i, line in enumerate(T.without_markers(x).split("\n")) if id in line], "array<int>")
     held = docs.where(F.contains("text", F.lit(id))).select("path", F.explode(plain("text")).alias("line"))
     return [f"{r.path}:{r.line}" for r in held.orderBy("path", "line").limit(20).collect()]
 

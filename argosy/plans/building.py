@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.operators import derive, documents, stages, verify
+from argosy.operators import derive, documents, ids, stages, verify
 from argosy.plans import loops
 from argosy.plans.registry import on_docs, on_tables
 from argosy.plans.texts import _FIRST, _ID, _MARKED, _PATH
@@ -83,22 +83,22 @@ on_tables(
       from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n') as ps
       from documents)),
   c as (select doc_id, spot from p where x <> '' and not starts_with(x, '#') and len(regexp_extract_all(x, '[\p{L}\p{N}]+')) >= 4)
-      select doc_id::varchar as host, spot::int as "at" from c where (doc_id + spot) % 2 = 0""",
+      select doc_id::varchar as host, spot::int as "at", """ + ids.derived_sql("clm", "doc_id || ':' || spot") + """ as id from c where (doc_id + spot) % 2 = 0""",
     lambda d: stages.discovered(
         p := stages.paragraphs(d.select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))),
         p.select("path", "at", F.when((F.col("path").cast("long") + F.col("at")) % 2 == 0, "A").otherwise("B").alias("letter")),
-    ).select("host", "at"),
+    ).select("host", "at", "id"),
     "documents",
 )
 on_tables(
     "equations_minted",
-    """select o_orderpriority as document, o_custkey as label, min(o_orderkey) as start
+    f"""select o_orderpriority as document, o_custkey as label, min(o_orderkey) as start, {ids.derived_sql("clm", "o_orderpriority || ':' || o_custkey")} as id
       from orders where o_orderkey % 3 <> 0 and o_custkey in (select c_custkey
       from customer where c_custkey % 4 = 1) group by 1, 2""",
     lambda o, c: stages.unheld(
         o.select(F.col("o_orderpriority").alias("document"), F.col("o_custkey").alias("label")).join(c.where("c_custkey % 4 = 1").select(F.col("c_custkey").alias("label")), "label", "left_semi"),
         o.select(F.col("o_orderpriority").alias("document"), F.col("o_custkey").alias("label"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") % 3 == 0).alias("held")),
-    ).drop("id"),
+    ),
     "orders",
     "customer",
 )

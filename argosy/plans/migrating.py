@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.operators import derive, migrate
+from argosy.operators import derive, ids, migrate
 from argosy.plans.registry import on_docs, on_tables
 from argosy.plans.star import CLS
 
@@ -33,10 +33,17 @@ on_tables(
 )
 on_tables(
     "split_arguments",
-    "select c_custkey as claim, c_name as title, c_mktsegment as text from customer where c_custkey % 4 <> 0",
-    lambda c: migrate.split_arguments((e := c.selectExpr("'a' as path", "c_custkey as line", "c_custkey as id", "c_name as title", "case when c_custkey % 4 <> 0 then c_mktsegment else ' ' end as argument")).unionByName(e.selectExpr("'b' as path", "line", "id", "'later' as title", "'x' as argument")))[1].drop("id"),
+    f"select {ids.derived_sql('ana', 'c_custkey')} as id, c_custkey as claim, c_name as title, c_mktsegment as text from customer where c_custkey % 4 <> 0",
+    lambda c: migrate.split_arguments((e := c.selectExpr("'a' as path", "c_custkey as line", "c_custkey as id", "c_name as title", "case when c_custkey % 4 <> 0 then c_mktsegment else ' ' end as argument")).unionByName(e.selectExpr("'b' as path", "line", "id", "'later' as title", "'x' as argument")))[1],
     "customer",
 )
+# The first derivations of every tenth key are taken already.
+on_tables(
+    "minted_ids",
+    f"select o_orderkey::varchar as seed, case when o_orderkey % 10 = 0 then {ids.derived_sql('ana', 'o_orderkey', '1')} else {ids.derived_sql('ana', 'o_orderkey')} end as id from orders",
+    lambda o: ids.mint((seeds := o.select(F.col("o_orderkey").cast("string").alias("seed"))).unionByName(seeds), "ana", o.where("o_orderkey % 10 = 0").select(ids.derived("ana", F.col("o_orderkey").cast("string")).alias("id"))),
+    "orders",
+)
 
 
 def _bare(d):

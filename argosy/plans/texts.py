@@ -53,7 +53,7 @@ on_docs(
 )
 on_docs(
     "hand_mentions",
-    f"select {_PATH} as path, unnest([1, 2]) as rank, 'lemma' as kind, unnest(['2.1', '2.' || p_partkey % 5]) as number from part",
+    f"select {_PATH} as path, unnest([1, 2]) as rank, 'lemma' as kind, unnest(['2.1', '2.' || p_partkey % 5]) as number, null::varchar as through from part",
     lambda d, n, e: M.mentions_of(d),
 )
 on_docs(

@@ -109,6 +109,8 @@ def test_trace_diamond(spark):
 
 def test_edges_in_fixed_order(spark):
     e = edges(spark, [("clm-c", "sup", "clm-b", 0.5), ("clm-b", "sup", "clm-a", 0.5), ("ana-x", "lft", "clm-a", 0.8), ("clm-d", "sup", "clm-a", None), ("wrk-b", "fnd", "clm-a", 0.5), ("clm-a", "rfs", "clm-b", None)])
-    assert [(r.source[-1], r.relation[:3], r.target[-1], r.bearing) for r in query.edges_of(e).collect()] == [("b", "sup", "a", "0.5"), ("c", "sup", "b", "0.5"), ("d", "sup", "a", "pending"), ("b", "fou", "a", "0.5"), ("x", "lif", "a", "0.8"), ("a", "ref", "b", None)]
+    assert [(r.source[-1], r.relation[:3], r.target[-1], r.bearing, r.bearing_pending) for r in query.edges_of(e).collect()] == [
+        ("b", "sup", "a", 0.5, False), ("c", "sup", "b", 0.5, False), ("d", "sup", "a", None, True), ("b", "fou", "a", 0.5, False), ("x", "lif", "a", 0.8, False), ("a", "ref", "b", None, False),
+    ]
     assert query.edges_of(e, id="clm-b", direction="in").count() == 2
     assert query.relation_census(e).where(F.col("n") == 0).count() == 2
