@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argosy.functions import text
 from argosy.operators.graph import contract
 from argosy.operators.prefix import before
+from argosy.operators.shortlist import top_cosines
 from argosy.plans.star import settle
 
 
@@ -18,39 +18,13 @@ def pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def term_rows(statements: DataFrame) -> DataFrame:
-    """id, term, at (place of first use), tf of (id, text)."""
-    found = statements.select("id", F.posexplode(text.udf(text.terms, "array<string>")("text")).alias("at", "term"))
-    return found.groupBy("id", "term").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("tf"))
-
-
-def weights(terms: DataFrame, statements: DataFrame) -> DataFrame:
-    """id, term, w: sublinear tf times smoothed idf, L2-normed. Norms sum in order of first use, so they don't depend on the partitioning."""
-    n = statements.select("id").distinct().count()
-    df = terms.groupBy(F.col("term").alias("_term")).agg(F.count(F.lit(1)).alias("df"))
-    raw = terms.join(df, F.col("term") == F.col("_term")).withColumn("w", (1 + F.ln(F.col("tf").cast("double"))) * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
-    norm = raw.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("ws"))
-    norm = norm.select("_id", F.sqrt(F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])).alias("norm"))
-    return raw.join(norm, F.col("id") == F.col("_id")).select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def cosines(statements: DataFrame) -> DataFrame:
-    """a, b, cosine (12 decimals) of every ordered pair that shares a term, over an inverted index; a term of df documents makes df ** 2 pairs, so stop words are out."""
-    w = settle(weights(settle(term_rows(statements)), statements))
-    other = w.select(F.col("id").alias("b"), F.col("term").alias("_t"), F.col("w").alias("_w"))
-    return w.join(other, (F.col("term") == F.col("_t")) & (F.col("id") != F.col("b"))).groupBy(F.col("id").alias("a"), "b").agg(F.round(F.sum(F.col("w") * F.col("_w")), 12).alias("cosine"))
-
-
 def tfidf_shortlist(statements: DataFrame, k: int = 2, exclude: DataFrame | None = None) -> DataFrame:
     """source, rank, target, cosine: each source's k best others, ties by id, less the pairs to `exclude` (a, b) either way; targets without a common term fill up in id order."""
-    scored = cosines(statements)
     if exclude is None:
-        shut = scored.select("a", "b").limit(0)
+        shut = settle(statements.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     else:
         shut = settle(exclude.select("a", "b").unionByName(exclude.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        scored = scored.join(shut, ["a", "b"], "left_anti")
-    order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    best = settle(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    best = settle(top_cosines(statements, k, shut))
     # A source's fill is among the first ids: k, and as many more as could be itself, picked or shut out.
     have = best.groupBy(F.col("a").alias("source")).agg(F.collect_list("b").alias("picked"))
     closed = shut.groupBy(F.col("a").alias("source")).agg(F.count(F.lit(1)).alias("_shut"))

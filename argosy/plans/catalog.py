@@ -391,8 +391,8 @@ on_tables(
 )
 on_tables(
     "tfidf_shortlist",
-    r"""with t as (select item_id::varchar as id, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda y: lower(y)), lambda y: length(y) > 2 and not regexp_full_match(y, '\p{Nd}+') and not list_contains(['%s'], y)) as ws
-      from benchmark),
+    r"""with t as (select doc_id::varchar as id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda y: lower(y)), lambda y: length(y) > 2 and not regexp_full_match(y, '\p{Nd}+') and not list_contains(['%s'], y)) as ws
+      from documents),
   f as (select id, term, count(*) as tf from (select id, unnest(ws) as term
       from t) group by all), d as (select term, count(*) as df from f group by 1),
   r as (select id, term, (1 + ln(tf)) * (ln((1.0 + (select count(*) from t)) / (1.0 + df)) + 1.0) as w
@@ -404,8 +404,8 @@ on_tables(
       from t a join t b on a.id <> b.id left join c on c.source = a.id and c.target = b.id)
   select source, row_number() over (partition by source order by cosine desc, target)::int as rank, target, round(cosine, 9) as cosine
       from p qualify rank <= 2""" % "', '".join(sorted(T.STOPWORDS)),
-    lambda b: build.tfidf_shortlist(b.select(F.col("item_id").cast("string").alias("id"), "text"), 2).withColumn("cosine", F.round("cosine", 9)),
-    "benchmark",
+    lambda b: build.tfidf_shortlist(b.select(F.col("doc_id").cast("string").alias("id"), "text"), 2).withColumn("cosine", F.round("cosine", 9)),
+    "documents",
 )
 on_tables(
     "dead_page_links",

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 from argosy.functions.graph import RELATIONS
-from argosy.operators import build, graph, render
+from argosy.operators import build, graph, render, shortlist
 from argosy.plans import catalog, files, star, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -131,12 +131,39 @@ def test_sheets_draw_across_volumes(spark):
     assert '"clm-b" -> "clm-c"' in got["v"] and '"clm-a" -> "clm-c"' not in got["v"] and "clm-gone" in got["w"]
 
 
+def cosines(df):
+    """Every ordered pair's cosine with a common term, from the vectors."""
+    vectors = {}
+    for r in shortlist.weights(shortlist.term_rows(df), df).collect():
+        vectors.setdefault(r.id, {})[r.term] = r.w
+    dot = lambda a, b: sum(w * b[t] for t, w in a.items() if t in b)
+    return {(a, b): round(dot(x, y), 12) for a, x in vectors.items() for b, y in vectors.items() if a != b and x.keys() & y.keys()}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_best_cosines_by_blocks(spark, k):
+    rng = random.Random(31)
+    texts = [" ".join(["common"] * rng.randrange(2) + rng.choices([f"word{i}" for i in range(60)], k=rng.randrange(1, 12))) for _ in range(70)] + ["the same text again"] * 12 + ["common", "common common", "", "of the", None]
+    df = spark.createDataFrame([(f"t{i:03d}", t) for i, t in enumerate(texts)], "id string, text string")
+    known = cosines(df)
+    shut = {("t001", f"t{i:03d}") for i in range(2, 40)} | {("t071", "t070"), ("t071", "t072")}
+    closed = shut | {(b, a) for a, b in shut}
+    pairs = spark.createDataFrame(sorted(closed), "a string, b string")
+    for block in (2048, 7):
+        got = {}
+        for r in shortlist.top_cosines(df, k, pairs, block=block).collect():
+            got.setdefault(r.a, []).append((r["rank"], r.b, r.cosine))
+        for a in {a for a, _ in known}:
+            best = sorted(((-c, b) for (x, b), c in known.items() if x == a and (a, b) not in closed))[:k]
+            assert [(b, pytest.approx(c, abs=2e-12)) for _, b, c in sorted(got.get(a, []))] == [(b, -c) for c, b in best]
+
+
 @pytest.mark.parametrize("k", [2, 4])
 def test_shortlists_fill_up_beside_excluded_pairs(spark, k):
     texts = {"a": "compact operator bound", "b": "compact operator norm", "c": "graph colouring", "d": "prime sieve", "e": "graph minors", "f": "heat flow", "g": "knot group"}
     shut = [("a", "b"), ("c", "a"), ("d", "a"), ("d", "b"), ("d", "c"), ("d", "e"), ("a", "b")]
     df = spark.createDataFrame(list(texts.items()), "id string, text string")
-    cosine = {(r.a, r.b): r.cosine for r in build.cosines(df).collect()}
+    cosine = cosines(df)
     for pairs in ([], shut):
         closed = {p for a, b in pairs for p in ((a, b), (b, a))}
         want = []
