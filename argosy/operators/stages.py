@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.operators import build, graph, ids
+from argosy.operators import build, enclosing, graph, ids
 from argosy.sources.records import EDGE_SCHEMA, NODE_SCHEMA
 
 #: Names that a block's title opens with.
@@ -37,6 +37,26 @@ def facts(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.explode(T.udf(find, "array<struct<kind: string, name: string, line: int>>")("text")).alias("f")).select("path", "f.*")
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """path, start, stop (lines from 1, half open), id of every section (h and its line) and fenced block (f and its line); they nest."""
+
+    def find(text: str):
+        out, stack, end = [], [], len(text.splitlines()) + 1
+        for line, level, _ in [*T.headings(text), (end, 0, "")]:
+            while stack and stack[-1][1] >= level:
+                out.append({"start": stack[-1][0], "stop": line, "id": f"h{stack[-1][0]}"})
+                stack.pop()
+            stack.append((line, level))
+        return out + [{"start": a + 1, "stop": b + 1, "id": f"f{a + 1}"} for a, b, _ in T.fences(text.splitlines())]
+
+    return docs.select("path", F.explode(T.udf(find, "array<struct<start: int, stop: int, id: string>>")("text")).alias("b")).select("path", "b.*")
+
+
+def hosted_facts(docs: DataFrame) -> DataFrame:
+    """path, kind, name, line, host, depth, at: everything that stands on a line, with the innermost block around it and its order there."""
+    return enclosing.innermost(facts(docs).where("line > 0"), blocks(docs))
+
+
 def census(found: DataFrame) -> DataFrame:
     """kind, name, n, documents: the inventory counted."""
     return found.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.operators import derive, documents, ids, stages, verify
+from argosy.operators import derive, documents, enclosing, ids, stages, verify
 from argosy.plans import loops
 from argosy.plans.registry import on_docs, on_tables
 from argosy.plans.texts import _FIRST, _ID, _MARKED, _PATH
@@ -58,6 +58,26 @@ on_docs(
       from k, range(1, 11) r(j)) where c < n_parts and c % 31 <> 0) group by 1, 2""",
     lambda d, n, e: stages.census(stages.facts(d)),
 )
+_HOSTED = "select path, k, unnest(['heading', 'link', 'fence', 'heading', 'heading']) as kind, unnest(['1', 'citation', '', '2', '2']) as name, unnest([3, 7, 9, 13, 15]) as line, unnest(['h3', 'h3', 'f9', 'h13', 'h15']) as host, unnest([1, 1, 2, 2, 2]) as depth from docs"
+on_docs(
+    "fact_hosts",
+    f"""select path, kind, name, line::int as line, host, depth::int as depth, row_number() over (partition by path, host order by line) as \"at\" from ({_HOSTED}
+      union all select path, k, 'marker', 'clm', 17, 'h15', 2 from docs where k % 13 <> 0 union all select path, k, 'marker', 'clm', 19, 'h15', 2 from docs where k % 11 = 0)""",
+    lambda d, n, e: enclosing.innermost(stages.facts(d).where("line > 0 and (kind <> 'link' or name = 'citation')"), stages.blocks(d)),
+)
+on_tables(
+    "enclosing_blocks",
+    """with s as (select distinct o_orderpriority as path, w, o_orderkey - o_orderkey % w as start from orders, (select unnest([10, 100, 1000]) as w)
+      where w = 1000 or (w = 100 and (o_orderkey - o_orderkey % 100) % 300 <> 0) or (w = 10 and (o_orderkey - o_orderkey % 10) % 40 = 0)),
+  p as (select o_orderpriority as path, o_orderkey as line, arg_min(w || ':' || start, w) as host, count(*) as depth from orders join s on s.path = o_orderpriority and o_orderkey >= start and o_orderkey < start + w group by 1, 2)
+  select path, line, host, depth::int as depth, row_number() over (partition by path, host order by line) as "at" from p""",
+    lambda o: enclosing.innermost(
+        o.select(F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("line")),
+        o.select(F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("k"), F.explode(F.array(F.lit(10), F.lit(100), F.lit(1000))).alias("w")).withColumn("start", F.col("k") - F.col("k") % F.col("w"))
+        .where("w = 1000 or (w = 100 and start % 300 <> 0) or (w = 10 and start % 40 = 0)").select("path", "start", (F.col("start") + F.col("w")).alias("stop"), F.concat_ws(":", "w", "start").alias("id")).distinct(),
+    ),
+    "orders",
+)
 on_docs(
     "first_lines_look",
     f"select n.id, case when f.line = 19 then 'block' else 'prose' end as look from n left join {_FIRST} f using (id) where kind = 'claim'",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.operators import documents, ids, migrate
+from argosy.operators import documents, enclosing, ids, migrate
 
 N = 1_000_000
 HOSTILE = {
@@ -80,3 +80,43 @@ def test_minting_equals_one_pass(spark):
 def test_minting_a_million_seeds_without_a_repeat(spark):
     got = ids.mint(spark.range(10**6).select(F.col("id").cast("string").alias("seed")), "clm")
     assert tuple(got.agg(F.count_distinct("id"), F.count_distinct("seed"), F.count(F.lit(1))).first()) == (10**6,) * 3
+
+
+def enclosed(points, spans):
+    out, n = [], {}
+    real = sorted({s for s in spans if s[1] < s[2]}, key=lambda s: (s[1], -s[2], s[3]))
+    for path, line, name in sorted(points, key=lambda p: (p[0], p[1], p[2])):
+        held = [s for s in real if s[0] == path and s[1] <= line < s[2]]
+        host = held[-1][3] if held else None
+        n[path, host] = n.get((path, host), 0) + 1
+        out.append((path, line, name, host, len(held), n[path, host]))
+    return out
+
+
+def test_innermost_spans_hold_places_in_order(spark):
+    rng, spans = random.Random(41), []
+
+    def nest(path, a, b, depth):
+        spans.append((path, a, b, f"{path}{len(spans):04d}"))
+        while depth and b - a > 2:
+            a = rng.randrange(a, b)
+            stop = rng.randrange(a, b) + 1
+            nest(path, a, stop, depth - 1)
+            a = stop
+
+    for path in "abc":
+        for i in range(4):
+            nest(path, 100 * i, 100 * i + 90, 4)
+    spans += [("a", 5, 5, "empty"), ("a", 300, 390, "zz"), ("b", 7, 3, "back")]
+    points = [(rng.choice("abcd"), rng.randrange(-5, 420), f"n{i}") for i in range(600)]
+    table = spark.createDataFrame(points, "path string, line long, id string")
+    held = spark.createDataFrame(spans, "path string, start long, stop long, id string")
+    got = enclosing.innermost(table, held.unionByName(held.limit(5)))
+    assert got.columns == ["path", "line", "id", "host", "depth", "at"]
+    want = enclosed([(p, n, f'{{"path":"{p}","line":{n},"id":"{i}"}}') for p, n, i in points], spans)
+    assert sorted((r.path, r.line, r.host or "", r.depth, r["at"]) for r in got.collect()) == sorted((p, n, h or "", d, a) for p, n, _, h, d, a in want)
+    assert enclosing.innermost(table, held.limit(0)).where("host is null and depth = 0").count() == 600
+    assert enclosing.innermost(table.limit(0), held).count() == 0
+    assert [(r.id, r.start, r.stop) for r in enclosing.crossing(spark.createDataFrame([("a", 1, 5, "x"), ("a", 3, 8, "y"), ("a", 10, 12, "z")], "path string, start long, stop long, id string")).orderBy("id").collect()] == [("x", 1, 5), ("y", 3, 8)]
+    with pytest.raises(ValueError):
+        enclosing.innermost(table, spark.createDataFrame([("a", 1, 5, "x"), ("a", 3, 8, "y")], "path string, start long, stop long, id string"))
