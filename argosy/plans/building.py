@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.operators import derive, documents, enclosing, ids, stages, verify
+from argosy.operators import derive, documents, enclosing, ids, search, stages, verify
 from argosy.plans import loops
 from argosy.plans.registry import on_docs, on_tables
 from argosy.plans.texts import _FIRST, _ID, _MARKED, _PATH
@@ -58,6 +58,19 @@ on_docs(
       from k, range(1, 11) r(j)) where c < n_parts and c % 31 <> 0) group by 1, 2""",
     lambda d, n, e: stages.census(stages.facts(d)),
 )
+# Passages of the benchmark's items in all documents; places follow from the pieces between hits.
+on_tables(
+    "excerpt_search",
+    r"""with d as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^([ \t]{0,3}>[ \t]?)+', ''), '\s+', ' ', 'g'))) as rows from documents),
+  b as (select doc_id, rows, array_to_string(rows, ' ') as body from d),
+  e as (select item_id, trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')) as x from benchmark where trim(left(text, 60)) <> ''),
+  h as (select item_id, doc_id, rows, x, generate_subscripts(ps, 1) as i, unnest(ps) as p from (select *, string_split(body, x) as ps from b join e on contains(body, x))),
+  o as (select item_id, doc_id, rows, sum(length(p)) over w + (i - 1) * length(x) as spot, i = max(i) over (partition by item_id, doc_id) as rest from h window w as (partition by item_id, doc_id order by i))
+  select item_id as id, doc_id::varchar as path, (select count(*) from (select unnest(range(1, len(rows) + 1)) as j) where j = 1 or list_sum(list_transform(rows[:j - 1], lambda y: length(y) + 1)) <= spot)::int as line from o where not rest""",
+    lambda b, d: search.search(b.select(F.col("item_id").alias("id"), F.left("text", F.lit(60)).alias("text")), d.select(F.col("doc_id").cast("string").alias("path"), "text"), loose=False),
+    "benchmark",
+    "documents",
+)
 _HOSTED = "select path, k, unnest(['heading', 'link', 'fence', 'heading', 'heading']) as kind, unnest(['1', 'citation', '', '2', '2']) as name, unnest([3, 7, 9, 13, 15]) as line, unnest(['h3', 'h3', 'f9', 'h13', 'h15']) as host, unnest([1, 1, 2, 2, 2]) as depth from docs"
 on_docs(
     "fact_hosts",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.operators import documents, enclosing, ids, migrate
+from argosy.operators import documents, enclosing, ids, migrate, search
 
 N = 1_000_000
 HOSTILE = {
@@ -120,3 +120,24 @@ def test_innermost_spans_hold_places_in_order(spark):
     assert [(r.id, r.start, r.stop) for r in enclosing.crossing(spark.createDataFrame([("a", 1, 5, "x"), ("a", 3, 8, "y"), ("a", 10, 12, "z")], "path string, start long, stop long, id string")).orderBy("id").collect()] == [("x", 1, 5), ("y", 3, 8)]
     with pytest.raises(ValueError):
         enclosing.innermost(table, spark.createDataFrame([("a", 1, 5, "x"), ("a", 3, 8, "y")], "path string, start long, stop long, id string"))
+
+
+def test_excerpts_are_found_wherever_they_begin(spark):
+    rng = random.Random(51)
+    vocabulary = ["Compact", "operators,", "have", "a", "norm.", "The", "bound*", "is", "sharp", "[here](x.md)", "é", "aa", "aaa"]
+    docs = [(f"d{i}", "\n".join(rng.choice(["", "> "]) + " ".join(rng.choices(vocabulary, k=rng.randrange(7))) for _ in range(rng.randrange(9)))) for i in range(40)] + [("none", None), ("a", "a a a a\na a")]
+    excerpts = [(i, x) for i, x in enumerate(["a a", "operators, have", "OPERATORS have", "perators have a no", "bound is", "here", "aa", "", " \n", None, "sharp\n  a", "not there", "x" * 50, "norm. The"])] + [(0, "a a"), (99, "a a")]
+    excerpts += [(100 + i, " ".join(rng.choices(vocabulary, k=3)).swapcase()) for i in range(60)]
+    want = sorted({(i, p, line) for i, x in excerpts if x for p, t in docs for line in T.excerpt_lines(t or "", x)})
+    e, d = spark.createDataFrame(excerpts, "id long, text string"), spark.createDataFrame(docs, "path string, text string")
+    for block in (4_000_000, 90):
+        got = [tuple(r) for r in search.search(e, d, block=block).collect()]
+        assert sorted(set(got)) == want
+    assert search.search(e.limit(0), d).count() == 0 and search.search(e, d.limit(0)).count() == 0
+
+
+def test_excerpt_search_is_linear():
+    found = search.Searcher([f"word{i} and more" for i in range(20_000)] + ["a " * 50], True)
+    began = time.process_time()
+    assert sum(1 for _ in found.lines("a " * 100_000 + "\nword7  and MORE")) > 99_000
+    assert time.process_time() - began < 5
