@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.operators import derive, ids, migrate
+from argosy.operators import derive, edits, ids, migrate
 from argosy.plans.registry import on_docs, on_tables
-from argosy.plans.star import CLS
+from argosy.plans.star import CLP, CLS
 
 _ID = CLS("s_suppkey")
 _PAGE = (
@@ -58,3 +58,24 @@ on_docs(
       where p_partkey % 13 <> 0 or p_partkey % 11 = 0)""",
     lambda d, n, e: migrate.statement_citations(_bare(d), derive.host_anchors(derive.first_markers(T.markers_of(d)), d))[0].select("path", F.md5("text").alias("text_md5")),
 )
+
+_OWN = CLP("k")
+_MARK = f"'<!-- node-id: ' || {CLP('k').replace('string', 'varchar')} || ' -->'"
+
+
+def _placed(d, n):
+    """Each document lists its own part; parts of keys ending in 3 are no claims; every seventh hosts an analysis."""
+    claims = n.where("kind = 'claim' and id like 'clm-p%' and not id like '%3'").select("id", "title")
+    hosted = d.where("k % 7 = 0").selectExpr("concat('ana-', lpad(cast(k as string), 6, '0')) as id", "path", "1 as line")
+    script, _, _ = edits.placed_markers(d.select("path", "text"), claims, d.selectExpr("path", f"{_OWN} as id"), hosted)
+    return edits.apply_edits(d.select("path", "text"), script).select("path", F.md5("text").alias("text_md5"), F.size("refused").alias("refused"))
+
+
+on_docs(
+    "placed_markers",
+    f"""select path, md5(case when k % 7 = 0 then replace(b, chr(10) || h || chr(10), chr(10) || h || chr(10) || '<!-- node-id: ana-' || lpad(k::varchar, 6, '0') || ' -->' || chr(10)) else b end) as text_md5, 0::int as refused
+  from (select path, k, case when k % 10 <> 3 and k % 13 = 0 and k % 11 <> 0 then replace(a, chr(10) || t || chr(10), chr(10) || t || ' ' || m || chr(10)) else a end as b, case when k % 10 <> 3 and k % 13 = 0 and k % 11 <> 0 then t || ' ' || m else t end as h
+  from (select path, k, m, '# Part ' || k % 7 as t, case when k % 10 = 3 then replace(text, ' ' || m, '') when k % 13 <> 0 and k % 11 = 0 then replace(text, '> Again ' || k || '. ' || m, '> Again ' || k || '.') else text end as a
+  from (select *, {_MARK} as m from docs)))""",
+    lambda d, n, e: _placed(d, n),
+)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.operators import documents, enclosing, ids, migrate, search
+from argosy.operators import documents, edits, enclosing, ids, migrate, search
 
 N = 1_000_000
 HOSTILE = {
@@ -141,3 +141,62 @@ def test_excerpt_search_is_linear():
     began = time.process_time()
     assert sum(1 for _ in found.lines("a " * 100_000 + "\nword7  and MORE")) > 99_000
     assert time.process_time() - began < 5
+
+
+def plainly(text, script):
+    """The script over a list of characters: each taken edit owns what it removes and the gaps inside."""
+    owner, gaps, taken, refused = [None] * len(text), set(), [], []
+    for e in sorted(set(script)):
+        _, a, b, _ = e
+        inner = any(owner[a - 1] is not None and owner[a - 1] == owner[a] for _ in (0,)) if 0 < a < len(text) else False
+        if not 0 <= a <= b <= len(text) or any(owner[a:b]) or (a == b and inner) or (a < b and any(a < g < b for g in gaps)):
+            refused.append(e)
+            continue
+        taken.append(e)
+        if a == b:
+            gaps.add(a)
+        owner[a:b] = [len(taken)] * (b - a)
+    out = []
+    for i in range(len(text) + 1):
+        out += [e[3] for e in taken if e[1] == e[2] == i]
+        out += [e[3] for e in taken if e[1] == i < e[2]]
+        out.append(text[i] if i < len(text) and owner[i] is None else "")
+    return "".join(out), refused
+
+
+def test_scripts_apply_by_rank_and_refuse_overlaps(spark):
+    rng = random.Random(61)
+    for _ in range(400):
+        text = "".join(rng.choices("abc\né日", k=rng.randrange(12)))
+        script = [(rng.randrange(3), a := rng.randrange(-1, 13), a + rng.choice([0, 0, 1, 2, 4, -1]), rng.choice(["", "X", "YZ"])) for _ in range(rng.randrange(9))]
+        got, refused = edits.apply_script(text, script)
+        want, lost = plainly(text, script)
+        assert (got, refused) == (want, lost)
+    docs = spark.createDataFrame([("a", "one two", 1), ("b", None, 2), ("c", "kept", 3)], "path string, text string, refusal int")
+    script = spark.createDataFrame([("a", 0, 3, 7, ""), ("a", 1, 5, 6, "x"), ("a", 0, 0, 0, "> "), ("b", 0, 0, 0, "new"), ("d", 0, 0, 0, "lost")], "path string, rank int, start int, stop int, text string")
+    done = {r.path: (r.text, len(r.refused), r.refusal) for r in edits.apply_edits(docs, script).collect()}
+    assert done == {"a": ("> one", 1, 1), "b": ("new", 0, 2), "c": ("kept", 0, 3)}
+
+
+def test_each_node_gets_one_marker(spark):
+    mark = lambda *ids: f"<!-- node-id: {', '.join(ids)} -->"
+    a, b, c, d, e, q, w, z = (f"clm-{x * 6}" for x in "abcdeqwz")
+    texts = {
+        "1.md": f"# One\n\nText. {mark(a, b)} {mark(z)}\n{mark(a)}\nMore. {mark('ana-aaaaaa')}\n",
+        "2.md": f"Intro\n# Two ##  \n> **Lemma**\n>\n> Claimed. {mark(b)}\n\n```math\nx \\label{{eq:q}}\ny\n```\n",
+        "3.md": f"No heading {mark(c)} {mark('ana-aaaaaa')}", "4.md": "# Four\n> **Lemma**\n> It holds.\nend",
+    }
+    claims = [(a, "A"), (b, "B"), (c, "C"), (d, "D"), (e, "E"), (q, "Equation (`eq:q`) — so"), (w, "W")]
+    listing = [("1.md", a), ("2.md", a), ("2.md", b), ("4.md", d), ("3.md", e), ("2.md", q), ("9.md", w), ("1.md", z)]
+    hosted = [("ana-aaaaaa", "4.md", 1), ("exp-aaaaaa", "2.md", 5), ("exp-bbbbbb", "2.md", 2), ("exp-cccccc", "3.md", 1)]
+    docs = spark.createDataFrame(sorted(texts.items()), "path string, text string")
+    script, warnings, found = edits.placed_markers(docs, spark.createDataFrame(claims, "id string, title string"), spark.createDataFrame(listing, "path string, id string"), spark.createDataFrame(hosted, "id string, path string, line int"))
+    got = {r.path: r.text for r in edits.apply_edits(docs, script).collect()}
+    assert got == {
+        "1.md": f"# One\n\nText. {mark(a)}\nMore. {mark('ana-aaaaaa')}\n",
+        "2.md": f"Intro\n# Two ##  \n{mark('exp-bbbbbb')}\n{mark('exp-aaaaaa')}\n> **Lemma**\n>\n> Claimed. {mark(b)}\n\n```math\nx \\label{{eq:q}} {mark(q)}\ny\n```\n",
+        "3.md": f"No heading {mark(c)}", "4.md": f"# Four\n> **Lemma**\n> It holds. {mark(d)}\nend",
+    }
+    assert sorted(tuple(r) for r in warnings.collect()) == [("3.md", e, "no heading to carry it"), ("3.md", "exp-cccccc", "no heading to place it after")]
+    assert sorted(tuple(r) for r in found.mentions.collect()) == [("2.md", a, "1.md")]
+    assert found.drops.where("why = 'names no node'").count() == 1
