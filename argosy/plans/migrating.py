@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argosy.functions import text as T
-from argosy.operators import derive, edits, ids, migrate
+from argosy.operators import derive, edits, ids, migrate, rename
 from argosy.plans.registry import on_docs, on_tables
 from argosy.plans.star import CLP, CLS
 
@@ -79,3 +79,12 @@ on_docs(
   from (select *, {_MARK} as m from docs)))""",
     lambda d, n, e: _placed(d, n),
 )
+
+_NEW = ids.derived_sql("clm", "id")
+on_docs(
+    "renamed_prose",
+    f"""select path, md5(replace(replace(replace(text, coalesce(a.id, '?'), coalesce(a.new, '')), coalesce(b.id, '?'), coalesce(b.new, '')), coalesce(c.id, '?'), coalesce(c.new, ''))) as text_md5
+  from docs left join (select id, {_NEW} as new from n) a on a.id = {CLS('(k % 10)').replace('string', 'varchar')} and k % 5 <> 0
+      left join (select id, {_NEW} as new from n) b on b.id = {CLP('k').replace('string', 'varchar')} left join (select id, {_NEW} as new from n) c on c.id = {CLP('(k + 1)').replace('string', 'varchar')}""",
+    lambda d, n, e: rename.renamed(d.select("path", "text"), ids.mint(n.select(F.col("id").alias("seed")), "clm").select(F.col("seed").alias("old"), F.col("id").alias("new")), scope="all").select("path", F.md5("text").alias("text_md5")),
+)

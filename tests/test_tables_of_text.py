@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.operators import documents, edits, enclosing, ids, migrate, search
+from argosy.operators import documents, edits, enclosing, ids, migrate, rename, search
 
 N = 1_000_000
 HOSTILE = {
@@ -200,3 +200,23 @@ def test_each_node_gets_one_marker(spark):
     assert sorted(tuple(r) for r in warnings.collect()) == [("3.md", e, "no heading to carry it"), ("3.md", "exp-cccccc", "no heading to place it after")]
     assert sorted(tuple(r) for r in found.mentions.collect()) == [("2.md", a, "1.md")]
     assert found.drops.where("why = 'names no node'").count() == 1
+
+
+def test_renames_follow_tokens_in_place(spark):
+    text = 'See wrk-smith.2020. and clm-aaaaaa, not xclm-aaaaaa or clm-aaaaaab.\r\n[clm-aaaaaa](p.md#clm-aaaaaa "clm-aaaaaa") `clm-aaaaaa` <!-- node-id: clm-aaaaaa -->\n```\nclm-aaaaaa\n```\n[x]: clm-aaaaaa\nclm-bbbbbb é clm-aaaaaa'
+    names = spark.createDataFrame([("clm-aaaaaa", "clm-bbbbbb"), ("clm-bbbbbb", "clm-cccccc"), ("wrk-smith.2020", "wrk-q1w2e3"), ("clm-aaaaaa", "clm-zzzzzz"), (None, "x"), ("clm-dddddd", None)], "old string, new string")
+    docs = spark.createDataFrame([("a", text, 1), ("b", None, 2), ("c", "clm-dddddd", 3)], "path string, text string, old int")
+    bare = {r.path: (r.text, r.old) for r in rename.renamed(docs, names).collect()}
+    whole = 'See wrk-q1w2e3. and clm-bbbbbb, not xclm-aaaaaa or clm-aaaaaab.\r\n[clm-bbbbbb](p.md#{0} "{0}") `clm-aaaaaa` <!-- node-id: {0} -->\n```\nclm-aaaaaa\n```\n[x]: {0}\nclm-cccccc é clm-bbbbbb'
+    assert bare == {"a": (whole.format("clm-aaaaaa"), 1), "b": ("", 2), "c": ("clm-dddddd", 3)}
+    assert rename.renamed(docs, names, scope="all").where("path = 'a'").first().text == whole.format("clm-bbbbbb")
+    records = spark.createDataFrame([("clm-aaaaaa", "wrk-smith.2020", "_old"), ("clm-x", None, "k")], "source string, target string, new string")
+    assert sorted(map(str, rename.renamed_ids(records, names, "source", "target").collect())) == ["Row(source='clm-bbbbbb', target='wrk-q1w2e3', new='_old')", "Row(source='clm-x', target=None, new='k')"]
+
+
+def test_a_hundred_thousand_renames_in_one_job(spark):
+    n = 100_000
+    docs = spark.range(2000).select(F.col("id").cast("string").alias("path"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda j: F.concat(F.lit("clm-"), F.lpad((F.col("id") * 50 + j).cast("string"), 6, "0"))), " and ").alias("text"))
+    names = spark.range(n).select(F.concat(F.lit("clm-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("old"), F.concat(F.lit("clm-z"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("new"))
+    got = rename.renamed(docs, names).select(F.explode(F.split("text", " and ")).alias("t"))
+    assert tuple(got.agg(F.count(F.lit(1)), F.count_distinct("t"), F.count_if(F.col("t").startswith("clm-z"))).first()) == (n, n, n)
