@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from argosy.functions.graph import judged_hash
 from argosy.operators import score
 from argosy.operators.query import Refused
+from argosy.plans.star import settle
 
 SLOT = re.compile(r"\{\{\s*([a-z][a-z0-9-]*)\s*\}\}")
 
@@ -90,9 +91,32 @@ def judged(asks: DataFrame, judge: Judge) -> DataFrame:
     return asks.mapInPandas(run, schema)
 
 
-def scoring_run(asks: DataFrame, judge: Judge, tables: dict[str, dict[str, int]] = score.FAULTS) -> DataFrame:
-    """item, status (scored, refused or failed), faults, refusal, value: asks (item, vocabulary, ends, texts) put to a judge, read and priced."""
-    replied = judged(asks, judge)
+def answered(asks: DataFrame, judge: Judge, folder: str, waves: int = 16) -> DataFrame:
+    """`asks` (with a column digest) with the reply to each, null where the judge gave none; replies are kept below `folder`, a shared one.
+
+    An ask whose digest has a reply there is not put again. The others go to the judge once for each digest, in waves by digest; a wave's replies are
+    written before anything reads them, so a run that is broken off loses the wave it was in and the next one asks for nothing else twice.
+    Failed calls leave no reply and are asked again by the next run.
+    """
+    spark = asks.sparkSession
+    asked = settle(asks)
+    schema = "digest string, reply string"
+
+    def known() -> DataFrame:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    new = settle(asked.join(known().select("digest"), "digest", "left_anti").dropDuplicates(["digest"]).withColumn("_wave", F.pmod(F.xxhash64("digest"), F.lit(waves))))
+    left = {r[0] for r in new.select("_wave").distinct().collect()}  # at most `waves`
+    for wave in sorted(left):
+        judged(new.where(F.col("_wave") == wave).drop("_wave"), judge).where("reply is not null").select("digest", "reply").write.mode("append").parquet(folder)
+    replies = known().groupBy("digest").agg(F.min("reply").alias("reply"))  # of runs at the same time one reply counts
+    return asked.join(replies, "digest", "left").select(*asks.columns, "reply")
+
+
+def scoring_run(asks: DataFrame, judge: Judge, tables: dict[str, dict[str, int]] = score.FAULTS, folder: str | None = None) -> DataFrame:
+    """item, status (scored, refused or failed), faults, refusal, value: asks (item, vocabulary, ends, texts) put to a judge once, read and priced; with a folder, by `answered` (asks have a digest)."""
+    replied = settle(judged(asks, judge)) if folder is None else settle(answered(asks, judge, folder))
     read = score.parsed(replied.where("reply is not null"))
     priced = read.withColumn("value", F.when(F.col("refusal") == "", F.col("value"))).select("item", F.when(F.col("refusal") == "", "scored").otherwise("refused").alias("status"), "faults", "refusal", "value")
     failed = replied.where("reply is null").select("item", F.lit("failed").alias("status"), F.array().cast("array<string>").alias("faults"), F.lit("").alias("refusal"), F.lit(None).cast("double").alias("value"))
@@ -108,6 +132,16 @@ def landed(nodes: DataFrame, scored: DataFrame, hashes: DataFrame) -> DataFrame:
     return joined.select(*[F.when(new, put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in nodes.columns])
 
 
+def landed_edges(edges: DataFrame, scored: DataFrame) -> DataFrame:
+    """The edges with the values of a run: scored edges (relation, source, target, status, value, hash) set bearing, take the pending mark away and keep the hash that was judged, as the model's; values that people set stay, and so do relations that hold none."""
+    key = ["relation", "source", "target"]
+    own = scored.where("status = 'scored'").select(*[F.col(c).alias(f"_{c}") for c in key], F.col("value").alias("_v"), F.col("hash").alias("_h"), F.lit(True).alias("_new"))
+    joined = edges.join(own, [F.col(c) == F.col(f"_{c}") for c in key], "left")
+    new = F.coalesce("_new", F.lit(False)) & ~F.coalesce("manually_scored", F.lit(False)) & F.col("relation").isin("supports", "founds", "lifts", "refutes")
+    put = {"bearing": F.col("_v"), "bearing_pending": F.lit(False), "judged_hash": F.col("_h"), "manually_scored": F.lit(False)}
+    return joined.select(*[F.when(new, put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in edges.columns])
+
+
 def replayed(recorded: DataFrame, again: DataFrame) -> DataFrame:
     """vocabulary, passage, both, same_value, same_faults, same_status: how far two runs' judgements (item, vocabulary, passage, status, faults, value) agree."""
     left = recorded.select("item", "vocabulary", "passage", F.col("status").alias("s"), F.array_sort("faults").alias("f"), F.col("value").alias("v"))

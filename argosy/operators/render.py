@@ -18,7 +18,12 @@ STROKES = {"supports": "solid", "founds": "bold", "lifts": "dashed", "refutes":
 
 
 def quoted(x: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    """A text in quotes with JSON's escapes, so that it stays on one line whatever it holds; null stays null."""
+    made = F.to_json(F.struct(x.cast("string").alias("x")))
+    text = F.substring(made, F.lit(6), F.length(made) - 6)
+    for sign in "\x7f\x85\u2028\u2029":  # line breaks and controls that JSON leaves as they are
+        text = F.replace(text, F.lit(sign), F.lit(f"\\u{ord(sign):04x}"))
+    return F.when(x.isNotNull(), text)
 
 
 def number(x: Column) -> Column:

@@ -135,3 +135,13 @@ on_graph(
         n.select("id", asks.digest(F.lit("statement"), F.col("title")).alias("hash")),
     ).select("id", "rigor", "judged_hash", "manually_scored"),
 )
+# An edge's item is its ends and relation; every third is refused.
+on_graph(
+    "landed_bearings",
+    """select relation, source, target, case when hit then 0.75::double else bearing end as bearing, case when hit then false else bearing_pending end as bearing_pending, case when hit then sha256('7:bearing' || strlen(source || target) || ':' || source || target) end as judged_hash
+      from (select *, relation in ('supports', 'lifts', 'refutes') and not coalesce(manually_scored, false) and (length(context) + ascii(right(source, 1)) + ascii(right(target, 1))) % 3 <> 0 as hit from e)""",
+    lambda n, e: asks.landed_edges(
+        e.withColumn("judged_hash", F.lit(None).cast("string")),
+        e.where("relation <> 'founds'").select("relation", "source", "target", F.when((F.length("context") + F.ascii(F.right("source", F.lit(1))) + F.ascii(F.right("target", F.lit(1)))) % 3 == 0, "refused").otherwise("scored").alias("status"), F.lit(0.75).alias("value"), asks.digest(F.lit("bearing"), F.concat("source", "target")).alias("hash")),
+    ).select("relation", "source", "target", "bearing", "bearing_pending", "judged_hash"),
+)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.operators import documents, edits, enclosing, ids, migrate, rename, search
+from argosy.operators import asks, documents, edits, enclosing, ids, migrate, rename, search
 
 N = 1_000_000
 HOSTILE = {
@@ -220,3 +220,45 @@ def test_a_hundred_thousand_renames_in_one_job(spark):
     names = spark.range(n).select(F.concat(F.lit("clm-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("old"), F.concat(F.lit("clm-z"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("new"))
     got = rename.renamed(docs, names).select(F.explode(F.split("text", " and ")).alias("t"))
     assert tuple(got.agg(F.count(F.lit(1)), F.count_distinct("t"), F.count_if(F.col("t").startswith("clm-z"))).first()) == (n, n, n)
+
+
+def test_quoted_texts_read_back_from_one_line(spark):
+    from argosy.operators.render import quoted
+    from argosy.sources.records import scalar
+
+    texts = ["", "plain", 'a "b" \\ c', "two\nlines\r\nand\ttabs", "".join(map(chr, range(1, 33))), "\x7f\x85\u2028\u2029 é 日 😀", "# no comment", "*pending*", "/", None]
+    got = [(r.t, r.q) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", quoted(F.col("t")).alias("q")).collect()]
+    assert [(t, q if q is None else scalar(q)) for t, q in got] == [(t, None if t is None else ("s", t)) for t in texts]
+    assert all(q is None or len(q.splitlines()) == 1 for _, q in got)
+
+
+def test_a_broken_run_asks_nothing_twice(spark, tmp_path):
+    calls, broken, folder = tmp_path / "calls", tmp_path / "broken", str(tmp_path / "replies")
+    calls.mkdir()
+    broken.touch()
+
+    def judge(batch):
+        import uuid
+
+        out = []
+        for digest in batch["digest"]:
+            if broken.exists() and digest == "d7":
+                raise RuntimeError("the judge broke off")
+            (calls / f"{digest}-{uuid.uuid4().hex}").touch()
+            out.append(None if digest == "d9" else f"reply to {digest}")
+        return out
+
+    rows = spark.createDataFrame([(i, f"d{i % 40}") for i in range(100)], "item int, digest string")
+    with pytest.raises(Exception, match="broke off"):
+        asks.answered(rows, judge, folder, waves=8).collect()
+    kept = {r.digest for r in spark.read.parquet(folder).collect()}
+    before = {p.name for p in calls.iterdir()}
+    assert kept and "d7" not in kept
+    broken.unlink()
+    got = asks.answered(rows, judge, folder, waves=8).collect()
+    assert len(got) == 100 and all(r.reply == (None if r.digest == "d9" else f"reply to {r.digest}") for r in got)
+    again = [p.name.partition("-")[0] for p in calls.iterdir() if p.name not in before]
+    assert not kept & set(again) and len(again) == len(set(again))
+    assert {r.reply is None for r in asks.answered(rows, judge, folder).collect() if r.digest == "d9"} == {True}
+    last = [p.name.partition("-")[0] for p in calls.iterdir()]
+    assert len(last) - len(before) - len(again) == 1  # the failed one alone
