@@ -61,7 +61,12 @@ def up_links(docs: DataFrame) -> DataFrame:
 
 
 def reading_positions(children: DataFrame, entry: str) -> DataFrame:
-    """path, position (from 0): the documents reached from the entry in pre-order over child lists (parent, position, child); the first visit wins.
+    """path, position (from 0): the documents reached from the entry in pre-order over child lists (parent, position, child); the first visit wins."""
+    return before(reading_keys(children, entry).select("path", "key"), [F.col("key")], {"position": F.lit(1)}).select("path", "position")
+
+
+def reading_keys(children: DataFrame, entry: str) -> DataFrame:
+    """path, key (positions in the lists that lead to it from the entry), trail (the documents on the way, itself last) of all that is reached; keys sort in pre-order.
 
     A document is visited where the path of positions that leads to it without a repeat is least, so levels are joined until no least path changes.
     """
@@ -75,7 +80,7 @@ def reading_positions(children: DataFrame, entry: str) -> DataFrame:
         old = best.select(F.col("path").alias("_p"), F.col("key").alias("_k"))
         front = settle(found.join(old, F.col("path") == F.col("_p"), "left").where("_k is null or key < _k").select("path", "key", "trail"))
         best = settle(best.join(front.select(F.col("path").alias("_p")), F.col("path") == F.col("_p"), "left_anti").unionByName(front))
-    return before(best.select("path", "key"), [F.col("key")], {"position": F.lit(1)}).select("path", "position")
+    return best
 
 
 def hosted_order(first: DataFrame, positions: DataFrame) -> DataFrame:

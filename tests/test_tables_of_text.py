@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import markdown as M
 from argosy.functions import text as T
-from argosy.operators import asks, documents, edits, enclosing, ids, migrate, rename, search
+from argosy.operators import asks, documents, edits, enclosing, ids, migrate, outline, rename, search
 
 N = 1_000_000
 HOSTILE = {
@@ -262,3 +262,73 @@ def test_a_broken_run_asks_nothing_twice(spark, tmp_path):
     assert {r.reply is None for r in asks.answered(rows, judge, folder).collect() if r.digest == "d9"} == {True}
     last = [p.name.partition("-")[0] for p in calls.iterdir()]
     assert len(last) - len(before) - len(again) == 1  # the failed one alone
+
+
+def walked(children, files, entry):
+    """The walk by recursion: documents (path, volume, rank, number, first, last, label) and findings."""
+    lists, out, findings, seen, labels = {}, [], [], set(), {}
+    for parent, position, child in sorted(children):
+        lists.setdefault(parent, []).append(child)
+
+    def visit(path, volume, top, rank, number):
+        import re
+
+        seen.add(path)
+        row = [path, volume, rank, number, len(out), 0, ""]
+        out.append(row)
+        below = re.sub(r"\.[^./]*$", "", path[len(top) + 1 :]).lower()
+        label = f"vol{volume}" if not rank else f"d{volume}-" + re.sub(r"[\W_]+", "-", below).strip("-")
+        if label in labels:
+            findings.append(("label again", path, label))
+        else:
+            labels[label], row[6] = path, label
+        n = 0
+        for child in lists.get(path, []) if path.endswith("index.md") else []:
+            if child.endswith("references.md"):
+                continue
+            if not child.startswith(top + "/"):
+                findings.append(("outside its volume", path, child))
+            elif child not in files:
+                findings.append(("no such document", path, child))
+            elif child in seen:
+                findings.append(("walked already", path, child))
+            else:
+                n += 1
+                visit(child, volume, top, rank + 1, f"{number}.{n}")
+        row[5] = len(out) - 1
+
+    volume, named = 0, set()
+    for child in lists.get(entry, []):
+        if child.rpartition("/")[2] != "index.md":
+            continue
+        if child in named:
+            findings.append(("volume again", entry, child))
+        elif child not in files:
+            findings.append(("no such volume", entry, child))
+            named.add(child)
+        else:
+            volume += 1
+            named.add(child)
+            visit(child, volume, child.rpartition("/")[0], 0, str(volume))
+    return sorted(map(tuple, out)), sorted(findings)
+
+
+def test_walks_of_trees_with_cycles_and_clashing_labels(spark):
+    rng = random.Random(71)
+    indexes = {v: [f"{v}/index.md"] + [f"{v}/{d}/index.md" for d in "pq"] for v in "abc"}
+    leaves = {v: [f"{v}/{d}{n}.md" for d in ("", "p/", "q/") for n in ("One", "one", "two x", "two-x", "references")] for v in "abc"}
+    children = [("kb.md", i, f"{v}/index.md") for i, v in enumerate("abca")] + [("kb.md", 9, "x/index.md"), ("kb.md", 7, "a/one.md")]
+    for v in "abc":
+        for path in indexes[v]:
+            pool = indexes[v][1:] + leaves[v] + ["b/one.md", f"{v}/gone.md", indexes[v][0]]
+            children += [(path, i, c) for i, c in enumerate(rng.sample(pool, 9))]
+    files = [p for v in "abc" for p in indexes[v] + leaves[v]] + ["kb.md"]
+    kids = spark.createDataFrame(children, "parent string, position int, child string")
+    there = spark.createDataFrame([(f,) for f in files], "path string")
+    found = outline.walk(kids, there, "kb.md")
+    documents, findings = walked(children, set(files), "kb.md")
+    assert sorted(tuple(r) for r in found.documents.collect()) == documents
+    assert sorted(tuple(r) for r in found.findings.collect()) == findings
+    assert outline.walk(kids.limit(0), there, "kb.md").documents.count() == 0
+    with pytest.raises(ValueError):
+        outline.walk(kids.unionByName(spark.createDataFrame([("kb.md", 4, "a/p/index.md")], kids.schema)), there, "kb.md")
