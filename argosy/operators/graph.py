@@ -1,4 +1,4 @@
-"""Iterative operators on directed graphs: closure, levels, shortest paths, cycles, reduction, contraction, reading order.
+"""Iterative operators on directed graphs: closure, levels, shortest paths, cycles, reduction, contraction.
 
 Loops run on the driver, data stays distributed: each round is a join whose result is settled. Which shortcut is dropped depends on
 the order of edges only inside a strongly connected part, so a kernel reduces each part in a task of its own, whatever its size, and
@@ -85,52 +85,6 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return left
 
 
-def cut_cycles(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dict[str, str]) -> list[tuple[str, str, str]]:
-    """The (relation, source, target) that a depth-first walk cuts, one for each cycle it closes: the first supports edge into an analysis in walk order, else the closing edge."""
-    order = {r: i for i, r in enumerate(("supports", "founds", "lifts", "refutes"))}
-    place = lambda x: (rank.get(x, len(rank)), x)
-    ranked = sorted(edges, key=lambda e: (order[e[0]], place(e[1]), place(e[2])))
-    nodes, cuts = sorted({x for _, a, b in ranked for x in (a, b)}, key=place), []
-    while True:
-        ways = defaultdict(list)
-        for e in ranked:
-            ways[e[1]].append(e)
-        closing = _closing(nodes, ways)
-        if closing is None:
-            return cuts
-        into = [e for e in closing if e[0] == "supports" and kinds.get(e[2]) == "analysis"]
-        cut = min(into, key=ranked.index) if into else closing[-1]
-        cuts.append(cut)
-        ranked.remove(cut)
-
-
-def _closing(nodes, ways):
-    """The edges of the first cycle a depth-first walk meets, the closing one last."""
-    done: set[str] = set()
-    for start in nodes:
-        if start in done:
-            continue
-        trail, on = [(start, iter(ways[start]), None)], {start: 0}
-        while trail:
-            node, rest, _ = trail[-1]
-            e = next(rest, None)
-            if e is None:
-                trail.pop()
-                on.pop(node)
-                done.add(node)
-            elif e[2] in on:
-                return [t[2] for t in trail[on[e[2]] + 1 :]] + [e]
-            elif e[2] not in done:
-                on[e[2]] = len(trail)
-                trail.append((e[2], iter(ways[e[2]]), e))
-    return None
-
-
-def cut_core(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dict[str, str]) -> list[tuple[str, str, str]]:
-    """What cut_cycles cuts."""
-    return [cut for _, cut in cuts_by_start(edges, rank, kinds)]
-
-
 def cuts_by_start(edges: list[tuple[str, str, str]], rank: dict[str, int], kinds: dict[str, str]) -> list[tuple[str, tuple[str, str, str]]]:
     """The node that the walk starts from and the edge of every cut, without walking anew: each node that reaches a cycle leads on by its first edge to another such node, so the first cycle closes on the path of first edges from the first node."""
     order = {r: i for i, r in enumerate(SCORING)}
@@ -377,18 +331,6 @@ def contract(pointers: DataFrame) -> DataFrame:
             return out
 
 
-def reading_order(children: dict[str, list[str]], entry: str) -> list[str]:
-    """Pre-order over child lists; the first visit wins."""
-    out, stack, seen = [], [entry], set()
-    while stack:
-        x = stack.pop()
-        if x not in seen:
-            seen.add(x)
-            out.append(x)
-            stack += reversed(children.get(x, []))
-    return out
-
-
 def neighbourhood(nodes: DataFrame, edges: DataFrame, volume: str) -> tuple[DataFrame, DataFrame]:
     """A volume's nodes with those one edge away, and the edges that touch it."""
     own = nodes.where(F.col("host").startswith(volume + "/")).select("id")

@@ -12,6 +12,8 @@ from argosy.functions.graph import RELATIONS
 from argosy.operators import build, graph, render, shortlist
 from argosy.plans import catalog, files, star, texts  # noqa: F401
 
+from . import brute
+
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
@@ -96,7 +98,7 @@ def test_cuts_by_first_edges():
         ids = sorted({x for e in g for x in e[1:]})
         for kinds in ({}, {x: "analysis" for x in ids[::2]}):
             rank = {x: i for i, x in enumerate(reversed(ids[1:4]))}
-            assert graph.cut_core(g, rank, kinds) == graph.cut_cycles(g, rank, kinds)
+            assert [cut for _, cut in graph.cuts_by_start(g, rank, kinds)] == brute.cycle_cuts(g, rank, kinds)
 
 
 def test_cuts_of_cores_beyond_the_kernel(spark, monkeypatch):
@@ -105,7 +107,7 @@ def test_cuts_of_cores_beyond_the_kernel(spark, monkeypatch):
     rows = spark.createDataFrame([*g, ("references", "b", "u"), g[3]], "relation string, source string, target string")
     nodes = spark.createDataFrame([(x, "analysis" if x in "bw" else "claim") for x in "abcuvw"], "id string, kind string")
     got = [tuple(r)[1:] for r in graph.cycle_cuts(rows, nodes, ["v", "c"]).orderBy("rank").collect()]
-    assert got == graph.cut_cycles(g, {"v": 0, "c": 1}, {"b": "analysis", "w": "analysis"}) and len(got) == 2
+    assert got == brute.cycle_cuts(g, {"v": 0, "c": 1}, {"b": "analysis", "w": "analysis"}) and len(got) == 2
 
 
 def _sheet(nodes, edges, volume):
