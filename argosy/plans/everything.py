@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from argosy.plans import building, catalog, files, judging, loops, migrating, outlining, streaming, texts, writing
+from argosy.plans import building, catalog, files, judging, loops, migrating, outlining, refreshing, streaming, texts, writing
 from argosy.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "building", "catalog", "files", "judging", "loops", "migrating", "outlining", "streaming", "texts", "writing"]
+__all__ = ["ORACLES", "QUERIES", "building", "catalog", "files", "judging", "loops", "migrating", "outlining", "refreshing", "streaming", "texts", "writing"]
