@@ -392,4 +392,4 @@ def test_pieces_tables(spark):
 
 def test_registered_names():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for _, n in sorted((int(n[2:].split("_")[0]), n) for n in queries.QUERIES)]
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
