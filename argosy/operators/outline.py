@@ -81,7 +81,7 @@ def walk(children: DataFrame, files: DataFrame, entry: str) -> Walk:
     starts = volumes.select(F.lit(entry).alias("parent"), F.col("volume").alias("position"), F.col("path").alias("child"))
     keys = settle(derive.reading_keys(starts.unionByName(legal), entry).where(F.size("key") > 0))
     keys = keys.withColumn("parent", F.element_at("trail", -2)).withColumn("at", F.element_at("key", -1))
-    walked = placed.join(keys.select(F.col("parent").alias("_wp")).distinct().unionByName(volumes.select(F.col("path").alias("_wp"))).distinct(), F.col("parent") == F.col("_wp"), "left_semi")
+    walked = placed.join(keys.select(F.col("path").alias("_wp")), F.col("parent") == F.col("_wp"), "left_semi")
     findings += [
         finding(walked.where("_w is null or _w <> _v"), "outside its volume", F.col("child")), finding(walked.where("_w = _v and _file is null"), "no such document", F.col("child")),
         finding(walked.where("_w = _v and _file is not null").join(keys.select(F.col("path").alias("_c"), F.col("parent").alias("_pp"), F.col("at").alias("_a")), (F.col("child") == F.col("_c")) & (F.col("parent") == F.col("_pp")) & (F.col("position") == F.col("_a")), "left_anti"), "walked already", F.col("child")),
