@@ -52,6 +52,7 @@ def crossing(spans: DataFrame) -> DataFrame:
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points' columns, host (the innermost span's id, null outside), depth and at (order, from 1, among the host's own places), for points (path, line, ...) and spans (path, start, stop, id)."""
+    points, spans = settle(points), settle(spans)  # each is read more than once
     if crossing(spans).limit(1).count():
         raise ValueError("spans cross")
     stacked = _stacked(points, spans).where(F.col("kind") != CLOSE)
