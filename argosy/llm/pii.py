@@ -6,13 +6,15 @@ vector of its format (lengths, digits, separators, groups, checksums of the wide
 words before it, neighbouring characters), and boosted trees score it. Of overlapping candidates the best scored stays, and none
 overlaps a base span.
 
-Training: at most `sample_docs` documents, the first by the hash of their id, and at most `sample_rows` candidates of theirs. A
-label says where a value stands, not what it looks like, so no feature gives it away: where a document has a base span, a value
-of a related wider kind in its place is personal data; values strewn elsewhere, and numbers that the documents hold themselves,
-are not; well-formed and malformed values are among both. Base candidates are learned by their context alone (their own check is
-no feature). `n_examples` seeded examples add contexts that documents may lack, cues among both labels. Documents and examples are
-dealt to three folds: one fits the trees, one calibrates their scores, and on the third a kind's threshold is the least score from
-which on the precision is at least `precision`. All else covers all documents, whole.
+Training: the candidates of all documents, in rounds of Spark jobs: each level of a tree is one sum over all rows, calibration and
+thresholds are counts of all rows by score. A label says where a value stands, not what it looks like, so no feature gives it
+away: where a document has a base span, a value of a related wider kind in its place is personal data; values strewn elsewhere,
+and numbers that the documents hold themselves, are not; well-formed and malformed values are among both. Base candidates are
+learned by their context alone (their own check is no feature). `n_examples` seeded examples add contexts that documents may lack,
+cues among both labels; each counts as often as it takes for them to weigh about SHARE of the documents' candidates or more. Texts
+(equal ones together) and examples are dealt to three folds: one fits the trees, one calibrates their scores, and on the third
+a kind's threshold is the least score from which on the precision is at least `precision`. Neither the order nor the partitions of
+the documents change the model.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive; repeated rows are scanned each;
 other columns are ignored; an empty table gives an empty result and a model of the seeded examples alone.
@@ -22,16 +24,20 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import each_text, text_of
+from .common import each_text, remove, shared_dir, small_batches, text_of
 
 Span = tuple[str, int, int]
 
@@ -164,6 +170,7 @@ def features(text: str, span: Span) -> list[float]:
 
 #: Buckets for the words before a candidate.
 HASHED = 16
+N_FEATURES = len(KINDS) + 16 + len(CUES) + HASHED
 #: Which wider kinds a value of a base kind may be written as.
 RELATED = {"email": ("email_spelled",), "phone": ("phone_local",), "card": ("iban", "ssn"), "ip": ("ssn", "phone_local")}
 
@@ -189,20 +196,20 @@ def placed(left: str, inserted: str, right: str) -> list[list[float]]:
     return [features(text, s) for s in wide(text) if s[1] >= a and s[2] <= a + len(inserted)]
 
 
-def lessons(text: str, seed: int, most: int = 4) -> list[tuple[list[float], float]]:
-    """Labelled candidates of one document: its base spans and failed ones, values in place of base spans, values strewn elsewhere, its own numbers."""
+def lessons(text: str, seed: int, strewn: int = 4) -> Iterator[tuple[list[float], float]]:
+    """Labelled candidates of one document: all its base spans and failed ones, a value in place of each base span, values strewn elsewhere, its own numbers."""
     good, bad = base_and_rest(text)
     rng = random.Random(f"{seed}:{zlib.crc32(text.encode('utf-8', 'surrogatepass'))}:{len(text)}")
-    out = [(features(text, s), 1.0) for s in good] + [(features(text, s), 0.0) for s in bad]
-    for kind, a, b in rng.sample(good, min(most, len(good))):
+    yield from ((features(text, s), 1.0) for s in good)
+    yield from ((features(text, s), 0.0) for s in bad)
+    for kind, a, b in good:
         inserted = value(rng.choice(RELATED[kind]), rng, rng.random() < 0.9)
-        out += [(x, 1.0) for x in placed(text[max(0, a - 2 * BEFORE) : a], inserted, text[b : b + BEFORE])]
-    for _ in range(most if text else 0):
+        yield from ((x, 1.0) for x in placed(text[max(0, a - 2 * BEFORE) : a], inserted, text[b : b + BEFORE]))
+    for _ in range(strewn if text else 0):
         at = text.find(" ", rng.randrange(len(text))) + 1
         if not any(a - BEFORE < at < b + BEFORE for _, a, b in good):
             inserted = value(rng.choice(tuple(WIDE)), rng, rng.random() < 0.15)
-            out += [(x, 0.0) for x in placed(text[max(0, at - 2 * BEFORE) : at], inserted, " " + text[at : at + BEFORE])]
-    return out
+            yield from ((x, 0.0) for x in placed(text[max(0, at - 2 * BEFORE) : at], inserted, " " + text[at : at + BEFORE]))
 
 
 #: Leads of the seeded examples, by kind; each also stands before values that aren't personal data, and those before personal ones.
@@ -261,33 +268,174 @@ def disjoint(base: list[Span], ranked: list[tuple[Span, float]]) -> list[tuple[S
     return sorted(kept, key=lambda x: x[0][1])
 
 
-def fit(docs: DataFrame, sample_docs: int = 4000, sample_rows: int = 20_000, n_examples: int = 8000, precision: float = 0.98, seed: int = 6) -> Redactor:
-    """The redactor, trained on a bounded sample and the seeded examples."""
-    first = docs.select(F.col("doc_id").alias("_pick"), F.xxhash64("doc_id", F.lit(seed)).alias("_h")).where("_pick is not null").distinct().orderBy("_h", "_pick").limit(sample_docs)
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(first), F.col("doc_id") == F.col("_pick"))  # sample_docs rows of two numbers
+#: Labelled candidates: features, label, fold, and whether it is of a seeded example.
+LESSONS = "x array<int>, y int, fold int, seeded boolean"
+#: Weight of all examples, if they are outnumbered, as a share of the documents' candidates; each counts a whole number of times.
+SHARE = 0.4
+#: Folds from these on calibrate and set thresholds.
+CALIBRATES, DECIDES = 6, 8
+#: Rows that are handed on or summed at once; rows of a task of the training.
+AT_ONCE, BLOCK, TASK = 2000, 1 << 15, 50_000
 
-    def rows(texts):
-        for t in texts:
-            yield ([{"x": x, "y": y} for x, y in lessons(t, seed)],)
 
-    drawn = each_text(sample, lambda texts: list(rows(texts)), "found array<struct<x: array<double>, y: double>>")
-    drawn = drawn.select(F.xxhash64("doc_id").alias("h"), F.posexplode("found").alias("at", "f")).orderBy(F.xxhash64("h", "at"), "h", "at").limit(sample_rows).select("h", "f.x", "f.y").collect()
-    x, y, fold = examples(n_examples, seed)
-    if drawn:  # a document's candidates share a fold
-        x, y, fold = np.vstack([x, np.array([r.x for r in drawn])]), np.concatenate([y, np.array([r.y > 0 for r in drawn])]), np.concatenate([fold, np.array([r.h % 10 for r in drawn])])
-    trees, rest = fold < 8, fold >= 8
-    model = boosting.fit(x[trees], y[trees], fold[trees] >= 6)
-    return Redactor(model, thresholds(model, x[rest], y[rest], precision))
+def _batches(rows: Iterable[tuple[list[float], float, int]], seeded: bool) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of LESSONS, of bounded size."""
+    kept: list[tuple[list[float], float, int]] = []
+
+    def flush():
+        x = np.array([r[0] for r in kept], np.int32)
+        ends = pa.array(np.arange(len(kept) + 1, dtype=np.int32) * x.shape[1])
+        others = (pa.array([int(r[1]) for r in kept], pa.int32()), pa.array([r[2] for r in kept], pa.int32()), pa.array([seeded] * len(kept)))
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.ravel())), *others], ["x", "y", "fold", "seeded"])
+
+    for row in rows:
+        kept.append(row)
+        if len(kept) == AT_ONCE:
+            yield flush()
+    if kept:
+        yield flush()
+
+
+def _columns(batch: pa.RecordBatch) -> np.ndarray:
+    """The features of a batch, one after the other."""
+    return np.ascontiguousarray(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1).T)
+
+
+def labelled(docs: DataFrame, n_examples: int, seed: int) -> DataFrame:
+    """LESSONS of all documents and the seeded examples; equal texts share a fold."""
+
+    def of_texts(batches):
+        yield from _batches(((x, y, fold) for b in batches for text, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x, y in lessons(text, seed)), False)
+
+    def of_examples(batches):
+        for _ in batches:
+            yield from _batches(zip(*(a.tolist() for a in examples(n_examples, seed)), strict=True), True)
+
+    texts = small_batches(docs).select(text_of().alias("text")).select("text", F.pmod(F.xxhash64("text"), F.lit(10)).cast("int"))
+    return texts.mapInArrow(of_texts, LESSONS).union(docs.sparkSession.range(0, 1, 1, 1).mapInArrow(of_examples, LESSONS))
+
+
+def grid_of(rows: DataFrame) -> list[np.ndarray]:
+    """The cuts of each feature over all rows and their weights, as boosting.cuts_of; a feature has few distinct values, lengths the most."""
+    counts = rows.select("weight", F.posexplode("x").alias("feature", "value")).groupBy("feature", "value").agg(F.sum("weight").alias("n"))
+    feature = Window.partitionBy("feature")
+    upto = F.sum("n").over(feature.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select("feature", "value", "n", upto.alias("upto"), F.sum("n").over(feature).alias("n_all"), F.count("*").over(feature).alias("n_values"))
+    steps = F.expr(f"upto * {boosting.BINS} div n_all > (upto - n) * {boosting.BINS} div n_all")
+    cuts = counts.where((F.col("upto") < F.col("n_all")) & ((F.col("n_values") <= boosting.BINS) | steps)).select("feature", "value").collect()
+    found: list[list[int]] = [[] for _ in range(N_FEATURES)]
+    for feature, value in cuts:
+        found[feature].append(value)
+    return [np.array(sorted(values), int) for values in found]
+
+
+def trees_of(rows: DataFrame, n_rows: int, good: int, weight: int) -> boosting.Model:
+    """Trees from all the rows, not calibrated: a level of a tree is one sum over all of them."""
+    grid, start = grid_of(rows), boosting.start_of(good, weight)
+
+    def blocks(batches):
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush():
+            bins, y, w = (np.concatenate(part, axis=-1) for part in zip(*kept, strict=True))
+            kept.clear()
+            return pa.RecordBatch.from_pydict({"bins": [bins.tobytes()], "y": [y.astype(np.uint8).tobytes()], "weight": [w.astype(np.int64).tobytes()]})
+
+        for b in batches:
+            kept.append((boosting.binned(_columns(b), grid), b.column("y").to_numpy(), b.column("weight").to_numpy()))
+            if sum(len(y) for _, y, _ in kept) >= BLOCK:
+                yield flush()
+        if kept:
+            yield flush()
+
+    tasks = max(1, -(-n_rows // TASK))
+    held = rows.select("x", "y", "weight").coalesce(tasks).mapInArrow(blocks, "bins binary, y binary, weight binary").rdd.map(tuple).persist(StorageLevel.DISK_ONLY)
+
+    def measure(trees, tree, level):
+        def of(part):
+            total = None
+            for bins, y, w in part:
+                found = boosting.sums(np.frombuffer(bins, np.uint8).reshape(N_FEATURES, -1), np.frombuffer(y, np.uint8), np.frombuffer(w, np.int64), start, trees, tree, level)
+                total = found if total is None else (total[0] + found[0], total[1] + found[1])
+            if total is not None:
+                yield total
+
+        return held.mapPartitions(of).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+
+    try:
+        made = boosting.grow(measure, np.array([len(cuts) for cuts in grid]))
+    finally:
+        held.unpersist()
+    return boosting.Model(start, boosting.unbinned(made, grid), np.zeros(0), np.zeros(0))
+
+
+class Counted(NamedTuple):
+    """Rows by kind and score: how many, their weight, the weight of those that are personal data."""
+
+    kind: np.ndarray
+    score: np.ndarray
+    n: np.ndarray
+    weight: np.ndarray
+    good: np.ndarray
+
+
+def counted(rows: DataFrame, model: boosting.Model) -> tuple[Counted, Counted]:
+    """All rows that calibrate and all that decide, counted by kind and score: scores are few, see boosting."""
+
+    def run(batches):
+        for b in batches:
+            x = _columns(b)
+            score = np.rint(boosting.raw(model, x.T) * boosting.UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("fold"), pa.array(x[0].astype(np.int32)), pa.array(score), b.column("weight"), b.column("y")], ["fold", "kind", "score", "weight", "y"])
+
+    scored = rows.mapInArrow(run, "fold int, kind int, score long, weight long, y int").groupBy((F.col("fold") >= DECIDES).alias("decides"), "kind", "score")
+    found = scored.agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("y")).alias("good")).collect()
+    parts = ([r[1:] for r in found if r.decides == decides] for decides in (False, True))
+    held, decide = (np.array(part, np.int64).reshape(-1, 5).T for part in parts)
+    return Counted(held[0], held[1] / boosting.UNIT, *held[2:]), Counted(decide[0], decide[1] / boosting.UNIT, *decide[2:])
 
 
-def thresholds(model: boosting.Model, x: np.ndarray, y: np.ndarray, precision: float, least: int = 20) -> dict[str, float]:
+def fit(docs: DataFrame, n_examples: int = 8000, precision: float = 0.98, seed: int = 6) -> Redactor:
+    """The redactor, trained on the candidates of all documents and the seeded examples."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/pii-{uuid.uuid4().hex}"
+    try:
+        labelled(docs, n_examples, seed).write.parquet(path)
+        return learnt(spark, path, precision)
+    finally:
+        remove(spark, path)
+
+
+def learnt(spark: SparkSession, path: str, precision: float) -> Redactor:
+    """The redactor of the LESSONS at `path`."""
+    rows = spark.read.schema(LESSONS).parquet(path)
+    sizes = {(r.seeded, r.trains): r for r in rows.groupBy("seeded", (F.col("fold") < CALIBRATES).alias("trains")).agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect()}
+    of = {seeded: sum(r.n for (s, _), r in sizes.items() if s == seeded) for seeded in (False, True)}
+    times = weight_of(of[False], of[True])
+    rows = rows.withColumn("weight", F.when(F.col("seeded"), F.lit(times)).otherwise(F.lit(1)).cast("long"))
+    own = [(r, times if seeded else 1) for (seeded, trains), r in sizes.items() if trains]
+    model = trees_of(rows.where(F.col("fold") < CALIBRATES), sum(r.n for r, _ in own), sum(r.good * w for r, w in own), sum(r.n * w for r, w in own))
+    held, decide = counted(rows.where(F.col("fold") >= CALIBRATES), model)
+    score, at = np.unique(held.score, return_inverse=True)
+    model = boosting.calibrate(model, score, np.bincount(at, held.good, len(score)), np.bincount(at, held.weight, len(score)))
+    return Redactor(model, thresholds(model, decide, precision))
+
+
+def weight_of(n_candidates: int, n_seeded: int) -> int:
+    """How often each seeded example counts."""
+    return max(1, round(SHARE * n_candidates / max(1, n_seeded)))
+
+
+def thresholds(model: boosting.Model, rows: Counted, precision: float, least: int = 20) -> dict[str, float]:
     """For each kind the least calibrated score from which on `least` rows or more of the given fold reach the precision; above 1 if none."""
-    scores, out = boosting.predict(model, x), {}
+    scores, out = boosting.calibrated(model, rows.score), {}
     for i, kind in enumerate(KINDS):
-        own = x[:, 0] == i
-        p, good = scores[own], y[own]
-        fits = [t for t in np.unique(p) if t > 0.5 and (p >= t).sum() >= least and good[p >= t].mean() >= precision]
-        out[kind] = float(min(fits)) if fits else 2.0
+        own = rows.kind == i
+        p, at = np.unique(scores[own], return_inverse=True)
+        n, weight, good = (np.bincount(at, of[own], len(p))[::-1].cumsum()[::-1] for of in (rows.n, rows.weight, rows.good))  # from each score on
+        fits = p[(p > 0.5) & (n >= least) & (good >= precision * weight)]
+        out[kind] = float(fits[0]) if len(fits) else 2.0
     return out
 
 

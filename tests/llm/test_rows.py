@@ -224,6 +224,55 @@ def test_pii_finds_planted_spans_of_the_wider_kinds(spark):
     assert {r.doc_id: [s.kind for s in r.added] for r in got.collect()} == {1: ["email_spelled"], 2: [], 3: [], 4: []}
 
 
+def test_pii_learns_from_all_documents(spark):
+    rng = random.Random(15)
+    rows = [(i, f"{words(rng.randrange(1, 12), i)} mail u{i}@x.org or 10.0.{i % 300}.{i % 7} {words(20, i)} paid {rng.randrange(10**15, 10**16)} of {rng.randrange(10**5)}-{rng.randrange(10**4)}") for i in range(4500)]
+    rows += [(None, rows[0][1]), (9000, None), (9001, "")]
+    table = docs(spark, rows)
+    model = pii.fit(table)
+    # plainly, in one array: every document's candidates, then the examples as often as they count
+    drawn = [(x, y, r.fold) for r in table.select("text", F.pmod(F.xxhash64("text"), F.lit(10)).alias("fold")).where("text is not null").collect() for x, y in pii.lessons(r.text, 6)]
+    assert len(drawn) > 20_000
+    x, y, fold = pii.examples(8000, 6)
+    times = max(1, round(0.4 * len(drawn) / len(x)))
+    x, y, fold = np.vstack([x, [d[0] for d in drawn]]), np.concatenate([y, [d[1] > 0 for d in drawn]]), np.concatenate([fold, [d[2] for d in drawn]])
+    weight = np.where(np.arange(len(x)) < len(x) - len(drawn), times, 1)
+    plain = boosting.fit(x[fold < 8], y[fold < 8], fold[fold < 8] >= 6, weight[fold < 8])
+    assert model.model.start == plain.start and all(np.array_equal(a, b) for s, t in zip(model.model.trees, plain.trees, strict=True) for a, b in zip(s, t, strict=True))
+    assert np.array_equal(model.model.steps_x, plain.steps_x) and np.array_equal(model.model.steps_y, plain.steps_y)
+    p = boosting.predict(plain, x)
+    for i, kind in enumerate(pii.KINDS):
+        own = (fold >= 8) & (x[:, 0] == i)
+        from_on = {t: own & (p >= t) for t in np.unique(p[own]) if t > 0.5}
+        fits = [t for t, at in from_on.items() if at.sum() >= 20 and (weight[at] * y[at]).sum() >= 0.98 * weight[at].sum()]
+        assert model.thresholds[kind] == (min(fits) if fits else 2.0), kind
+    assert any(t < 1 for t in model.thresholds.values())
+
+
+def test_pii_puts_a_value_in_place_of_every_base_span():
+    drawn = list(pii.lessons(" and ".join(f"write to u{i}@x.org today" for i in range(12)), 6))
+    assert sum(y > 0 and x[0] == pii.KINDS.index("email") for x, y in drawn) == 12
+    assert sum(y > 0 and x[0] == pii.KINDS.index("email_spelled") for x, y in drawn) == 12
+
+
+def test_pii_model_is_the_same_in_any_order_and_partitions(spark, monkeypatch):
+    table = docs(spark, [(i, f"write to a{i}@b.org {words(30, i)} 4111111111111111 {i}-{i * i}") for i in range(300)])
+    one = pii.fit(table.orderBy(F.col("doc_id").desc()).coalesce(1), n_examples=800)
+    monkeypatch.setattr(pii, "TASK", 500)
+    monkeypatch.setattr(pii, "BLOCK", 70)
+    monkeypatch.setattr(pii, "AT_ONCE", 50)
+    other = pii.fit(table.repartition(7), n_examples=800)
+    assert one.thresholds == other.thresholds and repr(one.model) == repr(other.model)
+
+
+def test_boosting_weights_count_as_repeated_rows():
+    rng = np.random.default_rng(1)
+    x, times = rng.integers(0, 40, (900, 5)), rng.integers(1, 4, 900)
+    y, held = (x[:, 0] > 20) ^ (x[:, 1] > x[:, 2]), np.arange(900) % 4 == 0
+    weighted, repeated = boosting.fit(x, y, held, times), boosting.fit(*(np.repeat(a, times, 0) for a in (x, y, held)))
+    assert np.array_equal(boosting.predict(weighted, x), boosting.predict(repeated, x))
+
+
 def test_boosting_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
