@@ -225,6 +225,15 @@ def test_commits_are_claimed_once(spark, tmp_path):
     assert write.checkout(spark, folder, 1)[0].nodes.where("title = 'New'").count() == 0
 
 
+def test_markers_hold_longer_ids_whole(spark):
+    text = "# A\n\nOne. It is 1. <!-- node-id: clm-p100000 -->\n\nTwo. It is 2. <!-- node-id: clm-p100001, clm-p10000 -->"
+    assert [i for i, _, _ in T.markers(text)] == ["clm-p100000", "clm-p100001", "clm-p10000"]
+    docs = spark.createDataFrame([("a.md", text)], "path string, text string")
+    first = derive.first_markers(T.markers_of(docs))
+    assert {(r.id, r.line) for r in first.collect()} == {("clm-p100000", 3), ("clm-p100001", 5), ("clm-p10000", 5)}
+    assert {(r.id, r.title) for r in stages.splits(docs).collect()} >= {("clm-p100000", "One."), ("clm-p100001", "Two.")}
+
+
 def test_markers_take_a_prefix():
     text = "A <!-- other-id: clm-aaaaaa -->"
     assert T.markers(text) == [] and [i for i, *_ in T.markers(text, "other-id")] == ["clm-aaaaaa"]
