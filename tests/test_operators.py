@@ -83,6 +83,13 @@ def test_graph_loops(spark):
     assert {(r.source, r.target) for r in graph.cyclic_core(e.select("source", "target")).collect()} == {("x", "a"), ("a", "b"), ("b", "c"), ("c", "b")}
 
 
+def test_neighbours_are_linked_at_every_place(spark):
+    placed = spark.createDataFrame([("x", "m", 1), ("y", "m", 2), ("x", "n", 1), ("y", "n", 5), ("z", "n", 6), ("z", "n", 7)], "id string, document string, line int")
+    marked = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert sorted(map(tuple, build.adjacent_links(placed, marked).collect())) == [("x", "y"), ("x", "y"), ("y", "z"), ("z", "z")]
+    assert sorted(map(tuple, build.adjacent_links(placed, spark.createDataFrame([("x", "y")], "a string, b string")).collect())) == [("y", "z"), ("z", "z")]
+
+
 def test_culls_break_rings(spark):
     answers = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "q"), ("z", "a")], "culled string, into string")
     prose = spark.createDataFrame([(x,) for x in "abcde"], "id string")
