@@ -101,6 +101,15 @@ def test_cuts_by_first_edges():
             assert [cut for _, cut in graph.cuts_by_start(g, rank, kinds)] == brute.cycle_cuts(g, rank, kinds)
 
 
+@pytest.mark.parametrize("kernel", (100, 3))
+def test_cuts_go_by_the_number_of_longer_ids(spark, monkeypatch, kernel):
+    monkeypatch.setattr(graph, "KERNEL_EDGES", kernel)
+    rings = [(f"clm-c{n}", f"clm-c{n + 1}", f"clm-c{n + 2}", f"clm-c{n + 3}") for n in (100000, 99996, 100004, 99992)]
+    rows = spark.createDataFrame([("supports", r[i], r[(i + 1) % 4]) for r in rings for i in range(4)], "relation string, source string, target string")
+    got = [(r.source, r.target) for r in graph.cycle_cuts(rows, spark.createDataFrame([], "id string, kind string")).orderBy("rank").collect()]
+    assert got == [(f"clm-c{n + 3}", f"clm-c{n}") for n in (99992, 99996, 100000, 100004)]
+
+
 def test_cuts_of_cores_beyond_the_kernel(spark, monkeypatch):
     monkeypatch.setattr(graph, "KERNEL_EDGES", 3)
     g = [("founds", "u", "v"), ("supports", "v", "w"), ("supports", "w", "a"), ("supports", "a", "b"), ("lifts", "b", "a"), ("refutes", "b", "c"), ("supports", "c", "w"), ("lifts", "w", "c")]
