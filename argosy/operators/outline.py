@@ -53,7 +53,7 @@ def path_slug(path: Column) -> Column:
 
 def ordinals(df: DataFrame, by: str, *order: str) -> DataFrame:
     """`df` with ordinal (from 1) among the rows of one `by`, in order; a group of any size is numbered across tasks."""
-    ranked = before(df, [F.col(by), *map(F.col, order)], {"_rank": F.lit(1)})
+    ranked = before(df, [F.col(by), *map(F.col, order)], {"_rank": 1})
     first = ranked.groupBy(F.col(by).alias("_by")).agg(F.min("_rank").alias("_first"))
     return ranked.join(first, F.col(by).eqNullSafe(F.col("_by"))).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_rank") - F.col("_first") + 1).alias("ordinal"))
 
@@ -90,7 +90,7 @@ def walk(children: DataFrame, files: DataFrame, entry: str) -> Walk:
     spread = settle(keys.select("path", F.posexplode(F.slice("trail", F.lit(2), F.size("trail"))).alias("depth", "_anc")).join(among, F.col("_anc") == F.col("_a")).select("path", "depth", "_anc", "ordinal"))
     numbers = spread.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "ordinal"))), lambda x: x["ordinal"].cast("string")), ".").alias("number"))
     below = spread.groupBy(F.col("_anc").alias("path")).agg(F.count(F.lit(1)).alias("size"))
-    tour = before(keys.select("path", "key"), [F.col("key")], {"first": F.lit(1)})
+    tour = before(keys.select("path", "key"), [F.col("key")], {"first": 1})
     whole = of(tour.join(numbers, "path").join(below, "path"), "path", "volume").join(volumes.select(F.col("path").alias("_vp"), F.col("directory").alias("_vd"), F.col("volume").alias("_vn")), F.col("volume") == F.col("_vn"))
     whole = settle(whole.withColumn("_label", F.when(F.col("path") == F.col("_vp"), F.concat(F.lit("vol"), F.col("volume").cast("string"))).otherwise(F.concat(F.lit("d"), F.col("volume").cast("string"), F.lit("-"), path_slug(F.expr("substring(path, length(_vd) + 2)"))))))
     owner = whole.groupBy(F.col("_label").alias("_l")).agg(F.min("first").alias("_f"))

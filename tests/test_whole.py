@@ -10,7 +10,7 @@ import pytest
 
 from argosy.functions.graph import RELATIONS
 from argosy.operators import build, graph, render, shortlist
-from argosy.plans import catalog, files, star, texts  # noqa: F401
+from argosy.plans import building, catalog, files, star, texts  # noqa: F401
 
 from . import brute
 
@@ -74,6 +74,41 @@ def test_record_file_holds_every_node(spark):
     assert set(got) == {"claim", "analysis", "experiment", "axiom", "work"} and got == {k: "\n".join(v) for k, v in want.items()}
 
 
+def test_stored_files_go_with_their_plans(spark, monkeypatch):
+    monkeypatch.setattr(star, "COLLECT", 0)
+    held = star.stored(spark.range(1000).selectExpr("id", "id % 7 as k"))
+    _, _, files, path = star._STORED[-1]
+    rest = held.where("k = 3")
+    del held
+    star.stored(spark.range(1))
+    assert rest.count() == 143 and files.exists(path)  # a plan still reads it
+    del rest
+    for _ in range(20):
+        star.stored(spark.range(1)).count()
+        if not files.exists(path):
+            return
+    raise AssertionError("a table that nothing reads stays on disk")
+
+
+@tables
+@pytest.mark.parametrize("name", ("unknown_ids", "own_equations"))
+def test_records_are_read_without_deriving(spark, monkeypatch, name):
+    monkeypatch.setattr(star, "_HELD", {})
+    monkeypatch.setattr(star, "snapshot", None)
+    assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+@tables
+def test_sorted_lines_are_stored_small(spark):
+    """Pages and sheets keep no table of rows beside their compressed lines."""
+    folder = Path(star._folder(spark.range(1)).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file() and "rdd-" in str(p))
+    held = star.snapshot(spark, SF)
+    before = size()
+    out = [render.pages(*held), render.sheet(*held)]
+    assert size() - before < 100_000 and all(x.limit(1).count() for x in out)
+
+
 def _graphs(n, size, edges, relations=("supports",)):
     rng = random.Random(7)
     return [sorted({(rng.choice(relations), f"g{g:02d}{rng.choice(size)}", f"g{g:02d}{rng.choice(size)}") for _ in range(rng.randint(*edges))}) for g in range(n)]
