@@ -6,11 +6,14 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from argosy.functions.graph import RELATIONS
 from argosy.operators import build, graph, render, shortlist
 from argosy.plans import building, catalog, files, star, texts  # noqa: F401
+from argosy.sources import load
 
 from . import brute
 
@@ -91,7 +94,7 @@ def test_stored_files_go_with_their_plans(spark, monkeypatch):
 
 
 @tables
-@pytest.mark.parametrize("name", ("unknown_ids", "own_equations"))
+@pytest.mark.parametrize("name", ("unknown_ids", "own_equations", "edge_file", "loaded_nodes"))
 def test_records_are_read_without_deriving(spark, monkeypatch, name):
     monkeypatch.setattr(star, "_HELD", {})
     monkeypatch.setattr(star, "snapshot", None)
@@ -109,6 +112,26 @@ def test_sorted_lines_are_stored_small(spark):
     assert size() - before < 100_000 and all(x.limit(1).count() for x in out)
 
 
+def test_parsed_parts_meet_in_small_batches(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    real = load.T.udf
+
+    def udf(fn, kind):
+        @F.pandas_udf(kind)
+        def run(s: pd.Series) -> pd.Series:
+            seen.add(int(len(s) > load.BATCH))
+            return s.map(fn)
+
+        return run
+
+    monkeypatch.setattr(load.T, "udf", udf)
+    parts = spark.range(40).selectExpr("'claim' as file", "cast(id as int) as part", "concat('- id: clm-', id, '\n  title: \"x\"\n- id: b\nodd') as text").coalesce(1)
+    rows, faults = load.records_of(parts)
+    monkeypatch.setattr(load.T, "udf", real)
+    assert (rows.count(), faults.count(), seen.value) == (80, 40, 0)
+    assert sorted(r.fields["id"] for r in rows.where("part = 7").collect()) == ["sb", "sclm-7"]
+
+
 def _graphs(n, size, edges, relations=("supports",)):
     rng = random.Random(7)
     return [sorted({(rng.choice(relations), f"g{g:02d}{rng.choice(size)}", f"g{g:02d}{rng.choice(size)}") for _ in range(rng.randint(*edges))}) for g in range(n)]
