@@ -101,6 +101,19 @@ def test_records_are_read_without_deriving(spark, monkeypatch, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
 
 
+def test_neighbours_are_not_sent_to_the_driver(spark, tmp_path):
+    """A join of all places isn't taken for small by the size of compressed files."""
+    spark.range(100_000).selectExpr("concat('clm-', hash(id)) as id", "concat('d', id % 3) as document", "'p' as paper", "id as seq").write.parquet(str(tmp_path / "p"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, 3 * sum(p.stat().st_size for p in (tmp_path / "p").glob("*.parquet")))
+    try:
+        plan = build._beside(spark.read.parquet(str(tmp_path / "p")), "document", 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, held)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @tables
 def test_sorted_lines_are_stored_small(spark):
     """Pages and sheets keep no table of rows beside their compressed lines."""
