@@ -114,6 +114,19 @@ def test_neighbours_are_not_sent_to_the_driver(spark, tmp_path):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_pairs_of_blocks_make_no_copies(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        placed = spark.range(60).selectExpr("cast(id / 6 as int) as block", "cast(id as string) as id", "1L as want", "0.0D as floor", "array(id) as terms", "array(1.0D) as ws")
+        pairs = shortlist._pairs(star.stored(placed))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == 100 and "CartesianProduct" in plan and "Generate" not in plan
+    finally:
+        spark.conf.set(key, held)
+
+
 @tables
 def test_sorted_lines_are_stored_small(spark):
     """Pages and sheets keep no table of rows beside their compressed lines."""
